@@ -69,6 +69,8 @@ def in_buckets(entries: DataFrame, buckets: DataFrame) -> DataFrame:
     depths = sorted(r[0] for r in buckets.select("depth").distinct().collect())  # 65 rows at most
     out = None
     for depth in depths:
+        if depth == 0:  # one bucket for all
+            return entries.withColumn("bucket", F.lit(0).cast("long"))
         own = buckets.where(F.col("depth") == depth).select("prefix", (F.col("prefix") * 65 + depth).alias("bucket"))
         part = entries.join(common.small(own), _prefix(depth) == F.col("prefix")).drop("prefix")
         out = part if out is None else out.unionByName(part)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from millrace.llm import exact_dedup
+from millrace.llm import exact_dedup, ngram_join
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op2_ngram_jaccard_join": ngram_join.op2_ngram_jaccard_join,
 }
 
 ORACLES = {
     "op1_exact_dedup": exact_dedup.ORACLE,
+    "op2_ngram_jaccard_join": ngram_join.ORACLE,
 }
