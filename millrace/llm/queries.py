@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from millrace.llm import exact_dedup, ngram_join
+from millrace.llm import decontamination, exact_dedup, ngram_join
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op2_ngram_jaccard_join": ngram_join.op2_ngram_jaccard_join,
+    "op3_decontamination": decontamination.op3_decontamination,
 }
 
 ORACLES = {
     "op1_exact_dedup": exact_dedup.ORACLE,
     "op2_ngram_jaccard_join": ngram_join.ORACLE,
+    "op3_decontamination": decontamination.ORACLE,
 }
