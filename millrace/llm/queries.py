@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from millrace.llm import decontamination, exact_dedup, language_id, ngram_join
+from millrace.llm import byte_bpe, decontamination, exact_dedup, language_id, ngram_join, token_files
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op2_ngram_jaccard_join": ngram_join.op2_ngram_jaccard_join,
     "op3_decontamination": decontamination.op3_decontamination,
     "op4_language_id": language_id.op4_language_id,
+    "op8_byte_bpe": byte_bpe.op8_byte_bpe,
+    "op10_token_files": token_files.op10_token_files,
 }
 
 ORACLES = {

@@ -109,3 +109,27 @@ def shingle_codes(words: np.ndarray, n: int) -> np.ndarray:
     for k in range(width):
         out = mix(out * np.uint64(3) + words[k : len(words) - width + 1 + k] + np.uint64(k + 1))
     return out
+
+
+def stretch_codes(part: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Codes of the stretches of bytes, as they are, that begin at starts; each ends at the next."""
+    power, inverse = _tables(len(part) + 1)
+    sums = np.zeros(len(part) + 1, np.uint64)
+    np.cumsum(_VALUES[part] * power[: len(part)], out=sums[1:])
+    end = np.append(starts[1:], len(part))
+    return mix((sums[end] - sums[starts]) * inverse[starts] + (end - starts).astype(np.uint64))
+
+
+def distinct_stretches(buf: np.ndarray, codes: np.ndarray, starts: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+    """The distinct stretches of buf and, for each stretch, its number among them."""
+    _, first, number = np.unique(codes, return_index=True, return_inverse=True)
+    ends = np.append(starts[1:], len(buf))
+    data = buf.tobytes()
+    return [data[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())], number
+
+
+def gathered(flat: np.ndarray, begins: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Pieces of flat, one after another."""
+    ends = np.cumsum(lengths)
+    total = int(ends[-1]) if len(ends) else 0
+    return flat[np.arange(total) + np.repeat(begins - ends + lengths, lengths)]
