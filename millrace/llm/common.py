@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,16 +40,35 @@ def save(df: DataFrame, name: str, **options) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.options(**options).parquet(path)
+    if _recorded is not None:
+        _recorded.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, paths: list[str]) -> None:
+    conf = spark._jsc.hadoopConfiguration()
+    for name in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(conf).delete(path, True)
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files that save() wrote for df, once nothing reads them any more."""
-    spark = df.sparkSession
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
+    delete(df.sparkSession, sorted({f.rsplit("/", 1)[0] for f in df.inputFiles()}))
+
+
+_recorded: list[str] | None = None
+
+
+@contextlib.contextmanager
+def recording(paths: list[str]) -> Iterator[None]:
+    """Adds to paths what save() writes meanwhile."""
+    global _recorded
+    before, _recorded = _recorded, paths
+    try:
+        yield
+    finally:
+        _recorded = before
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

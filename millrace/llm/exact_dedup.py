@@ -32,6 +32,8 @@ from millrace.llm import common
 
 #: Entries a bucket may hold before it splits.
 CAPACITY = 1 << 16
+#: Rows of about 100 bytes up to which the dropped documents are broadcast.
+DROPPED_ROWS = 300_000
 
 
 def normalised(column: str = "text") -> Column:
@@ -105,16 +107,16 @@ def keep(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     Rows repeated with one doc_id and text are reduced to one of them as well.
     """
     found = groups(docs, capacity)
-    alone = found.where(F.col("group_size") == 1).select("doc_id", "text_sha256")
-    first = found.where("group_size > 1 and kept").select("doc_id", "text_sha256").distinct()
-    chosen = alone.unionByName(first)
+    same = lambda a, b: a["_id"].eqNullSafe(b["doc_id"]) & (a["_sha"] == b["text_sha256"])
     keyed = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("_id"), F.sha2(normalised().cast("binary"), 256).alias("_sha"))
-    copies = found.where("group_size > 1 and kept").groupBy("doc_id", "text_sha256").count().where("count > 1").select("doc_id", "text_sha256")
-    match = keyed.join(chosen, keyed["_id"].eqNullSafe(chosen["doc_id"]) & (keyed["_sha"] == chosen["text_sha256"]), "left_semi")
-    repeated = match.join(copies, match["_id"].eqNullSafe(copies["doc_id"]) & (match["_sha"] == copies["text_sha256"]), "left_semi")
-    single = match.join(copies, match["_id"].eqNullSafe(copies["doc_id"]) & (match["_sha"] == copies["text_sha256"]), "left_anti")
-    one = repeated.groupBy("_id", "_sha").agg(F.min("row").alias("row")).select("row.*")
-    return single.select("row.*").unionByName(one)
+    dropped = common.save(found.where("not kept").select("doc_id", "text_sha256").distinct(), "dropped")
+    stay = keyed.join(common.small(dropped, DROPPED_ROWS), same(keyed, dropped), "left_anti")
+    repeated = common.save(found.where("kept and group_size > 1").groupBy("doc_id", "text_sha256").count().where("count > 1").drop("count"), "repeated-rows")
+    if repeated.isEmpty():
+        return stay.select("row.*")
+    once = stay.join(repeated, same(stay, repeated), "left_anti")
+    again = stay.join(repeated, same(stay, repeated), "left_semi").groupBy("_id", "_sha").agg(F.min("row").alias("row"))
+    return once.select("row.*").unionByName(again.select("row.*"))
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
