@@ -13,9 +13,11 @@ apart.  So:
 * Documents that share a key are candidates.  Sizes and the Hamming distance of a 256-bit parity
   sketch rule out most pairs that share a key by chance, the shingle sets decide on the others.
 * Links are only needed up to reachability.  A class of equal sets is one node.  In each bucket
-  every node is first compared with the bucket's smallest one; then nodes that are still apart
+  every node is first compared with the bucket's most central one, whose buckets are the fullest:
+  in a group of copies that is the text they were copied from.  Then nodes that are still apart
   from others of a bucket of three or more are compared with those.  Pairs that are connected
-  already are not compared, so a bucket of copies costs as many comparisons as it has members.
+  already are not compared, so a bucket of copies costs about as many comparisons as it has
+  members.
 
 Edge cases: null text and text without words give the empty set, which is linked with nothing;
 fewer words than a shingle has are one shingle.  A null doc_id takes part in links, but never
@@ -117,12 +119,19 @@ def _set_maker(shingle: int):
     return make
 
 
+def _near(a: str, b: str, num: int, den: int) -> Column:
+    """Whether sizes and short sketches allow that the rows a and b are similar enough."""
+    one, two = (lambda c: F.col(a + c)), (lambda c: F.col(b + c))
+    apart: Column = sum((F.bit_count(one(f"s{k}").bitwiseXOR(two(f"s{k}"))) for k in range(4)), F.lit(0))
+    sizes = F.least(one("n"), two("n")) * den >= F.greatest(one("n"), two("n")) * num
+    return sizes & (apart * (den + num) <= (one("n") + two("n")) * (den - num))
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
     """Those of the pairs (a, b) of classes that are similar enough."""
     side = lambda x: nodes.select(F.col("class").alias(x), *(F.col(c).alias(f"{x}_{c}") for c in ("n", "s0", "s1", "s2", "s3")))
-    apart: Column = sum((F.bit_count(F.col(f"a_s{k}").bitwiseXOR(F.col(f"b_s{k}"))) for k in range(4)), F.lit(0))
-    near = pairs.join(side("a"), "a").join(side("b"), "b").where(F.least("a_n", "b_n") * den >= F.greatest("a_n", "b_n") * num)
-    near = common.save(near.where(apart * (den + num) <= (F.col("a_n") + F.col("b_n")) * (den - num)).select("a", "b", "a_n", "b_n"), "near")
+    near = pairs.join(side("a"), "a").join(side("b"), "b").where(_near("a_", "b_", num, den))
+    near = common.save(near.select("a", "b", "a_n", "b_n"), "near")
     wanted = near.select(F.col("a").alias("class")).union(near.select("b")).distinct().join(nodes.select("class", "doc_id"), "class")
     ids = common.small(wanted.select(F.col("doc_id").alias("_id")).distinct())
     chosen = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
@@ -141,8 +150,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
     sketched = common.save(docs.mapInArrow(_sketcher(shingle, num, den), SKETCHED), "sketches")
     nodes = common.save(sketched.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"), *(F.min(c).alias(c) for c in ("n", "s0", "s1", "s2", "s3"))), "nodes")
     keyed = sketched.where("n > 0").select("class", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("class").alias("pivot"), F.max("class").alias("other")).where("pivot <> other").select("key", "pivot")
-    members = common.save(keyed.join(shared, "key").select("key", "class", "pivot").distinct(), "members")
+    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("class").alias("one"), F.max("class").alias("other")).where("one <> other").select("key", "size")
+    members = common.save(keyed.join(shared, "key").select("key", "class", "size").distinct(), "members")
+    central = members.groupBy("class").agg(F.sum("size").alias("weight"))
+    pivots = members.join(central, "class").groupBy("key").agg(F.max(F.struct("weight", "class")).alias("m"))
+    members = common.save(members.join(pivots.select("key", F.col("m.class").alias("pivot")), "key").select("key", "class", "pivot"), "members")
 
     stars = common.save(members.where("class <> pivot").groupBy("class", "pivot").agg(F.count(F.lit(1)).alias("times")), "stars")
     best = stars.groupBy("class").agg(F.max(F.struct("times", "pivot")).alias("m")).select(F.col("class").alias("b"), F.col("m.pivot").alias("a"))
@@ -161,9 +173,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
     per_root = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
     main = per_root.groupBy("key").agg(F.max(F.struct("n", "root")).alias("m"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("roots"))
     main = main.where("roots > 1 and all > 2").select("key", F.col("m.root").alias("main"))
-    open_ = common.save(rooted.join(main, "key"), "open")
+    open_ = common.save(rooted.join(main, "key").join(nodes.drop("doc_id"), "class"), "open")
     a, b = open_.where("root <> main").alias("a"), open_.alias("b")
-    across = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.root") != F.col("b.root")) & (F.col("a.class") != F.col("a.pivot")) & (F.col("b.class") != F.col("a.pivot")))
+    unlike = (F.col("a.root") != F.col("b.root")) & (F.col("a.class") != F.col("a.pivot")) & (F.col("b.class") != F.col("a.pivot"))
+    across = a.join(b, (F.col("a.key") == F.col("b.key")) & unlike & _near("a.", "b.", num, den))
     across = across.select(F.least("a.class", "b.class").alias("a"), F.greatest("a.class", "b.class").alias("b")).distinct()
     links = links.unionByName(_verified(across, docs, nodes, shingle, num, den))
     roots = components(links).select(F.col("node").alias("class"), "root")
