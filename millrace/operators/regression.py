@@ -41,12 +41,10 @@ def least_squares(df: DataFrame, features: Sequence[str], target: str, intercept
 
 def metrics(df: DataFrame, actual: str, predicted: str, by: Sequence[str] = ()) -> DataFrame:
     """MAE, MAE in percent, RMSE, R2 and bias; fails where a value is null."""
-    a, p = F.col(actual), F.assert_true(F.col(actual).isNotNull() & F.col(predicted).isNotNull(), F.lit("metrics need values without nulls"))
-    checked = df.withColumn("_ok", p)
-    error = F.col(predicted) - a
-    mean = F.avg(a)
-    sums = checked.groupBy(*by).agg(
-        F.avg(F.abs(error)).alias("mae"), (F.avg(F.abs(error)) / mean * 100).alias("mae_pct"), F.sqrt(F.avg(error * error)).alias("rmse"),
-        (1 - F.try_divide(F.sum(error * error), F.var_pop(a) * F.count(a))).alias("r2"), F.avg(error).alias("bias"), F.count("_ok").alias("_null"),
+    a, error = F.col(actual), F.col(predicted) - F.col(actual)
+    unknown = F.count_if(error.isNull()) > 0
+    mae = F.when(unknown, F.raise_error(F.lit("metrics need values without nulls"))).otherwise(F.avg(F.abs(error)))
+    return df.groupBy(*by).agg(
+        mae.alias("mae"), (F.avg(F.abs(error)) / F.avg(a) * 100).alias("mae_pct"), F.sqrt(F.avg(error * error)).alias("rmse"),
+        (1 - F.try_divide(F.sum(error * error), F.var_pop(a) * F.count(a))).alias("r2"), F.avg(error).alias("bias"),
     )
-    return sums.drop("_null")
