@@ -45,6 +45,20 @@ def save(df: DataFrame, name: str, **options) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def save_bucketed(df: DataFrame, name: str, key: str, **options) -> DataFrame:
+    """save(), in as many buckets by key as a shuffle has partitions: joins by key don't shuffle it."""
+    spark = df.sparkSession
+    name = f"{name.replace('-', '_')}_{uuid.uuid4().hex[:12]}"
+    path = f"{shared_dir(spark)}/{name}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.format("parquet").options(**options).option("path", path).bucketBy(buckets, key).saveAsTable(name)
+    if _recorded is not None:
+        _recorded.append(path)
+    out = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the files stay, and out knows them
+    return out
+
+
 def delete(spark: SparkSession, paths: list[str]) -> None:
     conf = spark._jsc.hadoopConfiguration()
     for name in paths:
@@ -76,5 +90,10 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def by_id(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """Semi or anti join of docs with the only column of ids on doc_id; null matches null."""
+    return docs.join(ids, docs["doc_id"].eqNullSafe(ids[ids.columns[0]]), how)
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))

@@ -247,7 +247,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW) -
     """
     index = build_index(docs)
     bad = contamination(index, phrase_matches(index, items, window)).where("contaminated").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(common.small(common.save(bad, "contaminated")), F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    return common.by_id(docs, common.small(common.save(bad, "contaminated")), "left_anti")
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

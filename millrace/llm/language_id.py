@@ -181,7 +181,7 @@ def known_languages(docs: DataFrame, score: float = 0.0) -> DataFrame:
     found = predict(docs, train(docs.where(~held_out())), ["doc_id"])
     bad = found.groupBy("doc_id").agg(F.max(F.when(F.col("lang_pred") != UNKNOWN, F.col("score")).otherwise(-1.0)).alias("best")).where(F.col("best") <= score)
     bad = common.save(bad.select(F.col("doc_id").alias("_id")), "unknown-language")
-    return docs.join(common.small(bad), F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    return common.by_id(docs, common.small(bad), "left_anti")
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

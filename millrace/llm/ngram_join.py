@@ -192,7 +192,7 @@ def keep(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100) -> Da
     """docs with one document of each group of near duplicates, that of the smallest doc_id."""
     found = near_duplicates(docs, shingle, num, den)
     stay = found.where(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    return common.by_id(docs, stay, "left_semi")
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
