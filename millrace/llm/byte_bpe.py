@@ -1,10 +1,12 @@
 """Byte-level BPE over a corpus: each distinct word is encoded once.
 
 encode() works through chunks of documents.  In a chunk, every pre-token becomes the number of a
-word in the chunk's own list; numbers in order of place are the exploded text.  The lists' words
-meet in a shuffle in which equal words combine before they are sent, so that each distinct word
-of the corpus is encoded once.  Ids are joined back to each chunk's list and, in order of place,
-to the documents.  A frequent word costs one row a chunk, not one for each time it occurs.
+word in the chunk's own list, frequent words first; numbers in order of place are the exploded
+text.  The lists are cut into buckets by the words' hashes and shuffled, so that all lists' equal
+words meet in one task, which encodes each distinct word once.  Its ids go back to the chunks by
+another shuffle and, in order of place, into the documents.  The places themselves are the bulk of
+the data: they are written once, packed, into a table bucketed by chunk, and never shuffled.  A
+frequent word costs one entry for each chunk, not one for each time it occurs.
 
 decode() joins ids with the table of token bytes, whose size the vocabulary fixes.
 
@@ -31,9 +33,14 @@ from pyspark.sql import functions as F
 from millrace.llm import common, pretokens, textcodes
 
 #: Bytes of text of a chunk, unless one document alone has more.
-CHUNK = 1 << 22
+CHUNK = 1 << 23
+#: Buckets of words; each task of the word shuffle takes some of them, one after another.
+BUCKETS = 1024
 RANKS = "byte_bpe_50k.tiktoken"
-CHUNKS = "chunk long, doc_ids array<long>, n_words array<int>, places binary, words array<binary>"
+#: A row for each chunk's text, where bucket is null: doc_ids, words of each, places of all words,
+#: and the bucket of each word of the list.  And a row for each bucket of a chunk's words.
+CHUNKS = "chunk long, bucket int, doc_ids array<long>, n_words array<int>, places binary, buckets binary, lengths binary, words binary"
+IDS = "of long, bucket int, lengths binary, ids binary"
 
 
 def ranks(path: str | None = None) -> dict[bytes, int]:
@@ -59,29 +66,72 @@ def chunked(batches, size: int):
             if total >= size or begin < len(names):
                 yield ids, np.concatenate(parts), np.concatenate([[0], np.cumsum(np.concatenate(lengths))])
                 ids, parts, lengths, total = [], [], [], 0
+                pa.default_memory_pool().release_unused()
     if ids:
         yield ids, np.concatenate(parts), np.concatenate([[0], np.cumsum(np.concatenate(lengths))])
 
 
+def pack(numbers: np.ndarray) -> bytes:
+    """Unsigned 32-bit integers, their bytes by significance, compressed."""
+    planes = np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+    return len(numbers).to_bytes(8, "little") + pa.compress(planes.tobytes(), "zstd", asbytes=True)
+
+
+def unpack(data: bytes) -> np.ndarray:
+    n = int.from_bytes(data[:8], "little")
+    planes = np.frombuffer(pa.decompress(data[8:], 4 * n, "zstd", asbytes=True), np.uint8).reshape(4, n)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel()
+
+
 def _explode(batches):
     for k, (ids, buf, bounds) in enumerate(chunked(batches, CHUNK)):
+        chunk = (TaskContext.get().partitionId() << 24) + k
         codes, starts = pretokens.pretokens(buf, bounds)
-        words, places = textcodes.distinct_stretches(buf, codes, starts)
+        distinct, first, number, times = np.unique(codes, return_index=True, return_inverse=True, return_counts=True)
+        order = np.argsort(-times, kind="stable")
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
         counts = np.diff(np.searchsorted(starts, bounds)).astype(np.int32)
-        small = np.uint16 if len(words) <= 1 << 16 else np.uint32
+        bucket = (distinct[order] % np.uint64(BUCKETS)).astype(np.int32)
+        listed = np.argsort(bucket, kind="stable")
+        begins = starts[first][order][listed]
+        lengths = np.append(starts[1:], len(buf))[first][order][listed] - begins
+        words = textcodes.gathered(buf, begins, lengths)
+        cuts = np.append(np.flatnonzero(np.diff(bucket[listed], prepend=-1)), len(listed))
+        bytes_at = np.concatenate([[0], np.cumsum(lengths)])[cuts]
+        n = len(cuts) - 1
         yield pa.RecordBatch.from_arrays(
-            [pa.array([(TaskContext.get().partitionId() << 24) + k]), pa.array([ids], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int32())), pa.array([places.astype(small).tobytes()], pa.binary()), pa.array([words], pa.list_(pa.binary()))],
-            ["chunk", "doc_ids", "n_words", "places", "words"],
-        )
+            [
+                pa.array([chunk] * (n + 1)), pa.array([None, *bucket[listed[cuts[:-1]]].tolist()], pa.int32()), pa.array([ids, *[None] * n], pa.list_(pa.int64())),
+                pa.array([counts, *[None] * n], pa.list_(pa.int32())), pa.array([pack(rank[number]), *[None] * n], pa.binary()), pa.array([pack(bucket), *[None] * n], pa.binary()),
+                pa.array([None, *(pack(lengths[a:b]) for a, b in zip(cuts[:-1], cuts[1:]))], pa.binary()),
+                pa.array([None, *(pa.compress(words[a:b].tobytes(), "zstd", asbytes=True) for a, b in zip(bytes_at[:-1], bytes_at[1:]))], pa.binary()),
+            ],
+            ["chunk", "bucket", "doc_ids", "n_words", "places", "buckets", "lengths", "words"],
+        )
 
 
 def _word_encoder(table: dict[bytes, int]):
     def encode(batches):
         bpe = tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
+        kept: dict[bytes, bytes] = {}
+        last = None
         for batch in batches:
-            words = batch.column("word")
-            ids = [np.array(bpe.encode_ordinary(w.decode()), np.uint32).tobytes() for w in words.to_pylist()]
-            yield pa.RecordBatch.from_arrays([words.cast(pa.binary()), pa.array(ids, pa.binary())], ["word", "ids"])
+            lengths, ids = [], []
+            for bucket, sizes, words in zip(*(batch.column(c).to_pylist() for c in ("bucket", "lengths", "words"))):
+                if bucket != last:  # rows come bucket by bucket
+                    kept, last = {}, bucket
+                ends = np.cumsum(unpack(sizes), dtype=np.int64)
+                data = pa.decompress(words, int(ends[-1]), "zstd", asbytes=True)
+                own = []
+                for a, b in zip([0, *ends.tolist()], ends.tolist()):
+                    word = data[a:b]
+                    if word not in kept:
+                        kept[word] = np.array(bpe.encode_ordinary(word.decode()), "<u4").tobytes()
+                    own.append(kept[word])
+                lengths.append(pack(np.array([len(x) // 4 for x in own])))
+                ids.append(pack(np.frombuffer(b"".join(own), "<u4")))
+            yield pa.RecordBatch.from_arrays([batch.column("chunk"), batch.column("bucket"), pa.array(lengths, pa.binary()), pa.array(ids, pa.binary())], ["of", "bucket", "lengths", "ids"])
 
     return encode
 
@@ -96,26 +146,25 @@ def _reassemble(chunk: pa.Table, words: pa.Table) -> pa.Table:
     columns = {"doc_id": pa.array([], pa.int64()), "n_tokens": pa.array([], pa.int64()), "ids": pa.array([], pa.binary())}
     if chunk.num_rows:
         row = chunk.to_pylist()[0]
-        flat, bounds = _binary_parts(words.column("ids"), np.uint32)
-        order = np.empty(len(bounds) - 1, np.int64)
-        order[words.column("place").to_numpy()] = np.arange(len(order))
-        small = np.uint16 if len(order) <= 1 << 16 else np.uint32
-        at = order[np.frombuffer(row["places"], small)]
-        lengths = np.diff(bounds)[at]
-        ids = textcodes.gathered(flat, bounds[at], lengths)
-        ends = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(row["n_words"])])]
+        words = words.sort_by("bucket")
+        joined = lambda name: np.concatenate([np.zeros(0, np.uint32), *map(unpack, words.column(name).to_pylist())])
+        lengths, flat = joined("lengths").astype(np.int64), joined("ids").astype("<u4")
+        at = np.empty(len(lengths), np.int64)
+        at[np.argsort(unpack(row["buckets"]), kind="stable")] = np.arange(len(lengths))
+        at = at[unpack(row["places"])]
+        ids = textcodes.gathered(flat, (np.cumsum(lengths) - lengths)[at], lengths[at])
+        ends = np.concatenate([[0], np.cumsum(lengths[at])])[np.concatenate([[0], np.cumsum(row["n_words"])])]
         columns = {"doc_id": pa.array(row["doc_ids"], pa.int64()), "n_tokens": pa.array(np.diff(ends), pa.int64()), "ids": pa.array([ids[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:])], pa.binary())}
     return pa.table(columns)
 
 
 def encode(docs: DataFrame, table: dict[bytes, int] | None = None) -> DataFrame:
     """doc_id, n_tokens and ids of every row of docs (doc_id, text)."""
-    chunks = common.save(docs.select("doc_id", "text").mapInArrow(_explode, CHUNKS), "chunks")
-    listed = chunks.select("chunk", F.posexplode("words").alias("place", "word"))
-    book = listed.select("word").distinct().mapInArrow(_word_encoder(table or ranks()), "word binary, ids binary")
-    known = listed.join(common.save(book, "words"), "word").select(F.col("chunk").alias("of"), "place", "ids")
-    places = chunks.select("chunk", "doc_ids", "n_words", "places")
-    return places.groupBy("chunk").cogroup(known.groupBy("of")).applyInArrow(_reassemble, "doc_id long, n_tokens long, ids binary")
+    chunks = common.save_bucketed(docs.select("doc_id", "text").mapInArrow(_explode, CHUNKS), "chunks", "chunk", compression="zstd")
+    words = chunks.where("bucket is not null").select("chunk", "bucket", "lengths", "words").repartition("bucket").sortWithinPartitions("bucket")
+    known = words.mapInArrow(_word_encoder(table or ranks()), IDS)
+    texts = chunks.where("bucket is null").select("chunk", "doc_ids", "n_words", "places", "buckets")
+    return texts.groupBy("chunk").cogroup(known.groupBy("of")).applyInArrow(_reassemble, "doc_id long, n_tokens long, ids binary")
 
 
 def _decoder(table: dict[bytes, int]):

@@ -20,8 +20,8 @@ _classes: list[np.ndarray] = []
 def _char_classes() -> np.ndarray:
     if not _classes:
         table = np.zeros(0x110000, np.int8)
-        points = [p for p in range(0x110000) if not 0xD800 <= p < 0xE000]
-        everything, at = "".join(map(chr, points)), np.array(points)
+        at = np.concatenate([np.arange(0xD800, dtype=np.uint32), np.arange(0xE000, 0x110000, dtype=np.uint32)])  # no surrogates
+        everything = at.tobytes().decode("utf-32-le")
         for kind, pattern in ((_LETTER, r"\p{L}+"), (_NUMBER, r"\p{N}+"), (_SPACE, r"\s+")):
             for match in regex.finditer(pattern, everything):
                 table[at[match.start() : match.end()]] = kind
