@@ -21,6 +21,8 @@ are ignored by encode(); decode() returns all columns.  An empty table gives an
 from __future__ import annotations
 
 import base64
+from array import array
+from collections.abc import Callable
 
 import numpy as np
 import public_tokenizers
@@ -37,6 +39,8 @@ CHUNK = 1 << 23
 #: Buckets of words; each task of the word shuffle takes some of them, one after another.
 BUCKETS = 1024
 RANKS = "byte_bpe_50k.tiktoken"
+Coder = Callable[[bytes], list[int]]
+MakeCoder = Callable[[], Coder]
 #: A row for each chunk's text, where bucket is null: doc_ids, words of each, places of all words,
 #: and the bucket of each word of the list.  And a row for each bucket of a chunk's words.
 CHUNKS = "chunk long, bucket int, doc_ids array<long>, n_words array<int>, places binary, buckets binary, lengths binary, words binary"
@@ -111,9 +115,19 @@ def _explode(batches):
         )
 
 
-def _word_encoder(table: dict[bytes, int]):
-    def encode(batches):
+def by_ranks(table: dict[bytes, int]) -> MakeCoder:
+    """Encodes words by the ranks of a table."""
+
+    def make() -> Coder:
         bpe = tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
+        return lambda word: bpe.encode_ordinary(word.decode())
+
+    return make
+
+
+def _word_encoder(make: MakeCoder):
+    def encode(batches):
+        coder = make()
         kept: dict[bytes, bytes] = {}
         last = None
         for batch in batches:
@@ -127,7 +141,7 @@ def _word_encoder(table: dict[bytes, int]):
                 for a, b in zip([0, *ends.tolist()], ends.tolist()):
                     word = data[a:b]
                     if word not in kept:
-                        kept[word] = np.array(bpe.encode_ordinary(word.decode()), "<u4").tobytes()
+                        kept[word] = array("I", coder(word)).tobytes()
                     own.append(kept[word])
                 lengths.append(pack(np.array([len(x) // 4 for x in own])))
                 ids.append(pack(np.frombuffer(b"".join(own), "<u4")))
@@ -142,7 +156,7 @@ def _binary_parts(column: pa.ChunkedArray, kind) -> tuple[np.ndarray, np.ndarray
     return np.frombuffer(buf.tobytes(), kind), bounds // np.dtype(kind).itemsize
 
 
-def _reassemble(chunk: pa.Table, words: pa.Table) -> pa.Table:
+def _reassembled(chunk: pa.Table, words: pa.Table, packed: bool) -> pa.Table:
     columns = {"doc_id": pa.array([], pa.int64()), "n_tokens": pa.array([], pa.int64()), "ids": pa.array([], pa.binary())}
     if chunk.num_rows:
         row = chunk.to_pylist()[0]
@@ -154,17 +168,28 @@ def _reassemble(chunk: pa.Table, words: pa.Table) -> pa.Table:
         at = at[unpack(row["places"])]
         ids = textcodes.gathered(flat, (np.cumsum(lengths) - lengths)[at], lengths[at])
         ends = np.concatenate([[0], np.cumsum(lengths[at])])[np.concatenate([[0], np.cumsum(row["n_words"])])]
-        columns = {"doc_id": pa.array(row["doc_ids"], pa.int64()), "n_tokens": pa.array(np.diff(ends), pa.int64()), "ids": pa.array([ids[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:])], pa.binary())}
+        columns = {"doc_id": pa.array(row["doc_ids"], pa.int64()), "n_tokens": pa.array(np.diff(ends), pa.int64()), "ids": pa.array([pack(ids[a:b]) if packed else ids[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:])], pa.binary())}
     return pa.table(columns)
 
 
-def encode(docs: DataFrame, table: dict[bytes, int] | None = None) -> DataFrame:
-    """doc_id, n_tokens and ids of every row of docs (doc_id, text)."""
+def _reassemble(chunk: pa.Table, words: pa.Table) -> pa.Table:
+    return _reassembled(chunk, words, False)
+
+
+def _reassemble_packed(chunk: pa.Table, words: pa.Table) -> pa.Table:
+    return _reassembled(chunk, words, True)
+
+
+def encode(docs: DataFrame, table: dict[bytes, int] | None = None, coder: MakeCoder | None = None, packed: bool = False) -> DataFrame:
+    """doc_id, n_tokens and ids of every row of docs (doc_id, text).
+
+    coder, made once in each task, may replace the table's merges; packed ids are as by pack().
+    """
     chunks = common.save_bucketed(docs.select("doc_id", "text").mapInArrow(_explode, CHUNKS), "chunks", "chunk", compression="zstd")
     words = chunks.where("bucket is not null").select("chunk", "bucket", "lengths", "words").repartition("bucket").sortWithinPartitions("bucket")
-    known = words.mapInArrow(_word_encoder(table or ranks()), IDS)
+    known = words.mapInArrow(_word_encoder(coder or by_ranks(table or ranks())), IDS)
     texts = chunks.where("bucket is null").select("chunk", "doc_ids", "n_words", "places", "buckets")
-    return texts.groupBy("chunk").cogroup(known.groupBy("of")).applyInArrow(_reassemble, "doc_id long, n_tokens long, ids binary")
+    return texts.groupBy("chunk").cogroup(known.groupBy("of")).applyInArrow(_reassemble_packed if packed else _reassemble, "doc_id long, n_tokens long, ids binary")
 
 
 def _decoder(table: dict[bytes, int]):

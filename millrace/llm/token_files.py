@@ -9,12 +9,12 @@ delta encoding where a dictionary grows too large; row groups and pages have bou
 read() gives the documents back, with `start`: the number of ids of all documents before.  Each
 row holds the count within its file, so only one number for each file has to be added up.
 
-Text is encoded as the tokenizers library encodes it, pre-token by pre-token: a task finds the
-distinct pre-tokens of a chunk of documents, has the library encode each once and puts the ids
-in place.  Strings of special tokens in a text are ordinary text.
+Text is encoded as the tokenizers library encodes it, pre-token by pre-token: byte_bpe.encode()
+gathers the distinct pre-tokens of the corpus, and the library's model encodes each once.  Strings
+of special tokens in a text are ordinary text.
 
 Edge cases: null text counts as empty and holds the end id alone; null doc_ids come first; rows
-that share a doc_id are ordered by a hash of their text.  An empty table writes no rows and reads
+that share a doc_id are ordered by a hash of their ids.  An empty table writes no rows and reads
 back as an empty table.  Columns besides doc_id and text are ignored.
 """
 
@@ -30,13 +30,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from millrace.llm import common, pretokens, textcodes
-from millrace.llm.byte_bpe import CHUNK, chunked
+from millrace.llm import common
+from millrace.llm.byte_bpe import Coder, MakeCoder, encode, unpack
 
 VOCABULARY = "byte_bpe_50k.json"
 END = 0
-#: Words whose ids a task keeps for its later chunks.
-KEPT = 1 << 18
 FORMAT = {
     "parquet.block.size": 32 << 20,
     "parquet.page.size": 256 << 10,
@@ -49,42 +47,54 @@ FORMAT = {
 ROWS = "doc_id long, part int, row long, before long, n_tokens long, ids array<int>"
 
 
-def _encoder(vocabulary: str, end: int):
-    def encode(batches):
-        library = Tokenizer.from_str(vocabulary)
-        library.encode_special_tokens = True
-        kept: dict[bytes, np.ndarray] = {}
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in the model's vocabulary.
+
+    Visible characters of Latin-1 stand for themselves, the other bytes in order for those from 256 on.
+    """
+    visible = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = [b for b in range(256) if b not in visible]
+    return {b: chr(b) for b in visible} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+def by_library(vocabulary: str) -> MakeCoder:
+    """Encodes words by the model of the library's tokenizer, given as JSON."""
+
+    def make() -> Coder:
+        model, letters = Tokenizer.from_str(vocabulary).model, _byte_letters()
+        return lambda word: [t.id for t in model.tokenize(word.decode("latin-1").translate(letters))]
+
+    return make
+
+
+def _rows(end: int):
+    def rows(batches):
         row = before = 0
-        for ids, buf, bounds in chunked(batches, CHUNK):
-            codes, starts = pretokens.pretokens(buf, bounds)
-            words, places = textcodes.distinct_stretches(buf, codes, starts)
-            new = [w for w in words if w not in kept]
-            if len(kept) + len(new) > KEPT:
-                kept, new = {}, words
-            kept.update(zip(new, (np.array(e.ids, np.int32) for e in library.encode_batch([w.decode() for w in new], add_special_tokens=False))))
-            own = [kept[w] for w in words]
-            flat = np.concatenate([*own, np.array([end], np.int32)])
-            lengths = np.array([*map(len, own), 1], np.int64)
-            # the end id is one more word, after the last of each document
-            at = np.insert(places, np.searchsorted(starts, bounds[1:]), len(own))
-            counts = np.diff(np.searchsorted(starts, bounds)) + 1
-            tokens = textcodes.gathered(flat, (np.cumsum(lengths) - lengths)[at], lengths[at])
-            ends = np.concatenate([[0], np.cumsum(lengths[at])])[np.concatenate([[0], np.cumsum(counts)])]
-            n = len(ids)
-            columns = [pa.array(ids, pa.int64()), pa.array(np.full(n, TaskContext.get().partitionId()), pa.int32()), pa.array(np.arange(row, row + n)), pa.array(before + ends[:-1]), pa.array(np.diff(ends)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(tokens))]
+        for batch in batches:
+            own = [np.append(unpack(x), end).astype(np.int32) for x in batch.column("ids").to_pylist()]
+            ends = np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int64)
+            n = len(own)
+            tokens = np.concatenate([*own, np.zeros(0, np.int32)])
+            columns = [batch.column("doc_id"), pa.array(np.full(n, TaskContext.get().partitionId()), pa.int32()), pa.array(np.arange(row, row + n)), pa.array(before + ends[:-1]), pa.array(np.diff(ends)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(tokens))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "part", "row", "before", "n_tokens", "ids"])
             row, before = row + n, before + int(ends[-1])
 
-    return encode
+    return rows
 
 
 def write(docs: DataFrame, path: str, vocabulary: str | None = None, end: int = END) -> None:
     """Write the ids of docs (doc_id, text), with the end id after each document."""
     with open(vocabulary or public_tokenizers.path(VOCABULARY), encoding="utf-8") as f:
         text = f.read()
-    tie = F.xxhash64("text")
-    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id", tie).sortWithinPartitions("doc_id", tie)
-    ordered.mapInArrow(_encoder(text, end), ROWS).write.options(**FORMAT).parquet(path)
+    made: list[str] = []
+    with common.recording(made):
+        encoded = encode(docs, coder=by_library(text), packed=True)
+    saved = common.save(encoded.select("doc_id", "ids"), "encoded")
+    common.delete(docs.sparkSession, made)
+    tie = F.xxhash64("ids")
+    ordered = saved.repartitionByRange("doc_id", tie).sortWithinPartitions("doc_id", tie)
+    ordered.mapInArrow(_rows(end), ROWS).write.options(**FORMAT).parquet(path)
+    common.discard(saved)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
