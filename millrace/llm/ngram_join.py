@@ -10,8 +10,11 @@ apart.  So:
   similar pair differs by one element at most in some group, so two of its three parts agree
   there.  Each group gives three keys, one for each two of its parts; documents at the upper end
   of a band also get keys by the next band's scheme.
-* Documents that share a key are candidates.  Sizes and the Hamming distance of a 256-bit parity
-  sketch rule out most pairs that share a key by chance, the shingle sets decide on the others.
+* Documents that share a key are candidates.  Sizes and the Hamming distance of parity sketches of
+  about a bit for each shingle rule out most pairs that share a key by chance, the shingle sets
+  decide on the others.  A sketch twice as long as another is folded, which keeps the bound.
+* Keys are cut to as many bits as leave one false meeting in some 100,000 keys, whatever their
+  number, since all of them are shuffled.
 * Links are only needed up to reachability.  A class of equal sets is one node.  In each bucket
   every node is first compared with the bucket's most central one, whose buckets are the fullest:
   in a group of copies that is the text they were copied from.  Then nodes that are still apart
@@ -36,9 +39,11 @@ from pyspark.sql import functions as F
 from millrace.llm import common, textcodes
 from millrace.llm.components import components
 
-SKETCHED = "doc_id long, n int, class long, s0 long, s1 long, s2 long, s3 long, keys array<long>"
+SKETCHED = "doc_id long, n int, class long, sketch array<long>, keys array<long>"
 #: Ratio of the smallest sizes of neighbouring bands.
 BAND = 1.5
+#: Bits of a key beyond those that number all keys.
+KEY_BITS = 16
 
 
 def _bands(num: int, den: int, largest: int) -> list[int]:
@@ -80,29 +85,36 @@ def _class(codes: np.ndarray) -> int:
     return int(textcodes.mix(total + np.uint64(len(codes))).view(np.int64)[0])
 
 
+def _sketch(codes: np.ndarray) -> np.ndarray:
+    """Parity sketch of a set: a power of two of 64-bit words, a bit for each element at least."""
+    words = 1 << max(2, (max(1, -(-len(codes) // 64)) - 1).bit_length())
+    place = (codes >> np.uint64(20) & np.uint64(64 * words - 1)).astype(np.int64)
+    return np.packbits((np.bincount(place, minlength=64 * words) & 1).astype(np.uint8)).view(np.uint64)
+
+
 def _sketcher(shingle: int, num: int, den: int):
     def sketch(batches):
         bands = _bands(num, den, 1 << 31)
         for batch in batches:
-            n, classes, short, keys, ends = [], [], [], [], [0]
+            n, classes, short, keys, ends, marks = [], [], [], [], [0], [0]
             for codes in _sets(batch, shingle):
                 size = len(codes)
                 n.append(size)
                 if not size:
                     classes.append(0)
-                    short.append(np.zeros(4, np.uint64))
                     ends.append(ends[-1])
+                    marks.append(marks[-1])
                     continue
                 classes.append(_class(codes))
-                short.append(np.packbits((np.bincount((codes >> np.uint64(24) & np.uint64(255)).astype(np.int64), minlength=256) & 1).astype(np.uint8)).view(np.uint64))
+                short.append(_sketch(codes))
+                marks.append(marks[-1] + len(short[-1]))
                 band = int(np.searchsorted(bands, size, "right")) - 1
                 own = [_keys(codes, k, 2 * (bands[k + 1] - 1) * (den - num) // (den + num)) for k in (band, band + 1) if k == band or size * den >= bands[k] * num]
                 keys += own
                 ends.append(ends[-1] + sum(map(len, own)))
-            short = np.array(short, np.uint64).reshape(-1, 4).view(np.int64)
-            flat = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
-            columns = [batch.column("doc_id").cast(pa.int64()), pa.array(n, pa.int32()), pa.array(classes, pa.int64()), *(pa.array(short[:, k]) for k in range(4)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.view(np.int64)))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "class", "s0", "s1", "s2", "s3", "keys"])
+            listed = lambda parts, at: pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array((np.concatenate(parts) if parts else np.zeros(0, np.uint64)).view(np.int64)))
+            columns = [batch.column("doc_id").cast(pa.int64()), pa.array(n, pa.int32()), pa.array(classes, pa.int64()), listed(short, marks), listed(keys, ends)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "class", "sketch", "keys"])
 
     return sketch
 
@@ -121,15 +133,16 @@ def _set_maker(shingle: int):
 
 def _near(a: str, b: str, num: int, den: int) -> Column:
     """Whether sizes and short sketches allow that the rows a and b are similar enough."""
-    one, two = (lambda c: F.col(a + c)), (lambda c: F.col(b + c))
-    apart: Column = sum((F.bit_count(one(f"s{k}").bitwiseXOR(two(f"s{k}"))) for k in range(4)), F.lit(0))
-    sizes = F.least(one("n"), two("n")) * den >= F.greatest(one("n"), two("n")) * num
-    return sizes & (apart * (den + num) <= (one("n") + two("n")) * (den - num))
+    n, m, x, y = (F.col(c) for c in (f"{a}n", f"{b}n", f"{a}sketch", f"{b}sketch"))
+    length = F.least(F.size(x), F.size(y))
+    fold = lambda z: F.when(F.size(z) > length, F.zip_with(F.slice(z, 1, length), F.slice(z, length + 1, length), lambda p, q: p.bitwiseXOR(q))).otherwise(z)
+    apart = F.aggregate(F.zip_with(fold(x), fold(y), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda total, k: total + k)
+    return (F.least(n, m) * den >= F.greatest(n, m) * num) & (apart * (den + num) <= (n + m) * (den - num))
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
     """Those of the pairs (a, b) of classes that are similar enough."""
-    side = lambda x: nodes.select(F.col("class").alias(x), *(F.col(c).alias(f"{x}_{c}") for c in ("n", "s0", "s1", "s2", "s3")))
+    side = lambda x: nodes.select(F.col("class").alias(x), *(F.col(c).alias(f"{x}_{c}") for c in ("n", "sketch")))
     near = pairs.join(side("a"), "a").join(side("b"), "b").where(_near("a_", "b_", num, den))
     near = common.save(near.select("a", "b", "a_n", "b_n"), "near")
     wanted = near.select(F.col("a").alias("class")).union(near.select("b")).distinct().join(nodes.select("class", "doc_id"), "class")
@@ -148,9 +161,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
     """For every row of docs: doc_id, n_shingles, class, component_id (smallest reachable doc_id)."""
     docs = docs.select("doc_id", "text")
     sketched = common.save(docs.mapInArrow(_sketcher(shingle, num, den), SKETCHED), "sketches")
-    nodes = common.save(sketched.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"), *(F.min(c).alias(c) for c in ("n", "s0", "s1", "s2", "s3"))), "nodes")
-    keyed = sketched.where("n > 0").select("class", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("class").alias("one"), F.max("class").alias("other")).where("one <> other").select("key", "size")
+    nodes = common.save(sketched.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("sketch").alias("sketch")), "nodes")
+    total = sketched.agg(F.sum(F.size("keys"))).first()[0] or 1
+    key = F.shiftrightunsigned("key", max(0, 64 - KEY_BITS - int(total).bit_length()))
+    keyed = sketched.where("n > 0").select("class", F.explode("keys").alias("key")).select("class", key.alias("key"))
+    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     members = common.save(keyed.join(shared, "key").select("key", "class", "size").distinct(), "members")
     central = members.groupBy("class").agg(F.sum("size").alias("weight"))
     pivots = members.join(central, "class").groupBy("key").agg(F.max(F.struct("weight", "class")).alias("m"))
