@@ -42,22 +42,18 @@ def _windows(lines: Column, words: Column, hashes: Column) -> Column:
     return F.concat(*map(of, range(1, LINES + 1)))
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumns({"_text": F.xxhash64("text"), "_lines": F.split(common.text_or_empty(), "\n")})
-
-
 def covered(docs: DataFrame) -> DataFrame:
     """(doc_id, _text, removed): positions of the lines to remove, for documents that have some."""
     trimmed = F.transform("_lines", lambda x: F.regexp_replace(x, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", ""))
     count = lambda x: F.when(F.length(x) > 2 * WORDS, F.size(F.split(x, r"[\x20\x09-\x0D]+"))).otherwise(0)
-    lines = _keyed(docs.select("doc_id", "text")).select("doc_id", "_text", trimmed.alias("lines"))
+    lines = docs.select("doc_id", F.xxhash64("text").alias("_text"), F.split(common.text_or_empty(), "\n").alias("_lines")).select("doc_id", "_text", trimmed.alias("lines"))
     lines = lines.select("doc_id", "_text", "lines", F.transform("lines", count).alias("words"), F.transform("lines", lambda x: F.xxhash64(x)).alias("hashes"))
     spread = lines.select("doc_id", "_text", F.explode(_windows(F.col("lines"), F.col("words"), F.col("hashes"))).alias("w"))
     windows = common.save(spread.select("doc_id", "_text", "w.pos", "w.len", "w.h"), "windows")
     place = F.struct("doc_id", "_text", "pos")
     repeated = windows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
     again = common.save(windows.join(repeated, "h"), "repeated")
-    first = again.groupBy("h").agg(F.min(place).alias("first"))
+    first = common.save(again.groupBy("h").agg(F.min(place).alias("first")), "first")
     later = again.join(first, "h").where(place > F.col("first"))
     positions = later.select("doc_id", "_text", F.explode(F.sequence("pos", F.col("pos") + F.col("len") - 1)).alias("pos"))
     return positions.groupBy("doc_id", "_text").agg(F.array_sort(F.collect_set("pos")).alias("removed"))
@@ -66,12 +62,13 @@ def covered(docs: DataFrame) -> DataFrame:
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """docs with the remaining lines as text, and the columns n_lines and removed (positions)."""
     found = covered(docs).select(F.col("doc_id").alias("_id"), F.col("_text").alias("_same"), "removed")
-    both = _keyed(docs.drop("removed", "n_lines")).join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_same")), "left")
+    keyed = docs.select(F.struct("*").alias("row"), F.xxhash64("text").alias("_text"), F.split(common.text_or_empty(), "\n").alias("_lines"))
+    both = keyed.join(found, F.col("row.doc_id").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_same")), "left")
     left = F.filter("_lines", lambda x, i: ~F.array_contains("removed", i))
-    text = F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
-    removed = F.coalesce("removed", F.array().cast("array<int>"))
-    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size("_lines"))
-    return both.withColumns({"n_lines": n_lines, "text": text, "removed": removed}).drop("_text", "_same", "_id", "_lines")
+    text = F.when(F.col("removed").isNull(), F.col("row.text")).otherwise(F.array_join(left, "\n")).alias("text")
+    n_lines = F.when(F.col("row.text").isNull(), 0).otherwise(F.size("_lines")).alias("n_lines")
+    others = [text if c == "text" else F.col("row")[c].alias(c) for c in docs.columns if c not in ("n_lines", "removed")]
+    return both.select(*others, n_lines, F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
