@@ -24,6 +24,8 @@ Columns besides doc_id and text are ignored.
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -58,7 +60,7 @@ def _features(batch: pa.RecordBatch, n: int, buckets: int) -> tuple[np.ndarray,
 def _counter(n: int, buckets: int):
     def count(batches):
         target, raw = np.zeros(n * buckets, np.int64), np.zeros(n * buckets, np.int64)
-        for batch in batches:
+        for batch in chain.from_iterable(map(textcodes.slices, batches)):
             codes, rows = _features(batch, n, buckets)
             own = batch.column("target").to_numpy(zero_copy_only=False).astype(bool)[rows] if len(rows) else np.zeros(0, bool)
             raw += np.bincount(codes, minlength=len(raw))
@@ -90,7 +92,7 @@ def _weigher(counts: np.ndarray, n: int, buckets: int):
     def weigh(batches):
         target, raw = counts
         share = np.repeat(target.reshape(n, -1).sum(axis=1) / np.maximum(raw.reshape(n, -1).sum(axis=1), 1), buckets)
-        for batch in batches:
+        for batch in chain.from_iterable(map(textcodes.slices, batches)):
             codes, rows = _features(batch, n, buckets)
             own = batch.column("target").to_numpy(zero_copy_only=False).astype(int)[rows] if len(rows) else rows
             ratio = np.log((target[codes] - own + PRIOR) / ((raw[codes] - 1) * share[codes] + PRIOR)) if target.any() else np.zeros(len(codes))
@@ -140,5 +142,5 @@ def resample(docs: DataFrame, k: int | None = None, n: int = N, buckets: int = B
 def op7_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target: documents labelled as of good quality and not toxic."""
     good = common.table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0").select("doc_id").distinct().withColumn("target", F.lit(True))
-    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text").join(good, "doc_id", "left")
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text").join(common.small(good), "doc_id", "left")
     return resample(docs.withColumn("target", F.coalesce("target", F.lit(False)))).withColumnRenamed("sampled", "kept")

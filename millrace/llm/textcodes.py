@@ -62,6 +62,16 @@ def buffer_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[bounds[0] : bounds[-1]], bounds - bounds[0]
 
 
+def slices(batch: pa.RecordBatch, size: int = 1 << 21):
+    """Runs of a batch's rows with about so many bytes of text, one row at least."""
+    bounds = buffer_of(batch.column("text"))[1]
+    at = 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + size, "right")) - 1)
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def _cuts(buf: np.ndarray, bounds: np.ndarray, classes: np.ndarray):
     at = 0
     while at < len(buf):
