@@ -45,7 +45,7 @@ def _windows(lines: Column, words: Column, hashes: Column) -> Column:
 def covered(docs: DataFrame) -> DataFrame:
     """(doc_id, _text, removed): positions of the lines to remove, for documents that have some."""
     trimmed = F.transform("_lines", lambda x: F.regexp_replace(x, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", ""))
-    count = lambda x: F.when(F.length(x) > 2 * WORDS, F.size(F.split(x, r"[\x20\x09-\x0D]+"))).otherwise(0)
+    count = lambda x: F.when(x != "", F.size(F.split(x, r"[\x20\x09-\x0D]+"))).otherwise(0)
     lines = docs.select("doc_id", F.xxhash64("text").alias("_text"), F.split(common.text_or_empty(), "\n").alias("_lines")).select("doc_id", "_text", trimmed.alias("lines"))
     lines = lines.select("doc_id", "_text", "lines", F.transform("lines", count).alias("words"), F.transform("lines", lambda x: F.xxhash64(x)).alias("hashes"))
     spread = lines.select("doc_id", "_text", F.explode(_windows(F.col("lines"), F.col("words"), F.col("hashes"))).alias("w"))

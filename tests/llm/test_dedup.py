@@ -105,3 +105,11 @@ def test_line_dedup(docs):
     assert got[1] == ("a\nb\nc\nd", []) and got[2] == ("x\ny", [1, 2, 3]) and got[3] == (None, []) and got[4] == ("", []) and got[5] == ("a\nb", [])
     assert got[6][0] == f"p\n{long}\nq" and got[7] == ("r\ns", [1]) and got[8] == ("z", [1, 2, 3, 4]) and got[None][1] == [] and got[9] == ("", [0, 1, 2])
     assert line_dedup.dedup_lines(docs((1, "a")).limit(0)).count() == 0
+
+
+def test_short_lines_count_in_windows_of_two_lines(docs):
+    long, short = " ".join(f"word{k}" for k in range(47)), "a short heading line"
+    rows = [(1, f"first\n{short}\n{long}\nend"), (2, f"{short}\n{long}"), (3, f"{long}\n{short}\nother"), (4, f"three words only\n{long}"), (5, f"\n{long}"), (6, f"three words only\n{long}\n")]
+    got = {r["doc_id"]: (r["text"], r["removed"]) for r in line_dedup.dedup_lines(docs(*rows)).collect()}
+    # 51 words in the same order are a window, 50 or fewer are not
+    assert got == {i: ("", [0, 1]) if i == 2 else (text, []) for i, text in rows}
