@@ -3,14 +3,16 @@
 Unigrams and bigrams of words, which white space parts, are hashed into buckets; a text counts once in each of its buckets,
 since a word that one text repeats says nothing about others.  The counts in the target's documents and
 in all documents are two generative models; a document's log weight is the sum of the log ratios
-of its n-grams' buckets.  A bucket's ratio is drawn towards 1 by PRIOR imaginary texts, so
-that rare words decide nothing, and a document's own n-grams are left out of both counts, so that
-being labelled is no merit in itself; log ratios below CLEAR, up or down, count as 0, or else the
-many small ones would add up to the document's length.  To each log weight goes Gumbel noise, made from the document's
+of its n-grams' buckets.  A bucket's ratio is drawn towards 1 by imaginary texts, PRIOR of all texts,
+so that no n-gram decides alone, and a document's own n-grams are left out of both counts, so that
+being labelled is no merit in itself.  The log ratio of a bucket counts only if its texts in the
+target differ by SIGMAS standard deviations from what chance gives, however rare it is; the others
+are noise, which would add up to the document's length.  To each log weight goes Gumbel noise, made from the document's
 own hash, and the k documents of the largest sums are the sample: drawing k documents without
 replacement in proportion to their weights.
 
-By default k is the number of documents whose log weight, without noise, is above FLOOR.
+By default k is the number of documents whose log weight, without noise, is one that all of the
+target but the share FLOOR reach.  Where no n-gram is significant, that is every document.
 
 Tasks count into vectors of fixed size, which are added up in two steps; the driver gets the two
 vectors, whatever the corpus.  The k-th largest sum is found by counting leading bits, not by
@@ -25,9 +27,11 @@ Columns besides doc_id and text are ignored.
 from __future__ import annotations
 
 from itertools import chain
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,9 +40,10 @@ from millrace.llm import common, textcodes
 #: Buckets for each length of n-gram.
 BUCKETS = 1 << 17
 N = 2
-PRIOR = 20.0
-CLEAR = 1.0
-FLOOR = -2.0
+#: Shares: of all texts, and of the target's documents.
+PRIOR = 0.0005
+FLOOR = 0.05
+SIGMAS = 3.0
 
 
 def _features(batch: pa.RecordBatch, n: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -59,12 +64,14 @@ def _features(batch: pa.RecordBatch, n: int, buckets: int) -> tuple[np.ndarray,
 
 def _counter(n: int, buckets: int):
     def count(batches):
-        target, raw = np.zeros(n * buckets, np.int64), np.zeros(n * buckets, np.int64)
+        target, raw = np.zeros(n * buckets + 1, np.int64), np.zeros(n * buckets + 1, np.int64)
         for batch in chain.from_iterable(map(textcodes.slices, batches)):
             codes, rows = _features(batch, n, buckets)
             own = batch.column("target").to_numpy(zero_copy_only=False).astype(bool)[rows] if len(rows) else np.zeros(0, bool)
             raw += np.bincount(codes, minlength=len(raw))
             target += np.bincount(codes[own], minlength=len(raw))
+            target[-1] += pc.sum(batch.column("target")).as_py() or 0
+            raw[-1] += batch.num_rows
         yield pa.RecordBatch.from_pydict({"target": [target.tobytes()], "raw": [raw.tobytes()]})
 
     return count
@@ -81,25 +88,26 @@ def _adder(batches):
 
 
 def models(docs: DataFrame, n: int = N, buckets: int = BUCKETS) -> np.ndarray:
-    """Counts of each bucket in the target and in all of docs, which has text and target (boolean)."""
+    """Counts of each bucket, and last of texts, in the target and in all of docs, which has text and target (boolean)."""
     schema = "target binary, raw binary"
     parts = docs.select("text", "target").mapInArrow(_counter(n, buckets), schema)
     found = parts.repartition(32).mapInArrow(_adder, schema).repartition(1).mapInArrow(_adder, schema).collect()  # one row of fixed size
-    return np.array([np.frombuffer(found[0][k], np.int64) for k in ("target", "raw")]) if found else np.zeros((2, n * buckets), np.int64)
+    return np.array([np.frombuffer(found[0][k], np.int64) for k in ("target", "raw")]) if found else np.zeros((2, n * buckets + 1), np.int64)
 
 
 def _weigher(counts: np.ndarray, n: int, buckets: int):
     def weigh(batches):
-        target, raw = counts
+        (target, raw), prior = counts[:, :-1], PRIOR * counts[1, -1]
         share = np.repeat(target.reshape(n, -1).sum(axis=1) / np.maximum(raw.reshape(n, -1).sum(axis=1), 1), buckets)
         for batch in chain.from_iterable(map(textcodes.slices, batches)):
             codes, rows = _features(batch, n, buckets)
             own = batch.column("target").to_numpy(zero_copy_only=False).astype(int)[rows] if len(rows) else rows
-            ratio = np.log((target[codes] - own + PRIOR) / ((raw[codes] - 1) * share[codes] + PRIOR)) if target.any() else np.zeros(len(codes))
-            ratio[np.abs(ratio) < CLEAR] = 0
+            found, expected = target[codes] - own, (raw[codes] - 1) * share[codes]
+            ratio = np.log((found + prior) / (expected + prior)) if target.any() else np.zeros(len(codes))
+            ratio[np.abs(found - expected) < SIGMAS * np.sqrt(expected * (1 - share[codes]))] = 0
             weight = np.bincount(rows, weights=ratio, minlength=batch.num_rows)
             size = np.bincount(rows, minlength=batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("noise"), pa.array(weight.astype(np.float64)), pa.array(size.astype(np.int64))], ["doc_id", "noise", "log_weight", "n_grams"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("target"), batch.column("noise"), pa.array(weight.astype(np.float64)), pa.array(size.astype(np.int64))], ["doc_id", "target", "noise", "log_weight", "n_grams"])
 
     return weigh
 
@@ -128,13 +136,20 @@ def _kth_largest(keys: DataFrame, k: int) -> float:
     return low
 
 
+def _default_size(weighed: DataFrame) -> int:
+    target = weighed.where("target").select(F.col("log_weight").alias("key"))
+    n = target.count()
+    floor = _kth_largest(target, ceil((1 - FLOOR) * n)) if n else float("-inf")
+    return weighed.where(F.col("log_weight") >= floor).count()
+
+
 def resample(docs: DataFrame, k: int | None = None, n: int = N, buckets: int = BUCKETS) -> DataFrame:
     """doc_id, log_weight, n_grams, key (with noise) and sampled, for docs (doc_id, text, target)."""
     counts = models(docs, n, buckets)
     noisy = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "target", gumbel("doc_id", "text").alias("noise"))
-    weighed = noisy.mapInArrow(_weigher(counts, n, buckets), "doc_id long, noise double, log_weight double, n_grams long")
+    weighed = noisy.mapInArrow(_weigher(counts, n, buckets), "doc_id long, target boolean, noise double, log_weight double, n_grams long")
     weighed = common.save(weighed.withColumn("key", F.col("log_weight") + F.col("noise")), "weights")
-    size = weighed.where(F.col("log_weight") > FLOOR).count() if k is None else k
+    size = _default_size(weighed) if k is None else k
     least = _kth_largest(weighed, size) if 0 < size <= weighed.count() else float("-inf" if size else "inf")
     return weighed.select("doc_id", "log_weight", "n_grams", "key", (F.col("key") >= least).alias("sampled"))
 

@@ -224,6 +224,15 @@ def test_resampling_prefers_the_target(spark):
     assert quality.resample(df.limit(0)).count() == 0 and quality.resample(df.withColumn("target", F.lit(False)), k=5).where("sampled").count() >= 5
 
 
+@pytest.mark.parametrize("n", [300, 1200])
+def test_resampling_finds_rare_marks_at_any_size(spark, n):
+    rng = random.Random(6)
+    rows = [(k, " ".join(rng.choices([f"w{j}" for j in range(200)], k=40)) + (" vile" if k % 8 == 0 else ""), k % 8 != 0 and k % 2 == 0) for k in range(n)]
+    got = quality.resample(spark.createDataFrame(rows, "doc_id long, text string, target boolean"), n=2, buckets=1 << 14).collect()
+    marked, clean = ([r["sampled"] for r in got if (r["doc_id"] % 8 == 0) == b] for b in (True, False))
+    assert sum(marked) < 0.3 * len(marked) and sum(clean) > 0.85 * len(clean)
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
