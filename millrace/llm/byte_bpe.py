@@ -11,7 +11,7 @@ frequent word costs one entry for each chunk, not one for each time it occurs.
 decode() joins ids with the table of token bytes, whose size the vocabulary fixes.
 
 ids are little-endian unsigned 32-bit integers in one binary value; ids_array() makes them an
-array.  Text is never split by special tokens.
+array.  Text is split by no special tokens but those that encode() is given as added.
 
 Edge cases: null text counts as empty and has no ids; null and repeated doc_ids are kept as they
 are, a row each.  Ids that the table lacks decode to nothing.  Columns besides doc_id and text
@@ -21,6 +21,7 @@ are ignored by encode(); decode() returns all columns.  An empty table gives an
 from __future__ import annotations
 
 import base64
+import re
 from array import array
 from collections.abc import Callable
 
@@ -87,10 +88,29 @@ def unpack(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").ravel()
 
 
-def _explode(batches):
+def _words(buf: np.ndarray, bounds: np.ndarray, added: tuple[bytes, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """pretokens() of the texts, but each added token in them, the longest first, is one word."""
+    anyone = re.compile(b"|".join(re.escape(token) for token in sorted(added, key=len, reverse=True)))
+    if not added or not anyone.search(buf):
+        return pretokens.pretokens(buf, bounds)
+    spans = np.array([m.span() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()) for m in anyone.finditer(buf, a, b)], np.int64).reshape(-1, 2)
+    codes, starts = pretokens.pretokens(buf, np.unique(np.concatenate([bounds, spans.ravel()])))
+    before = np.searchsorted(spans[:, 0], starts, "right") - 1
+    within = (before >= 0) & (starts < spans[before, 1]) if len(spans) else np.zeros(len(starts), bool)
+    whole = {token: textcodes.stretch_codes(np.frombuffer(token, np.uint8), np.zeros(1, np.int64))[0] for token in added}
+    codes[np.searchsorted(starts, spans[:, 0])] = np.array([whole[buf[a:b].tobytes()] for a, b in spans.tolist()], np.uint64)
+    left = ~within | np.isin(starts, spans[:, 0])
+    return codes[left], starts[left]
+
+
+def _exploder(added: tuple[bytes, ...]):
+    return lambda batches: _explode(batches, added)
+
+
+def _explode(batches, added: tuple[bytes, ...]):
     for k, (ids, buf, bounds) in enumerate(chunked(batches, CHUNK)):
         chunk = (TaskContext.get().partitionId() << 24) + k
-        codes, starts = pretokens.pretokens(buf, bounds)
+        codes, starts = _words(buf, bounds, added)
         distinct, first, number, times = np.unique(codes, return_index=True, return_inverse=True, return_counts=True)
         order = np.argsort(-times, kind="stable")
         rank = np.empty(len(order), np.int64)
@@ -180,12 +200,13 @@ def _reassemble_packed(chunk: pa.Table, words: pa.Table) -> pa.Table:
     return _reassembled(chunk, words, True)
 
 
-def encode(docs: DataFrame, table: dict[bytes, int] | None = None, coder: MakeCoder | None = None, packed: bool = False) -> DataFrame:
+def encode(docs: DataFrame, table: dict[bytes, int] | None = None, coder: MakeCoder | None = None, packed: bool = False, added: tuple[bytes, ...] = ()) -> DataFrame:
     """doc_id, n_tokens and ids of every row of docs (doc_id, text).
 
-    coder, made once in each task, may replace the table's merges; packed ids are as by pack().
+    coder, made once in each task, may replace the table's merges; packed ids are as by pack();
+    coder gets each of the tokens added as a word of its own.
     """
-    chunks = common.save_bucketed(docs.select("doc_id", "text").mapInArrow(_explode, CHUNKS), "chunks", "chunk", compression="zstd")
+    chunks = common.save_bucketed(docs.select("doc_id", "text").mapInArrow(_exploder(added), CHUNKS), "chunks", "chunk", compression="zstd")
     words = chunks.where("bucket is not null").select("chunk", "bucket", "lengths", "words").repartition("bucket").sortWithinPartitions("bucket")
     known = words.mapInArrow(_word_encoder(coder or by_ranks(table or ranks())), IDS)
     texts = chunks.where("bucket is null").select("chunk", "doc_ids", "n_words", "places", "buckets")

@@ -10,8 +10,10 @@ read() gives the documents back, with `start`: the number of ids of all document
 row holds the count within its file, so only one number for each file has to be added up.
 
 Text is encoded as the tokenizers library encodes it, pre-token by pre-token: byte_bpe.encode()
-gathers the distinct pre-tokens of the corpus, and the library's model encodes each once.  Strings
-of special tokens in a text are ordinary text.
+gathers the distinct pre-tokens of the corpus, and the library's model encodes each once.  With
+split_added, as the query has it, strings of the vocabulary's added tokens in a text are those
+tokens, as by the library's default settings; without, they are ordinary text, as by its
+encode_special_tokens.
 
 Edge cases: null text counts as empty and holds the end id alone; null doc_ids come first; rows
 that share a doc_id are ordered by a hash of their ids.  An empty table writes no rows and reads
@@ -20,6 +22,7 @@ back as an empty table.  Columns besides doc_id and text are ignored.
 
 from __future__ import annotations
 
+import json
 import zlib
 
 import numpy as np
@@ -57,12 +60,18 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in visible} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
-def by_library(vocabulary: str) -> MakeCoder:
-    """Encodes words by the model of the library's tokenizer, given as JSON."""
+def added_tokens(vocabulary: str) -> dict[bytes, int]:
+    """Added tokens and ids of a tokenizer, given as JSON."""
+    return {t["content"].encode(): t["id"] for t in json.loads(vocabulary)["added_tokens"]}
+
+
+def by_library(vocabulary: str, added: dict[bytes, int] | None = None) -> MakeCoder:
+    """Encodes words by the model of the library's tokenizer, given as JSON, and added ones by their ids."""
+    known = added or {}
 
     def make() -> Coder:
         model, letters = Tokenizer.from_str(vocabulary).model, _byte_letters()
-        return lambda word: [t.id for t in model.tokenize(word.decode("latin-1").translate(letters))]
+        return lambda word: [known[word]] if word in known else [t.id for t in model.tokenize(word.decode("latin-1").translate(letters))]
 
     return make
 
@@ -82,13 +91,14 @@ def _rows(end: int):
     return rows
 
 
-def write(docs: DataFrame, path: str, vocabulary: str | None = None, end: int = END) -> None:
+def write(docs: DataFrame, path: str, vocabulary: str | None = None, end: int = END, split_added: bool = False) -> None:
     """Write the ids of docs (doc_id, text), with the end id after each document."""
     with open(vocabulary or public_tokenizers.path(VOCABULARY), encoding="utf-8") as f:
         text = f.read()
     made: list[str] = []
     with common.recording(made):
-        encoded = encode(docs, coder=by_library(text), packed=True)
+        added = added_tokens(text) if split_added else {}
+        encoded = encode(docs, coder=by_library(text, added), packed=True, added=tuple(added))
     saved = common.save(encoded.select("doc_id", "ids"), "encoded")
     common.delete(docs.sparkSession, made)
     tie = F.xxhash64("ids")
@@ -117,5 +127,5 @@ def _checksums(batches):
 
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{common.shared_dir(spark)}/token-files-{common.uuid.uuid4().hex[:12]}"
-    write(common.table(spark, sf_dir, "documents"), path)
+    write(common.table(spark, sf_dir, "documents"), path, split_added=True)
     return read(spark, path).select("doc_id", "start", "n_tokens", "ids").mapInArrow(_checksums, "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -262,5 +262,15 @@ def test_digests(spark, tmp_path):
     assert len(rows) == len(TEXTS) and min(r["start"] for r in rows) == 0
 
 
+def test_added_tokens_are_the_librarys_by_default(spark, tmp_path):
+    mark = "<|endoftext|>"
+    texts = [*TEXTS, (10, f"a{mark}b"), (11, mark), (12, f"{mark}{mark} x {mark}"), (13, "<|endof"), (14, "text|>"), (15, f" {mark} it's{mark}'s"), (16, f"é{mark}\n\n中{mark[:-1]}")]
+    spark.createDataFrame(texts, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = [(str(i), library.encode(t or "", add_special_tokens=False).ids + [token_files.END]) for i, t in texts]
+    got = token_files.op10_token_files(spark, str(tmp_path)).collect()
+    assert sorted((str(r["doc_id"]), r["n_tokens"], r["ids_crc32"]) for r in got) == sorted((i, len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, x in want)
+
+
 if __name__ == "__main__":
     pytest.main([__file__])
