@@ -68,7 +68,7 @@ class Encoder:
         self.letters: dict[int, np.ndarray] = {}
         self.known = np.zeros(0, np.int64)
         self.place = np.zeros(0, np.int64)
-        self.kept = np.zeros((0, dimension), np.float32)
+        self.kept = np.empty((KEPT, dimension), np.int8)
 
     def letter(self, point: int) -> np.ndarray:
         if point not in self.letters:
@@ -92,7 +92,8 @@ class Encoder:
             found = self.known[at] == codes
         if not found.all() and len(self.known) < KEPT:
             new = codes[~found][: KEPT - len(self.known)]
-            self.kept = np.concatenate([self.kept, np.array([self.bind(int(c)) for c in new], np.float32)])
+            for k, code in enumerate(new.tolist(), len(self.known)):
+                self.kept[k] = self.bind(code)
             known = np.concatenate([self.known, new])
             place = np.concatenate([self.place, np.arange(len(self.place), len(self.place) + len(new))])
             order = np.argsort(known)
@@ -100,10 +101,10 @@ class Encoder:
             at = np.minimum(np.searchsorted(self.known, codes), len(self.known) - 1)
             found = self.known[at] == codes
         total = np.zeros(self.dimension)
-        for begin in range(0, len(codes), 4096):
-            part = slice(begin, begin + 4096)
+        for begin in range(0, len(codes), 1024):
+            part = slice(begin, begin + 1024)
             own = found[part]
-            total += times[part][own].astype(np.float32) @ self.kept[self.place[at[part][own]]]
+            total += times[part][own].astype(np.float32) @ self.kept[self.place[at[part][own]]].astype(np.float32)
         for code, many in zip(codes[~found], times[~found]):
             total += int(many) * self.bind(int(code)).astype(np.float64)
         return total
