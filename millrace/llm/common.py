@@ -10,6 +10,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Rows of 16 bytes up to which a side is broadcast (32 MB); beyond it the plan shuffles.
 BROADCAST_ROWS = 2_000_000
 
@@ -32,14 +33,26 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def save(df: DataFrame, name: str, **options) -> DataFrame:
+@contextlib.contextmanager
+def _shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what is written meanwhile go when it is written, not when the driver collects garbage."""
+    before = spark.conf.get(FREE_SHUFFLES, None)
+    spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(FREE_SHUFFLES, before) if before is not None else spark.conf.unset(FREE_SHUFFLES)
+
+
+def save(df: DataFrame, name: str, partition_by: str | None = None, **options) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back.
 
     That cuts the lineage, and a lost executor costs no more than the tasks that read from it.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.options(**options).parquet(path)
+    with _shuffles_freed(spark):
+        df.write.options(**options).partitionBy(*([partition_by] if partition_by else [])).parquet(path)
     if _recorded is not None:
         _recorded.append(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -66,9 +79,9 @@ def delete(spark: SparkSession, paths: list[str]) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
-def discard(df: DataFrame) -> None:
-    """Delete the files that save() wrote for df, once nothing reads them any more."""
-    delete(df.sparkSession, sorted({f.rsplit("/", 1)[0] for f in df.inputFiles()}))
+def discard(df: DataFrame, folder: str = "") -> None:
+    """Delete the files that save() wrote for df, or one folder of them, once nothing reads them any more."""
+    delete(df.sparkSession, sorted({at for f in df.inputFiles() if (at := f.rsplit("/", 1)[0]).endswith(folder)}))
 
 
 _recorded: list[str] | None = None
