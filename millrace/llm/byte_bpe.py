@@ -206,9 +206,9 @@ def encode(docs: DataFrame, table: dict[bytes, int] | None = None, coder: MakeCo
     coder, made once in each task, may replace the table's merges; packed ids are as by pack();
     coder gets each of the tokens added as a word of its own.
     """
-    chunks = common.save_bucketed(docs.select("doc_id", "text").mapInArrow(_exploder(added), CHUNKS), "chunks", "chunk", compression="zstd")
+    chunks = common.save_bucketed(docs.select("doc_id", "text").transform(common.map_batches, _exploder(added), CHUNKS), "chunks", "chunk", compression="zstd")
     words = chunks.where("bucket is not null").select("chunk", "bucket", "lengths", "words").repartition("bucket").sortWithinPartitions("bucket")
-    known = words.mapInArrow(_word_encoder(coder or by_ranks(table or ranks())), IDS)
+    known = words.transform(common.map_batches, _word_encoder(coder or by_ranks(table or ranks())), IDS)
     texts = chunks.where("bucket is null").select("chunk", "doc_ids", "n_words", "places", "buckets")
     return texts.groupBy("chunk").cogroup(known.groupBy("of")).applyInArrow(_reassemble_packed if packed else _reassemble, "doc_id long, n_tokens long, ids binary")
 
@@ -235,7 +235,7 @@ def _decoder(table: dict[bytes, int]):
 def decode(encoded: DataFrame, table: dict[bytes, int] | None = None) -> DataFrame:
     """encoded with `decoded`, the bytes of its ids."""
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
-    return encoded.mapInArrow(_decoder(table or ranks()), f"{schema}, decoded binary")
+    return encoded.transform(common.map_batches, _decoder(table or ranks()), f"{schema}, decoded binary")
 
 
 def ids_array(ids: str = "ids"):

@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import wraps
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+ARROW_BOUND, ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 #: Rows of 16 bytes up to which a side is broadcast (32 MB); beyond it the plan shuffles.
 BROADCAST_ROWS = 2_000_000
 
@@ -27,6 +31,8 @@ def shared_dir(spark: SparkSession) -> str:
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found is None:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="millrace-")
         spark.conf.set("spark.checkpoint.dir", found)
         spark.sparkContext.setCheckpointDir(found)
@@ -72,6 +78,25 @@ def save_bucketed(df: DataFrame, name: str, key: str, **options) -> DataFrame:
     return out
 
 
+def map_batches(df: DataFrame, function: Callable, schema: str) -> DataFrame:
+    """df.mapInArrow() with bounded memory in Python workers.
+
+    Batches hold ARROW_BYTES at most, unless the session has its own bound, and a worker, which
+    Spark keeps for other tasks, gives free memory back when a task is done.
+    """
+    if (conf := df.sparkSession.conf).get(ARROW_BOUND) in ("64MB", "67108864b", str(64 << 20)):  # Spark's own default
+        conf.set(ARROW_BOUND, str(ARROW_BYTES))
+
+    @wraps(function)
+    def run(batches):
+        yield from function(batches)
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
+
+    return df.mapInArrow(run, schema)
+
+
 def delete(spark: SparkSession, paths: list[str]) -> None:
     conf = spark._jsc.hadoopConfiguration()
     for name in paths:

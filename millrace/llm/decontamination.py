@@ -75,7 +75,7 @@ def _indexer(batches):
 
 def build_index(docs: DataFrame) -> DataFrame:
     """The positional index of docs (doc_id, text), written to the shared folder."""
-    return common.save(docs.select("doc_id", "text").mapInArrow(_indexer, INDEX), "index")
+    return common.save(docs.select("doc_id", "text").transform(common.map_batches, _indexer, INDEX), "index")
 
 
 def _blocks(items: DataFrame) -> Iterator[tuple[list[str], list[np.ndarray]]]:
@@ -210,7 +210,7 @@ def _near_searcher(names: list[str], texts: list[np.ndarray], span: int):
 def _searched(index: DataFrame, items: DataFrame, searcher, argument: int) -> DataFrame:
     out = None
     for names, texts in _blocks(items):
-        part = index.mapInArrow(searcher(names, texts, argument), MATCHES)
+        part = index.transform(common.map_batches, searcher(names, texts, argument), MATCHES)
         out = part if out is None else out.unionByName(part)
     return out
 

@@ -234,7 +234,7 @@ def _joiner(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
 def wrappers(pages: DataFrame) -> DataFrame:
     """(host, pages, wrapper) for each host of pages (url, html); the wrapper as JSON."""
     schema = "host string, pages long, wrapper string"
-    parts = pages.select(host_of().alias("host"), "html").mapInArrow(_inferrer, schema)
+    parts = pages.select(host_of().alias("host"), "html").transform(common.map_batches, _inferrer, schema)
     equal = parts.groupBy("host", "wrapper").agg(F.sum("pages").alias("pages")).select("host", "pages", "wrapper")
     return common.save(equal.groupBy("host").applyInArrow(_joiner, schema), "wrappers")
 
@@ -261,7 +261,7 @@ def extract(pages: DataFrame) -> DataFrame:
     """page_id, url and text of every row of pages (page_id, url, html)."""
     known = wrappers(pages)
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host_of().alias("host"))
-    return own.join(common.small(known, 20_000), "host").select("page_id", "url", "html", "pages", "wrapper").mapInArrow(_extractor, "page_id long, url string, text string")
+    return own.join(common.small(known, 20_000), "host").select("page_id", "url", "html", "pages", "wrapper").transform(common.map_batches, _extractor, "page_id long, url string, text string")
 
 
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -130,7 +130,7 @@ def _bundler(dimension: int, n: int):
 def train(docs: DataFrame, dimension: int = DIMENSION, n: int = N) -> dict[str, np.ndarray]:
     """Prototypes of the languages of docs (text, lang)."""
     labelled = docs.select("text", "lang").where("text is not null and lang is not null")
-    parts = labelled.mapInArrow(_bundler(dimension, n), "lang string, vector array<double>")
+    parts = labelled.transform(common.map_batches, _bundler(dimension, n), "lang string, vector array<double>")
     sums = parts.select("lang", F.posexplode("vector").alias("k", "v")).groupBy("lang", "k").agg(F.sum("v").alias("v"))
     out: dict[str, np.ndarray] = {}
     for lang, k, v in sums.collect():  # dimension numbers for each language
@@ -166,7 +166,7 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], keys: list[str],
     """The keys columns of docs, lang_pred and score (the cosine, 0 at least)."""
     keyed = docs.select(*keys, "text")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keyed.schema if f.name != "text")
-    return keyed.mapInArrow(_predictor(prototypes, dimension, n), f"{schema}, lang_pred string, score double")
+    return keyed.transform(common.map_batches, _predictor(prototypes, dimension, n), f"{schema}, lang_pred string, score double")
 
 
 def held_out(name: str = "doc_id") -> Column:

@@ -181,7 +181,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int,
     wanted = near.select(F.col("a").alias("class")).union(near.select("b")).distinct().join(nodes.select("class", "doc_id"), "class")
     ids = common.small(wanted.select(F.col("doc_id").alias("_id")).distinct())
     chosen = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    sets = common.save(chosen.select("text").mapInArrow(_set_maker(shingle), "class long, codes array<long>").join(wanted.select("class"), "class", "left_semi").dropDuplicates(["class"]), "sets")
+    sets = common.save(chosen.select("text").transform(common.map_batches, _set_maker(shingle), "class long, codes array<long>").join(wanted.select("class"), "class", "left_semi").dropDuplicates(["class"]), "sets")
     both = near.join(sets.select(F.col("class").alias("a"), F.col("codes").alias("x")), "a").join(sets.select(F.col("class").alias("b"), F.col("codes").alias("y")), "b")
     common_size = F.size(F.array_intersect("x", "y"))
     same = both.select("a", "b", "a_n", "b_n", common_size.alias("i")).where(F.col("i") * den >= (F.col("a_n") + F.col("b_n") - F.col("i")) * num)
@@ -212,7 +212,7 @@ def _fewer(members: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """For every row of docs: doc_id, n_shingles, class, component_id (smallest reachable doc_id)."""
     docs = docs.select("doc_id", "text")
-    sketched = common.save(docs.mapInArrow(_sketcher(shingle, num, den), SKETCHED), "sketches", partition_by="part")
+    sketched = common.save(docs.transform(common.map_batches, _sketcher(shingle, num, den), SKETCHED), "sketches", partition_by="part")
     sized = common.save(sketched.where("own").select("doc_id", "n", "class"), "sized")
     leading = sketched.where("own and lead").select("class", "uid", "n", "sketch")
     names = sized.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"))

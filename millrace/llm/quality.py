@@ -90,8 +90,8 @@ def _adder(batches):
 def models(docs: DataFrame, n: int = N, buckets: int = BUCKETS) -> np.ndarray:
     """Counts of each bucket, and last of texts, in the target and in all of docs, which has text and target (boolean)."""
     schema = "target binary, raw binary"
-    parts = docs.select("text", "target").mapInArrow(_counter(n, buckets), schema)
-    found = parts.repartition(32).mapInArrow(_adder, schema).repartition(1).mapInArrow(_adder, schema).collect()  # one row of fixed size
+    parts = docs.select("text", "target").transform(common.map_batches, _counter(n, buckets), schema)
+    found = parts.repartition(32).transform(common.map_batches, _adder, schema).repartition(1).transform(common.map_batches, _adder, schema).collect()  # one row of fixed size
     return np.array([np.frombuffer(found[0][k], np.int64) for k in ("target", "raw")]) if found else np.zeros((2, n * buckets + 1), np.int64)
 
 
@@ -147,7 +147,7 @@ def resample(docs: DataFrame, k: int | None = None, n: int = N, buckets: int = B
     """doc_id, log_weight, n_grams, key (with noise) and sampled, for docs (doc_id, text, target)."""
     counts = models(docs, n, buckets)
     noisy = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "target", gumbel("doc_id", "text").alias("noise"))
-    weighed = noisy.mapInArrow(_weigher(counts, n, buckets), "doc_id long, target boolean, noise double, log_weight double, n_grams long")
+    weighed = noisy.transform(common.map_batches, _weigher(counts, n, buckets), "doc_id long, target boolean, noise double, log_weight double, n_grams long")
     weighed = common.save(weighed.withColumn("key", F.col("log_weight") + F.col("noise")), "weights")
     size = _default_size(weighed) if k is None else k
     least = _kth_largest(weighed, size) if 0 < size <= weighed.count() else float("-inf" if size else "inf")

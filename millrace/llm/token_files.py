@@ -103,7 +103,7 @@ def write(docs: DataFrame, path: str, vocabulary: str | None = None, end: int =
     common.delete(docs.sparkSession, made)
     tie = F.xxhash64("ids")
     ordered = saved.repartitionByRange("doc_id", tie).sortWithinPartitions("doc_id", tie)
-    ordered.mapInArrow(_rows(end), ROWS).write.options(**FORMAT).parquet(path)
+    ordered.transform(common.map_batches, _rows(end), ROWS).write.options(**FORMAT).parquet(path)
     common.discard(saved)
 
 
@@ -128,4 +128,4 @@ def _checksums(batches):
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{common.shared_dir(spark)}/token-files-{common.uuid.uuid4().hex[:12]}"
     write(common.table(spark, sf_dir, "documents"), path, split_added=True)
-    return read(spark, path).select("doc_id", "start", "n_tokens", "ids").mapInArrow(_checksums, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return read(spark, path).select("doc_id", "start", "n_tokens", "ids").transform(common.map_batches, _checksums, "doc_id long, start long, n_tokens long, ids_crc32 long")
