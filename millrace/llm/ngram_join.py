@@ -62,10 +62,11 @@ BAND = 1.5
 #: Bits of a key beyond those that number all keys.
 KEY_BITS = 16
 PASSES = 4
-#: Sets from which on a key is hot.
-HOT = 100
-#: Words of the sketches' folded form, the same for all sets.
-FOLD = 8
+#: Sets beyond which a key is hot.
+HOT = 2
+#: Words of the sketches' folded form, the same for all sets, and words at most of the one that
+#: larger sets are compared by as well, before their pairs are written.
+FOLD, WIDE = 8, 64
 
 
 def _bands(num: int, den: int, largest: int) -> list[int]:
@@ -164,6 +165,11 @@ def _set_maker(shingle: int):
     return make
 
 
+def _folded(words: Column, k: Column) -> Column:
+    """The k-th word of a sketch that is folded to so many words."""
+    return F.reduce(F.transform(F.sequence(k, F.size("sketch") - 1, words), lambda i: F.get("sketch", i)), F.lit(0).cast("long"), lambda x, y: x.bitwiseXOR(y))
+
+
 def _near(a: str, b: str, num: int, den: int) -> Column:
     """Whether sizes and short sketches allow that the rows a and b are similar enough."""
     n, m, x, y = (F.col(c) for c in (f"{a}n", f"{b}n", f"{a}sketch", f"{b}sketch"))
@@ -218,8 +224,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
     names = sized.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
     least = leading.groupBy("class").agg(F.min("uid").alias("uid"))
     stale = common.save(leading.select("uid").join(least, "uid", "left_anti"), "stale")
-    folded = [F.reduce(F.transform(F.sequence(F.lit(k), F.size("sketch") - 1, F.lit(FOLD)), lambda i: F.get("sketch", i)), F.lit(0).cast("long"), lambda x, y: x.bitwiseXOR(y)).alias(f"f{k}") for k in range(FOLD)]
-    nodes = common.save(leading.join(common.small(stale), "uid", "left_anti").join(names, "class").select("class", "doc_id", "n", "sketch", *folded), "nodes")
+    nodes = common.save(leading.join(common.small(stale), "uid", "left_anti").join(names, "class").select("class", "doc_id", "n", "sketch", *(_folded(F.lit(FOLD), F.lit(k)).alias(f"f{k}") for k in range(FOLD))), "nodes")
     total = nodes.agg(F.sum("n")).first()[0] or 1
     cut = max(0, 64 - KEY_BITS - int(total).bit_length())
     passes = []
@@ -250,13 +255,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
     per_root = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
     main = per_root.groupBy("key").agg(F.max(F.struct("n", "root")).alias("m"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("roots"))
     main = main.where("roots > 1 and all > 2").select("key", F.col("m.root").alias("main"))
-    open_ = common.save(rooted.join(main, "key").join(nodes.drop("doc_id", "sketch"), "class"), "open")
+    words = F.least(F.lit(WIDE), F.size("sketch"))
+    wide = nodes.select("class", "n", *(f"f{k}" for k in range(FOLD)), F.when(F.col("n") > 64 * FOLD, F.transform(F.sequence(F.lit(0), words - 1), lambda k: _folded(words, k))).alias("sketch"))
+    open_ = common.save(rooted.join(main, "key").join(wide, "class"), "open")
     a, b = open_.where("root <> main").alias("a"), open_.alias("b")
     unlike = (F.col("a.root") != F.col("b.root")) & (F.col("a.class") != F.col("a.pivot")) & (F.col("b.class") != F.col("a.pivot"))
     apart = reduce(add, (F.bit_count(F.col(f"a.f{k}").bitwiseXOR(F.col(f"b.f{k}"))) for k in range(FOLD)))
     n, m = F.col("a.n"), F.col("b.n")
     alike = (F.least(n, m) * den >= F.greatest(n, m) * num) & (apart * (den + num) <= (n + m) * (den - num))
-    across = a.join(b, (F.col("a.key") == F.col("b.key")) & unlike & alike)
+    across = a.join(b, (F.col("a.key") == F.col("b.key")) & unlike & alike & ((F.least(n, m) <= 64 * FOLD) | _near("a.", "b.", num, den)))
     across = across.select(F.least("a.class", "b.class").alias("a"), F.greatest("a.class", "b.class").alias("b")).distinct()
     links = links.unionByName(_verified(across, docs, nodes, shingle, num, den))
     roots = components(links).select(F.col("node").alias("class"), "root")
