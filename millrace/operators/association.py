@@ -7,6 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.operators import storage, windows
+
+
+#: Items of which all pairs are listed.
+ITEMS = 20_000
+
 
 def baskets(lines: DataFrame, receipt: str, item: str) -> DataFrame:
     """Distinct (receipt, item)."""
@@ -32,10 +38,13 @@ def pair_counts(long: DataFrame) -> DataFrame:
 def mine_rules(long: DataFrame, support: float, confidence: float, lift: float) -> DataFrame:
     """All ordered pairs of the items, those that never meet included, with their measures.
 
-    The item list is the vocabulary of a shop, not of its baskets: items * items rows.
+    The item list is the vocabulary of a shop, not of its baskets: items * items rows, ITEMS items
+    at most.
     """
     counts = long.groupBy("item").agg(F.count(F.lit(1)).alias("n_item"))
     total = long.agg(F.countDistinct("receipt").alias("n"))
+    if counts.limit(ITEMS + 1).count() > ITEMS:
+        raise ValueError(f"more than {ITEMS} items: mine categories of them instead")
     a = counts.select(F.col("item").alias("antecedent"), F.col("n_item").alias("count_a"))
     b = counts.select(F.col("item").alias("consequent"), F.col("n_item").alias("count_b"))
     pairs = a.join(b, F.col("antecedent") != F.col("consequent")).join(pair_counts(long), ["antecedent", "consequent"], "left").na.fill(0, ["count_ab"]).join(F.broadcast(total))
@@ -46,26 +55,29 @@ def mine_rules(long: DataFrame, support: float, confidence: float, lift: float)
 
 def popular_items(long: DataFrame) -> DataFrame:
     """(item, popularity): 1 for the item in the most baskets, ties by name."""
-    counts = long.groupBy("item").agg(F.count(F.lit(1)).alias("n"))
-    return counts.select("item", F.row_number().over(Window.orderBy(F.desc("n"), "item")).alias("popularity"))
+    counts = long.groupBy("item").agg((-F.count(F.lit(1))).alias("_n"))
+    return windows.rank_all(counts, ["_n", "item"], "popularity").select("item", F.col("popularity").cast("int").alias("popularity"))
 
 
 def recommend(cases: DataFrame, rules: DataFrame, popular: DataFrame, k: int = 3) -> DataFrame:
     """Up to k items for each case of cases (case, item), best rules first, then popular items.
 
     An item that the case holds is never recommended; a consequent counts with its best rule.
+    Popular items are one sorted array, the shop's vocabulary; of its first ones, as many as the
+    case holds or has picked and k more, k at least are left.
     """
     passing = rules.where("passes").select("antecedent", "consequent", "lift", "confidence")
-    by_rule = cases.join(F.broadcast(passing), F.col("item") == F.col("antecedent")).groupBy("case", F.col("consequent").alias("pick")).agg(F.max(F.struct("lift", "confidence")).alias("best"))
-    by_rule = by_rule.select("case", "pick", F.lit(0).alias("kind"), (-F.col("best.lift")).alias("o1"), (-F.col("best.confidence")).alias("o2"))
     held = cases.groupBy("case").agg(F.collect_set("item").alias("held"))
-    top = held.agg(F.max(F.size("held")).alias("most"))
-    fallback = popular.join(F.broadcast(top)).where(F.col("popularity") <= F.col("most") + 2 * k)
-    by_rank = held.select("case").join(F.broadcast(fallback)).select("case", F.col("item").alias("pick"), F.lit(1).alias("kind"), F.col("popularity").cast("double").alias("o1"), F.lit(0.0).alias("o2"))
-    free = by_rule.unionByName(by_rank).join(held, "case").where(~F.array_contains("held", F.col("pick")))
-    once = free.withColumn("_n", F.row_number().over(Window.partitionBy("case", "pick").orderBy("kind"))).where("_n = 1")
-    ranked = once.withColumn("rank", F.row_number().over(Window.partitionBy("case").orderBy("kind", "o1", "o2", "pick"))).where(F.col("rank") <= k)
-    return ranked.select("case", "rank", F.col("pick").alias("item"), F.when(F.col("kind") == 0, "rule").otherwise("popular").alias("source"))
+    by_rule = cases.join(storage.small(passing), F.col("item") == F.col("antecedent")).groupBy("case", F.col("consequent").alias("pick")).agg(F.max(F.struct("lift", "confidence")).alias("best"))
+    by_rule = by_rule.join(held, "case").where(~F.array_contains("held", F.col("pick")))
+    by_rule = by_rule.withColumn("rank", F.row_number().over(Window.partitionBy("case").orderBy(F.desc("best.lift"), F.desc("best.confidence"), "pick"))).where(F.col("rank") <= k)
+    ruled = by_rule.groupBy("case").agg(F.array_sort(F.collect_list(F.struct("rank", "pick"))).alias("r")).select("case", F.transform("r", lambda x: x["pick"]).alias("ruled"))
+    top = popular.agg(F.array_sort(F.collect_list(F.struct("popularity", "item"))).alias("t")).select(F.transform("t", lambda x: x["item"]).alias("top"))
+    both = held.join(ruled, "case", "left").join(F.broadcast(top)).withColumn("ruled", F.coalesce("ruled", F.slice("held", 1, 0)))
+    free = F.array_except(F.slice("top", F.lit(1), F.size("held") + F.size("ruled") + k), F.array_union("held", "ruled"))
+    picks = F.slice(F.concat("ruled", free), 1, k)
+    ranked = both.select("case", F.size("ruled").alias("n"), F.posexplode(picks).alias("at", "item"))
+    return ranked.select("case", (F.col("at") + 1).alias("rank"), "item", F.when(F.col("at") < F.col("n"), "rule").otherwise("popular").alias("source"))
 
 
 def leave_one_out(long: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -104,3 +116,23 @@ def sensitivity(train: DataFrame, test: DataFrame, thresholds: Sequence[tuple[fl
         part = rate.select(F.lit(s).alias("min_support"), F.lit(c).alias("min_confidence"), F.lit(l).alias("min_lift"), "rules", "hit_1", "hit_k")
         out = part if out is None else out.unionByName(part)
     return out
+
+
+def rule_table(mined: DataFrame, products: DataFrame) -> DataFrame:
+    """The passing rules with the names of their products, to be published behind constraints."""
+    name = lambda side: products.select(F.col("product_id").alias(side), F.col("name_th").alias(f"{side}_name"))
+    named = mined.where("passes").join(storage.small(name("antecedent")), "antecedent", "left").join(storage.small(name("consequent")), "consequent", "left")
+    return named.select("antecedent", "antecedent_name", "consequent", "consequent_name", "count_ab", "count_a", "support", "confidence", "lift")
+
+
+def lift_by_branch(long: DataFrame, branches: DataFrame, rules: DataFrame) -> DataFrame:
+    """The passing rules' lift among the baskets of each branch; branches has (receipt, branch)."""
+    placed, passing = long.join(branches, "receipt"), rules.where("passes").select("antecedent", "consequent")
+    total = placed.groupBy("branch").agg(F.countDistinct("receipt").alias("n"))
+    counts = placed.groupBy("branch", "item").agg(F.count(F.lit(1)).alias("n_item"))
+    sets = placed.groupBy("branch", "receipt").agg(F.collect_set("item").alias("items"))
+    one = sets.select("branch", F.explode("items").alias("antecedent"), "items").join(storage.small(passing), "antecedent")
+    both = one.where(F.array_contains("items", F.col("consequent"))).groupBy("branch", "antecedent", "consequent").agg(F.count(F.lit(1)).alias("count_ab"))
+    side = lambda c, n: counts.select("branch", F.col("item").alias(c), F.col("n_item").alias(n))
+    out = passing.join(total).join(both, ["branch", "antecedent", "consequent"], "left").join(side("antecedent", "_a"), ["branch", "antecedent"], "left").join(side("consequent", "_b"), ["branch", "consequent"], "left")
+    return out.select("branch", "antecedent", "consequent", F.try_divide(F.coalesce("count_ab", F.lit(0)).cast("double") * F.col("n"), F.col("_a") * F.col("_b")).alias("lift"))

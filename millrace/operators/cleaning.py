@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import text, values
-from millrace.operators import outliers, rules, windows
+from millrace.operators import outliers, rules, storage, windows
 from millrace.plans import schemas
 
 
@@ -121,7 +121,7 @@ def outlier_features(sales: DataFrame, products: DataFrame) -> DataFrame:
 
 def detect_outliers(features: DataFrame, eps: float = 3, least: int = 10, share: float = 0.005) -> DataFrame:
     found = outliers.density_noise(outliers.iqr(outliers.zscore(features, "qty"), "qty"), "qty", eps, least)
-    return outliers.isolation_forest(found, ["qty", "value", "items_in_bill", "hour"], share)
+    return outliers.isolation_forest(found, ["qty", "value", "items_in_bill", "hour"], share, key=["row_id"])
 
 
 def summarize_outliers(flags: DataFrame, limit: int = schemas.LARGE_QTY) -> DataFrame:
@@ -140,6 +140,16 @@ def judge_quantities(sales: DataFrame, limit: int = schemas.LARGE_QTY) -> tuple[
     return kept.drop("_z"), removed.drop("_z")
 
 
+def filled_by_mode(df: DataFrame, column: str, by: str, where: Column, mark: str = "_filled") -> DataFrame:
+    """df with nulls of a column, where a condition holds, filled by the group's most frequent value.
+
+    The least of equally frequent values is taken; mark tells which rows were filled.
+    """
+    modes = df.where(F.col(column).isNotNull()).groupBy(by).agg(F.mode(column, True).alias("_mode"))
+    df = df.join(storage.small(modes), by, "left").withColumn(mark, values.holds(where & F.col(column).isNull()) & F.col("_mode").isNotNull())
+    return df.withColumn(column, F.when(F.col(mark), F.col("_mode")).otherwise(F.col(column))).drop("_mode")
+
+
 def fill_missing(sales: DataFrame, products: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Sizes by price, then by the product's mode; quantities from totals; prices from the list."""
     columns = sales.columns
@@ -151,9 +161,8 @@ def fill_missing(sales: DataFrame, products: DataFrame) -> tuple[DataFrame, Data
     open_size = values.holds(drink & F.col("size").isNull())
     df = df.withColumn("_size", F.when(open_size, by_price))
     df = df.withColumns({"clean_flags": values.flagged("clean_flags", F.col("_size").isNotNull(), "size_from_price"), "size": F.coalesce("size", "_size")})
-    modes = df.where("size is not null").groupBy("product_id").agg(F.mode("size", True).alias("_mode"))
-    df = df.join(F.broadcast(modes), "product_id", "left").withColumn("_fill", values.holds(drink & F.col("size").isNull()) & F.col("_mode").isNotNull())
-    df = df.withColumns({"clean_flags": values.flagged("clean_flags", F.col("_fill"), "size_mode"), "size": F.when(F.col("_fill"), F.col("_mode")).otherwise(F.col("size"))})
+    df = filled_by_mode(df, "size", "product_id", drink)
+    df = df.withColumn("clean_flags", values.flagged("clean_flags", F.col("_filled"), "size_mode")).drop("_filled")
     price = F.when(F.col("category") == schemas.BAKERY, F.col("_n")).when(F.col("size") == "S", F.col("_S")).when(F.col("size") == "M", F.col("_M")).when(F.col("size") == "L", F.col("_L"))
     df = df.withColumn("_price", price)
     ratio = F.try_divide("line_total", "_price")

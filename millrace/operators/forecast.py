@@ -88,3 +88,13 @@ def next_week(features: DataFrame, daily: DataFrame, model: str, days: int = 7)
     df = future.join(lag, ["branch", "date"], "left").withColumns({"trend": F.datediff("date", "_first"), "is_holiday": F.lit(0), "day_of_week": F.weekday("date")} | dummies)
     fit = regression.least_squares(prepared(features, features), FEATURES[model], "revenue", intercept=False)
     return prepared(df, features).select("date", "branch", "lag7_revenue", F.when(F.col("lag7_revenue").isNotNull(), fit.predicted()).alias("predicted_revenue"))
+
+
+def tables(features: DataFrame, daily: DataFrame, test: int = 6) -> tuple[str, dict[str, DataFrame]]:
+    """The chosen model, and the tables of a run: daily predictions of the test month, weights, the next week, errors month by month."""
+    chosen = select_model(features)
+    train = features.where(F.col("month") < test)
+    predicted, _ = predict(train, features.where(F.col("month") == test))
+    named = predicted.select("branch", "date", F.col("revenue").alias("actual_revenue"), "B1", "B2", *FEATURES, F.lit(chosen).alias("chosen_model"))
+    months = [test - 2, test - 1, test]
+    return chosen, {"forecast_daily": named, "forecast_coefficients": coefficients(train, chosen), "forecast_next_week": next_week(features, daily, chosen), "forecast_walk_forward": walk_forward(features, months)}

@@ -6,9 +6,11 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.operators import storage
+
 
 def zscore(df: DataFrame, value: str, limit: float = 3.0, name: str = "zscore") -> DataFrame:
     """Flag where value is more than so many sample standard deviations off the mean."""
@@ -31,11 +33,22 @@ def density_noise(df: DataFrame, value: str, eps: float, least: int, name: str =
     A value is a core if `least` rows, itself included, are within eps; noise is no core and has
     none within eps.  Works on the histogram of values, so equal values cost one row.
     """
-    near = Window.orderBy("_v").rangeBetween(-eps, eps)
     counts = df.groupBy(F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n")).where("_v is not null")
-    cores = counts.withColumn("_core", F.sum("_n").over(near) >= least)
-    noise = cores.withColumn("_noise", ~F.max("_core").over(near)).select("_v", "_noise")
-    return df.join(F.broadcast(noise), F.col(value).cast("double") == F.col("_v"), "left").withColumn(name, F.coalesce("_noise", F.lit(False))).drop("_v", "_noise")
+    cores = _near(counts, eps, "sum(_n)", "_core").withColumn("_core", F.col("_core") >= least)
+    noise = _near(cores, eps, "bool_or(_core)", "_noise").select("_v", (~F.col("_noise")).alias("_noise"))
+    return df.join(storage.small(noise), F.col(value).cast("double") == F.col("_v"), "left").withColumn(name, F.coalesce("_noise", F.lit(False))).drop("_v", "_noise")
+
+
+def _near(values: DataFrame, eps: float, measure: str, name: str) -> DataFrame:
+    """values with an aggregate over those within eps of each _v.
+
+    Values are binned by eps and each bin also gets its neighbours' values, so that no task holds
+    more than three bins.
+    """
+    here = F.floor(F.col("_v") / (eps or 1.0))
+    spread = values.select("*", here.alias("_home"), F.explode(F.array(here - 1, here, here + 1)).alias("_bin"))
+    near = F.expr(f"{measure} OVER (PARTITION BY _bin ORDER BY _v RANGE BETWEEN {float(eps)!r}D PRECEDING AND {float(eps)!r}D FOLLOWING)")
+    return spread.select(*(c for c in values.columns if c != name), "_home", "_bin", near.alias(name)).where("_home = _bin").drop("_home", "_bin")
 
 
 def _grown(sample: np.ndarray, rng: np.random.Generator, depth: int, most: int) -> list:
@@ -60,15 +73,16 @@ def _depths(tree: list, x: np.ndarray, depth: int = 0) -> np.ndarray:
     return out
 
 
-def isolation_forest(df: DataFrame, features: Sequence[str], share: float, trees: int = 100, sample: int = 256, seed: int = 42, name: str = "isolation") -> DataFrame:
+def isolation_forest(df: DataFrame, features: Sequence[str], share: float, trees: int = 100, sample: int = 256, seed: int = 42, name: str = "isolation", key: Sequence[str] = ()) -> DataFrame:
     """Flag about the given share of rows that random splits isolate soonest.
 
     The trees are grown on the driver from a sample of bounded size (trees * sample rows, the
-    smallest hashes of the features and seed); every row is scored on the executors.
+    smallest hashes of key, features and seed, so that a rerun takes the same rows); every row is
+    scored on the executors.  key names columns that tell rows of equal features apart.
     """
-    keyed = df.select(*(F.col(f).cast("double").alias(f) for f in features)).dropna()
-    order = F.xxhash64(F.lit(seed), F.monotonically_increasing_id(), *features)
-    rows = keyed.orderBy(order).limit(trees * sample).toPandas().to_numpy(float)
+    doubles = [F.col(f).cast("double").alias(f) for f in features]
+    keyed = df.select(*doubles, F.xxhash64(F.lit(seed), *key, *doubles).alias("_order")).dropna(subset=list(features))
+    rows = keyed.orderBy("_order", *features).limit(trees * sample).drop("_order").toPandas().to_numpy(float)
     rng = np.random.default_rng(seed)
     size = min(sample, len(rows))
     forest = [_grown(rows[rng.choice(len(rows), size, replace=False)], rng, 0, int(np.ceil(np.log2(max(size, 2))))) for _ in range(trees)] if size else []

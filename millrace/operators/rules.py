@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import text, values
@@ -216,4 +216,4 @@ def fits(df: DataFrame, columns: Sequence[str]) -> list[str]:
 
 def ordered(df: DataFrame, order: Sequence[str]) -> DataFrame:
     """df with row_id by a stated order, for tables that come without one."""
-    return df.withColumn("row_id", F.row_number().over(Window.orderBy(*order)) - 1) if order else df.withColumn("row_id", F.monotonically_increasing_id())
+    return windows.rank_all(df, order, "row_id").withColumn("row_id", F.col("row_id") - 1) if order else df.withColumn("row_id", F.monotonically_increasing_id())

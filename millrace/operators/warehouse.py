@@ -1,21 +1,25 @@
 """A warehouse of Parquet tables: constraints before publishing, atomic refresh, incremental loads.
 
-Each refresh writes all its tables below a new version.  Readers find the current version in the
-manifest, a table of one row for each publication; a refresh that fails leaves it as it was.
+Each load writes its tables below a new version and publishes it by one row in the manifest, which
+names the folders that hold each table.  Increments add a folder to those of the version before.
+Readers see a published version or the one before it, never a part of one; a load that fails leaves
+the manifest as it was.
 """
 
 from __future__ import annotations
 
 import time
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.operators import storage
+
 LOG = "run_id string, table_name string, mode string, rows_before long, rows_after long, rows_inserted long, started_at timestamp, duration_ms double, status string, message string"
-MANIFEST = "version string, published_at double, tables array<string>"
+MANIFEST = "version string, published_at double, tables map<string, array<string>>"
 
 
 class ConstraintError(ValueError):
@@ -49,6 +53,14 @@ STAR = {
         checks=[Check("qty", "qty > 0"), Check("unit_price", "unit_price > 0"), Check("size", "size in ('S', 'M', 'L')")],
         foreign=[("date_key", "dim_date", "date_key"), ("branch_id", "dim_branch", "branch_id"), ("product_id", "dim_product", "product_id"), ("member_id", "dim_member", "member_id")],
     ),
+    "reco_rules": Constraints(
+        key=["antecedent", "consequent"], required=["antecedent_name", "consequent_name", "count_ab", "count_a", "support", "confidence", "lift"],
+        checks=[Check("support", "support between 0 and 1"), Check("confidence", "confidence between 0 and 1"), Check("lift", "lift > 0")],
+        foreign=[("antecedent", "dim_product", "product_id"), ("consequent", "dim_product", "product_id")],
+    ),
+    "forecast_daily": Constraints(key=["branch", "date"]),
+    "forecast_coefficients": Constraints(key=["feature"]),
+    "forecast_next_week": Constraints(key=["branch", "date"]),
 }
 
 
@@ -80,16 +92,28 @@ class Warehouse:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
 
-    def version(self) -> str | None:
-        """The published version."""
+    def _current(self) -> tuple[str | None, dict[str, list[str]]]:
+        """The published version, and the versions that hold parts of each of its tables."""
         path = f"{self.root}/manifest"
         if not self._exists(path):
-            return None
+            return None, {}
         last = self.spark.read.schema(MANIFEST).json(path).orderBy(F.desc("published_at"), F.desc("version")).first()
-        return last["version"] if last else None
+        return (last["version"], {n: list(v) for n, v in last["tables"].items()}) if last else (None, {})
+
+    def version(self) -> str | None:
+        return self._current()[0]
+
+    def names(self) -> list[str]:
+        return sorted(self._current()[1])
+
+    def _read(self, name: str, versions: Sequence[str]) -> DataFrame:
+        return self.spark.read.parquet(*(f"{self.root}/versions/{v}/{name}" for v in versions))
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/versions/{self.version()}/{name}")
+        return self._read(name, self._current()[1][name])
+
+    def _publish(self, version: str, tables: dict[str, list[str]]) -> None:
+        self.spark.createDataFrame([(version, time.time(), tables)], MANIFEST).coalesce(1).write.mode("append").json(f"{self.root}/manifest")
 
     def _log(self, rows: list[tuple]) -> None:
         self.spark.createDataFrame(rows, LOG).coalesce(1).write.mode("append").parquet(f"{self.root}/etl_load_log")
@@ -97,74 +121,98 @@ class Warehouse:
     def log(self) -> DataFrame:
         return self.spark.read.schema(LOG).parquet(f"{self.root}/etl_load_log")
 
-    def refresh(self, tables: dict[str, DataFrame], mode: str = "full") -> DataFrame:
-        """Publish all tables at once, or none: raises ConstraintError and logs the failure."""
+    def _load(self, mode: str, tables: dict[str, DataFrame], onto: dict[str, list[str]], added: set[str]) -> DataFrame:
+        """Write tables below a new version and publish it with those of onto; added ones grow, others are replaced."""
         run, version, started = uuid.uuid4().hex[:12], f"{time.time_ns()}", time.time()
-        before = {n: self.table(n).count() if self.version() and self._exists(f"{self.root}/versions/{self.version()}/{n}") else None for n in tables}
         stamp = self.spark.sql("select current_timestamp()").first()[0]
-        rows = []
+        after, rows = dict(onto), []
         try:
             for name, df in tables.items():
                 at = time.time()
                 df.write.parquet(f"{self.root}/versions/{version}/{name}")
-                n = self.spark.read.parquet(f"{self.root}/versions/{version}/{name}").count()
-                rows.append((run, name, mode, before[name], n, n, stamp, (time.time() - at) * 1000, "ok", None))
-            staged = {n: self.spark.read.parquet(f"{self.root}/versions/{version}/{n}") for n in tables}
-            broken = [r for n, rule in self.constraints.items() if n in staged for r in violations(n, staged[n], rule, staged).where("rows > 0").collect()]
+                before = self._read(name, onto[name]).count() if name in onto else None
+                after[name] = [*(onto[name] if name in added else []), version]
+                n, inserted = self._read(name, after[name]).count(), self._read(name, [version]).count()
+                rows.append((run, name, mode, before, n, inserted, stamp, (time.time() - at) * 1000, "ok", None))
+            staged = {n: self._read(n, v) for n, v in after.items()}
+            touched = [n for n, rule in self.constraints.items() if n in staged and (n in tables or any(f[1] in tables for f in rule.foreign))]
+            broken = [r for n in touched for r in violations(n, staged[n], self.constraints[n], staged).where("rows > 0").collect()]
             if broken:
                 raise ConstraintError("; ".join(f"{r['table']}: {r['constraint']} ({r['rows']} rows)" for r in broken))
         except Exception as e:
             self._log([(run, "all", mode, None, None, None, stamp, (time.time() - started) * 1000, "failed", str(e)[:500])])
             raise
-        self.spark.createDataFrame([(version, time.time(), list(tables))], MANIFEST).coalesce(1).write.mode("append").json(f"{self.root}/manifest")
+        self._publish(version, after)
         self._log(rows)
         return self.spark.createDataFrame(rows, LOG)
 
-    def load_incremental(self, facts: DataFrame, name: str = "fact_sales", key: Sequence[str] = ("receipt_id", "product_id"), watermark: str = "date_key") -> tuple[int, int]:
-        """Add the rows from the highest loaded watermark on whose key is new; (sent, inserted)."""
-        now = self.table(name)
+    def refresh(self, tables: dict[str, DataFrame], mode: str = "full", keep: bool = False) -> DataFrame:
+        """Publish all tables at once, or none: raises ConstraintError and logs the failure.
+
+        With keep, the version's other tables stay as they are.
+        """
+        return self._load(mode, tables, self._current()[1] if keep else {}, set())
+
+    def load_incremental(
+        self, facts: DataFrame, name: str = "fact_sales", key: Sequence[str] = ("receipt_id", "product_id"), watermark: str = "date_key", also: Callable[[DataFrame], dict[str, DataFrame]] | None = None
+    ) -> tuple[int, int]:
+        """Add the rows from the highest loaded watermark on whose key is new; (sent, inserted).
+
+        The new rows are a folder of their own in a new version.  also makes the tables that depend
+        on all facts, published in the same version.
+        """
+        current = self._current()[1]
+        now = self._read(name, current[name])
         high = now.agg(F.coalesce(F.max(watermark), F.lit(0))).first()[0]
         sent = facts.where(F.col(watermark) >= high)
-        new = sent.join(now.select(*key), list(key), "left_anti").dropDuplicates(list(key))
-        started, run = time.time(), uuid.uuid4().hex[:12]
-        stamp = self.spark.sql("select current_timestamp()").first()[0]
-        before, n_sent = now.count(), sent.count()
-        tables = {n: self.spark.read.parquet(f"{self.root}/versions/{self.version()}/{n}") for n in self.spark.read.schema(MANIFEST).json(f"{self.root}/manifest").where(F.col("version") == self.version()).first()["tables"]}
-        broken = violations(name, new, self.constraints[name], tables | {name: now}).where("rows > 0").collect() if name in self.constraints else []
-        if broken:
-            message = "; ".join(f"{r['constraint']} ({r['rows']} rows)" for r in broken)
-            self._log([(run, name, "incremental", before, before, 0, stamp, (time.time() - started) * 1000, "failed", message)])
-            raise ConstraintError(message)
-        added = new.count()
+        recent = now.where(F.col(watermark) >= high).select(*key) if watermark in key else now.select(*key)
+        new = storage.written(sent.join(recent, list(key), "left_anti").dropDuplicates(list(key)).select(*now.columns), "increment")
+        n_sent, added = sent.count(), new.count()
         if added:
-            new.select(*now.columns).write.mode("append").parquet(f"{self.root}/versions/{self.version()}/{name}")
-        self._log([(run, name, "incremental", before, before + added, added, stamp, (time.time() - started) * 1000, "ok", None)])
+            more = also(now.unionByName(new)) if also else {}
+            self._load("incremental", {name: new, **more}, current, {name})
+        else:
+            n = now.count()
+            stamp = self.spark.sql("select current_timestamp()").first()[0]
+            self._log([(uuid.uuid4().hex[:12], name, "incremental", n, n, 0, stamp, 0.0, "ok", None)])
         return n_sent, added
 
     def verify(self, sources: dict[str, DataFrame]) -> DataFrame:
-        """Row counts against the sources, turnover, daily turnover against facts, missing personal columns."""
-        loaded = {n: self.table(n) for n in sources}
-        rows = [(f"rows {n}", float(df.count()), float(loaded[n].count())) for n, df in sources.items()]
+        """What is loaded against its sources: rows, nulls of each column, turnover, times, daily turnover, constraints, personal columns, duration."""
+        current = self._current()[1]
+        loaded = {n: self._read(n, current[n]) for n in sources}
+        rows = []
+        for n, df in sources.items():
+            counts = lambda x: x.agg(F.count(F.lit(1)), *(F.count_if(F.col(f"`{c}`").isNull()) for c in df.columns)).first()  # noqa: B023, E731
+            a, b = counts(df), counts(loaded[n])
+            rows.append((f"rows {n}", float(a[0]), float(b[0])))
+            rows += [(f"nulls {n}.{c}", float(x), float(y)) for c, x, y in zip(df.columns, a[1:], b[1:]) if x or y]
         total = lambda df, c: float(df.agg(F.coalesce(F.sum(c), F.lit(0.0))).first()[0])
         if "fact_sales" in loaded:
             rows.append(("turnover", total(sources["fact_sales"], "line_total"), total(loaded["fact_sales"], "line_total")))
+            seconds = lambda df: float(df.agg(F.coalesce(F.sum(F.unix_timestamp("sale_datetime") % 1_000_003), F.lit(0))).first()[0])
+            rows.append(("sale times", seconds(sources["fact_sales"]), seconds(loaded["fact_sales"])))
         if "agg_daily" in loaded and "fact_sales" in loaded:
             by_day = loaded["fact_sales"].groupBy(F.col("branch_id").alias("branch"), "date_key").agg(F.sum("line_total").alias("_t"))
             off = loaded["agg_daily"].join(by_day, ["branch", "date_key"], "left").where("not data_missing and abs(coalesce(revenue, 0) - coalesce(_t, 0)) > 0.01").count()
             rows.append(("days off", 0.0, float(off)))
+        for n, rule in self.constraints.items():
+            if n in loaded and all(f[1] in loaded for f in rule.foreign):
+                rows += [(f"{n}: {r['constraint']}", 0.0, float(r["rows"])) for r in violations(n, loaded[n], rule, loaded).collect()]
         if "dim_member" in loaded:
             rows.append(("personal columns", 0.0, float(len({"full_name", "phone"} & set(loaded["dim_member"].columns)))))
+        took = self.log().where(F.col("status") == "ok").agg(F.coalesce(F.sum("duration_ms"), F.lit(0.0))).first()[0]
+        rows.append(("load milliseconds", took, took))
         schema = "check string, expected double, found double"
         return self.spark.createDataFrame(rows, schema).withColumn("passed", F.abs(F.col("expected") - F.col("found")) < 0.01)
 
     def views(self) -> None:
         """Temporary views of all tables, and v_sales_enriched over the star."""
-        names = self.spark.read.schema(MANIFEST).json(f"{self.root}/manifest").where(F.col("version") == self.version()).first()["tables"]
-        for n in names:
-            self.table(n).createOrReplaceTempView(n)
+        for n, versions in self._current()[1].items():
+            self._read(n, versions).createOrReplaceTempView(n)
         self.spark.sql("""
             CREATE OR REPLACE TEMP VIEW v_sales_enriched AS
-            SELECT f.*, d.date, d.month, d.day_name, d.is_weekend, d.is_holiday, b.name_en AS branch_name,
+            SELECT f.*, d.date, d.month, d.day_name, d.is_weekend, d.is_holiday, d.holiday_name, b.name_th AS branch_name,
                    p.name_th AS product_name, p.category, m.age_group, m.gender, m.spend_tier
             FROM fact_sales f JOIN dim_date d ON f.date_key = d.date_key JOIN dim_branch b ON f.branch_id = b.branch_id
             JOIN dim_product p ON f.product_id = p.product_id LEFT JOIN dim_member m ON f.member_id = m.member_id""")

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.operators import storage
+
 Order = Sequence[str | Column]
 
 
@@ -25,16 +27,19 @@ def top_n(df: DataFrame, n: int, by: Sequence[str], order: Order, rank: str = "r
 
 
 def rank_all(df: DataFrame, order: Sequence[str], rank: str = "rank") -> DataFrame:
-    """Ranks over the whole table without bringing it to one task.
+    """Ranks over the whole table without bringing it to one task; order should be total.
 
-    Rows are dealt out by ranges of the order; each range counts its own, and only the counts of
-    the ranges are added up.
+    Rows are dealt out by ranges of the order and sorted within them, once: ranges are drawn from
+    samples, so that a second evaluation may deal differently.  The id that Spark gives each row
+    then holds its range and its place there, and only the counts of the ranges are added up.
     """
-    dealt = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
-    within = dealt.withColumn("_at", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
-    counts = within.groupBy("_part").agg(F.max("_at").alias("_n"))  # a row for each range
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = storage.written(dealt.withColumn("_id", F.monotonically_increasing_id()), "ranked")
+    part = F.shiftright("_id", 33)
+    counts = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))  # a row for each range
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return within.join(F.broadcast(counts.select("_part", before.alias("_before"))), "_part").withColumn(rank, F.col("_at") + F.col("_before")).drop("_part", "_at", "_before")
+    placed = placed.withColumn("_part", part).join(storage.small(counts.select("_part", before.alias("_before"))), "_part")
+    return placed.withColumn(rank, F.col("_id").bitwiseAND((1 << 33) - 1) + F.col("_before") + 1).drop("_id", "_part", "_before")
 
 
 def tiers(df: DataFrame, order: Sequence[str], labels: Sequence[str], name: str = "tier") -> DataFrame:

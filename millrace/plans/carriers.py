@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import calendar, text, values
-from millrace.operators import association, outliers, regression, rules, star, windows
+from millrace.operators import association, cleaning, outliers, regression, rules, star, storage, windows
 from millrace.operators.rules import Rule
+from millrace.operators.warehouse import Constraints, Warehouse
 
 
 def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,7 +58,8 @@ def missing_days(spark, d):
     """Dense grid of days and types, mean of nearby days, Poisson flag of days without events."""
     e = _daily(spark, d).where("not (event_type = 'view' and date in (date'2024-01-10', date'2024-01-11'))")
     facts = e.groupBy("event_type", "date").agg(F.count(F.lit(1)).alias("bills"), F.lit(0).alias("items"), F.lit(0.0).alias("revenue"), F.lit(0.0).alias("avg_bill"))
-    days, types = star.spine(spark, ("2024-01-01", "2024-01-30")), t(spark, d, "events").select("event_type").distinct()
+    types = t(spark, d, "events").select("event_type").distinct()
+    days = _daily(spark, d).agg(F.min("date").alias("a"), F.max("date").alias("z")).select(F.explode(F.sequence("a", "z")).alias("date"))
     grid = star.densified(types.join(F.broadcast(days)), facts, ["event_type", "date"], {"bills": 0, "items": 0, "revenue": 0.0, "avg_bill": 0.0})
     marked = star.mark_missing(grid.withColumnRenamed("event_type", "branch").withColumns({"is_weekend": F.weekday("date") >= 5, "is_holiday": F.lit(False)}))
     return marked.select(F.col("branch").alias("event_type"), "date", "bills", F.round("expected_bills", 6).alias("expected_bills"), F.round("p_zero", 6).alias("p_zero"), "data_missing")
@@ -63,21 +67,21 @@ def missing_days(spark, d):
 
 MISSING_SQL = """
 WITH e AS (SELECT event_type, CAST(ts AS DATE) AS date FROM events), f AS (SELECT event_type, date, count(*) AS n FROM e WHERE NOT (event_type = 'view' AND date IN (DATE '2024-01-10', DATE '2024-01-11')) GROUP BY 1, 2),
-g AS (SELECT event_type, date, coalesce(n, 0) AS bills, isodow(date) >= 6 AS off FROM (SELECT DISTINCT event_type FROM e) CROSS JOIN (SELECT CAST(unnest(range(DATE '2024-01-01', DATE '2024-01-31', INTERVAL 1 DAY)) AS DATE) AS date) LEFT JOIN f USING (event_type, date)),
+g AS (SELECT event_type, date, coalesce(n, 0) AS bills, isodow(date) >= 6 AS off FROM (SELECT DISTINCT event_type FROM e) CROSS JOIN (SELECT CAST(unnest(range((SELECT min(date) FROM e), (SELECT max(date) FROM e) + INTERVAL 1 DAY, INTERVAL 1 DAY)) AS DATE) AS date) LEFT JOIN f USING (event_type, date)),
 m AS (SELECT *, coalesce(avg(CASE WHEN bills > 0 THEN bills END) OVER (PARTITION BY event_type, off ORDER BY date RANGE BETWEEN INTERVAL 14 DAY PRECEDING AND INTERVAL 14 DAY FOLLOWING), 0) AS lam, count(*) OVER () AS total FROM g),
 z AS (SELECT *, bills = 0 AND exp(-lam) < 0.01 / total AS gone FROM m)
 SELECT event_type, date, CASE WHEN NOT gone THEN bills END AS bills, CASE WHEN bills = 0 THEN round(CAST(lam AS DOUBLE), 6) END AS expected_bills, CASE WHEN bills = 0 THEN round(exp(-lam), 6) END AS p_zero, gone AS data_missing FROM z"""
 
 
 def density_noise(spark, d):
-    """Noise of a one-dimensional density clustering of order values in thousands, off the grid."""
-    v = t(spark, d, "orders").select("o_orderkey", F.round(F.col("o_totalprice") / 100).cast("double").alias("v"))
-    return outliers.density_noise(v, "v", 3, 10).where("dbscan").select("o_orderkey", "v")
+    """Noise of a one-dimensional density clustering of order values in tens: sparse values far out."""
+    v = t(spark, d, "orders").select("o_orderkey", F.round(F.col("o_totalprice") / 10).cast("double").alias("v"))
+    return outliers.density_noise(v, "v", 3, 6).where("dbscan").select("o_orderkey", "v")
 
 
 NOISE_SQL = """
-WITH v AS (SELECT o_orderkey, round(o_totalprice / 100) AS v FROM orders), h AS (SELECT v, count(*) AS n FROM v GROUP BY 1),
-c AS (SELECT v, sum(n) OVER (ORDER BY v RANGE BETWEEN 3 PRECEDING AND 3 FOLLOWING) >= 10 AS core FROM h), z AS (SELECT v, NOT bool_or(core) OVER (ORDER BY v RANGE BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS noise FROM c)
+WITH v AS (SELECT o_orderkey, round(o_totalprice / 10) AS v FROM orders), h AS (SELECT v, count(*) AS n FROM v GROUP BY 1),
+c AS (SELECT v, sum(n) OVER (ORDER BY v RANGE BETWEEN 3 PRECEDING AND 3 FOLLOWING) >= 6 AS core FROM h), z AS (SELECT v, NOT bool_or(core) OVER (ORDER BY v RANGE BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS noise FROM c)
 SELECT o_orderkey, v FROM v JOIN z USING (v) WHERE noise"""
 
 
@@ -127,20 +131,29 @@ SELECT event_type, date, round(lag(v, 7) OVER w, 4) AS lag7, round(CASE WHEN max
 
 
 def popular_hits(spark, d):
-    """Leave-one-out hit rate of the popularity baseline over part types, trained on orders before 2001."""
-    lines = t(spark, d, "lineitem").select("l_orderkey", "l_partkey").join(t(spark, d, "part").select("p_partkey", "p_type"), F.col("l_partkey") == F.col("p_partkey")).join(t(spark, d, "orders").select("o_orderkey", "o_orderdate"), F.col("l_orderkey") == F.col("o_orderkey"))
-    train, test = (association.baskets(lines.where(c), "l_orderkey", "p_type") for c in ("o_orderdate < '2001-01-01'", "o_orderdate >= '2001-01-01'"))
-    rules_ = association.mine_rules(train, 2.0, 2.0, 2.0)
-    return association.hit_rate(test, rules_, association.popular_items(train), 3).where("method = 'baseline'").select("cases", F.round("hit_1", 6).alias("hit_1"), F.round("hit_k", 6).alias("hit_3"))
+    """Leave-one-out hit rates by rules and by popularity over manufacturers, trained on orders before 2001."""
+    lines = t(spark, d, "lineitem").select("l_orderkey", "l_partkey").join(t(spark, d, "part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey")).join(t(spark, d, "orders").select("o_orderkey", "o_orderdate"), F.col("l_orderkey") == F.col("o_orderkey"))
+    train, test = (association.baskets(lines.where(c), "l_orderkey", "p_brand") for c in ("o_orderdate < '2001-01-01'", "o_orderdate >= '2001-01-01'"))
+    found = association.hit_rate(test, association.mine_rules(train, 0.01, 0.1, 1.0), association.popular_items(train), 3)
+    return found.select("method", "cases", F.round("hit_1", 6).alias("hit_1"), F.round("hit_k", 6).alias("hit_3"), F.round("with_rule", 6).alias("with_rule"))
 
 
 HITS_SQL = """
-WITH l AS (SELECT DISTINCT l_orderkey AS r, p_type AS i, o_orderdate >= TIMESTAMP '2001-01-01' AS test FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey),
-pop AS (SELECT i, row_number() OVER (ORDER BY count(*) DESC, i) AS k FROM l WHERE NOT test GROUP BY i),
+WITH l AS (SELECT DISTINCT l_orderkey AS r, p_brand AS i, o_orderdate >= TIMESTAMP '2001-01-01' AS test FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey),
+tr AS (SELECT r, i FROM l WHERE NOT test), cnt AS (SELECT i, count(*) AS n FROM tr GROUP BY 1), tot AS (SELECT count(DISTINCT r) AS n FROM tr),
+pr AS (SELECT x.i AS a, y.i AS b, count(*) AS n FROM tr x JOIN tr y ON x.r = y.r AND x.i <> y.i GROUP BY 1, 2),
+ru AS (SELECT a, b, CAST(pr.n AS DOUBLE) / ca.n AS conf, CAST(pr.n AS DOUBLE) * tot.n / (ca.n * cb.n) AS lift FROM pr JOIN cnt ca ON ca.i = a JOIN cnt cb ON cb.i = b CROSS JOIN tot
+  WHERE CAST(pr.n AS DOUBLE) / tot.n >= 0.01 AND CAST(pr.n AS DOUBLE) / ca.n >= 0.1 AND CAST(pr.n AS DOUBLE) * tot.n / (ca.n * cb.n) >= 1.0),
+pop AS (SELECT i, row_number() OVER (ORDER BY n DESC, i) AS k FROM cnt),
 b AS (SELECT r, i FROM l WHERE test), n AS (SELECT r FROM b GROUP BY 1 HAVING count(*) > 1), c AS (SELECT b.r, b.i AS hidden FROM b JOIN n USING (r)),
-o AS (SELECT c.r, c.hidden, pop.i, row_number() OVER (PARTITION BY c.r, c.hidden ORDER BY pop.k) AS rank FROM c CROSS JOIN pop WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.r = c.r AND b.i = pop.i AND b.i <> c.hidden)),
-h AS (SELECT r, hidden, max(CASE WHEN i = hidden AND rank = 1 THEN 1.0 ELSE 0 END) AS h1, max(CASE WHEN i = hidden AND rank <= 3 THEN 1.0 ELSE 0 END) AS h3 FROM o GROUP BY 1, 2)
-SELECT count(*) AS cases, round(CAST(avg(h1) AS DOUBLE), 6) AS hit_1, round(CAST(avg(h3) AS DOUBLE), 6) AS hit_3 FROM h"""
+sh AS (SELECT c.r, c.hidden, b.i FROM c JOIN b ON b.r = c.r AND b.i <> c.hidden),
+rp AS (SELECT sh.r, sh.hidden, ru.b AS i, max(ru.lift) AS lift, arg_max(ru.conf, (ru.lift, ru.conf)) AS conf FROM sh JOIN ru ON ru.a = sh.i GROUP BY 1, 2, 3),
+ca AS (SELECT 'model' AS method, r, hidden, i, 0 AS kind, -lift AS o1, -conf AS o2 FROM rp
+  UNION ALL SELECT 'model', c.r, c.hidden, pop.i, 1, k, 0 FROM c CROSS JOIN pop WHERE NOT EXISTS (SELECT 1 FROM rp WHERE rp.r = c.r AND rp.hidden = c.hidden AND rp.i = pop.i)
+  UNION ALL SELECT 'baseline', c.r, c.hidden, pop.i, 1, k, 0 FROM c CROSS JOIN pop),
+o AS (SELECT *, row_number() OVER (PARTITION BY method, r, hidden ORDER BY kind, o1, o2, i) AS rank FROM ca WHERE NOT EXISTS (SELECT 1 FROM sh WHERE sh.r = ca.r AND sh.hidden = ca.hidden AND sh.i = ca.i)),
+h AS (SELECT method, r, hidden, max(CASE WHEN i = hidden AND rank = 1 THEN 1.0 ELSE 0 END) AS h1, max(CASE WHEN i = hidden AND rank <= 3 THEN 1.0 ELSE 0 END) AS h3, max(CASE WHEN rank <= 3 AND kind = 0 THEN 1.0 ELSE 0 END) AS w FROM o GROUP BY 1, 2, 3)
+SELECT method, count(*) AS cases, round(CAST(avg(h1) AS DOUBLE), 6) AS hit_1, round(CAST(avg(h3) AS DOUBLE), 6) AS hit_3, round(CAST(avg(w) AS DOUBLE), 6) AS with_rule FROM h GROUP BY 1"""
 
 
 def repeated_keys(spark, d):
@@ -149,8 +162,8 @@ def repeated_keys(spark, d):
 
 def keep_first(spark, d):
     """The first document of each text; texts are compared by their whole value."""
-    docs = t(spark, d, "documents").groupBy("text").agg(F.min("doc_id").alias("doc_id"))
-    return docs.select("doc_id")
+    docs = t(spark, d, "documents").select("doc_id", "text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("_h"))
+    return windows.keep_first(docs, ["_h", "text"], ["doc_id"]).select("doc_id")
 
 
 def json_field(spark, d):
@@ -222,15 +235,17 @@ def unpivot(spark, d):
 def incremental(spark, d):
     """Rows sent from the high-water mark on, and those of them that are new."""
     e = t(spark, d, "events").select("event_id", F.to_date("ts").alias("day"))
-    base = e.where("day < date'2024-01-20' or event_id % 7 = 0 and day = date'2024-01-20'")
-    sent = e.join(F.broadcast(base.agg(F.max("day").alias("high")))).where("day >= high")
-    new = sent.join(base.select("event_id"), "event_id", "left_anti")
-    return base.agg(F.count(F.lit(1)).alias("base")).join(sent.agg(F.count(F.lit(1)).alias("sent"))).join(new.agg(F.count(F.lit(1)).alias("inserted")))
+    warehouse = Warehouse(spark, f"{storage.shared_dir(spark)}/incremental-{uuid.uuid4().hex[:12]}", {"events": Constraints(key=["event_id"])})
+    warehouse.refresh({"events": e.where("day < date'2024-01-20' or event_id % 7 = 0 and day = date'2024-01-20'").withColumn("day", F.unix_date("day"))})
+    base = warehouse.table("events").agg(F.count(F.lit(1)).alias("base"))
+    sent, inserted = warehouse.load_incremental(e.withColumn("day", F.unix_date("day")), "events", ["event_id"], "day")
+    after = warehouse.table("events").agg(F.count(F.lit(1)).alias("after"), F.countDistinct("event_id").alias("ids"))
+    return base.select("base", F.lit(sent).cast("long").alias("sent"), F.lit(inserted).cast("long").alias("inserted")).join(after)
 
 
 INCREMENTAL_SQL = """
 WITH e AS (SELECT event_id, CAST(ts AS DATE) AS day FROM events), b AS (SELECT * FROM e WHERE day < DATE '2024-01-20' OR event_id % 7 = 0 AND day = DATE '2024-01-20'), s AS (SELECT * FROM e WHERE day >= (SELECT max(day) FROM b))
-SELECT (SELECT count(*) FROM b) AS base, (SELECT count(*) FROM s) AS sent, (SELECT count(*) FROM s WHERE event_id NOT IN (SELECT event_id FROM b)) AS inserted"""
+SELECT (SELECT count(*) FROM b) AS base, (SELECT count(*) FROM s) AS sent, (SELECT count(*) FROM s WHERE event_id NOT IN (SELECT event_id FROM b)) AS inserted, (SELECT count(*) FROM e) AS after, (SELECT count(DISTINCT event_id) FROM e) AS ids"""
 
 
 def outlier_flags(spark, d):
@@ -266,8 +281,7 @@ SELECT count(*) AS n, 'both' AS kind FROM (SELECT * FROM e INTERSECT SELECT * FR
 def mode_fill(spark, d):
     """Priorities that are unknown filled with the status's most frequent one."""
     o = t(spark, d, "orders").select("o_orderkey", "o_orderstatus", F.when(F.col("o_orderkey") % 7 != 0, F.col("o_orderpriority")).alias("p"))
-    known = o.groupBy("o_orderstatus").agg(F.mode("p", True).alias("m"))
-    return o.join(F.broadcast(known), "o_orderstatus", "left").select("o_orderkey", F.coalesce("p", "m").alias("priority"), F.col("p").isNull().alias("imputed"))
+    return cleaning.filled_by_mode(o, "p", "o_orderstatus", F.lit(True)).select("o_orderkey", F.col("p").alias("priority"), F.col("_filled").alias("imputed"))
 
 
 FILL_SQL = """
@@ -301,6 +315,52 @@ WITH s AS (SELECT o_custkey, o_orderpriority, sum(CAST(o_totalprice AS DECIMAL(1
 SELECT o_custkey, o_orderpriority AS favourite FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY v DESC, o_orderpriority) AS k FROM s) WHERE k = 1"""
 
 
+def members_rolled(spark, d):
+    """Customers as members: roll-up of their lines, favourites, age group and spending tier."""
+    lines = t(spark, d, "lineitem").join(t(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate"), F.col("l_orderkey") == F.col("o_orderkey"))
+    sales = lines.select(F.col("o_custkey").alias("member_id"), F.col("l_orderkey").alias("receipt_id"), F.col("l_partkey").alias("product_id"), F.col("l_returnflag").alias("branch"), F.col("l_quantity").cast("decimal(18,2)").alias("qty"), F.col("l_extendedprice").cast("decimal(18,2)").alias("line_total"), F.to_date("o_orderdate").alias("date"))
+    people = t(spark, d, "customer").select(F.col("c_custkey").alias("member_id"), F.col("c_name").alias("full_name"), F.col("c_name").alias("phone"), (F.lit(1950) + F.col("c_custkey") % 60).cast("int").alias("birth_year"))
+    products = t(spark, d, "part").select(F.col("p_partkey").alias("product_id"), F.col("p_brand").alias("category"))
+    out = star.dim_member(people, sales, products, "salt")
+    return out.select("member_id", F.col("total_spent").cast("double").alias("total_spent"), F.col("n_bills").cast("long").alias("n_bills"), F.col("n_items").cast("double").alias("n_items"), "favorite_category", "favorite_branch", F.col("age").cast("long").alias("age"), "age_group", "spend_tier")
+
+
+MEMBERS_SQL = """
+WITH s AS (SELECT o_custkey AS m, l_orderkey AS r, p_brand AS c, l_returnflag AS b, CAST(l_quantity AS DECIMAL(18,2)) AS q, CAST(l_extendedprice AS DECIMAL(18,2)) AS v FROM lineitem JOIN orders ON l_orderkey = o_orderkey LEFT JOIN part ON l_partkey = p_partkey),
+g AS (SELECT m, sum(v) AS total, count(DISTINCT r) AS bills, sum(q) AS items FROM s GROUP BY 1),
+fc AS (SELECT m, c FROM (SELECT m, c, row_number() OVER (PARTITION BY m ORDER BY sum(v) DESC, c) AS k FROM s WHERE c IS NOT NULL GROUP BY 1, 2) WHERE k = 1),
+fb AS (SELECT m, b FROM (SELECT m, b, row_number() OVER (PARTITION BY m ORDER BY sum(v) DESC, b) AS k FROM s GROUP BY 1, 2) WHERE k = 1),
+k AS (SELECT g.m, row_number() OVER (ORDER BY total, g.m) - 1 AS pos, count(*) OVER () - 1 AS n FROM g JOIN customer ON c_custkey = g.m)
+SELECT c_custkey AS member_id, coalesce(CAST(total AS DOUBLE), 0) AS total_spent, coalesce(bills, 0) AS n_bills, coalesce(CAST(items AS DOUBLE), 0) AS n_items, fc.c AS favorite_category, fb.b AS favorite_branch, 2026 - (1950 + c_custkey % 60) AS age,
+  CASE WHEN 76 - c_custkey % 60 <= 22 THEN '<=22' WHEN 76 - c_custkey % 60 <= 35 THEN '23-35' WHEN 76 - c_custkey % 60 <= 50 THEN '36-50' ELSE '51+' END AS age_group,
+  CASE WHEN k.m IS NULL THEN 'ไม่เคยซื้อ' WHEN 3 * pos < n THEN 'ต่ำ' WHEN 3 * pos < 2 * n THEN 'กลาง' ELSE 'สูง' END AS spend_tier
+FROM customer LEFT JOIN g ON g.m = c_custkey LEFT JOIN fc ON fc.m = c_custkey LEFT JOIN fb ON fb.m = c_custkey LEFT JOIN k ON k.m = c_custkey"""
+
+
+def baskets_wide(spark, d):
+    """0/1 for each order and five brands, and back to the long form."""
+    lines = t(spark, d, "lineitem").join(t(spark, d, "part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
+    sales = lines.select(F.col("l_orderkey").alias("receipt_id"), F.col("p_brand").alias("product_id"), F.lit("x").alias("branch"), F.col("l_linenumber").alias("row_id"))
+    items = ["Brand#11", "Brand#12", "Brand#13", "Brand#21", "Brand#22"]
+    return association.long_baskets(star.basket(sales, items), "receipt_id", items).groupBy("item").agg(F.count(F.lit(1)).alias("n"), F.sum("receipt").alias("total"))
+
+
+BASKETS_SQL = """
+SELECT p_brand AS item, count(DISTINCT l_orderkey) AS n, CAST(sum(DISTINCT l_orderkey) AS BIGINT) AS total FROM lineitem JOIN part ON l_partkey = p_partkey
+WHERE p_brand IN ('Brand#11', 'Brand#12', 'Brand#13', 'Brand#21', 'Brand#22') GROUP BY 1"""
+
+
+def duplicates_removed(spark, d):
+    """Repeated lines go but for the first, as the cleaning step removes them."""
+    lines = t(spark, d, "lineitem").select(F.col("l_orderkey").alias("receipt_id"), F.col("l_partkey").alias("product_id"), F.col("l_linenumber").alias("line"), F.col("l_quantity").alias("qty"))
+    return windows.mark_repeats(lines, ["receipt_id", "product_id"], ["line", "qty"]).groupBy("repeat").agg(F.count(F.lit(1)).alias("n"), F.sum("qty").cast("double").alias("qty"))
+
+
+REPEATS_SQL = """
+WITH r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_partkey ORDER BY l_linenumber, l_quantity) > 1 AS repeat FROM lineitem)
+SELECT repeat, count(*) AS n, CAST(sum(l_quantity) AS DOUBLE) AS qty FROM r GROUP BY 1"""
+
+
 def ordered_coalesce(spark, d):
     """Each user's first event value in order that is above 50, on every row."""
     e = t(spark, d, "events").select("event_id", "user_id", F.when(F.col("value") > 50, F.col("value")).alias("v"), "ts")
@@ -362,6 +422,9 @@ CARRIERS = {
     "line_fit": (line_fit, "SELECT round(regr_slope(value, user_id), 8) AS slope, round(regr_intercept(value, user_id), 5) AS intercept FROM events"),
     "calendar_attributes": (calendar_attributes, CALENDAR_SQL),
     "argmax_per_group": (argmax_per_group, ARGMAX_SQL),
+    "members_rolled": (members_rolled, MEMBERS_SQL),
+    "baskets_wide": (baskets_wide, BASKETS_SQL),
+    "duplicates_removed": (duplicates_removed, REPEATS_SQL),
     "ordered_coalesce": (ordered_coalesce, COALESCE_SQL),
     "two_level_share": (rolling_share, SHARE_SQL),
     "code_translation": (code_translation, CODES_SQL),

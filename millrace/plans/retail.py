@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.operators import association, cleaning, forecast, imputation, rules, staging, star
+from millrace.operators import association, cleaning, forecast, imputation, rules, staging, star, storage
 from millrace.operators.warehouse import Warehouse
 from millrace.plans import schemas
 from millrace.sources import files
@@ -28,9 +29,9 @@ class Extracted:
     received_at: str
 
 
-def _kept(df: DataFrame, path: str) -> DataFrame:
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
+_kept = storage.kept
+#: Thresholds whose number of rules and hit rate are compared.
+TRIED = ((0.005, 0.1, 1.0), (0.01, 0.1, 1.2), (0.01, 0.2, 1.2), (0.02, 0.2, 1.2), (0.01, 0.3, 1.5))
 
 
 def extract(spark: SparkSession, raw: str, work: str) -> Extracted:
@@ -71,18 +72,74 @@ def run(spark: SparkSession, raw: str, work: str, salt: str = "", on_step: Calla
     warehouse.refresh(tables, "initial")
     verified = warehouse.verify(tables)
     on_step(6, STEPS[5])
-    fact = warehouse.table("fact_sales").join(F.broadcast(warehouse.table("dim_date").select("date_key", "month")), "date_key")
+    fact = warehouse.table("fact_sales").join(storage.small(warehouse.table("dim_date").select("date_key", "month")), "date_key")
     train, test = (association.baskets(fact.where(c), "receipt_id", "product_id") for c in ("month < 6", "month = 6"))
-    mined = _kept(association.mine_rules(train, *THRESHOLDS), f"{work}/reco_rules")
+    mined = _kept(association.mine_rules(train, *THRESHOLDS), f"{work}/mined")
+    late = association.mine_rules(test, *THRESHOLDS)
+    placed = fact.select(F.col("receipt_id").alias("receipt"), F.col("branch_id").alias("branch")).distinct()
+    warehouse.refresh({"reco_rules": association.rule_table(mined, warehouse.table("dim_product"))}, "rules", keep=True)
+    stable = _kept(association.stability(mined, late), f"{work}/rule_stability")
+    _kept(association.lift_by_branch(train, placed, mined), f"{work}/rule_lift_by_branch")
+    _kept(association.sensitivity(train, test, TRIED), f"{work}/rule_sensitivity")
     hits = {r["method"]: r for r in association.hit_rate(test, mined, association.popular_items(train)).collect()}
     on_step(7, STEPS[6])
     features = warehouse.table("model_features")
-    chosen = forecast.select_model(features)
-    week = _kept(forecast.next_week(features, warehouse.table("agg_daily"), chosen), f"{work}/forecast_next_week")
+    chosen, predictions = forecast.tables(features, warehouse.table("agg_daily"))
+    warehouse.refresh(predictions, "forecast", keep=True)
+    week = warehouse.table("forecast_next_week")
     return {
         "staging_rows": found.staging.count(), "clean_rows": sales.count(), "removed_rows": removed.count(), "members": people.count(),
         "score_before": score_before["overall_avg"], "score_after": score_after["overall_avg"], "weakest_before": score_before["weakest"], "weakest_after": score_after["weakest"],
         "imputation": table.where("chosen").first()["method"], "verified": verified.where("not passed").isEmpty(), "bills": fact.select("receipt_id").distinct().count(),
         "revenue": fact.agg(F.sum("line_total")).first()[0], "rules": mined.where("passes").count(), "hit_3": hits["model"]["hit_k"], "baseline_hit_3": hits["baseline"]["hit_k"],
-        "model": chosen, "forecast_days": week.count(),
+        "model": chosen, "forecast_days": week.count(), "stable_rules": stable.where("confidence_other is not null").count(),
     }
+
+
+def dump(spark: SparkSession, work: str, folder: str) -> list[str]:
+    """CSV copies of what a run has left in work and its warehouse; arrays are joined by semicolons."""
+    flat = lambda df: df.select(*(F.array_join(F.col(c).cast("array<string>"), ";").alias(c) if t.startswith("array") else F.col(c) for c, t in df.dtypes))
+    warehouse, names = Warehouse(spark, f"{work}/warehouse"), ["staging", "clean_sales", "removed", "members_imputed", "mined"]
+    for name in names:
+        files.write_csv(flat(spark.read.parquet(f"{work}/{name}")), f"{folder}/{name}")
+    for name in warehouse.names():
+        files.write_csv(flat(warehouse.table(name)), f"{folder}/{name}")
+    return [*names, *warehouse.names()]
+
+
+class UploadError(ValueError):
+    """An upload lacks files or columns."""
+
+
+def validate_upload(spark: SparkSession, raw: str) -> list[str]:
+    """What is missing in an uploaded folder, by file and column; empty if it can be run."""
+    expected = {FILES["nimman"]: list(schemas.NIMMAN_COLUMNS), "members.csv": [c.split()[0] for c in schemas.MEMBERS.split(", ")], "products.csv": [c.split()[0] for c in schemas.PRODUCTS.split(", ")], "holidays.csv": [c.split()[0] for c in schemas.HOLIDAYS.split(", ")]}
+    found = []
+    for name, columns in expected.items():
+        try:
+            found += [f"{name}: {c}" for c in rules.fits(spark.read.option("header", True).csv(f"{raw}/{name}"), columns)]
+        except Exception:
+            found.append(name)
+    try:
+        found += [f"{FILES['cmu']}: {c}" for c in (*schemas.CMU_COLUMNS, schemas.CMU_DATE, schemas.CMU_TIME) if files.read_cmu(spark, f"{raw}/{FILES['cmu']}").where(F.col(f"`{c}`").isNotNull()).isEmpty()]
+    except Exception:
+        found.append(FILES["cmu"])
+    try:
+        bill = files.read_receipts(spark, f"{raw}/{FILES['thaphae']}").select(F.explode("receipts").alias("bill")).select("bill.*").limit(1).first()
+        found += [f"{FILES['thaphae']}: {c}" for c in ("receipt_id", "timestamp", "items") if bill is None or bill[c] is None]
+    except Exception:
+        found.append(FILES["thaphae"])
+    return found
+
+
+def run_upload(spark: SparkSession, raw: str, uploads: str, salt: str = "") -> tuple[str, dict[str, object]]:
+    """Run an uploaded folder in a warehouse of its own below uploads; its folder goes if the run fails."""
+    if missing := validate_upload(spark, raw):
+        raise UploadError("missing: " + ", ".join(missing))
+    work = f"{uploads.rstrip('/')}/{uuid.uuid4().hex[:12]}"
+    try:
+        return work, run(spark, raw, work, salt)
+    except Exception:
+        path = spark._jvm.org.apache.hadoop.fs.Path(work)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        raise

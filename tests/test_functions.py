@@ -1,3 +1,4 @@
+import random
 import pytest
 from pyspark.sql import functions as F
 
@@ -83,3 +84,39 @@ def test_least_squares(spark):
     df = spark.range(50).select(F.col("id").cast("double").alias("x"), (F.col("id") * 2.5 + 7).alias("y"))
     fit = regression.least_squares(df, ["x"], "y")
     assert fit.weights[0] == pytest.approx(2.5) and fit.intercept == pytest.approx(7) and fit.residual_sd < 1e-4
+
+
+def test_ranks_of_many_wide_rows(spark):
+    n = 300_000
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes")}
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "256k")
+    try:
+        rows = spark.range(n).select(F.xxhash64("id").alias("k"), F.concat(F.lit("x" * 50), F.col("id").cast("string")).alias("wide"))
+        got = windows.rank_all(rows, ["k"], "rank").agg(F.count(F.lit(1)), F.countDistinct("rank"), F.min("rank"), F.max("rank"), F.countDistinct("wide")).first()
+        assert tuple(got) == (n, n, 1, n, n)
+        ranked = windows.rank_all(rows, ["k"], "rank")
+        wrong = ranked.select("rank", "k").withColumn("low", F.floor(F.col("rank") / 1000)).groupBy("low").agg(F.min("k").alias("a"), F.max("k").alias("z"))
+        spans = [tuple(r) for r in wrong.orderBy("low").select("a", "z").collect()]
+        assert all(x[1] < y[0] for x, y in zip(spans, spans[1:]))
+        sizes = [r["count"] for r in windows.tiers(rows, ["k"], ["a", "b", "c"]).groupBy("tier").count().collect()]
+        assert sorted(sizes) == [n // 3] * 3
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_noise_by_brute_force(spark):
+    rng = random.Random(3)
+    values = [round(rng.uniform(-100, 800)) / 2 for _ in range(300)] + [7.0] * 12 + [None]
+    known = [v for v in values if v is not None]
+    core = {v for v in known if sum(abs(v - w) <= 2.5 for w in known) >= 6}
+    want = {v: not any(abs(v - w) <= 2.5 for w in core) for v in known}
+    got = outliers.density_noise(spark.createDataFrame([(v,) for v in values], "v double"), "v", 2.5, 6).collect()
+    assert len(got) == len(values) and all(r["dbscan"] == want.get(r["v"], False) for r in got) and 0 < sum(want.values()) < len(want)
+
+
+def test_isolation_takes_the_same_rows_however_they_lie(spark):
+    rows = spark.range(3000).select(F.col("id").alias("row_id"), (F.col("id") % 97).cast("double").alias("v"))
+    flags = lambda df: sorted(r["row_id"] for r in outliers.isolation_forest(df, ["v"], 0.02, trees=10, key=["row_id"]).where("isolation").collect())
+    assert flags(rows) == flags(rows.repartition(7, "v"))

@@ -197,6 +197,16 @@ def test_warehouse(spark, tables, tmp_path):
     sent, added = w.load_incremental(tables["fact_sales"])
     assert sent >= added > 0 and w.table("fact_sales").count() == tables["fact_sales"].count()
     assert w.load_incremental(tables["fact_sales"])[1] == 0
+    before = w.version()
+    w.refresh(part)
+    w.load_incremental(tables["fact_sales"], also=lambda f: {"agg_hourly": f.groupBy("hour").count()})
+    assert w.version() != before and w.table("agg_hourly").agg(F.sum("count")).first()[0] == tables["fact_sales"].count() and set(w.names()) == set(tables)
+    w.refresh(part)
+    version, orphan = w.version(), tables["fact_sales"].where("date_key >= 20260601").withColumn("product_id", F.lit("P99"))
+    with pytest.raises(ConstraintError):
+        w.load_incremental(orphan.withColumn("sale_line_id", F.col("sale_line_id") + 10**9))
+    assert w.version() == version and w.table("fact_sales").count() == part["fact_sales"].count()
+    w.refresh(tables)
     w.views()
     assert serving.safe_select(spark, "select count(*) n from v_sales_enriched").first()["n"] == tables["fact_sales"].count()
     sales = spark.table("v_sales_enriched")
@@ -204,6 +214,9 @@ def test_warehouse(spark, tables, tmp_path):
     assert serving.kpis(sales).first()["bills"] == sales.select("receipt_id").distinct().count()
     assert serving.day_types(w.table("agg_daily")).count() >= 6 and serving.spend_by_age(sales).count() >= 2
     assert serving.trend(w.table("agg_daily")).count() == 543 and serving.heatmap(sales.withColumn("day_of_week", F.weekday("date"))).count() == 13
+    assert serving.filtered(sales.withColumn("month", F.month("date")), ["cmu"], (2, 3)).select("branch_id").distinct().count() == 1 and serving.tiers_by_gender(w.table("dim_member")).count() >= 3 and serving.age_counts(w.table("dim_member")).count() >= 2
+    asked = serving.run_sample_queries(spark)
+    assert len(asked) == 4 and asked["top products of each branch"].count() == 9 and asked["monthly revenue by category"].count() == 18 and not any(df.isEmpty() for df in asked.values())
     assert serving.monthly_categories(sales).count() == 18 and serving.tier_ranges(w.table("dim_member")).count() == 3 and serving.zero_days(w.table("agg_daily")).count() == 2
 
 
@@ -218,12 +231,17 @@ def test_stream_loads_once(spark, tables, tmp_path):
     assert w.table("fact_sales").count() == tables["fact_sales"].count()
 
 
-@pytest.mark.parametrize("query", ["DELETE FROM x", "DROP TABLE x", "SELECT 1; DELETE FROM x", "", "SELECT reflect('java.lang.System', 'exit', 0)", "SELECT * FROM parquet.`/etc`", "INSERT INTO x SELECT 1", "WITH a AS (SELECT 1) INSERT INTO x SELECT * FROM a"])
+@pytest.mark.parametrize("query", ["DELETE FROM x", "DROP TABLE x", "SELECT 1; DELETE FROM x", "", "SELECT reflect('java.lang.System', 'exit', 0)", "SELECT * FROM parquet.`/etc`", "INSERT INTO x SELECT 1", "WITH a AS (SELECT 1) INSERT INTO x SELECT * FROM a", "SELECT /*'*/ reflect('java.lang.System', 'getProperty', 'user.home') /*'*/", "SELECT * FROM text.`../../etc/passwd`", "SELECT (SELECT max(value) FROM text.`../../etc/passwd`) AS v", "SELECT input_file_name()"])
 def test_unsafe_sql_is_refused(spark, query):
     with pytest.raises(ValueError):
         serving.safe_select(spark, query)
 
 
+def test_safe_sql_allows_any_column_name(spark):
+    spark.range(3).selectExpr("id", "id AS `set`", "id AS `add`", "id AS cache").createOrReplaceTempView("odd")
+    assert serving.safe_select(spark, "WITH a AS (SELECT `set`, add, cache FROM odd) SELECT * FROM a WHERE cache IN (SELECT id FROM odd)").count() == 3
+
+
 def test_safe_sql_is_limited(spark):
     assert serving.safe_select(spark, "select id from range(5000)").count() == serving.MOST_ROWS
 
@@ -233,3 +251,27 @@ def test_whole_run(spark, shop, tmp_path):
     got = retail.run(spark, shop[2], str(tmp_path), "salt", lambda i, name: steps.append((i, name)))
     assert [s[1] for s in steps] == list(retail.STEPS) and got["verified"] and got["score_after"] > got["score_before"]
     assert got["staging_rows"] == got["clean_rows"] + got["removed_rows"] and got["rules"] >= 1 and got["forecast_days"] == 21
+    warehouse = Warehouse(spark, f"{tmp_path}/warehouse")
+    rules_ = warehouse.table("reco_rules")
+    assert rules_.count() == got["rules"] and rules_.where("antecedent_name is null or lift <= 0").isEmpty() and got["stable_rules"] <= got["rules"]
+    assert warehouse.table("forecast_daily").where("actual_revenue is not null and M1 is not null").count() > 0 and warehouse.table("forecast_walk_forward").select("month").distinct().count() == 3
+    assert spark.read.parquet(f"{tmp_path}/rule_sensitivity").count() == len(retail.TRIED) and spark.read.parquet(f"{tmp_path}/rule_lift_by_branch").count() == 3 * got["rules"]
+    with pytest.raises(ConstraintError):
+        warehouse.refresh({"reco_rules": rules_.withColumn("lift", F.lit(-1.0))}, keep=True)
+    names = retail.dump(spark, str(tmp_path), str(tmp_path / "csv"))
+    assert spark.read.option("header", True).csv(f"{tmp_path}/csv/fact_sales").count() == got["clean_rows"] and "reco_rules" in names
+
+
+def test_uploads(spark, shop, tmp_path):
+    import shutil
+
+    good, bad, uploads = shop[2], tmp_path / "bad", tmp_path / "uploads"
+    assert retail.validate_upload(spark, good) == []
+    shutil.copytree(good, bad)
+    lines = (bad / "members.csv").read_text().replace("phone", "telephone", 1)
+    (bad / "members.csv").write_text(lines)
+    (bad / "holidays.csv").unlink()
+    assert retail.validate_upload(spark, str(bad)) == ["members.csv: phone", "holidays.csv"]
+    with pytest.raises(retail.UploadError):
+        retail.run_upload(spark, str(bad), str(uploads))
+    assert not uploads.exists()
