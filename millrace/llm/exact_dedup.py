@@ -4,13 +4,16 @@ Texts are equal when they are identical after each run of ASCII white space beca
 
 1. One scan writes a record for each document into the shared folder: doc_id, the hash of its
    normalised text, the text's SHA-256.
-2. The records' hashes, counted with map-side combining, are the entries of the index.  Its
-   directory starts with one bit of the hash for each so many entries and doubles as long as a
-   bucket holds more than `capacity` entries; only overfull buckets split.
-3. Hashes that several documents share are collisions.  Their texts are read again, sent to the
-   owner of the bucket and chained: within a hash, texts are grouped by their bytes, so that two
-   texts with one hash get two links of the chain.  Equal texts combine before they are sent.
-4. Each document finds its link by bucket, hash and SHA-256; a hash met once needs no link.
+2. The records' distinct hashes, counted with map-side combining, are the entries of the index.
+   Its directory starts with one bit of the hash for each so many entries and doubles as long as a
+   bucket holds more than `capacity` entries; only overfull buckets split.  A bucket is a range of
+   hashes; the entries are written sorted by bucket, each owner task writing a range of them.
+3. Hashes that several documents share are collisions.  Their texts are read again and chained:
+   within a hash, texts are grouped by their bytes, so that two texts with one hash get two links
+   of the chain.  Equal texts combine before they are sent.  Links, which hold no text, go to the
+   owners of the buckets' ranges and are written there.
+4. Each document looks up its bucket in the directory and finds its link there by hash and
+   SHA-256; a hash met once needs no link.
 
 No step holds a group of copies in one task: groups exist as counts and a smallest doc_id.
 
@@ -24,6 +27,7 @@ ignored by groups() and returned by keep().
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,7 +35,7 @@ from pyspark.sql import functions as F
 from millrace.llm import common
 
 #: Entries a bucket may hold before it splits.
-CAPACITY = 1 << 16
+CAPACITY = 1 << 12
 #: Rows of about 100 bytes up to which the dropped documents are broadcast.
 DROPPED_ROWS = 300_000
 
@@ -40,63 +44,57 @@ def normalised(column: str = "text") -> Column:
     return F.regexp_replace(common.text_or_empty(column), r"[\x20\x09-\x0D]+", " ")
 
 
-def _prefix(bits: int) -> Column:
-    """The first bits of the hash, as a number."""
-    return F.shiftrightunsigned("h", 64 - bits) if bits else F.lit(0).cast("long")
+def _start(bits: int) -> Column:
+    """The hash with all but its first bits cleared: where its bucket of that depth starts."""
+    return F.shiftleft(F.shiftrightunsigned("h", 64 - bits), 64 - bits) if bits else F.lit(0).cast("long")
 
 
 def directory(entries: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Buckets (depth, prefix) of the entries' hashes; each holds `capacity` entries at most.
+    """Buckets (depth, bucket) of the entries' hashes; each holds `capacity` entries at most.
 
-    A round counts the entries below each prefix; full enough prefixes become buckets, overfull
-    ones split on one more bit.  Hashes are distinct, so that splitting ends.
+    bucket is the first hash of its range.  A round counts the entries of each range; those that
+    fit become buckets, overfull ones split on one more bit.  Hashes are distinct, so that splitting
+    ends.
     """
     total = entries.count()
     depth = max(0, math.ceil(math.log2(max(1, total / capacity))))
     buckets, rest = None, entries.select("h")
     while True:
-        counts = rest.groupBy(_prefix(depth).alias("prefix")).agg(F.count(F.lit(1)).alias("n"))
+        counts = rest.groupBy(_start(depth).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
         counts = common.save(counts, f"directory-{depth}")
-        fit = counts.where(F.col("n") <= capacity).select(F.lit(depth).alias("depth"), "prefix")
+        fit = counts.where(F.col("n") <= capacity).select(F.lit(depth).alias("depth"), "bucket")
         buckets = fit if buckets is None else buckets.unionByName(fit)
         over = counts.where(F.col("n") > capacity)
         if depth == 64 or over.isEmpty():
-            return buckets
-        rest = rest.join(common.small(over.select("prefix")), _prefix(depth) == F.col("prefix"), "left_semi")
+            return common.save(buckets, "directory")
+        rest = rest.join(common.small(over.select("bucket")), _start(depth) == F.col("bucket"), "left_semi")
         depth += 1
 
 
 def in_buckets(entries: DataFrame, buckets: DataFrame) -> DataFrame:
-    """Adds `bucket` to the entries: depth and prefix in one number, by a lookup for each depth."""
+    """Adds `bucket` to rows with a hash: of its ranges of all depths, the one in the directory."""
     depths = sorted(r[0] for r in buckets.select("depth").distinct().collect())  # 65 rows at most
-    out = None
-    for depth in depths:
-        if depth == 0:  # one bucket for all
-            return entries.withColumn("bucket", F.lit(0).cast("long"))
-        own = buckets.where(F.col("depth") == depth).select("prefix", (F.col("prefix") * 65 + depth).alias("bucket"))
-        part = entries.join(common.small(own), _prefix(depth) == F.col("prefix")).drop("prefix")
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else entries.withColumn("bucket", F.lit(0).cast("long"))
-
-
-def groups(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """For every row of docs: doc_id, keep_id, group_size, kept, text_sha256, bucket.
-
-    bucket is null where the index needed no chain, since the hash occurs once.
-    """
-    texts = docs.select("doc_id", normalised().alias("norm"))
-    records = common.save(texts.select("doc_id", F.xxhash64("norm").alias("h"), F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256")), "records")
-    entries = records.groupBy("h").agg(F.count(F.lit(1)).alias("n"))
-    collided = common.save(entries.where("n > 1").select("h"), "collided")
-    placed = common.save(in_buckets(collided, directory(collided, capacity)), "buckets")
-    chained = texts.withColumn("h", F.xxhash64("norm")).join(common.small(placed), "h")
-    chains = (
+    ranges = F.array(*(F.struct(F.lit(d).alias("depth"), _start(d).alias("bucket")) for d in depths or [0]))
+    spread = entries.select("*", F.explode(ranges).alias("_range"))
+    found = spread.select(*entries.columns, F.col("_range.depth").alias("depth"), F.col("_range.bucket").alias("bucket"))
+    return found.join(common.small(buckets), ["depth", "bucket"]).select(*entries.columns, "bucket")
+
+
+def groups(docs: DataFrame, capacity: int = CAPACITY, hashed: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
+    """For every row of docs: doc_id, keep_id, group_size, kept, text_sha256, bucket."""
+    texts = docs.select("doc_id", normalised().alias("norm")).withColumn("h", hashed(F.col("norm")))
+    records = common.save(texts.select("doc_id", "h", F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256")), "records")
+    entries = common.save(records.groupBy("h").agg(F.count(F.lit(1)).alias("n")), "entries")
+    buckets = directory(entries, capacity)
+    index = common.save(in_buckets(entries, buckets).repartitionByRange("bucket").sortWithinPartitions("bucket", "h"), "index")
+    chained = texts.join(common.small(index.where("n > 1").select("h", "bucket")), "h")
+    links = (
         chained.groupBy("bucket", "h", "norm")
         .agg(F.min("doc_id").alias("least"), F.max(F.col("doc_id").isNull()).alias("nameless"), F.count(F.lit(1)).alias("n"))
         .select("bucket", "h", F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256"), F.when(~F.col("nameless"), F.col("least")).alias("keep"), "n")
     )
-    chains = common.save(chains, "chains")
-    found = records.join(chains, ["h", "text_sha256"], "left")
+    chains = common.save(links.repartitionByRange("bucket", "h").sortWithinPartitions("bucket", "h", "text_sha256"), "chains")
+    found = in_buckets(records, buckets).join(chains, ["bucket", "h", "text_sha256"], "left")
     keep = F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("keep"))
     return found.select("doc_id", keep.alias("keep_id"), F.coalesce("n", F.lit(1)).cast("long").alias("group_size"), keep.eqNullSafe(F.col("doc_id")).alias("kept"), "text_sha256", "bucket")
 

@@ -34,11 +34,22 @@ def test_exact_keep_leaves_one_row_of_each_text(docs, spark):
 
 
 def test_directory_splits_overfull_buckets(spark):
-    entries = spark.range(3000).select(F.xxhash64("id").alias("h"))
+    # half of the hashes share their first 6 bits, so that their buckets are deeper
+    entries = spark.range(3000).select(F.when(F.col("id") % 2 == 0, F.xxhash64("id")).otherwise(F.shiftrightunsigned(F.xxhash64("id"), 6)).alias("h"))
     buckets = exact_dedup.directory(entries, 50)
     placed = exact_dedup.in_buckets(entries, buckets)
     assert placed.count() == 3000 and placed.groupBy("bucket").count().agg(F.max("count")).first()[0] <= 50
-    assert buckets.select("depth").distinct().count() >= 1
+    assert buckets.select("depth").distinct().count() >= 3 and buckets.count() == buckets.select("bucket").distinct().count()
+
+
+@pytest.mark.parametrize("hashed", [F.xxhash64, lambda c: F.shiftleft(F.xxhash64(c), 58), lambda c: F.xxhash64(F.substring(c, 1, 1))], ids=["full", "few bits", "first letter"])
+def test_exact_groups_through_split_buckets_and_collisions(docs, hashed):
+    rng = random.Random(7)
+    rows = AWKWARD + [(10 + k, " ".join(rng.choices(["a", "b", "c", "dd"], k=rng.randrange(1, 5)))) for k in range(200)]
+    got = exact_dedup.groups(docs(*rows), 8, hashed)
+    assert sorted(map(tuple, got.drop("bucket").collect()), key=str) == by_hand(rows)
+    buckets = got.select("bucket").distinct().count()
+    assert got.where("bucket is null").isEmpty() and (hashed is not F.xxhash64 or buckets > 8)
 
 
 def test_components_of_a_chain_and_a_star(spark):
@@ -86,6 +97,10 @@ def test_near_duplicates_by_brute_force(docs, n, num, den, seed):
     for k, length in enumerate((8, 12, 14, 20, 40, 90, 300)):
         base = [f"w{rng.randrange(5000)}" for _ in range(length)]
         rows += family(rng, base, 14, 100 + 20 * k, max(1, length // 12))
+    # a passage that unlike texts share makes hot keys, and a very long text
+    passage = [f"p{k}" for k in range(60)]
+    rows += [(500 + k, " ".join([f"u{rng.randrange(10**6)}" for _ in range(rng.randrange(5, 200))] + passage)) for k in range(25)]
+    rows += [(600, " ".join(f"v{k}" for k in range(30_000))), (601, " ".join(f"v{k + 40}" for k in range(30_000)))]
     rows += [rows[20], rows[-1], (9, rows[-1][1])]
     got = ngram_join.near_duplicates(docs(*rows), n, num, den).select("doc_id", "n_shingles", "component_id").collect()
     assert sorted(map(tuple, got), key=str) == expected_components(rows, n, num, den)
@@ -107,6 +122,31 @@ def test_line_dedup(docs):
     assert line_dedup.dedup_lines(docs((1, "a")).limit(0)).count() == 0
 
 
+def lines_by_hand(rows):
+    trim = lambda x: x.strip(" \t\n\v\f\r")
+    seen, out = {}, []
+    for i, text in sorted(rows):
+        lines = [trim(x) for x in text.split("\n")]
+        words = [len(re.findall(r"[^ \t-\r]+", x)) for x in lines]
+        gone = set()
+        for at in range(len(lines)):
+            for size in (1, 2, 3):
+                if at + size <= len(lines) and (size == 3 or sum(words[at : at + size]) > 50):
+                    if seen.setdefault(tuple(lines[at : at + size]), (i, at)) < (i, at):
+                        gone |= set(range(at, at + size))
+        out.append((i, sorted(gone)))
+    return out
+
+
+def test_lines_by_brute_force(docs):
+    rng = random.Random(11)
+    pool = [" ".join(rng.choices(["a", "bb", "word", "longerword" * 3], k=k)) for k in (0, 1, 3, 8, 20, 26, 30, 49, 51, 60, 120)]
+    rows = [(k, "\n".join(rng.choice([" ", ""]) + rng.choice(pool) for _ in range(rng.randrange(1, 9)))) for k in range(60)]
+    rows.append((100, "\n".join(f"line {k % 700}" for k in range(5000))))
+    got = sorted((r["doc_id"], r["removed"]) for r in line_dedup.dedup_lines(docs(*rows)).collect())
+    assert got == lines_by_hand(rows)
+
+
 def test_short_lines_count_in_windows_of_two_lines(docs):
     long, short = " ".join(f"word{k}" for k in range(47)), "a short heading line"
     rows = [(1, f"first\n{short}\n{long}\nend"), (2, f"{short}\n{long}"), (3, f"{long}\n{short}\nother"), (4, f"three words only\n{long}"), (5, f"\n{long}"), (6, f"three words only\n{long}\n")]
