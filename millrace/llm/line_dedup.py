@@ -79,7 +79,7 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE = r"""
 WITH d AS (SELECT doc_id, text, string_split(coalesce(text, ''), chr(10)) AS s FROM documents),
 t AS (SELECT doc_id, list_transform(s, lambda x: regexp_replace(x, '^[ \t\n\v\f\r]+|[ \t\n\v\f\r]+$', '', 'g')) AS s FROM d),
-w AS (SELECT doc_id, s, list_transform(s, lambda x: CASE WHEN length(x) > 100 THEN len(regexp_split_to_array(x, '[ \t\n\v\f\r]+')) ELSE 0 END) AS n FROM t),
+w AS (SELECT doc_id, s, list_transform(s, lambda x: CASE WHEN x <> '' THEN len(regexp_split_to_array(x, '[ \t\n\v\f\r]+')) ELSE 0 END) AS n FROM t),
 p AS (
   SELECT doc_id, i - 1 AS pos, 3 AS k, s[i:i + 2] AS v FROM (SELECT doc_id, s, unnest(range(1, len(s) - 1)) AS i FROM w)
   UNION ALL SELECT doc_id, i - 1, 2, s[i:i + 1] FROM (SELECT doc_id, s, n, unnest(range(1, len(s))) AS i FROM w) WHERE n[i] + n[i + 1] > 50
