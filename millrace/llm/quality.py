@@ -14,8 +14,8 @@ replacement in proportion to their weights.
 By default k is the number of documents whose log weight, without noise, is one that all of the
 target but the share FLOOR reach.  Where no n-gram is significant, that is every document.
 
-Tasks count into vectors of fixed size, which are added up in two steps; the driver gets the two
-vectors, whatever the corpus.  The k-th largest sum is found by counting leading bits, not by
+Tasks count into vectors of fixed size and send what they hold in each bucket; the sums of all
+buckets, whose number is a parameter, go to the driver, whatever the corpus.  The k-th largest sum is found by counting leading bits, not by
 sorting.
 
 Edge cases: null or empty text and text without words weigh 0; a null doc_id cannot be labelled,
@@ -72,27 +72,19 @@ def _counter(n: int, buckets: int):
             target += np.bincount(codes[own], minlength=len(raw))
             target[-1] += pc.sum(batch.column("target")).as_py() or 0
             raw[-1] += batch.num_rows
-        yield pa.RecordBatch.from_pydict({"target": [target.tobytes()], "raw": [raw.tobytes()]})
+        at = np.flatnonzero(raw)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(target[at]), pa.array(raw[at])], ["bucket", "target", "raw"])
 
     return count
 
 
-def _adder(batches):
-    total: dict[str, np.ndarray] = {}
-    for batch in batches:
-        for name in ("target", "raw"):
-            for value in batch.column(name):
-                total[name] = total.get(name, 0) + np.frombuffer(value.as_py(), np.int64)
-    if total:
-        yield pa.RecordBatch.from_pydict({k: [v.tobytes()] for k, v in total.items()})
-
-
 def models(docs: DataFrame, n: int = N, buckets: int = BUCKETS) -> np.ndarray:
     """Counts of each bucket, and last of texts, in the target and in all of docs, which has text and target (boolean)."""
-    schema = "target binary, raw binary"
-    parts = docs.select("text", "target").transform(common.map_batches, _counter(n, buckets), schema)
-    found = parts.repartition(32).transform(common.map_batches, _adder, schema).repartition(1).transform(common.map_batches, _adder, schema).collect()  # one row of fixed size
-    return np.array([np.frombuffer(found[0][k], np.int64) for k in ("target", "raw")]) if found else np.zeros((2, n * buckets + 1), np.int64)
+    parts = docs.select("text", "target").transform(common.map_batches, _counter(n, buckets), "bucket long, target long, raw long")
+    out = np.zeros((2, n * buckets + 1), np.int64)
+    for bucket, target, raw in parts.groupBy("bucket").agg(F.sum("target"), F.sum("raw")).collect():  # a row for each bucket at most
+        out[:, bucket] = target, raw
+    return out
 
 
 def _weigher(counts: np.ndarray, n: int, buckets: int):
