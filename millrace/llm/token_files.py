@@ -11,9 +11,8 @@ row holds the count within its file, so only one number for each file has to be
 
 Text is encoded as the tokenizers library encodes it, pre-token by pre-token: byte_bpe.encode()
 gathers the distinct pre-tokens of the corpus, and the library's model encodes each once.  With
-split_added, as the query has it, strings of the vocabulary's added tokens in a text are those
-tokens, as by the library's default settings; without, they are ordinary text, as by its
-encode_special_tokens.
+split_added, the default, strings of the vocabulary's added tokens in a text are those tokens, as by
+the library's own default; without, they are ordinary text.
 
 Edge cases: null text counts as empty and holds the end id alone; null doc_ids come first; rows
 that share a doc_id are ordered by a hash of their ids.  An empty table writes no rows and reads
@@ -91,7 +90,7 @@ def _rows(end: int):
     return rows
 
 
-def write(docs: DataFrame, path: str, vocabulary: str | None = None, end: int = END, split_added: bool = False) -> None:
+def write(docs: DataFrame, path: str, vocabulary: str | None = None, end: int = END, split_added: bool = True) -> None:
     """Write the ids of docs (doc_id, text), with the end id after each document."""
     with open(vocabulary or public_tokenizers.path(VOCABULARY), encoding="utf-8") as f:
         text = f.read()
@@ -127,5 +126,5 @@ def _checksums(batches):
 
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{common.shared_dir(spark)}/token-files-{common.uuid.uuid4().hex[:12]}"
-    write(common.table(spark, sf_dir, "documents"), path, split_added=True)
+    write(common.table(spark, sf_dir, "documents"), path)
     return read(spark, path).select("doc_id", "start", "n_tokens", "ids").transform(common.map_batches, _checksums, "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -64,7 +64,6 @@ def test_pack_round_trip():
 
 def test_token_files(docs, spark, tmp_path):
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    library.encode_special_tokens = True
     token_files.write(docs(*TEXTS), str(tmp_path / "t"))
     got = token_files.read(spark, str(tmp_path / "t")).orderBy("start").collect()
     assert [r["doc_id"] for r in got] == sorted((i for i, _ in TEXTS), key=lambda i: -1 if i is None else i)
@@ -206,6 +205,67 @@ def test_secret_spans_by_brute_force(spark):
     assert all(x.count() == 0 for x in secret_scan.scan(df.limit(0), F.col("lang"), F.col("source")))
 
 
+def test_ownership_by_brute_force(spark):
+    rng = random.Random(9)
+    values = [f"Ab{k:02d}xYz{k * 7919 % 100000:05d}Qw" for k in range(12)] + ["aaaaaaaaaaaa1"]
+    rows = [(k, f"token={rng.choice(values)} and token={rng.choice(values)}", f"s{rng.randrange(1 + k % 5)}", rng.choice(["en", "de", None])) for k in range(60)]
+    rows += [(100, f"token={values[0]}", None, None), (101, "token=onlyHere123456", "s9", "en")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    _, spans = secret_scan.scan(df, F.concat_ws("/", "source", "lang"), F.col("source"))
+    held = {}
+    for _, text, source, lang in rows:
+        for value in re.findall(r"token=([A-Za-z0-9]+)", text):
+            held.setdefault(value, set()).add((source, "/".join(x for x in (source, lang) if x is not None)))
+    seen = {r["value"]: (r["owners"], r["repositories"], r["class"]) for r in spans.where("kind = 'assign'").collect()}
+    assert set(seen) == set(held)
+    for value, pairs in held.items():
+        owners = len({o for o, _ in pairs})
+        want = "example" if owners >= secret_scan.EXAMPLE_OWNERS else "live" if owners == 1 and len(set(value)) >= secret_scan.RANDOM_CHARS else "unclear"
+        assert seen[value] == (owners, len(pairs), want)
+
+
+def test_language_cosines_by_plain_python(spark):
+    import math
+
+    rows = [(1, "aab aab", "x"), (2, "bba bba b", "y"), (3, "aab", "w"), (4, "zzz", None), (5, "", "x"), (6, "aab", None), (7, "bb " * 40_000, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    encoder = language_id.Encoder(64)
+
+    def vector(text):
+        out, padded = [0] * 64, [f" {w} " for w in (text or "").split()]
+        stream = " ".join(w.strip() for w in padded)
+        stream = f" {stream} " if stream else ""
+        for k in range(len(stream) - 2):
+            code = 0
+            for c in stream[k : k + 3]:
+                code = code << 21 | ord(c)
+            out = [a + int(b) for a, b in zip(out, encoder.bind(code))]
+        return out
+
+    model = {}
+    for _, text, lang in rows:
+        if lang is not None:
+            model[lang] = [a + b for a, b in zip(model.get(lang, [0] * 64), vector(text))]
+    cosine = lambda a, b: sum(x * y for x, y in zip(a, b)) / (math.sqrt(sum(x * x for x in a)) * math.sqrt(sum(x * x for x in b)))
+    got = {r["doc_id"]: r for r in language_id.predict(df, language_id.train(df, 64), ["doc_id"], 64).collect()}
+    for i, text, _ in rows:
+        if text:
+            own = vector(text)
+            best = max(sorted(model), key=lambda lang: cosine(own, model[lang]))
+            ties = {lang for lang in model if abs(cosine(own, model[lang]) - cosine(own, model[best])) < 1e-9}
+            assert got[i]["lang_pred"] in ties and abs(got[i]["score"] - max(0, cosine(own, model[best]))) < 1e-6
+    assert got[5]["lang_pred"] == "und"
+
+
+def test_counts_by_brute_force(spark):
+    rng = random.Random(8)
+    rows = [(k, " ".join(rng.choices("abcdefgh", k=rng.randrange(6))), k % 3 == 0) for k in range(80)] + [(100, None, True), (101, "a " * 50_000, False)]
+    counts = quality.models(spark.createDataFrame(rows, "doc_id long, text string, target boolean").repartition(5), 1, 1 << 16)
+    words = {w: ({i for i, t, y in rows if y and w in (t or "").split()}, {i for i, t, _ in rows if w in (t or "").split()}) for w in "abcdefgh"}
+    assert sorted(zip(*counts[:, :-1][:, counts[1, :-1] > 0].tolist())) == sorted((len(a), len(b)) for a, b in words.values())
+    assert counts[:, -1].tolist() == [sum(y for *_, y in rows), len(rows)]
+
+
 def test_resampling_prefers_the_target(spark):
     rng = random.Random(5)
     plain = [f"w{k}" for k in range(200)]
