@@ -9,11 +9,14 @@ the slot.  Tasks fold the pages they have, so that only one wrapper for each hos
 shuffled; equal ones combine, and the rest are aligned in the same way.
 
 Slots of a wrapper are content unless an element on their path is one of those that hold menus,
-headers, footers, sidebars, notices, adverts, forms or comments, by its name or by its class, id
-or role.  Where a wrapper has a main element (article, main), only slots within it are content;
-where it has none, slots whose text is the same on all of several pages, and repeated links, are
-not.  A page is read through its host's wrapper: its content is the text of its content slots.  If
-none of a page's slots is content in the wrapper, the page counts as its own wrapper.
+headers, footers, sidebars, notices, adverts, forms or comments, by its name or by a class, id or
+role all of whose words are about that: `comment-list` is, `side-effects` is not.  Within a main
+element (article, main) headers are content too.  Where a wrapper has a main element, only slots
+within it are content; where it has none, slots that every one of several pages has with the same
+text, and repeated links in lists, are not.  A page is read through its host's wrapper: its content
+is the text of its content slots.  If none of a page's slots is content in the wrapper, the page
+counts as its own wrapper.  What decides, the paths and the slots common to all pages, does not
+depend on the order in which pages are aligned.
 
 A block is the text between two tags of block elements (br included); character references are
 decoded, white space within a block is one space, and blocks are joined by a line feed.
@@ -30,6 +33,7 @@ import html as references
 import json
 import re
 from collections.abc import Iterator
+from difflib import SequenceMatcher
 from functools import reduce
 
 import pyarrow as pa
@@ -38,7 +42,9 @@ from pyspark.sql import functions as F
 
 from millrace.llm import common
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|select|iframe|svg)\b(?:[^>"']|"[^"]*"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:[^<>"']|"[^"]*"|'[^']*')*)/?>|<[!?/][^>]*>|[^<]+|<""", re.S | re.I)
+# Quotes count after an equals sign only; nothing is tried twice, so that no page takes long.
+_TAG = r"""(?>[^>=]+|=\s*"[^"]*"|=\s*'[^']*'|=)*+"""
+_TOKEN = re.compile(rf"""<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|select|iframe|svg)\b{_TAG}>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][\w:-]*)({_TAG})>|<[!?/][^>]*>|[^<]+|<""", re.S | re.I)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 BLOCKS = frozenset("address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section summary table tbody tfoot thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -47,22 +53,31 @@ CLOSES = {"p": {"p"}, "li": {"li"}, "tr": {"tr"}, "td": {"td", "th"}, "th": {"td
 _SCOPES = frozenset("table ul ol dl div article section main aside nav body td th".split())
 APART = frozenset("head title nav menu footer aside form button fieldset dialog label option".split())
 MAIN = frozenset("article main".split())
-_APART_WORDS = re.compile(r"(?:^|[^a-z])(?:nav|navbar|navigation|menu|breadcrumbs?|sidebar|side|aside|footer|foot|header|masthead|banner|ads?|advert\w*|promo\w*|sponsor\w*|cookies?|notices?|consent|gdpr|popup|modal|overlay|newsletter|subscribe|subscription|alert|comments?|repl(?:y|ies)|respond|disqus|share|sharing|social|related|recommend\w*|login|signup|search|pager|pagination|copyright|widgets?|toolbar|skip|disclaimer)(?:[^a-z]|$)")
+#: Words of classes, ids and roles whose elements are apart; and words that say no more than where or what.
+APART_WORDS = frozenset(
+    "nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer ad ads advert adverts advertisement promo promotion sponsor sponsored cookie cookies notice notices consent gdpr popup modal overlay "
+    "newsletter subscribe subscription alert comment comments reply replies respond disqus share sharing social related recommended recommendation recommendations login signup pager pagination copyright toolbar disclaimer".split()
+)
+PLAIN_WORDS = frozenset("area list section box block container wrapper wrap bar links link buttons button items item panel left right top bottom site page global primary secondary post posts article articles form thread inner message unit slot zone group title widget widgets body count media stories bottom".split())
+HEADER_WORDS = frozenset("header masthead banner search skip".split())
 _MAIN_WORDS = re.compile(r"(?:^|[^a-z])(?:articlebody|article-body|post-content|entry-content|main-content|article-content)(?:[^a-z]|$)")
-#: Pages from which on a text that is the same on all of them is part of the template.
-TEMPLATE_PAGES = 5
 #: Slots of the longest group that is looked for repeats.
 GROUP = 4
+#: Cells of the table by which two wrappers are aligned; larger ones are aligned by runs that both have.
+CELLS = 1 << 20
 
 Slot = tuple[str, str]
 
 
 def _names(tag: str, attributes: str) -> str:
-    """tag, with ! if the element's text is apart from the main text, and * if it is the main text."""
-    words = " ".join(next(filter(None, m.groups()[1:]), "") for m in _ATTRIBUTE.finditer(attributes)).lower() if attributes else ""
-    if tag in MAIN or words and (_MAIN_WORDS.search(words) or words in ("main", "article")):
+    """tag, with ! if the element is apart from the main text, ~ if it is so outside of it, and * if it is the main text."""
+    names = [n for m in _ATTRIBUTE.finditer(attributes) for n in next(filter(None, m.groups()[1:]), "").lower().split()] if attributes else []
+    words = [frozenset(filter(None, re.split(r"[^a-z0-9]+", n))) for n in names] if tag not in ("html", "body") else []
+    if tag in APART or any(w & APART_WORDS and w <= APART_WORDS | PLAIN_WORDS for w in words):
+        return f"{tag}!"
+    if tag in MAIN or any(_MAIN_WORDS.search(n) or n in MAIN for n in names):
         return f"{tag}*"
-    return f"{tag}!" if tag in APART or words and _APART_WORDS.search(words) else tag
+    return f"{tag}~" if tag == "header" or any(w & HEADER_WORDS and w <= HEADER_WORDS | APART_WORDS | PLAIN_WORDS for w in words) else tag
 
 
 def slots(html: str | None) -> Iterator[Slot]:
@@ -76,7 +91,7 @@ def slots(html: str | None) -> Iterator[Slot]:
         text = " ".join(references.unescape("".join(parts)).split())
         parts.clear()
         if text:
-            path = "/".join(name for tag, name in stack if tag in BLOCKS or name[-1] in "!*")
+            path = "/".join(name for tag, name in stack if tag in BLOCKS or name[-1] in "!*~")
             yield path + ("/a" if link else ""), text
         link = True
 
@@ -96,7 +111,7 @@ def slots(html: str | None) -> Iterator[Slot]:
             parts.append(" ")
         if closing:
             if any(t == tag for t, _ in stack):
-                if tag not in BLOCKS and any(n[-1] in "!*" for t, n in stack if t == tag):
+                if tag not in BLOCKS and any(n[-1] in "!*~" for t, n in stack if t == tag):
                     yield from block()
                 while stack.pop()[0] != tag:
                     pass
@@ -108,7 +123,7 @@ def slots(html: str | None) -> Iterator[Slot]:
                 if stack[k][0] in _SCOPES:
                     break
             name = _names(tag, attributes)
-            if name[-1] in "!*" and tag not in BLOCKS:
+            if name[-1] in "!*~" and tag not in BLOCKS:
                 yield from block()
             stack.append((tag, name))
     yield from block()
@@ -153,6 +168,21 @@ def align(a: list, b: list) -> list:
     """The wrapper of what either wrapper accepts: equal items in common order, others optional."""
     if [x[0] for x in a] == [x[0] for x in b]:
         return [_merged(x, y) for x, y in zip(a, b)]
+    begin = next((k for k, (x, y) in enumerate(zip(a, b)) if x[0] != y[0]), min(len(a), len(b)))
+    most = min(len(a), len(b)) - begin
+    end = next((k for k in range(most) if a[-1 - k][0] != b[-1 - k][0]), most)
+    head, tail = zip(a[:begin], b[:begin]), zip(a[len(a) - end :], b[len(b) - end :])
+    return collapse([*(_merged(x, y) for x, y in head), *_aligned(a[begin : len(a) - end], b[begin : len(b) - end]), *(_merged(x, y) for x, y in tail)])
+
+
+def _aligned(a: list, b: list) -> list:
+    optional = lambda x: [*x[:2], True, x[3]]
+    if len(a) * len(b) > CELLS:
+        out, i, j = [], 0, 0
+        for at, to, size in SequenceMatcher(None, [x[0] for x in a], [x[0] for x in b]).get_matching_blocks():
+            out += [*map(optional, a[i:at]), *map(optional, b[j:to]), *(_merged(x, y) for x, y in zip(a[at : at + size], b[to : to + size]))]
+            i, j = at + size, to + size
+        return out
     best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i in range(len(a) - 1, -1, -1):
         for j in range(len(b) - 1, -1, -1):
@@ -163,12 +193,12 @@ def align(a: list, b: list) -> list:
             out.append(_merged(a[i], b[j]))
             i, j = i + 1, j + 1
         elif j == len(b) or i < len(a) and best[i + 1][j] >= best[i][j + 1]:
-            out.append([*a[i][:2], True, a[i][3]])
+            out.append(optional(a[i]))
             i += 1
         else:
-            out.append([*b[j][:2], True, b[j][3]])
+            out.append(optional(b[j]))
             j += 1
-    return collapse(out)
+    return out
 
 
 def page_wrapper(page: list[Slot]) -> list:
@@ -183,41 +213,52 @@ def _leaves(items: list, repeated: bool = False) -> Iterator[tuple[str, str | No
             yield key, inner, repeated or again
 
 
-def content(items: list, pages: int) -> tuple[set[str], set[Slot]]:
+def content(items: list, common_slots: set[Slot]) -> tuple[set[str], set[Slot]]:
     """Paths that hold content, and single slots of them that don't."""
-    leaves = [(path, text, again, path.split("/")) for path, text, again in _leaves(items)]
+    leaves = [(path, again, path.split("/")) for path, _, again in _leaves(items)]
     main = any("*" in path for path, *_ in leaves)
-    paths, without = set(), set()
-    for path, text, again, names in leaves:
-        first = next((k for k, n in enumerate(names) if n.endswith("*")), None)
-        if first is None and (main or "header" in names) or any(n.endswith("!") for n in names):
-            continue
-        if again and names[-1] == "a" and "li" in names:
+    paths, listed = set(), set()
+    for path, again, names in leaves:
+        inside = any(n.endswith("*") for n in names)
+        if main and not inside or any(n.endswith("!") or n.endswith("~") and not inside for n in names):
             continue
+        if not main and again and names[-1] == "a" and "li" in names:
+            listed.add(path)
         paths.add(path)
-        if not main and text is not None and pages >= TEMPLATE_PAGES:
-            without.add((path, text))
-    return paths, without
+    return paths - listed, set() if main else common_slots
+
+
+def _common(page: list[Slot]) -> set[Slot]:
+    """A page's slots; none if it has a main element, since then they don't count."""
+    return set() if any("*" in path for path, _ in page) else set(page)
 
 
 def host_of(url: str = "url") -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
+def _packed(wrapper: list, common_slots: set[Slot]) -> str:
+    return json.dumps([wrapper, sorted(common_slots)], ensure_ascii=False)
+
+
+def _unpacked(text: str) -> tuple[list, set[Slot]]:
+    wrapper, common_slots = json.loads(text)
+    return wrapper, {(path, t) for path, t in common_slots}
+
+
 def _inferrer(batches):
     found: dict[str, list] = {}
 
     def flush() -> pa.RecordBatch:
-        return pa.RecordBatch.from_pydict({"host": list(found), "pages": [n for n, _ in found.values()], "wrapper": [json.dumps(w, ensure_ascii=False) for _, w in found.values()]}, schema=pa.schema([("host", pa.string()), ("pages", pa.int64()), ("wrapper", pa.string())]))
+        return pa.RecordBatch.from_pydict({"host": list(found), "pages": [n for n, *_ in found.values()], "wrapper": [_packed(w, c) for _, w, c in found.values()]}, schema=pa.schema([("host", pa.string()), ("pages", pa.int64()), ("wrapper", pa.string())]))
 
     for batch in batches:
         for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
-            own = page_wrapper(list(slots(page)))
-            if host in found:
-                n, before = found[host]
-                found[host] = [n + 1, align(before, own)]
-            else:
-                found[host] = [1, own]
+            if own := list(slots(page)):
+                n, before, both = found.get(host, (0, None, None))
+                found[host] = [n + 1, align(before, page_wrapper(own)), both & _common(own)] if n else [1, page_wrapper(own), _common(own)]
+            elif host not in found:
+                found[host] = [0, [], set()]
             if len(found) > 20_000:
                 yield flush()
                 found.clear()
@@ -225,10 +266,14 @@ def _inferrer(batches):
 
 
 def _joiner(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    pages, wrapper = 0, None
-    for n, text in sorted(zip(table.column("pages").to_pylist(), table.column("wrapper").to_pylist()), key=lambda x: x[1]):
-        pages, wrapper = pages + n, json.loads(text) if wrapper is None else align(wrapper, json.loads(text))
-    return pa.table({"host": [key[0].as_py()], "pages": [pages], "wrapper": [json.dumps(wrapper, ensure_ascii=False)]})
+    pages, wrapper, both = 0, None, set()
+    for text, n in sorted(zip(table.column("wrapper").to_pylist(), table.column("pages").to_pylist())):
+        own, common_slots = _unpacked(text)
+        if n:  # pages without text say nothing
+            both = common_slots if not pages else both & common_slots
+            wrapper = own if wrapper is None else align(wrapper, own)
+            pages += n
+    return pa.table({"host": [key[0].as_py()], "pages": [pages], "wrapper": [_packed(wrapper or [], both)]})
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
@@ -251,9 +296,10 @@ def _extractor(batches):
             if wrapper not in known:
                 if len(known) > 1000:
                     known.clear()
-                known[wrapper] = content(json.loads(wrapper), pages)
+                items, both = _unpacked(wrapper)
+                known[wrapper] = content(items, both if pages > 1 else set())
             own = list(slots(page))
-            texts.append("\n".join(_extract(own, *known[wrapper]) or _extract(own, *content(page_wrapper(own), 1))))
+            texts.append("\n".join(_extract(own, *known[wrapper]) or _extract(own, *content(page_wrapper(own), set()))))
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
 

@@ -172,6 +172,37 @@ def test_html_extraction(spark):
     assert html_extraction.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+ODD = [
+    ("<article><h1>A</h1><p>see</p><ul><li><a href=1>First link</a></li><li><a href=2>Second link</a></li></ul></article>", "A\nsee\nFirst link\nSecond link"),
+    ("<article><p class='side-effects'>one</p><div id='search-results'>two</div><section class=related-work>three</section><div class='comment-list'>no</div></article>", "one\ntwo\nthree"),
+    ("<body class='has-sidebar'><div id=page class=no-comments><article><header><h1>T</h1></header><p title='it's'>hello</p></article></div><div class='cookie-notice'>no</div></body>", "T\nhello"),
+    ("<div class='site-header'>no</div><div class=sidebar>no</div><p>alone</p><div id='ads'>no</div>", "alone"),
+    ("<article><p>a &lt; b = c > d</p><a href=x>l</a><p x=\"1>2\" y='>'>tail", "a < b = c > d\nl\ntail"),
+]
+
+
+def test_html_contract_cases(spark):
+    rows = [(k, f"http://h{k}.example/", html) for k, (html, _) in enumerate(ODD)]
+    # a host without a main element: what all pages share is template, however many pages there are
+    plain = "<div>Site name</div><h3>Section {k}</h3><p>text {k}</p>{more}<div>All rights</div>"
+    hosts = {2: "two", 4: "four", 9: "nine"}
+    for n, host in hosts.items():
+        rows += [(100 * n + k, f"http://{host}.example/{k}", plain.format(k=k, more="<blockquote>only here</blockquote>" if k == 1 else "")) for k in range(n)]
+    long = "".join(f"<p>b {k}</p><h2>c {k}</h2>" + "<ul><li>x</li></ul>" * (k % 3) for k in range(25_000))
+    rows += [(5000, "http://long.example/1", f"<article>{long}</article>"), (5001, "http://long.example/2", f"<article><h1>t</h1>{long[40:]}<p>end</p></article>"), (5002, "http://open.example/", "<article><p>x" + " a=1" * 20_000 + "<a b='" * 2000)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_extraction.extract(df.repartition(3)).collect()}
+    for k, (_, want) in enumerate(ODD):
+        assert got[k] == want
+    for n in hosts:
+        for k in range(n):
+            assert got[100 * n + k] == f"Section {k}\ntext {k}" + ("\nonly here" if k == 1 else "")
+    assert got[5000].count("b ") == got[5000].count("c ") == 25_000
+    assert got[5001].startswith("t\n") and got[5001].endswith("end")
+    again = {r["page_id"]: r["text"] for r in html_extraction.extract(df.orderBy(F.desc("page_id")).repartition(2)).collect()}
+    assert again == got
+
+
 def test_wrappers_have_optional_and_repeated_items():
     a, b = (html_extraction.page_wrapper(list(html_extraction.slots(h))) for h in ("<h1>A</h1><p>x</p><p>y</p><div>z</div>", "<h1>A</h1><p>x</p>"))
     wrapper = html_extraction.align(a, b)
