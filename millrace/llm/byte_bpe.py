@@ -37,8 +37,10 @@ from millrace.llm import common, pretokens, textcodes
 
 #: Bytes of text of a chunk, unless one document alone has more.
 CHUNK = 1 << 23
-#: Buckets of words; each task of the word shuffle takes some of them, one after another.
-BUCKETS = 1024
+#: Buckets of words, at least and at most; between them, as many as a shuffle has partitions.  Each
+#: task of the word shuffle takes its buckets one after another.  More buckets would cut a chunk's
+#: list into pieces of a few words.
+LEAST_BUCKETS, MOST_BUCKETS = 64, 4096
 RANKS = "byte_bpe_50k.tiktoken"
 Coder = Callable[[bytes], list[int]]
 MakeCoder = Callable[[], Coder]
@@ -103,11 +105,16 @@ def _words(buf: np.ndarray, bounds: np.ndarray, added: tuple[bytes, ...]) -> tup
     return codes[left], starts[left]
 
 
-def _exploder(added: tuple[bytes, ...]):
-    return lambda batches: _explode(batches, added)
+def bucket_count(partitions: int) -> int:
+    """Buckets of words for a shuffle of so many partitions: the same number for each of them."""
+    return min(MOST_BUCKETS, partitions * -(-LEAST_BUCKETS // partitions))
 
 
-def _explode(batches, added: tuple[bytes, ...]):
+def _exploder(added: tuple[bytes, ...], buckets: int):
+    return lambda batches: _explode(batches, added, buckets)
+
+
+def _explode(batches, added: tuple[bytes, ...], buckets: int):
     for k, (ids, buf, bounds) in enumerate(chunked(batches, CHUNK)):
         chunk = (TaskContext.get().partitionId() << 24) + k
         codes, starts = _words(buf, bounds, added)
@@ -116,7 +123,7 @@ def _explode(batches, added: tuple[bytes, ...]):
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
         counts = np.diff(np.searchsorted(starts, bounds)).astype(np.int32)
-        bucket = (distinct[order] % np.uint64(BUCKETS)).astype(np.int32)
+        bucket = (distinct[order] % np.uint64(buckets)).astype(np.int32)
         listed = np.argsort(bucket, kind="stable")
         begins = starts[first][order][listed]
         lengths = np.append(starts[1:], len(buf))[first][order][listed] - begins
@@ -206,8 +213,11 @@ def encode(docs: DataFrame, table: dict[bytes, int] | None = None, coder: MakeCo
     coder, made once in each task, may replace the table's merges; packed ids are as by pack();
     coder gets each of the tokens added as a word of its own.
     """
-    chunks = common.save_bucketed(docs.select("doc_id", "text").transform(common.map_batches, _exploder(added), CHUNKS), "chunks", "chunk", compression="zstd")
-    words = chunks.where("bucket is not null").select("chunk", "bucket", "lengths", "words").repartition("bucket").sortWithinPartitions("bucket")
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    exploder = _exploder(added, bucket_count(partitions))
+    chunks = common.save_bucketed(docs.select("doc_id", "text").transform(common.map_batches, exploder, CHUNKS), "chunks", "chunk", compression="zstd")
+    words = chunks.where("bucket is not null").select("chunk", "bucket", "lengths", "words")
+    words = words.repartitionById(min(partitions, MOST_BUCKETS), "bucket").sortWithinPartitions("bucket")
     known = words.transform(common.map_batches, _word_encoder(coder or by_ranks(table or ranks())), IDS)
     texts = chunks.where("bucket is null").select("chunk", "doc_ids", "n_words", "places", "buckets")
     return texts.groupBy("chunk").cogroup(known.groupBy("of")).applyInArrow(_reassemble_packed if packed else _reassemble, "doc_id long, n_tokens long, ids binary")

@@ -56,6 +56,12 @@ def test_bpe_round_trip(docs):
     assert byte_bpe.encode(table.limit(0)).count() == 0
 
 
+def test_buckets_are_the_same_number_for_each_partition():
+    for partitions in (1, 8, 51, 64, 200, 4096, 20_000):
+        n = byte_bpe.bucket_count(partitions)
+        assert byte_bpe.LEAST_BUCKETS <= n <= byte_bpe.MOST_BUCKETS and n % min(partitions, byte_bpe.MOST_BUCKETS) == 0
+
+
 def test_pack_round_trip():
     for n in (0, 1, 1000):
         x = np.random.default_rng(n).integers(0, 1 << 32, n)
