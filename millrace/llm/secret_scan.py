@@ -31,7 +31,7 @@ KINDS = {
     "assign": (r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 1, 8),
     "access": (r"AKIA[A-Z0-9]+", 0, 16),
     "hex": (r"[0-9a-f]{32,}", 0, 32),
-    "bare": (r"(?<![A-Za-z0-9+/_.=-])(?=[A-Za-z_-]{0,60}[0-9])(?=[0-9_-]{0,60}[A-Za-z])[A-Za-z0-9_-]{20,}", 0, 20),
+    "bare": (r"(?<![A-Za-z0-9+_-])(?=[A-Za-z_-]*+[0-9])(?=[0-9_-]*+[A-Za-z])[A-Za-z0-9_-]{20,}", 0, 20),
 }
 BASE = ("assign", "access", "hex")
 #: Owners from which on a value is an example.

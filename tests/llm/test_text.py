@@ -225,7 +225,7 @@ def test_secret_spans_by_brute_force(spark):
     parts = ["password", "PassWord", "token", "api_key", "apikey", "secret", "=", ":", " ", " ", "\"", "'", "abc", "abcdefgh1", "AKIA", "AKIA1234567890AB", "0123456789abcdef" * 2, "é", "\n", "x", "token=secret: abcdefghijkl"]
     rows = [(k, "".join(rng.choices(parts, k=rng.randrange(12))), f"s{k % 5}", "en") for k in range(300)]
     example, live = "token=EXAMPLEEXAMPLE12", "Zx9-kq27_Lm04Ttyu81QpW"
-    rows += [(1000 + k, f"copy {example}", f"s{k}", "en") for k in range(5)] + [(2000, f"bare {live} here", "s1", "en"), (2001, None, None, None), (None, "", "s1", "en")]
+    rows += [(1000 + k, f"copy {example}", f"s{k}", "en") for k in range(5)] + [(2000, f"bare {live} here", "s1", "en"), (2002, f"?sig={live}7 auth.{live}8", "s2", "en"), (2003, f"{'q' * 70}9{'z' * 5}ABCdef0123", "s3", "en"), (2001, None, None, None), (None, "", "s1", "en")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").withColumns({"row": F.lit(1), "kind": F.lit("clash")})
     ids, spans = secret_scan.scan(df, F.concat_ws("/", "source", "lang"), F.col("source"))
     assert ids.count() == len(rows)
@@ -239,6 +239,7 @@ def test_secret_spans_by_brute_force(spark):
         want += [(m.start(), "access", m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 16] + [(m.start(), "hex", m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 32]
         assert sorted(x for x in found.get(i, []) if x[1] != "live") == sorted(want)
     assert found[2000] == [(5, "live", 27)]
+    assert sorted(found[2002]) == [(5, "live", 28), (34, "live", 57)] and found[2003] == [(0, "live", 86)]
     assert all(x.count() == 0 for x in secret_scan.scan(df.limit(0), F.col("lang"), F.col("source")))
 
 
