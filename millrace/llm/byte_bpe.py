@@ -116,30 +116,42 @@ def _exploder(added: tuple[bytes, ...], buckets: int):
 
 def _explode(batches, added: tuple[bytes, ...], buckets: int):
     for k, (ids, buf, bounds) in enumerate(chunked(batches, CHUNK)):
-        chunk = (TaskContext.get().partitionId() << 24) + k
-        codes, starts = _words(buf, bounds, added)
-        distinct, first, number, times = np.unique(codes, return_index=True, return_inverse=True, return_counts=True)
-        order = np.argsort(-times, kind="stable")
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        counts = np.diff(np.searchsorted(starts, bounds)).astype(np.int32)
-        bucket = (distinct[order] % np.uint64(buckets)).astype(np.int32)
-        listed = np.argsort(bucket, kind="stable")
-        begins = starts[first][order][listed]
-        lengths = np.append(starts[1:], len(buf))[first][order][listed] - begins
-        words = textcodes.gathered(buf, begins, lengths)
-        cuts = np.append(np.flatnonzero(np.diff(bucket[listed], prepend=-1)), len(listed))
-        bytes_at = np.concatenate([[0], np.cumsum(lengths)])[cuts]
-        n = len(cuts) - 1
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([chunk] * (n + 1)), pa.array([None, *bucket[listed[cuts[:-1]]].tolist()], pa.int32()), pa.array([ids, *[None] * n], pa.list_(pa.int64())),
-                pa.array([counts, *[None] * n], pa.list_(pa.int32())), pa.array([pack(rank[number]), *[None] * n], pa.binary()), pa.array([pack(bucket), *[None] * n], pa.binary()),
-                pa.array([None, *(pack(lengths[a:b]) for a, b in zip(cuts[:-1], cuts[1:]))], pa.binary()),
-                pa.array([None, *(pa.compress(words[a:b].tobytes(), "zstd", asbytes=True) for a, b in zip(bytes_at[:-1], bytes_at[1:]))], pa.binary()),
-            ],
-            ["chunk", "bucket", "doc_ids", "n_words", "places", "buckets", "lengths", "words"],
-        )
+        yield _exploded((TaskContext.get().partitionId() << 24) + k, ids, buf, bounds, added, buckets)
+        del ids, buf, bounds  # the next chunk is gathered without this one
+
+
+def _listed(codes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the words' codes in the list of distinct ones, frequent ones first; first places and buckets of the list."""
+    distinct, first, number, times = np.unique(codes, return_index=True, return_inverse=True, return_counts=True)
+    order = np.argsort(-times, kind="stable")
+    rank = np.empty(len(order), np.uint32)
+    rank[order] = np.arange(len(order), dtype=np.uint32)
+    return rank[number], first[order], (distinct[order] % np.uint64(buckets)).astype(np.int32)
+
+
+def _exploded(chunk: int, ids: list, buf: np.ndarray, bounds: np.ndarray, added: tuple[bytes, ...], buckets: int) -> pa.RecordBatch:
+    codes, starts = _words(buf, bounds, added)
+    counts = np.diff(np.searchsorted(starts, bounds)).astype(np.int32)
+    places, first, bucket = _listed(codes, buckets)
+    del codes
+    places = pack(places)
+    listed = np.argsort(bucket, kind="stable")
+    begins = starts[first][listed]
+    lengths = np.append(starts[1:], len(buf))[first][listed] - begins
+    del starts
+    words = textcodes.gathered(buf, begins, lengths)
+    cuts = np.append(np.flatnonzero(np.diff(bucket[listed], prepend=-1)), len(listed))
+    bytes_at = np.concatenate([[0], np.cumsum(lengths)])[cuts]
+    n = len(cuts) - 1
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array([chunk] * (n + 1)), pa.array([None, *bucket[listed[cuts[:-1]]].tolist()], pa.int32()), pa.array([ids, *[None] * n], pa.list_(pa.int64())),
+            pa.array([counts, *[None] * n], pa.list_(pa.int32())), pa.array([places, *[None] * n], pa.binary()), pa.array([pack(bucket), *[None] * n], pa.binary()),
+            pa.array([None, *(pack(lengths[a:b]) for a, b in zip(cuts[:-1], cuts[1:]))], pa.binary()),
+            pa.array([None, *(pa.compress(words[a:b].tobytes(), "zstd", asbytes=True) for a, b in zip(bytes_at[:-1], bytes_at[1:]))], pa.binary()),
+        ],
+        ["chunk", "bucket", "doc_ids", "n_words", "places", "buckets", "lengths", "words"],
+    )
 
 
 def by_ranks(table: dict[bytes, int]) -> MakeCoder:
@@ -193,8 +205,9 @@ def _reassembled(chunk: pa.Table, words: pa.Table, packed: bool) -> pa.Table:
         at = np.empty(len(lengths), np.int64)
         at[np.argsort(unpack(row["buckets"]), kind="stable")] = np.arange(len(lengths))
         at = at[unpack(row["places"])]
-        ids = textcodes.gathered(flat, (np.cumsum(lengths) - lengths)[at], lengths[at])
-        ends = np.concatenate([[0], np.cumsum(lengths[at])])[np.concatenate([[0], np.cumsum(row["n_words"])])]
+        begins, lengths = (np.cumsum(lengths) - lengths)[at], lengths[at]
+        ends = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(row["n_words"])])]
+        ids = textcodes.gathered(flat, begins, lengths)
         columns = {"doc_id": pa.array(row["doc_ids"], pa.int64()), "n_tokens": pa.array(np.diff(ends), pa.int64()), "ids": pa.array([pack(ids[a:b]) if packed else ids[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:])], pa.binary())}
     return pa.table(columns)
 

@@ -139,7 +139,12 @@ def distinct_stretches(buf: np.ndarray, codes: np.ndarray, starts: np.ndarray) -
 
 
 def gathered(flat: np.ndarray, begins: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Pieces of flat, one after another."""
+    """Pieces of flat, one after another; places are worked out for some PIECE values at a time."""
     ends = np.cumsum(lengths)
-    total = int(ends[-1]) if len(ends) else 0
-    return flat[np.arange(total) + np.repeat(begins - ends + lengths, lengths)]
+    out = np.empty(int(ends[-1]) if len(ends) else 0, flat.dtype)
+    shift, at, done = begins - ends + lengths, 0, 0
+    while at < len(ends):
+        to = max(at + 1, int(np.searchsorted(ends, done + PIECE, "right")))
+        out[done : ends[to - 1]] = flat[np.arange(done, ends[to - 1]) + np.repeat(shift[at:to], lengths[at:to])]
+        at, done = to, int(ends[to - 1])
+    return out
