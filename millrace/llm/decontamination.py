@@ -6,7 +6,8 @@ at which it occurs.  Segments are written to the shared folder; any number of se
 
 phrase_matches() intersects, within each segment, the lists of a phrase's terms, each shifted by
 the term's offset.  It starts from the rarest term, so that most phrases end at a term that the
-segment doesn't have.  All phrases of a block of items are intersected at once.  near_matches()
+segment doesn't have.  The phrases of a block of items are intersected at once, in slices of a
+bounded number of occurrences.  near_matches()
 finds the shortest stretches that hold all terms of an item.
 
 The items are the stated query set.  The driver reads them in blocks of bounded size, and each
@@ -38,6 +39,8 @@ SEGMENT = 1 << 20
 #: Words of the items that are searched in one pass.
 BLOCK = 1 << 18
 WINDOW = 13
+#: Occurrences of rarest terms that are followed at once; one term's list may be longer.
+OPEN = 1 << 20
 
 INDEX = "segment long, doc_ids array<long>, n_words array<int>, terms binary, ends binary, positions binary"
 MATCHES = "segment long, ordinal int, doc_id long, item_id string, first int, last int"
@@ -151,6 +154,28 @@ def _phrases(texts: list[np.ndarray], window: int) -> tuple[np.ndarray, np.ndarr
     return terms, numbers, np.array(widths, np.int64), np.array(owners, np.int64)
 
 
+def _intersected(lists: _Postings, ranks: np.ndarray, offsets: np.ndarray, many: np.ndarray, widths: np.ndarray, owners: np.ndarray) -> list[np.ndarray]:
+    """Document, item, first and last word of the occurrences of some phrases.
+
+    ranks and offsets are a phrase's terms in the lists and their places in it, the rarest first,
+    which occurs so many times.
+    """
+    which = np.repeat(np.arange(len(many)), many)
+    within = np.arange(len(which)) - np.repeat(np.cumsum(many) - many, many)
+    start = lists.positions[lists.begins[ranks[which, 0]] + within] - offsets[which, 0]
+    ok = (start >= 0) & (start + widths[which] <= lists.bounds[-1])
+    which, start = which[ok], start[ok]
+    for k in range(1, ranks.shape[1]):
+        wanted = ranks[which, k] * lists.size + start + offsets[which, k]
+        at = np.minimum(np.searchsorted(lists.keys, wanted), len(lists.keys) - 1)
+        ok = (lists.keys[at] == wanted) | (k >= widths[which])
+        which, start = which[ok], start[ok]
+    last = start + widths[which] - 1
+    doc = lists.doc_of(start)
+    ok = lists.doc_of(last) == doc
+    return _merged(doc[ok], owners[which[ok]], start[ok], last[ok])
+
+
 def _phrase_searcher(names: list[str], texts: list[np.ndarray], window: int):
     def search(batches):
         terms, numbers, widths, owners = _phrases(texts, window)
@@ -161,22 +186,14 @@ def _phrase_searcher(names: list[str], texts: list[np.ndarray], window: int):
                 counts = np.where(numbers < 0, np.iinfo(np.int64).max, count[numbers]) if len(terms) else np.zeros((0, window), np.int64)
                 alive = np.flatnonzero(counts.min(axis=1, initial=1) > 0)
                 offsets = np.argsort(counts[alive], axis=1, kind="stable")  # from the rarest term on
-                ranks = rank[numbers[alive[:, None], offsets]]
                 many = counts[alive, offsets[:, 0]] if len(alive) else np.zeros(0, np.int64)
-                which = np.repeat(np.arange(len(alive)), many)
-                within = np.arange(len(which)) - np.repeat(np.cumsum(many) - many, many)
-                start = lists.positions[lists.begins[ranks[which, 0]] + within] - offsets[which, 0] if len(which) else which
-                ok = (start >= 0) & (start + widths[alive[which]] <= lists.bounds[-1])
-                which, start = which[ok], start[ok]
-                for k in range(1, window):
-                    wanted = ranks[which, k] * lists.size + start + offsets[which, k]
-                    at = np.minimum(np.searchsorted(lists.keys, wanted), len(lists.keys) - 1)
-                    ok = (lists.keys[at] == wanted) | (k >= widths[alive[which]])
-                    which, start = which[ok], start[ok]
-                width = widths[alive[which]]
-                doc = lists.doc_of(start)
-                ok = lists.doc_of(start + width - 1) == doc
-                found = _merged(doc[ok], owners[alive[which[ok]]], start[ok], (start + width - 1)[ok])
+                found, ends, at = [[np.zeros(0, np.int64)] * 4], np.cumsum(many), 0
+                while at < len(alive):
+                    to = max(at + 1, int(np.searchsorted(ends, ends[at] - many[at] + OPEN, "right")))
+                    own = alive[at:to]
+                    found.append(_intersected(lists, rank[numbers[own[:, None], offsets[at:to]]], offsets[at:to], many[at:to], widths[own], owners[own]))
+                    at = to
+                found = _merged(*(np.concatenate(x) for x in zip(*found)))
                 yield _matches(row, names, found, lists)
 
     return search

@@ -130,6 +130,36 @@ def test_contamination_by_brute_force(docs, spark, monkeypatch):
     assert decontamination.contamination(index, decontamination.phrase_matches(index, bench.limit(0))).where("n_hit > 0").isEmpty()
 
 
+@pytest.mark.parametrize("bound", [1, 3, 1 << 20])
+def test_slices_of_occurrences_change_nothing(docs, spark, monkeypatch, bound):
+    rng = random.Random(5)
+    rows = [(k, " ".join(rng.choices("abc", k=rng.randrange(0, 80)))) for k in range(30)]
+    items = [(k, " ".join(rng.choices("abc", k=rng.randrange(0, 12)))) for k in range(20)] + [(20, "a a a a a")]
+    index = decontamination.build_index(docs(*rows).coalesce(1)).toArrow().combine_chunks().to_batches()
+    codes = [textcodes.word_codes(*textcodes.buffer_of(pa.array([text])), textcodes.ALPHANUMERIC)[0] for _, text in items]
+    monkeypatch.setattr(decontamination, "OPEN", bound)
+    found = decontamination._phrase_searcher([str(i) for i, _ in items], codes, 4)(index)
+    got = {(r["doc_id"], int(r["item_id"]), w) for batch in found for r in batch.to_pylist() for w in range(r["first"], r["last"] + 1)}
+    want = set()
+    for doc, text in rows:
+        ws = text.split()
+        for item, phrase in items:
+            ps = phrase.split()
+            width = min(4, len(ps))
+            windows = {tuple(ps[i : i + width]) for i in range(len(ps) - width + 1)} if ps else set()
+            want |= {(doc, item, i + j) for i in range(len(ws)) for j in range(width) if tuple(ws[i : i + width]) in windows}
+    assert got == want and want
+
+
+def test_gathered_in_pieces(monkeypatch):
+    monkeypatch.setattr(textcodes, "PIECE", 5)
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 40):
+        flat, lengths = np.arange(100), rng.integers(0, 9, n)
+        begins = rng.integers(0, 90, n)
+        assert textcodes.gathered(flat, begins, lengths).tolist() == [x for b, k in zip(begins, lengths) for x in range(b, b + k)]
+
+
 def test_near_matches(docs, spark):
     index = decontamination.build_index(docs((1, "a x b y c"), (2, "c b"), (3, "a b"), (4, "a p q r s t b c")))
     found = decontamination.near_matches(index, spark.createDataFrame([(1, "c a b")], "item_id int, text string"), 5).collect()
