@@ -37,6 +37,8 @@ from millrace.llm import common, pretokens, textcodes
 
 #: Bytes of text of a chunk, unless one document alone has more.
 CHUNK = 1 << 23
+#: Bytes of text of a chunk whose words are listed at once, unless one document alone has more.
+RUN = 1 << 20
 #: Buckets of words, at least and at most; between them, as many as a shuffle has partitions.  Each
 #: task of the word shuffle takes its buckets one after another.  More buckets would cut a chunk's
 #: list into pieces of a few words.
@@ -120,25 +122,42 @@ def _explode(batches, added: tuple[bytes, ...], buckets: int):
         del ids, buf, bounds  # the next chunk is gathered without this one
 
 
-def _listed(codes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places of the words' codes in the list of distinct ones, frequent ones first; first places and buckets of the list."""
-    distinct, first, number, times = np.unique(codes, return_index=True, return_inverse=True, return_counts=True)
-    order = np.argsort(-times, kind="stable")
+def _distinct(buf: np.ndarray, bounds: np.ndarray, added: tuple[bytes, ...]) -> tuple[np.ndarray, ...]:
+    """Distinct words of some texts: codes, first places, lengths and how often; which of them each word is; words of each text."""
+    codes, starts = _words(buf, bounds, added)
+    codes, first, number, times = np.unique(codes, return_index=True, return_inverse=True, return_counts=True)
+    lengths = np.append(starts[1:], len(buf))[first] - starts[first]
+    return codes, starts[first], lengths, times, number.astype(np.uint32), np.diff(np.searchsorted(starts, bounds)).astype(np.int32)
+
+
+def _listed(buf: np.ndarray, bounds: np.ndarray, added: tuple[bytes, ...]) -> tuple[np.ndarray, ...]:
+    """Codes, first places and lengths of the distinct words, frequent ones first; places of all words in that list; words of each text.
+
+    Texts are worked through in runs, whose lists of distinct words are merged: only the places
+    have a value for each word of the whole.
+    """
+    runs, at = [], 0
+    while at < len(bounds) - 1:
+        to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + RUN, "right")) - 1)
+        codes, begins, *rest = _distinct(buf[bounds[at] : bounds[to]], bounds[at : to + 1] - bounds[at], added)
+        runs.append((codes, begins + bounds[at], *rest))
+        at = to
+    codes, begins, lengths, times = (np.concatenate(x) for x in list(zip(*runs))[:4])
+    codes, first, number = np.unique(codes, return_index=True, return_inverse=True)
+    order = np.argsort(-np.bincount(number, times, len(codes)), kind="stable")
     rank = np.empty(len(order), np.uint32)
     rank[order] = np.arange(len(order), dtype=np.uint32)
-    return rank[number], first[order], (distinct[order] % np.uint64(buckets)).astype(np.int32)
+    ends = np.cumsum([len(run[0]) for run in runs])
+    places = np.concatenate([rank[number[end - len(run[0]) : end]][run[4]] for run, end in zip(runs, ends.tolist())])
+    return codes[order], begins[first][order], lengths[first][order], places, np.concatenate([run[5] for run in runs])
 
 
 def _exploded(chunk: int, ids: list, buf: np.ndarray, bounds: np.ndarray, added: tuple[bytes, ...], buckets: int) -> pa.RecordBatch:
-    codes, starts = _words(buf, bounds, added)
-    counts = np.diff(np.searchsorted(starts, bounds)).astype(np.int32)
-    places, first, bucket = _listed(codes, buckets)
-    del codes
+    codes, begins, lengths, places, counts = _listed(buf, bounds, added)
     places = pack(places)
+    bucket = (codes % np.uint64(buckets)).astype(np.int32)
     listed = np.argsort(bucket, kind="stable")
-    begins = starts[first][listed]
-    lengths = np.append(starts[1:], len(buf))[first][listed] - begins
-    del starts
+    begins, lengths = begins[listed], lengths[listed]
     words = textcodes.gathered(buf, begins, lengths)
     cuts = np.append(np.flatnonzero(np.diff(bucket[listed], prepend=-1)), len(listed))
     bytes_at = np.concatenate([[0], np.cumsum(lengths)])[cuts]

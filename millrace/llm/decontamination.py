@@ -48,8 +48,10 @@ MATCHES = "segment long, ordinal int, doc_id long, item_id string, first int, la
 
 def _segment(number: int, ids: list, codes: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
     order = np.argsort(codes, kind="stable")
-    terms, first = np.unique(codes[order], return_index=True)
-    ends = np.append(first[1:], len(codes)).astype(np.uint32) if len(terms) else np.zeros(0, np.uint32)
+    codes = codes[order]
+    first = np.flatnonzero(np.concatenate([np.ones(min(1, len(codes)), bool), codes[1:] != codes[:-1]]))
+    terms, ends = codes[first], np.append(first[1:], len(codes)).astype(np.uint32) if len(first) else np.zeros(0, np.uint32)
+    del codes
     row = [pa.array([number]), pa.array([ids], pa.list_(pa.int64())), pa.array([counts.astype(np.int32)], pa.list_(pa.int32()))]
     row += [pa.array([x.tobytes()], pa.binary()) for x in (terms, ends, order.astype(np.uint32))]
     return pa.RecordBatch.from_arrays(row, ["segment", "doc_ids", "n_words", "terms", "ends", "positions"])

@@ -151,6 +151,19 @@ def test_slices_of_occurrences_change_nothing(docs, spark, monkeypatch, bound):
     assert got == want and want
 
 
+def test_runs_of_a_chunk_make_the_same_list(monkeypatch):
+    rng = random.Random(3)
+    texts = [" ".join(rng.choices(["a", "bb", "<|e|>", "ccc", "dd<|e|>d", "é"], k=rng.randrange(0, 9))) for _ in range(60)]
+    buf, bounds = textcodes.buffer_of(pa.array([*texts, "", "x " * 500, ""]))
+    whole = byte_bpe._listed(buf, bounds, (b"<|e|>",))
+    for run in (1, 40):
+        monkeypatch.setattr(byte_bpe, "RUN", run)
+        assert all(a.tolist() == b.tolist() for a, b in zip(whole, byte_bpe._listed(buf, bounds, (b"<|e|>",)), strict=True))
+    begins, lengths, places = whole[1:4]
+    words = [buf[a : a + n].tobytes() for a, n in zip(begins, lengths)]
+    assert b"".join(words[k] for k in places) == buf.tobytes() and len(set(words)) == len(words)
+
+
 def test_gathered_in_pieces(monkeypatch):
     monkeypatch.setattr(textcodes, "PIECE", 5)
     rng = np.random.default_rng(1)
