@@ -12,6 +12,7 @@ from functools import wraps
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 ARROW_BOUND, ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
@@ -78,7 +79,7 @@ def save_bucketed(df: DataFrame, name: str, key: str, **options) -> DataFrame:
     return out
 
 
-def map_batches(df: DataFrame, function: Callable, schema: str) -> DataFrame:
+def map_batches(df: DataFrame, function: Callable, schema: str | StructType) -> DataFrame:
     """df.mapInArrow() with bounded memory in Python workers.
 
     Batches hold ARROW_BYTES at most, unless the session has its own bound, and a worker, which

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from millrace.llm import byte_bpe, decontamination, exact_dedup, html_extraction, language_id, line_dedup, ngram_join, quality, secret_scan, token_files
+from millrace.llm import byte_bpe, decontamination, exact_dedup, html_extraction, language_id, line_dedup, ngram_join, periodic_runs, quality, secret_scan, sharding, token_files, whitening
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_byte_bpe": byte_bpe.op8_byte_bpe,
     "op9_secret_scan": secret_scan.op9_secret_scan,
     "op10_token_files": token_files.op10_token_files,
+    "op11_embedding_whitening": whitening.op11_embedding_whitening,
+    "op12_periodic_runs": periodic_runs.op12_periodic_runs,
+    "op13_sharding": sharding.op13_sharding,
 }
 
 ORACLES = {
