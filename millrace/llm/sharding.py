@@ -5,7 +5,8 @@
    the written table, so that equal texts lie together and no two keys are equal.
 2. Keys are drawn with a chance that grows with the document's size (one for each so many bytes, a
    document of at least that size always); quantiles of their weights are the boundaries of ranges,
-   moved to where a group of equal texts starts.  The number of ranges grows with the bytes, from RANGES for each shard up to MOST.
+   moved to where a group of equal texts starts.  The number of ranges grows with the bytes, from
+   RANGES for each shard up to MOST.
 3. Ranges are counted exactly.  Those of over twice their share and several records are overfull:
    further keys are drawn within them and split them, until none is left.  A group of equal texts
    that fills a range by itself, however large, splits as well, since keys are distinct.

@@ -209,7 +209,7 @@ def check_shards(rows, found, shards, slack):
 def test_shards_are_nearly_equal(spark, tmp_path):
     rng = random.Random(7)
     rows = [(i, "w" * int(rng.paretovariate(1.2) * 40) + str(i)) for i in range(3000)]
-    rows += [(3000 + i, "hot text " * 30) for i in range(1500)] + [(5000 + i, f"copy {i // 3} " * 40) for i in range(600)] + [(9000, None), (9001, "")]
+    rows += [(3000 + i, "hot text " * 30) for i in range(1500)] + [(5000 + i, f"copy {i // 3} " * 20) for i in range(600)] + [(9000, None), (9001, "")]
     rows = [(i, t and t[:20_000]) for i, t in rows]
     folder = table(spark, tmp_path, "documents", spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
     found = [(r.doc_id, r.size, r.text_crc32, r.shard, r.slot) for r in sharding.op13_sharding(spark, folder).collect()]
@@ -220,7 +220,7 @@ def test_shards_are_nearly_equal(spark, tmp_path):
     of = {r[0]: r[3] for r in found}
     for i, t in rows:
         by_text.setdefault(t, set()).add(of[i])
-    assert all(len(by_text[f"copy {k} " * 40]) == 1 for k in range(200))  # small groups stay together
+    assert all(len(by_text[f"copy {k} " * 20]) == 1 for k in range(200))  # small groups stay together
     assert len(by_text["hot text " * 30]) > 1  # a third of all rows does not
 
 
