@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import calendar, values
-from millrace.operators import windows
+from millrace.operators import storage, windows
 from millrace.plans import schemas
 
 
@@ -65,14 +65,18 @@ def favourite(sales: DataFrame, key: str, value: str, name: str) -> DataFrame:
 
 def dim_member(members: DataFrame, sales: DataFrame, products: DataFrame, salt: str, year: int = 2026) -> DataFrame:
     """Members without name and phone, with age group, roll-up of their bills and spending tier."""
-    own = sales.where("member_id is not null").join(F.broadcast(products.select("product_id", "category")), "product_id", "left")
+    own = sales.where("member_id is not null").join(storage.small(products.select("product_id", "category")), "product_id", "left")
     rolled = own.groupBy("member_id").agg(F.sum("line_total").alias("total_spent"), F.countDistinct("receipt_id").alias("n_bills"), F.sum("qty").alias("n_items"), F.min("date").alias("first_purchase"), F.max("date").alias("last_purchase"))
     rolled = rolled.join(favourite(own, "member_id", "category", "favorite_category"), "member_id", "left").join(favourite(own, "member_id", "branch", "favorite_branch"), "member_id", "left")
-    out = members.join(rolled, "member_id", "left").na.fill(0, ["total_spent", "n_bills", "n_items"])
     age = year - F.col("birth_year")
     group = calendar.band(age, schemas.AGE_GROUPS, left_open=True)
     ordinal = values.translated(group, {name: k + 1 for k, (name, _, _) in enumerate(schemas.AGE_GROUPS)})
-    out = out.withColumns({"phone_hash": hashed(F.col("phone"), salt), "age": age, "age_group": group, "age_group_ordinal": ordinal}).drop("full_name", "phone")
+    return with_spending(members.withColumns({"phone_hash": hashed(F.col("phone"), salt), "age": age, "age_group": group, "age_group_ordinal": ordinal}).drop("full_name", "phone"), rolled)
+
+
+def with_spending(members: DataFrame, rolled: DataFrame) -> DataFrame:
+    """Members with the roll-up of their bills and, if they have any, their spending tier."""
+    out = members.join(rolled, "member_id", "left").na.fill(0, ["total_spent", "n_bills", "n_items"])
     buyers = out.where("n_bills > 0")
     if buyers.limit(len(schemas.TIERS)).count() < len(schemas.TIERS):
         return out.withColumn("spend_tier", F.lit(schemas.NO_TIER))
@@ -105,31 +109,42 @@ def mark_missing(daily: DataFrame, reach: int = 14, level: float = 0.01) -> Data
 
 
 def agg_daily(sales: DataFrame, dates: DataFrame, branches: Sequence[str] = schemas.BRANCHES) -> DataFrame:
-    spark = sales.sparkSession
     facts = sales.groupBy("branch", "date").agg(F.countDistinct("receipt_id").alias("bills"), F.sum("qty").alias("items"), F.sum("line_total").alias("revenue"))
+    return daily_table(facts, dates, branches)
+
+
+def daily_table(facts: DataFrame, dates: DataFrame, branches: Sequence[str] = schemas.BRANCHES) -> DataFrame:
+    """agg_daily from bills, items and revenue by branch and date."""
+    spark = facts.sparkSession
     grid = dates.select("date", "date_key", "month", "day_of_week", "day_name", "is_weekend", "is_holiday").join(fixed(spark, "branch", branches))
     daily = densified(grid, facts, ["branch", "date"], {"bills": 0, "items": 0, "revenue": 0.0}).withColumn("avg_bill", F.when(F.col("bills") > 0, F.col("revenue") / F.col("bills")))
     return mark_missing(daily).withColumn("revenue_minmax", windows.group_minmax(F.col("revenue"), ["branch"]))
 
 
 def agg_hourly(sales: DataFrame, branches: Sequence[str] = schemas.BRANCHES) -> DataFrame:
-    spark = sales.sparkSession
-    facts = sales.where("not time_suspect").groupBy("branch", "hour").agg(F.countDistinct("receipt_id").alias("bills"), F.sum("line_total").alias("revenue"))
+    return hourly_table(sales.where("not time_suspect").groupBy("branch", "hour").agg(F.countDistinct("receipt_id").alias("bills"), F.sum("line_total").alias("revenue")), branches)
+
+
+def hourly_table(facts: DataFrame, branches: Sequence[str] = schemas.BRANCHES) -> DataFrame:
+    spark = facts.sparkSession
     grid = fixed(spark, "branch", branches).join(fixed(spark, "hour", range(schemas.OPEN_HOUR, schemas.CLOSE_HOUR)))
     return densified(grid, facts, ["branch", "hour"], {"bills": 0, "revenue": 0.0}).withColumn("time_of_day", calendar.band(F.col("hour"), schemas.TIMES_OF_DAY))
 
 
 def agg_product(sales: DataFrame, products: DataFrame, months: Sequence[int] = range(1, 7), branches: Sequence[str] = schemas.BRANCHES) -> DataFrame:
-    spark = sales.sparkSession
-    facts = sales.groupBy("product_id", "branch", "month").agg(F.sum("qty").alias("qty"), F.sum("line_total").alias("revenue"))
+    return product_table(sales.groupBy("product_id", "branch", "month").agg(F.sum("qty").alias("qty"), F.sum("line_total").alias("revenue")), products, months, branches)
+
+
+def product_table(facts: DataFrame, products: DataFrame, months: Sequence[int] = range(1, 7), branches: Sequence[str] = schemas.BRANCHES) -> DataFrame:
+    spark = facts.sparkSession
     grid = products.select("product_id", "name_th", "category").join(fixed(spark, "branch", branches)).join(fixed(spark, "month", list(months)))
     return densified(grid, facts, ["product_id", "branch", "month"], {"qty": 0.0, "revenue": 0.0})
 
 
-def basket(sales: DataFrame, products: Sequence[str]) -> DataFrame:
-    """0/1 for each receipt and product, with the receipt's branch."""
+def basket(sales: DataFrame, products: Sequence[str], order: str = "row_id") -> DataFrame:
+    """0/1 for each receipt and product, with the receipt's branch, that of its first line."""
     flags = [F.max((F.col("product_id") == p).cast("byte")).alias(p) for p in products]
-    return sales.groupBy("receipt_id").agg(F.min_by("branch", "row_id").alias("branch"), *flags)
+    return sales.groupBy("receipt_id").agg(F.min_by("branch", order).alias("branch"), *flags)
 
 
 DAYS = ("Tue", "Wed", "Thu", "Fri", "Sat", "Sun")
