@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from millrace.operators import storage, windows
 
 
-#: Items of which all pairs are listed.
-ITEMS = 20_000
+#: Items of a receipt whose pairs come from one row; larger receipts are dealt out over blocks of items.
+CELL = 256
 
 
 def baskets(lines: DataFrame, receipt: str, item: str) -> DataFrame:
@@ -24,30 +24,45 @@ def long_baskets(wide: DataFrame, receipt: str, items: Sequence[str]) -> DataFra
     return wide.unpivot([receipt], list(items), "item", "held").where("held > 0").select(F.col(receipt).alias("receipt"), "item")
 
 
-def pair_counts(long: DataFrame) -> DataFrame:
-    """(antecedent, consequent, count_ab) of items that meet in a basket.
+def pair_counts(long: DataFrame, cell: int = CELL) -> DataFrame:
+    """(antecedent, consequent, count_ab) of items that meet in a basket, either way round.
 
-    Baskets are gathered first, so that each pair comes from one row and not from a self-join.
+    Baskets are gathered first, so that each pair comes from one row and not from a self-join.  A
+    basket of more than `cell` items is several rows, one for each block of its items, and each two
+    blocks meet in a row of their own: the square is dealt out, and no row holds more than two blocks.
     """
-    sets = long.groupBy("receipt").agg(F.collect_set("item").alias("items"))
-    one = sets.select(F.explode("items").alias("antecedent"), "items")
-    both = one.select("antecedent", F.explode("items").alias("consequent")).where("antecedent <> consequent")
-    return both.groupBy("antecedent", "consequent").agg(F.count(F.lit(1)).alias("count_ab"))
-
-
-def mine_rules(long: DataFrame, support: float, confidence: float, lift: float) -> DataFrame:
-    """All ordered pairs of the items, those that never meet included, with their measures.
-
-    The item list is the vocabulary of a shop, not of its baskets: items * items rows, ITEMS items
-    at most.
+    sizes = long.groupBy("receipt").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > cell)
+    large = storage.small(storage.written(sizes.select("receipt", F.ceil(F.col("_n") / cell).cast("int").alias("_blocks")), "large"))
+    placed = long.join(large, "receipt", "left").withColumn("_blocks", F.coalesce("_blocks", F.lit(1)))
+    block = F.pmod(F.xxhash64("item"), F.col("_blocks")).cast("int")
+    sets = placed.groupBy("receipt", "_blocks", block.alias("_block")).agg(F.collect_set("item").alias("items"))
+    pair = lambda a, b: F.struct(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
+    within = sets.select(F.explode("items").alias("a"), "items").select("a", F.explode("items").alias("b")).where("a < b")
+    parts = storage.written(sets.where("_blocks > 1"), "blocks")
+    row = parts.select("receipt", F.col("_block").alias("i"), F.explode(F.sequence("_block", F.col("_blocks") - 1)).alias("j"), F.col("items").alias("left"))
+    column = parts.select("receipt", F.explode(F.sequence(F.lit(0), F.col("_block"))).alias("i"), F.col("_block").alias("j"), F.col("items").alias("right"))
+    cells = row.where("i < j").join(column.where("i < j"), ["receipt", "i", "j"])
+    across = cells.select(F.explode("left").alias("l"), "right").select("l", F.explode("right").alias("r")).select(pair(F.col("l"), F.col("r")).alias("p")).select("p.*")
+    met = within.unionByName(across).groupBy("a", "b").agg(F.count(F.lit(1)).alias("count_ab"))
+    ways = F.explode(F.array(F.struct(F.col("a").alias("antecedent"), F.col("b").alias("consequent")), F.struct(F.col("b").alias("antecedent"), F.col("a").alias("consequent"))))
+    return met.select(ways.alias("p"), "count_ab").select("p.*", "count_ab")
+
+
+def mine_rules(long: DataFrame, support: float, confidence: float, lift: float, zeros: bool = False) -> DataFrame:
+    """Ordered pairs of items that meet, with their measures; with zeros all pairs of the items.
+
+    Pairs that never meet have measures of 0.  Their list grows with the square of the items, and is
+    made for those who ask for it.
     """
     counts = long.groupBy("item").agg(F.count(F.lit(1)).alias("n_item"))
     total = long.agg(F.countDistinct("receipt").alias("n"))
-    if counts.limit(ITEMS + 1).count() > ITEMS:
-        raise ValueError(f"more than {ITEMS} items: mine categories of them instead")
     a = counts.select(F.col("item").alias("antecedent"), F.col("n_item").alias("count_a"))
     b = counts.select(F.col("item").alias("consequent"), F.col("n_item").alias("count_b"))
-    pairs = a.join(b, F.col("antecedent") != F.col("consequent")).join(pair_counts(long), ["antecedent", "consequent"], "left").na.fill(0, ["count_ab"]).join(F.broadcast(total))
+    if zeros:
+        pairs = a.join(b, F.col("antecedent") != F.col("consequent")).join(pair_counts(long), ["antecedent", "consequent"], "left").na.fill(0, ["count_ab"])
+    else:
+        pairs = pair_counts(long).join(a, "antecedent").join(b, "consequent")
+    pairs = pairs.join(F.broadcast(total)).select("antecedent", "consequent", "count_ab", "count_a", "count_b", "n")
     out = pairs.withColumns({"support": F.col("count_ab") / F.col("n"), "confidence": F.col("count_ab") / F.col("count_a")})
     out = out.withColumn("lift", F.col("count_ab").cast("double") * F.col("n") / (F.col("count_a") * F.col("count_b")))
     return out.withColumn("passes", (F.col("support") >= support) & (F.col("confidence") >= confidence) & (F.col("lift") >= lift))
@@ -59,25 +74,40 @@ def popular_items(long: DataFrame) -> DataFrame:
     return windows.rank_all(counts, ["_n", "item"], "popularity").select("item", F.col("popularity").cast("int").alias("popularity"))
 
 
-def recommend(cases: DataFrame, rules: DataFrame, popular: DataFrame, k: int = 3) -> DataFrame:
-    """Up to k items for each case of cases (case, item), best rules first, then popular items.
+def recommend_by(cases: DataFrame, rules: DataFrame, sets: int, popular: DataFrame, k: int = 3) -> DataFrame:
+    """Up to k items for each case of cases (case, item) and each of several sets of rules, in one pass.
 
-    An item that the case holds is never recommended; a consequent counts with its best rule.
-    Popular items are one sorted array, the shop's vocabulary; of its first ones, as many as the
-    case holds or has picked and k more, k at least are left.
+    rules have `sets`, the numbers below `sets` of the sets that they are in.  Best rules come first,
+    then popular items.  An item that the case holds is never recommended; a consequent counts with
+    the best of its rules in the set.  Of the popular items, as many as the largest case holds and 2 k
+    more are one sorted array; k at least of them are left for any case.
     """
-    passing = rules.where("passes").select("antecedent", "consequent", "lift", "confidence")
-    held = cases.groupBy("case").agg(F.collect_set("item").alias("held"))
-    by_rule = cases.join(storage.small(passing), F.col("item") == F.col("antecedent")).groupBy("case", F.col("consequent").alias("pick")).agg(F.max(F.struct("lift", "confidence")).alias("best"))
-    by_rule = by_rule.join(held, "case").where(~F.array_contains("held", F.col("pick")))
-    by_rule = by_rule.withColumn("rank", F.row_number().over(Window.partitionBy("case").orderBy(F.desc("best.lift"), F.desc("best.confidence"), "pick"))).where(F.col("rank") <= k)
-    ruled = by_rule.groupBy("case").agg(F.array_sort(F.collect_list(F.struct("rank", "pick"))).alias("r")).select("case", F.transform("r", lambda x: x["pick"]).alias("ruled"))
-    top = popular.agg(F.array_sort(F.collect_list(F.struct("popularity", "item"))).alias("t")).select(F.transform("t", lambda x: x["item"]).alias("top"))
-    both = held.join(ruled, "case", "left").join(F.broadcast(top)).withColumn("ruled", F.coalesce("ruled", F.slice("held", 1, 0)))
+    passing = rules.where(F.size("sets") > 0).select("antecedent", "consequent", "lift", "confidence", "sets")
+    held = storage.written(cases.groupBy("case").agg(F.collect_set("item").alias("held")), "held")
+    most = held.agg(F.coalesce(F.max(F.size("held")), F.lit(0))).first()[0] + 2 * k
+    met = cases.join(storage.small(passing), F.col("item") == F.col("antecedent")).select("case", F.explode("sets").alias("set"), F.col("consequent").alias("pick"), F.struct("lift", "confidence").alias("rule"))
+    by_rule = met.groupBy("case", "set", "pick").agg(F.max("rule").alias("best")).join(held, "case").where(~F.array_contains("held", F.col("pick")))
+    by_rule = by_rule.withColumn("rank", F.row_number().over(Window.partitionBy("case", "set").orderBy(F.desc("best.lift"), F.desc("best.confidence"), "pick"))).where(F.col("rank") <= k)
+    ruled = by_rule.groupBy("case", "set").agg(F.array_sort(F.collect_list(F.struct("rank", "pick"))).alias("r")).select("case", "set", F.transform("r", lambda x: x["pick"]).alias("ruled"))
+    top = popular.where(F.col("popularity") <= most).agg(F.array_sort(F.collect_list(F.struct("popularity", "item"))).alias("t")).select(F.transform("t", lambda x: x["item"]).alias("top"))
+    each = held.select("*", F.explode(F.array(*map(F.lit, range(sets)))).alias("set"))
+    both = each.join(ruled, ["case", "set"], "left").join(F.broadcast(top)).withColumn("ruled", F.coalesce("ruled", F.slice("held", 1, 0)))
     free = F.array_except(F.slice("top", F.lit(1), F.size("held") + F.size("ruled") + k), F.array_union("held", "ruled"))
     picks = F.slice(F.concat("ruled", free), 1, k)
-    ranked = both.select("case", F.size("ruled").alias("n"), F.posexplode(picks).alias("at", "item"))
-    return ranked.select("case", (F.col("at") + 1).alias("rank"), "item", F.when(F.col("at") < F.col("n"), "rule").otherwise("popular").alias("source"))
+    ranked = both.select("case", "set", F.size("ruled").alias("n"), F.posexplode(picks).alias("at", "item"))
+    return ranked.select("case", "set", (F.col("at") + 1).alias("rank"), "item", F.when(F.col("at") < F.col("n"), "rule").otherwise("popular").alias("source"))
+
+
+def recommend(cases: DataFrame, rules: DataFrame, popular: DataFrame, k: int = 3) -> DataFrame:
+    """Up to k items for each case of cases (case, item): case, rank, item, source (rule or popular)."""
+    return recommend_by(cases, rules.withColumn("sets", F.when(F.col("passes"), F.array(F.lit(0)))), 1, popular, k).drop("set")
+
+
+def examples(rules: DataFrame, popular: DataFrame, products: DataFrame, k: int = 3) -> DataFrame:
+    """What is recommended with each product by itself: product_id, rank, item, source, and the measures of its rule."""
+    picks = recommend(products.select(F.col("product_id").alias("case"), F.col("product_id").alias("item")), rules, popular, k)
+    measures = rules.where("passes").select(F.col("antecedent").alias("case"), F.col("consequent").alias("item"), "support", "confidence", "lift")
+    return picks.join(storage.small(measures), ["case", "item"], "left").select(F.col("case").alias("product_id"), "rank", "item", "source", "support", "confidence", "lift")
 
 
 def leave_one_out(long: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -90,15 +120,22 @@ def leave_one_out(long: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def hit_rate(test: DataFrame, rules: DataFrame, popular: DataFrame, k: int = 3) -> DataFrame:
     """Share of hidden items found first and among k, by rules and by popularity alone."""
+    sets = F.when(F.col("passes"), F.array(F.lit(0)))  # the second set has no rules
+    rates = _rates(test, rules.withColumn("sets", sets), 2, popular, k)
+    return rates.select(F.when(F.col("set") == 0, "model").otherwise("baseline").alias("method"), "cases", "hit_1", "hit_k", "with_rule")
+
+
+def _rates(test: DataFrame, rules: DataFrame, sets: int, popular: DataFrame, k: int) -> DataFrame:
+    """set, cases, hit_1, hit_k and with_rule for each set of rules: one pass over the cases."""
     cases, shown = leave_one_out(test)
-    out = None
-    for name, used in (("model", rules), ("baseline", rules.where("false"))):
-        picks = recommend(shown, used, popular, k)
-        joined = cases.join(picks, "case", "left")
-        per_case = joined.groupBy("case").agg(F.max(F.coalesce((F.col("item") == F.col("hidden")) & (F.col("rank") == 1), F.lit(False))).alias("h1"), F.max(F.coalesce(F.col("item") == F.col("hidden"), F.lit(False))).alias("hk"), F.max(F.coalesce(F.col("source") == "rule", F.lit(False))).alias("ruled"))
-        part = per_case.agg(F.lit(name).alias("method"), F.count(F.lit(1)).alias("cases"), F.avg(F.col("h1").cast("double")).alias("hit_1"), F.avg(F.col("hk").cast("double")).alias("hit_k"), F.avg(F.col("ruled").cast("double")).alias("with_rule"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    picks = recommend_by(shown, rules, sets, popular, k)
+    holds = lambda c: F.max(F.coalesce(c, F.lit(False))).cast("double")
+    found = F.col("item") == F.col("case.hidden")
+    per_case = picks.groupBy("set", "case").agg(holds(found & (F.col("rank") == 1)).alias("h1"), holds(found).alias("hk"), holds(F.col("source") == "rule").alias("ruled"))
+    sums = per_case.groupBy("set").agg(*(F.sum(c).alias(c) for c in ("h1", "hk", "ruled")))
+    every = cases.agg(F.count(F.lit(1)).alias("cases")).select("cases", F.explode(F.array(*map(F.lit, range(sets)))).alias("set"))
+    share = lambda c: F.try_divide(F.coalesce(c, F.lit(0.0)), F.col("cases"))
+    return every.join(F.broadcast(sums), "set", "left").select("set", "cases", share(F.col("h1")).alias("hit_1"), share(F.col("hk")).alias("hit_k"), share(F.col("ruled")).alias("with_rule"))
 
 
 def stability(rules: DataFrame, other: DataFrame) -> DataFrame:
@@ -108,14 +145,18 @@ def stability(rules: DataFrame, other: DataFrame) -> DataFrame:
 
 
 def sensitivity(train: DataFrame, test: DataFrame, thresholds: Sequence[tuple[float, float, float]], k: int = 3) -> DataFrame:
-    """Number of rules and hit rate for each triple of thresholds; counts are taken once."""
-    base, popular, out = mine_rules(train, 0, 0, 0), popular_items(train), None
-    for s, c, l in thresholds:
-        rules = base.withColumn("passes", (F.col("support") >= s) & (F.col("confidence") >= c) & (F.col("lift") >= l))
-        rate = hit_rate(test, rules, popular, k).where("method = 'model'").join(rules.agg(F.count_if("passes").alias("rules")))
-        part = rate.select(F.lit(s).alias("min_support"), F.lit(c).alias("min_confidence"), F.lit(l).alias("min_lift"), "rules", "hit_1", "hit_k")
-        out = part if out is None else out.unionByName(part)
-    return out
+    """Number of rules and hit rate for each triple of thresholds.
+
+    Pairs are counted once, each rule carries the numbers of the triples that it passes, and one pass
+    over the cases picks for all of them.
+    """
+    passed = (F.when((F.col("support") >= s) & (F.col("confidence") >= c) & (F.col("lift") >= l), F.lit(i)) for i, (s, c, l) in enumerate(thresholds))
+    rules = storage.written(mine_rules(train, 0, 0, 0).withColumn("sets", F.array_compact(F.array(*passed))).where(F.size("sets") > 0), "thresholds")
+    rates = _rates(test, rules, len(thresholds), popular_items(train), k)
+    counts = rules.select(F.explode("sets").alias("set")).groupBy("set").agg(F.count(F.lit(1)).alias("rules"))
+    named = train.sparkSession.createDataFrame([(i, *map(float, t)) for i, t in enumerate(thresholds)], "set int, min_support double, min_confidence double, min_lift double")
+    out = named.join(F.broadcast(rates), "set").join(F.broadcast(counts), "set", "left")
+    return out.select("min_support", "min_confidence", "min_lift", F.coalesce("rules", F.lit(0)).cast("long").alias("rules"), "hit_1", "hit_k")
 
 
 def rule_table(mined: DataFrame, products: DataFrame) -> DataFrame:

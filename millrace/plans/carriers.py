@@ -92,7 +92,7 @@ def _brands(spark, d):
 
 def pair_rules(spark, d):
     """Support, confidence and lift of all ordered pairs of brands in orders, zeros included."""
-    out = association.mine_rules(_brands(spark, d), 0.001, 0.01, 1.0)
+    out = association.mine_rules(_brands(spark, d), 0.001, 0.01, 1.0, zeros=True)
     return out.select("antecedent", "consequent", "count_ab", "count_a", *(F.round(c, 6).alias(c) for c in ("support", "confidence", "lift")), "passes")
 
 

@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -174,7 +175,24 @@ def test_forecast(tables):
     assert chosen in forecast.FEATURES
     changed = df.withColumn("revenue", F.when(F.col("month") == 6, F.col("revenue") * 9).otherwise(F.col("revenue")))
     assert forecast.select_model(changed) == chosen  # June is never seen
-    predicted, _ = forecast.predict(df.where("month < 6"), df.where("month = 6"))
+    predicted, found = forecast.predict(df.where("month < 6"), df.where("month = 6"))
+    whole = forecast.moments(df)
+    frame = forecast.interactions(df).toPandas()
+    for month in (3, 4, 6, 7):  # every nested fit from one aggregate, against the rows themselves
+        train = frame[frame.month < month]
+        for model, features in forecast.FEATURES.items():
+            x = np.column_stack([(train[f[:-2]] - train[f[:-2]].mean()) / train[f[:-2]].std(ddof=0) if f.endswith("_z") else train[f] for f in features]).astype(float)
+            weights = np.linalg.lstsq(x, train.revenue.to_numpy(float), rcond=None)[0]
+            assert whole.weights(model, month) == pytest.approx(weights, rel=1e-9, abs=1e-6)
+    assert found.weights("M1") == pytest.approx(whole.weights("M1", 6), rel=1e-9)
+    walked = {(r.month, r.model): r for r in forecast.walk_forward(df).collect()}
+    assert {m for m, _ in walked} == {4, 5, 6} and len(walked) == 9
+    for month in (4, 5, 6):
+        chosen = walked[month, "B1"].chosen
+        assert chosen == forecast.select_model(df.where(F.col("month") < month), month - 1)
+        direct = {r.model: r for r in forecast.scores(forecast.predict(df.where(F.col("month") < month), df.where(F.col("month") == month))[0]).collect()}
+        for model in ("B1", "B2", chosen):
+            assert [walked[month, model][c] for c in ("mae", "mae_pct", "rmse", "r2", "bias")] == pytest.approx([direct[model][c] for c in ("mae", "mae_pct", "rmse", "r2", "bias")], rel=1e-9)
     got = {r["model"]: r["mae"] for r in forecast.scores(predicted).collect()}
     assert set(got) == {"B1", "B2", "M1", "M2"} and got["M1"] < 2 * got["B2"]
     week = forecast.next_week(df, tables["agg_daily"], chosen)
@@ -236,7 +254,7 @@ def test_stream_loads_once(spark, tables, tmp_path):
     assert w.table("fact_sales").count() == tables["fact_sales"].count()
 
 
-@pytest.mark.parametrize("query", ["DELETE FROM x", "DROP TABLE x", "SELECT 1; DELETE FROM x", "", "SELECT reflect('java.lang.System', 'exit', 0)", "SELECT * FROM parquet.`/etc`", "INSERT INTO x SELECT 1", "WITH a AS (SELECT 1) INSERT INTO x SELECT * FROM a", "SELECT /*'*/ reflect('java.lang.System', 'getProperty', 'user.home') /*'*/", "SELECT * FROM text.`../../etc/passwd`", "SELECT (SELECT max(value) FROM text.`../../etc/passwd`) AS v", "SELECT input_file_name()"])
+@pytest.mark.parametrize("query", ["DELETE FROM x", "DROP TABLE x", "SELECT 1; DELETE FROM x", "", "SELECT reflect('java.lang.System', 'exit', 0)", "SELECT * FROM parquet.`/etc`", "INSERT INTO x SELECT 1", "WITH a AS (SELECT 1) INSERT INTO x SELECT * FROM a", "SELECT /*'*/ reflect('java.lang.System', 'getProperty', 'user.home') /*'*/", "SELECT * FROM text.`../../etc/passwd`", "SELECT (SELECT max(value) FROM text.`../../etc/passwd`) AS v", "SELECT input_file_name()", "SELECT * FROM IDENTIFIER('parquet.`/root/testdata/sf0.001/region.parquet`')", "SELECT (SELECT count(*) FROM IDENTIFIER('parquet.`/root/testdata/sf0.001/region.parquet`')) AS n", "SELECT 1 AS n WHERE 1 IN (SELECT r_regionkey FROM IDENTIFIER('parquet.`/root/testdata/sf0.001/region.parquet`'))", "WITH a AS (SELECT * FROM IDENTIFIER('par' || 'quet.`/root/testdata/sf0.001/region.parquet`')) SELECT * FROM a"])
 def test_unsafe_sql_is_refused(spark, query):
     with pytest.raises(ValueError):
         serving.safe_select(spark, query)
@@ -247,6 +265,16 @@ def test_safe_sql_allows_any_column_name(spark):
     assert serving.safe_select(spark, "WITH a AS (SELECT `set`, add, cache FROM odd) SELECT * FROM a WHERE cache IN (SELECT id FROM odd)").count() == 3
 
 
+def test_safe_sql_reads_files_through_views_only(spark, tmp_path):
+    spark.range(9).withColumn("name", F.lit("x")).write.parquet(str(tmp_path / "t"))
+    spark.read.parquet(str(tmp_path / "t")).createOrReplaceTempView("filed")
+    assert serving.safe_select(spark, "WITH a AS (SELECT id FROM filed) SELECT * FROM a JOIN filed USING (id) WHERE id IN (SELECT id FROM filed WHERE id > 3)").count() == 5
+    assert serving.safe_select(spark, "SELECT count(*) AS n FROM filed WHERE id < :most AND name = :name", args={"most": 4, "name": "x"}).first()["n"] == 4
+    assert serving.safe_select(spark, "SELECT count(*) AS n FROM filed WHERE name = ?", args=["x' OR '1'='1"]).first()["n"] == 0
+    with pytest.raises(ValueError):
+        serving.safe_select(spark, "SELECT * FROM IDENTIFIER(:t)", args={"t": f"parquet.`{tmp_path}/t`"})
+
+
 def test_safe_sql_is_limited(spark):
     assert serving.safe_select(spark, "select id from range(5000)").count() == serving.MOST_ROWS
 
