@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import calendar, text, values
-from millrace.operators import association, cleaning, outliers, regression, rules, star, storage, windows
+from millrace.operators import association, cleaning, increments, outliers, regression, rules, star, storage, windows
 from millrace.operators.rules import Rule
 from millrace.operators.warehouse import Constraints, Warehouse
 
@@ -132,8 +132,7 @@ SELECT event_type, date, round(lag(v, 7) OVER w, 4) AS lag7, round(CASE WHEN max
 
 def popular_hits(spark, d):
     """Leave-one-out hit rates by rules and by popularity over manufacturers, trained on orders before 2001."""
-    lines = t(spark, d, "lineitem").select("l_orderkey", "l_partkey").join(t(spark, d, "part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey")).join(t(spark, d, "orders").select("o_orderkey", "o_orderdate"), F.col("l_orderkey") == F.col("o_orderkey"))
-    train, test = (association.baskets(lines.where(c), "l_orderkey", "p_brand") for c in ("o_orderdate < '2001-01-01'", "o_orderdate >= '2001-01-01'"))
+    train, test = _dated_brands(spark, d)
     found = association.hit_rate(test, association.mine_rules(train, 0.01, 0.1, 1.0), association.popular_items(train), 3)
     return found.select("method", "cases", F.round("hit_1", 6).alias("hit_1"), F.round("hit_k", 6).alias("hit_3"), F.round("with_rule", 6).alias("with_rule"))
 
@@ -156,6 +155,111 @@ h AS (SELECT method, r, hidden, max(CASE WHEN i = hidden AND rank = 1 THEN 1.0 E
 SELECT method, count(*) AS cases, round(CAST(avg(h1) AS DOUBLE), 6) AS hit_1, round(CAST(avg(h3) AS DOUBLE), 6) AS hit_3, round(CAST(avg(w) AS DOUBLE), 6) AS with_rule FROM h GROUP BY 1"""
 
 
+def _dated_brands(spark, d):
+    """(receipt, item) of orders before 2001 and of later ones."""
+    lines = t(spark, d, "lineitem").select("l_orderkey", "l_partkey").join(t(spark, d, "part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey")).join(t(spark, d, "orders").select("o_orderkey", "o_orderdate"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return tuple(association.baskets(lines.where(c), "l_orderkey", "p_brand") for c in ("o_orderdate < '2001-01-01'", "o_orderdate >= '2001-01-01'"))
+
+
+TRIED = ((0.0002, 0.01, 0.5), (0.01, 0.1, 1.0), (0.011, 0.14, 1.05), (0.012, 0.16, 1.1), (0.5, 0.5, 1.0))
+
+
+def threshold_hits(spark, d):
+    """Number of rules and leave-one-out hit rates for several thresholds, in one pass."""
+    found = association.sensitivity(*_dated_brands(spark, d), TRIED)
+    return found.select("min_support", "min_confidence", "min_lift", "rules", F.round("hit_1", 6).alias("hit_1"), F.round("hit_k", 6).alias("hit_3"))
+
+
+THRESHOLDS_SQL = f"""
+WITH l AS (SELECT DISTINCT l_orderkey AS r, p_brand AS i, o_orderdate >= TIMESTAMP '2001-01-01' AS test FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey),
+th(s, c, f) AS (VALUES {", ".join(f"(CAST({s} AS DOUBLE), CAST({c} AS DOUBLE), CAST({f} AS DOUBLE))" for s, c, f in TRIED)}),
+tr AS (SELECT r, i FROM l WHERE NOT test), cnt AS (SELECT i, count(*) AS n FROM tr GROUP BY 1), tot AS (SELECT count(DISTINCT r) AS n FROM tr),
+pr AS (SELECT x.i AS a, y.i AS b, count(*) AS n FROM tr x JOIN tr y ON x.r = y.r AND x.i <> y.i GROUP BY 1, 2),
+me AS (SELECT a, b, CAST(pr.n AS DOUBLE) / tot.n AS supp, CAST(pr.n AS DOUBLE) / ca.n AS conf, CAST(pr.n AS DOUBLE) * tot.n / (ca.n * cb.n) AS lift FROM pr JOIN cnt ca ON ca.i = a JOIN cnt cb ON cb.i = b CROSS JOIN tot),
+ru AS (SELECT th.s, a, b, conf, lift FROM me JOIN th ON supp >= th.s AND conf >= th.c AND lift >= th.f),
+pop AS (SELECT i, row_number() OVER (ORDER BY n DESC, i) AS k FROM cnt),
+b AS (SELECT r, i FROM l WHERE test), n AS (SELECT r FROM b GROUP BY 1 HAVING count(*) > 1), c AS (SELECT b.r, b.i AS hidden FROM b JOIN n USING (r)),
+sh AS (SELECT c.r, c.hidden, b.i FROM c JOIN b ON b.r = c.r AND b.i <> c.hidden),
+rp AS (SELECT ru.s, sh.r, sh.hidden, ru.b AS i, max(ru.lift) AS lift, arg_max(ru.conf, (ru.lift, ru.conf)) AS conf FROM sh JOIN ru ON ru.a = sh.i GROUP BY 1, 2, 3, 4),
+ca AS (SELECT s, r, hidden, i, 0 AS kind, -lift AS o1, -conf AS o2 FROM rp
+  UNION ALL SELECT th.s, c.r, c.hidden, pop.i, 1, k, 0 FROM th CROSS JOIN c CROSS JOIN pop WHERE NOT EXISTS (SELECT 1 FROM rp WHERE rp.s = th.s AND rp.r = c.r AND rp.hidden = c.hidden AND rp.i = pop.i)),
+o AS (SELECT *, row_number() OVER (PARTITION BY s, r, hidden ORDER BY kind, o1, o2, i) AS rank FROM ca WHERE NOT EXISTS (SELECT 1 FROM sh WHERE sh.r = ca.r AND sh.hidden = ca.hidden AND sh.i = ca.i)),
+h AS (SELECT s, r, hidden, max(CASE WHEN i = hidden AND rank = 1 THEN 1.0 ELSE 0 END) AS h1, max(CASE WHEN i = hidden AND rank <= 3 THEN 1.0 ELSE 0 END) AS h3 FROM o GROUP BY 1, 2, 3)
+SELECT th.s AS min_support, th.c AS min_confidence, th.f AS min_lift, (SELECT count(*) FROM ru WHERE ru.s = th.s) AS rules, round(CAST(avg(h1) AS DOUBLE), 6) AS hit_1, round(CAST(avg(h3) AS DOUBLE), 6) AS hit_3
+FROM th JOIN h ON h.s = th.s GROUP BY th.s, th.c, th.f"""
+
+
+def lift_by_branch(spark, d):
+    """Lift of the passing rules of brands among the orders of each priority."""
+    train, _ = _dated_brands(spark, d)
+    placed = t(spark, d, "orders").select(F.col("o_orderkey").alias("receipt"), F.col("o_orderpriority").alias("branch"))
+    found = association.lift_by_branch(train, placed, association.mine_rules(train, 0.01, 0.1, 1.0))
+    return found.select("branch", "antecedent", "consequent", F.round("lift", 6).alias("lift"))
+
+
+BRANCH_LIFT_SQL = """
+WITH b AS (SELECT DISTINCT l_orderkey AS r, p_brand AS i, o_orderpriority AS branch FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey WHERE o_orderdate < TIMESTAMP '2001-01-01'),
+cnt AS (SELECT i, count(*) AS n FROM b GROUP BY 1), tot AS (SELECT count(DISTINCT r) AS n FROM b), pr AS (SELECT x.i AS a, y.i AS b, count(*) AS n FROM b x JOIN b y ON x.r = y.r AND x.i <> y.i GROUP BY 1, 2),
+ru AS (SELECT a, b FROM pr JOIN cnt ca ON ca.i = a JOIN cnt cb ON cb.i = b CROSS JOIN tot WHERE CAST(pr.n AS DOUBLE) / tot.n >= 0.01 AND CAST(pr.n AS DOUBLE) / ca.n >= 0.1 AND CAST(pr.n AS DOUBLE) * tot.n / (ca.n * cb.n) >= 1.0),
+bt AS (SELECT branch, count(DISTINCT r) AS n FROM b GROUP BY 1), bc AS (SELECT branch, i, count(*) AS n FROM b GROUP BY 1, 2),
+bp AS (SELECT x.branch, x.i AS a, y.i AS b, count(*) AS n FROM b x JOIN b y ON x.r = y.r AND x.i <> y.i GROUP BY 1, 2, 3)
+SELECT bt.branch, ru.a AS antecedent, ru.b AS consequent, round(CAST(coalesce(bp.n, 0) AS DOUBLE) * bt.n / (xa.n * xb.n), 6) AS lift
+FROM ru CROSS JOIN bt LEFT JOIN bp ON bp.branch = bt.branch AND bp.a = ru.a AND bp.b = ru.b LEFT JOIN bc xa ON xa.branch = bt.branch AND xa.i = ru.a LEFT JOIN bc xb ON xb.branch = bt.branch AND xb.i = ru.b"""
+
+
+def exact_quantiles(spark, d):
+    """Quantiles of prices, selected by counting."""
+    shares = [0.01, 0.25, 0.5, 0.9]
+    found = outliers.quantiles(t(spark, d, "lineitem"), "l_extendedprice", shares)
+    return spark.createDataFrame([(float(s), round(v, 6)) for s, v in zip(shares, found)], "share double, value double")
+
+
+def _increments(spark, d):
+    """Lines by ship date in a base and two increments, in which orders go on, with states kept by each load."""
+    lines = t(spark, d, "lineitem").join(t(spark, d, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    day = F.to_date("l_shipdate")
+    lines = lines.select(
+        F.col("l_orderkey").alias("receipt_id"), F.col("l_linenumber").alias("line"), F.col("l_returnflag").alias("branch"), day.alias("date"), F.col("l_linenumber").alias("hour"), F.month(day).alias("month"),
+        F.col("l_suppkey").alias("product_id"), F.col("l_linestatus").alias("category"), F.col("o_custkey").alias("member_id"), (F.col("l_linenumber") == 7).alias("time_suspect"),
+        F.col("l_quantity").cast("decimal(18,2)").alias("qty"), F.col("l_extendedprice").cast("decimal(18,2)").alias("line_total"), F.unix_date(day).alias("day"),
+    )
+    key = ["receipt_id", "line", "product_id", "branch", "category", "day"]  # line numbers repeat within an order
+    lines = lines.groupBy(*(c for c in lines.columns if c not in ("qty", "line_total"))).agg(*(F.sum(c).cast("decimal(18,2)").alias(c) for c in ("qty", "line_total")))
+    warehouse = Warehouse(spark, f"{storage.shared_dir(spark)}/states-{uuid.uuid4().hex[:12]}", {"lines": Constraints(key=key, indexed=[["receipt_id"]])})
+    old = lambda df, flag: df.withColumn("old", F.lit(flag))
+    base = lines.where("date < '2001-01-01'")
+    warehouse.refresh({"lines": base} | increments.states(old(base, False)))
+
+    def maintain(increment):
+        before = increment.found(["receipt_id"])
+        touched = old(increment.rows, False) if before is None else old(increment.rows, False).unionByName(old(before, True))
+        return {s: increments.added(s, increment.table(s), part) for s, part in increments.states(touched).items()}
+
+    for until in ("2001-07-01", "2100-01-01"):
+        warehouse.load_incremental(lines.where(F.col("date") < until), "lines", key, "day", maintain=maintain)
+    return warehouse
+
+
+def increment_days(spark, d):
+    """Bills, items and revenue by branch and day after a base and two increments."""
+    found = _increments(spark, d).table("state_daily")
+    return found.select("branch", "date", "bills", F.col("items").cast("double").alias("items"), F.col("revenue").cast("double").alias("revenue"))
+
+
+def increment_members(spark, d):
+    """What each customer spent after a base and two increments, with the category of the most turnover."""
+    warehouse = _increments(spark, d)
+    found = warehouse.table("state_member").join(star.favourite(warehouse.table("state_member_category"), "member_id", "category", "favorite"), "member_id", "left")
+    return found.select("member_id", "n_bills", F.col("total_spent").cast("double").alias("total_spent"), "first_purchase", "last_purchase", "favorite")
+
+
+INCREMENT_MEMBERS_SQL = """
+WITH l AS (SELECT o_custkey AS member_id, l_orderkey, CAST(l_extendedprice AS DECIMAL(18,2)) AS v, CAST(l_shipdate AS DATE) AS date, l_linestatus AS c FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+f AS (SELECT member_id, c, row_number() OVER (PARTITION BY member_id ORDER BY sum(v) DESC, c) AS k FROM l GROUP BY 1, 2)
+SELECT l.member_id, count(DISTINCT l_orderkey) AS n_bills, CAST(sum(v) AS DOUBLE) AS total_spent, min(date) AS first_purchase, max(date) AS last_purchase, any_value(f.c) AS favorite
+FROM l JOIN f ON f.member_id = l.member_id AND f.k = 1 GROUP BY 1"""
+
+
 def repeated_keys(spark, d):
     return t(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
@@ -428,4 +532,9 @@ CARRIERS = {
     "ordered_coalesce": (ordered_coalesce, COALESCE_SQL),
     "two_level_share": (rolling_share, SHARE_SQL),
     "code_translation": (code_translation, CODES_SQL),
+    "threshold_hits": (threshold_hits, THRESHOLDS_SQL),
+    "lift_by_branch": (lift_by_branch, BRANCH_LIFT_SQL),
+    "exact_quantiles": (exact_quantiles, "SELECT CAST(s AS DOUBLE) AS share, round(v, 6) AS value FROM (SELECT unnest([0.01, 0.25, 0.5, 0.9]) AS s, unnest(quantile_cont(l_extendedprice, [0.01, 0.25, 0.5, 0.9])) AS v FROM lineitem)"),
+    "increment_days": (increment_days, "SELECT l_returnflag AS branch, CAST(l_shipdate AS DATE) AS date, count(DISTINCT l_orderkey) AS bills, CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS items, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS revenue FROM lineitem GROUP BY 1, 2"),
+    "increment_members": (increment_members, INCREMENT_MEMBERS_SQL),
 }
