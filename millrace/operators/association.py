@@ -24,6 +24,14 @@ def long_baskets(wide: DataFrame, receipt: str, items: Sequence[str]) -> DataFra
     return wide.unpivot([receipt], list(items), "item", "held").where("held > 0").select(F.col(receipt).alias("receipt"), "item")
 
 
+def stored_baskets(basket: DataFrame, facts: DataFrame) -> DataFrame:
+    """(receipt, item, branch, date_key, month) of the stored 0/1 table, with the first day of each bill."""
+    items = [c for c in basket.columns if c not in ("receipt_id", "branch")]
+    long = basket.unpivot(["receipt_id", "branch"], items, "item", "held").where("held > 0").drop("held")
+    days = facts.groupBy("receipt_id").agg(F.min("date_key").alias("date_key"))
+    return long.join(days, "receipt_id", "left").withColumnRenamed("receipt_id", "receipt").withColumn("month", F.floor(F.col("date_key") / 100).cast("int") % 100)
+
+
 def pair_counts(long: DataFrame, cell: int = CELL) -> DataFrame:
     """(antecedent, consequent, count_ab) of items that meet in a basket, either way round.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,22 +12,57 @@ from millrace.operators import outliers, rules, storage, windows
 from millrace.plans import schemas
 
 
-@dataclass
-class Log:
-    """What each step did; counts are taken when the log is read."""
-
-    steps: list[tuple[str, str, str, DataFrame]] = field(default_factory=list)
-
-    def add(self, step: str, table: str, action: str, touched: DataFrame) -> None:
-        """touched holds the rows that the step changed or removed."""
-        self.steps.append((step, table, action, touched))
-
-    def table(self, spark) -> DataFrame:
-        out = None
-        for step, name, action, touched in self.steps:
-            row = touched.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(step).alias("step"), F.lit(name).alias("table"), F.lit(action).alias("action"), "rows")
-            out = row if out is None else out.unionByName(row)
-        return out if out is not None else spark.createDataFrame([], "step string, `table` string, action string, rows long")
+@dataclass(frozen=True)
+class Entry:
+    """A line of the cleaning log: rows of a table (sales, removed, members or merged) where a condition holds."""
+
+    step: str
+    table: str
+    name: str
+    rule: str
+    problem: str
+    technique: str
+    action: str
+    chapter: str
+    source: str
+    condition: Column
+
+
+LOG = "step string, `table` string, name string, quality_rule string, problem string, technique string, action string, rows long, chapter string"
+
+
+def entries() -> list[Entry]:
+    """What is logged.  Counts are taken while the tables are written, see Cleaned.written()."""
+    flag = lambda f: F.array_contains("clean_flags", f)
+    note = lambda f: F.array_contains("_notes", f)
+    reason = lambda r: F.col("removed_reason") == r
+    every = F.lit(True)
+    return [
+        Entry("M1", "members", "name_spaces", "", "superfluous spaces in names", "standard form", "fixed", "Ch4", "members", note("name_spaces")),
+        Entry("M1", "members", "phone_form", "CS3", "phone numbers in several forms", "standard form", "fixed", "Ch3", "members", note("phone_form")),
+        Entry("M2", "members", "merged", "UQ4", "members registered twice", "one row for a name and phone", "merged", "Ch3", "merged", every),
+        Entry("M3", "members", "birth_year_be", "VL4", "birth year of the Buddhist era", "validity rule", "fixed", "Ch3", "members", note("birth_year_be")),
+        Entry("M3", "members", "birth_year_impossible", "VL4", "impossible birth year", "validity rule", "emptied", "Ch3", "members", note("birth_year_impossible")),
+        Entry("M4", "members", "gender unknown", "CP5", "no gender", "a group of its own", "flagged", "Ch4", "members", F.col("gender") == schemas.GENDER_UNKNOWN),
+        Entry("S1", "sales", "duplicate", "UQ1, UQ2", "repeated lines and bills", "first of equal rows", "removed", "Ch3", "removed", reason("duplicate")),
+        Entry("S2", "sales", "product_synonym", "CS1", "product under another name", "normal form and synonyms", "fixed", "Ch2", "sales", flag("product_synonym")),
+        Entry("S2", "sales", "unknown_product", "CS1", "product cannot be told", "listwise deletion", "removed", "Ch4", "removed", reason("unknown_product")),
+        Entry("S3", "sales", "member_id_fixed", "CS2", "letter O in member ids", "pattern and member list", "fixed", "Ch3", "sales", flag("member_id_fixed")),
+        Entry("S3", "sales", "member_id_unknown", "CS2", "member does not exist", "consistency of tables", "emptied", "Ch3", "sales", flag("member_id_unknown")),
+        Entry("S3", "sales", "member_id_merged", "UQ4", "id of a merged member", "id of the first registration", "fixed", "Ch3", "sales", flag("member_id_merged")),
+        Entry("S4", "sales", "non_positive_qty", "VL1", "quantity not above 0", "validity rule", "removed", "Ch3", "removed", reason("non_positive_qty")),
+        Entry("S4", "sales", "time_suspect", "VL2", "time outside of opening hours", "validity rule", "flagged", "Ch3", "sales", flag("time_suspect")),
+        Entry("S5", "sales", "price_fixed_from_list", "AC1", "price not that of the list", "reference values", "fixed", "Ch3", "sales", flag("price_fixed_from_list")),
+        Entry("S5", "sales", "qty_over_limit_review", "", "large quantity that is no outlier", "business limit", "flagged", "Ch4", "sales", flag("qty_over_limit_review")),
+        Entry("S5", "sales", "qty_typo", "", "mistyped quantity", "z-score beyond the business limit", "removed", "Ch4", "removed", reason("qty_typo")),
+        Entry("S5", "sales", "large_order_kept", "", "large order", "z-score within the business limit", "flagged", "Ch4", "sales", flag("large_order_kept")),
+        Entry("S6", "sales", "size_from_price", "CP4", "no size", "size that has the price", "filled", "Ch2", "sales", flag("size_from_price")),
+        Entry("S6", "sales", "size_mode", "CP4", "no size and no price", "most frequent size of the product", "estimated", "Ch4", "sales", flag("size_mode")),
+        Entry("S6", "sales", "qty_from_total", "CP3", "no quantity", "total by list price", "filled", "Ch2", "sales", flag("qty_from_total")),
+        Entry("S6", "sales", "price_from_list", "CP2", "no unit price", "list price", "filled", "Ch2", "sales", flag("price_from_list")),
+        Entry("S6", "sales", "cannot_fill", "", "no value to be had", "listwise deletion", "removed", "Ch4", "removed", reason("cannot_fill")),
+        Entry("S7", "sales", "line_total", "", "total is not quantity by price", "computed again", "fixed", "Ch2", "sales", F.col("_changed")),
+    ]
 
 
 # Members
@@ -43,7 +78,7 @@ def merge_members(members: DataFrame) -> tuple[DataFrame, DataFrame]:
     whole = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     filled = members.withColumns({"_rank": F.row_number().over(Window.partitionBy(*keys).orderBy(*order)), "_master": F.first("member_id").over(whole), "gender": windows.first_filled("gender", keys, order), "birth_year": windows.first_filled("birth_year", keys, order)})
     merged = filled.where("_rank = 1").drop("_rank", "_master")
-    return merged, filled.where("_rank > 1").select(F.col("member_id").alias("dup_id"), F.col("_master").alias("master_id"))
+    return merged, filled.where("_rank > 1").select(F.col("member_id").alias("dup_id"), F.col("_master").alias("master_id"), *(c for c in ("_notes",) if c in members.columns))
 
 
 def fix_birth_year(members: DataFrame, year: int) -> DataFrame:
@@ -74,7 +109,7 @@ def synonyms(products: DataFrame) -> DataFrame:
 
 
 def fix_products(sales: DataFrame, products: DataFrame) -> DataFrame:
-    found = sales.withColumn("form", text.normal_form(F.col("product_raw"))).join(F.broadcast(synonyms(products)), "form", "left").drop("form")
+    found = sales.withColumn("form", text.normal_form(F.col("product_raw"))).join(storage.small(synonyms(products)), "form", "left").drop("form")
     new = F.col("product_id").isNull() & F.col("synonym_id").isNotNull()
     return found.withColumns({"clean_flags": values.flagged("clean_flags", new, "product_synonym"), "product_id": F.coalesce("product_id", "synonym_id")}).drop("synonym_id")
 
@@ -154,7 +189,7 @@ def fill_missing(sales: DataFrame, products: DataFrame) -> tuple[DataFrame, Data
     """Sizes by price, then by the product's mode; quantities from totals; prices from the list."""
     columns = sales.columns
     listed = products.select("product_id", "category", *(F.col(f"price_{s}").cast("double").alias(f"_{s}") for s in "SML"), F.col("price_nosize").cast("double").alias("_n"))
-    df = sales.join(F.broadcast(listed), "product_id", "left")
+    df = sales.join(storage.small(listed), "product_id", "left")
     drink = F.col("category").isin(*schemas.DRINKS)
     near = lambda s: F.abs(F.col("unit_price") - F.col(f"_{s}")) <= schemas.PRICE_TOLERANCE
     by_price = F.when(near("L"), "L").when(near("M"), "M").when(near("S"), "S")
@@ -179,39 +214,52 @@ def total_lines(sales: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Cleaned:
+    """Clean tables; sales and members still hold `_changed` and `_notes`, which written() counts and drops."""
+
     sales: DataFrame
     members: DataFrame
     removed: DataFrame
-    log: Log
+    merged: DataFrame
+    log: DataFrame | None = None
+
+    def written(self, folder: str) -> Cleaned:
+        """All tables from files below folder, with the log: its counts are taken by the tasks that write, without a job of their own."""
+        listed, spark, counts, tables = entries(), self.sales.sparkSession, {}, {}
+        for source, name in (("sales", "clean_sales"), ("members", "clean_members"), ("removed", "removed"), ("merged", "merged_members")):
+            measures = {e.name: F.count_if(e.condition) for e in listed if e.source == source}
+            tables[source], got = storage.observed(getattr(self, source), f"{folder}/{name}", measures, ["_changed", "_notes"])
+            counts |= got
+        rows = [(e.step, e.table, e.name, e.rule, e.problem, e.technique, e.action, counts[e.name], e.chapter) for e in listed]
+        return Cleaned(**tables, log=storage.kept(spark.createDataFrame(rows, LOG).coalesce(1), f"{folder}/cleaning_log"))
 
 
 def clean(sales: DataFrame, members: DataFrame, products: DataFrame, year: int = 2026) -> Cleaned:
     """All steps in their order; birth years are imputed apart, see millrace.operators.imputation."""
-    log, removed = Log(), None
+    removed = None
 
-    def out(rows: DataFrame, reason: str, step: str) -> None:
+    def out(rows: DataFrame, reason: str) -> None:
         nonlocal removed
-        log.add(step, "sales", reason, rows)
         rows = rows.withColumn("removed_reason", F.lit(reason))
         removed = rows if removed is None else removed.unionByName(rows, allowMissingColumns=True)
 
-    standard = standardize_members(members)
+    differs = lambda a, b, name: F.when(~F.col(a).eqNullSafe(F.col(b)), name)
+    standard = standardize_members(members.withColumns({"_name": F.col("full_name"), "_phone": F.col("phone")}))
+    standard = standard.withColumn("_notes", F.array_compact(F.array(differs("_name", "full_name", "name_spaces"), differs("_phone", "phone", "phone_form")))).drop("_name", "_phone")
     merged, id_map = merge_members(standard)
-    log.add("M2", "members", "merged", id_map)
-    people = fill_gender(fix_birth_year(merged, year))
-    log.add("M4", "members", "gender unknown", merged.where("gender is null"))
+    dated = fix_birth_year(merged.withColumn("_year", F.col("birth_year")), year)
+    notes = F.when(F.col("birth_year") == F.col("_year") - 543, "birth_year_be").when(F.col("birth_year").isNull() & F.col("_year").isNotNull(), "birth_year_impossible")
+    people = fill_gender(dated.withColumn("_notes", F.array_compact(F.array_append("_notes", notes))).drop("_year"))
 
     df, gone = remove_duplicates(sales.withColumn("clean_flags", F.array().cast("array<string>")))
-    out(gone, "duplicate", "S1")
+    out(gone, "duplicate")
     df, gone = split(fix_products(df, products), F.col("product_id").isNull())
-    out(gone, "unknown_product", "S2")
-    df, gone = split(fix_members(df, people, id_map), F.col("qty") <= 0)
-    out(gone, "non_positive_qty", "S4")
+    out(gone, "unknown_product")
+    df, gone = split(fix_members(df, people, id_map.drop("_notes")), F.col("qty") <= 0)
+    out(gone, "non_positive_qty")
     df, gone = judge_quantities(fix_prices(mark_times(df), products))
-    out(gone, "qty_typo", "S5")
+    out(gone, "qty_typo")
     df, gone = fill_missing(df, products)
-    out(gone, "cannot_fill", "S6")
-    done = total_lines(df)
-    for flag in ("product_synonym", "member_id_fixed", "member_id_unknown", "member_id_merged", "time_suspect", "price_fixed_from_list", "large_order_kept", "size_from_price", "size_mode", "qty_from_total", "price_from_list"):
-        log.add("flag", "sales", flag, done.where(F.array_contains("clean_flags", flag)))
-    return Cleaned(done, people, removed, log)
+    out(gone, "cannot_fill")
+    done = total_lines(df.withColumn("_total", F.col("line_total")))
+    changed = values.holds(F.abs(F.col("_total") - F.col("line_total")) > schemas.PRICE_TOLERANCE)
+    return Cleaned(done.withColumn("_changed", changed).drop("_total"), people, removed, id_map)

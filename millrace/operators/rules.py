@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import text, values
-from millrace.operators import windows
+from millrace.operators import storage, windows
 from millrace.plans import schemas
 
 
@@ -169,6 +169,13 @@ def assess(sales: DataFrame, members: DataFrame, products: DataFrame, received_a
     return Quality(rules, dims, overall(dims), found)
 
 
+def stored(quality: Quality, folder: str, suffix: str) -> Quality:
+    """The frames of a run, written once below folder; dimensions and the overall score come from the written rules."""
+    rules = storage.kept(quality.rules.coalesce(1), f"{folder}/quality_rules_{suffix}")
+    dims = storage.kept(dimensions(rules).coalesce(1), f"{folder}/quality_dimensions_{suffix}")
+    return Quality(rules, dims, overall(dims), storage.kept(quality.details, f"{folder}/quality_details_{suffix}"))
+
+
 def summary_metrics(quality: Quality, sales: DataFrame, report: DataFrame | None = None) -> DataFrame:
     """Error ratio, empty values (CP2-CP6), share of failed translations, rows without a usable sale."""
     empty = F.coalesce(F.sum(F.when(F.col("rule_id").isin("CP2", "CP3", "CP4", "CP5", "CP6"), F.col("violations"))), F.lit(0))

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows up to which a side of a join is broadcast; beyond it the plan shuffles.
@@ -33,6 +34,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return kept(df, f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex[:12]}")
 
 
+def observed(df: DataFrame, path: str, measures: dict[str, Column], drop: Sequence[str] = ()) -> tuple[DataFrame, dict[str, int]]:
+    """df from a table written at path, without some columns, and aggregates taken by the tasks that wrote it."""
+    if not measures:
+        return kept(df.drop(*drop), path), {}
+    seen = Observation()
+    out = kept(df.observe(seen, *(m.alias(n) for n, m in measures.items())).drop(*drop), path)
+    return out, seen.get
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if it has no more than that many rows."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

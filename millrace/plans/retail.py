@@ -9,6 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.functions import calendar
 from millrace.operators import association, cleaning, forecast, imputation, rules, staging, star, storage
 from millrace.operators.warehouse import Warehouse
 from millrace.plans import schemas
@@ -55,15 +56,16 @@ def run(spark: SparkSession, raw: str, work: str, salt: str = "", on_step: Calla
     on_step(1, STEPS[0])
     found = extract(spark, raw, work)
     on_step(2, STEPS[1])
-    before = rules.assess(found.staging, found.members, found.products, found.received_at)
+    before = rules.stored(rules.assess(found.staging, found.members, found.products, found.received_at), work, "before")
+    _kept(rules.profile(found.staging), f"{work}/profile_sales")
     score_before = before.overall.first()
     on_step(3, STEPS[2])
-    cleaned = cleaning.clean(found.staging, found.members, found.products)
-    sales = _kept(cleaned.sales, f"{work}/clean_sales")
-    removed = _kept(cleaned.removed, f"{work}/removed")
-    people, table = imputation.impute(_kept(cleaned.members, f"{work}/clean_members"), sales, found.products)
+    cleaned = cleaning.clean(found.staging, found.members, found.products).written(work)
+    sales, removed = cleaned.sales, cleaned.removed
+    people, table = imputation.impute(cleaned.members, sales, found.products)
     people = _kept(people, f"{work}/members_imputed")
-    after = rules.assess(sales.drop("time_suspect"), people, found.products, found.received_at)
+    after = rules.stored(rules.assess(sales.drop("time_suspect"), people, found.products, found.received_at), work, "after")
+    _kept(rules.compare(before, after), f"{work}/quality_change")
     score_after = after.overall.first()
     on_step(4, STEPS[3])
     tables = star.build(sales, people, found.products, found.holidays, salt)
@@ -72,11 +74,12 @@ def run(spark: SparkSession, raw: str, work: str, salt: str = "", on_step: Calla
     warehouse.refresh(tables, "initial")
     verified = warehouse.verify()  # against what was observed while they were written
     on_step(6, STEPS[5])
-    fact = warehouse.table("fact_sales").join(storage.small(warehouse.table("dim_date").select("date_key", "month")), "date_key")
-    train, test = (association.baskets(fact.where(c), "receipt_id", "product_id") for c in ("month < 6", "month = 6"))
+    fact = warehouse.table("fact_sales")
+    held = _kept(association.stored_baskets(warehouse.table("basket"), fact), f"{work}/baskets")
+    train, test = (held.where(c).select("receipt", "item") for c in ("month < 6", "month = 6"))
     mined = _kept(association.mine_rules(train, *THRESHOLDS), f"{work}/mined")
     late = association.mine_rules(test, *THRESHOLDS, zeros=True)
-    placed = fact.select(F.col("receipt_id").alias("receipt"), F.col("branch_id").alias("branch")).distinct()
+    placed = held.select("receipt", "branch").distinct()
     warehouse.refresh({"reco_rules": association.rule_table(mined, warehouse.table("dim_product"))}, "rules", keep=True)
     stable = _kept(association.stability(mined, late), f"{work}/rule_stability")
     _kept(association.examples(mined, association.popular_items(train), warehouse.table("dim_product")), f"{work}/rule_examples")
@@ -99,8 +102,10 @@ def run(spark: SparkSession, raw: str, work: str, salt: str = "", on_step: Calla
 
 def dump(spark: SparkSession, work: str, folder: str) -> list[str]:
     """CSV copies of what a run has left in work and its warehouse; arrays are joined by semicolons."""
-    flat = lambda df: df.select(*(F.array_join(F.col(c).cast("array<string>"), ";").alias(c) if t.startswith("array") else F.col(c) for c, t in df.dtypes))
-    warehouse, names = Warehouse(spark, f"{work}/warehouse"), ["staging", "clean_sales", "removed", "members_imputed", "mined"]
+    text = lambda c, t: F.array_join(F.col(c).cast("array<string>"), ";").alias(c) if t.startswith("array") else calendar.iso(F.col(c)).alias(c) if t == "timestamp" else F.col(c)
+    flat = lambda df: df.select(*(text(c, t) for c, t in df.dtypes))
+    frames = [f"quality_{what}_{when}" for when in ("before", "after") for what in ("rules", "dimensions", "details")]
+    warehouse, names = Warehouse(spark, f"{work}/warehouse"), ["staging", "clean_sales", "removed", "cleaning_log", "members_imputed", "mined", "rule_examples", "profile_sales", "quality_change", *frames]
     for name in names:
         files.write_csv(flat(spark.read.parquet(f"{work}/{name}")), f"{folder}/{name}")
     for name in warehouse.names():

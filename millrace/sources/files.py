@@ -70,5 +70,15 @@ def read_holidays(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.HOLIDAYS).option("header", True).csv(path)
 
 
+def read_truth(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What a generator says is true: sales lines, members, and the faults put in (issue_id, receipt_id, line_no)."""
+    sales = spark.read.option("header", True).csv(f"{folder}/sales_truth.csv")
+    sales = sales.withColumns({"line_no": F.col("line_no").cast("int"), "qty": F.col("qty").cast("double"), "unit_price": F.col("unit_price").cast("double"), "sale_dt": F.to_timestamp("sale_dt")})
+    members = spark.read.option("header", True).csv(f"{folder}/members_truth.csv").withColumn("birth_year", F.col("birth_year").cast("int"))
+    issue = "issue_id: string, receipt_id: string, line_no: int"
+    listed = spark.read.schema(f"issues array<struct<{issue}>>").option("multiLine", True).json(f"{folder}/injected_issues.json")
+    return sales, members, listed.select(F.explode("issues").alias("i")).select("i.*")
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)

@@ -3,9 +3,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from fixtures import write_shop
-from millrace.operators import association, cleaning, forecast, imputation, rules, serving, star
+from millrace.operators import association, cleaning, evaluation, forecast, imputation, rules, serving, star
 from millrace.operators.warehouse import ConstraintError, Warehouse
 from millrace.plans import retail, schemas
+from millrace.sources import files
 from millrace.streaming.incremental import stream_into
 
 
@@ -19,9 +20,7 @@ def shop(tmp_path_factory, spark):
 @pytest.fixture(scope="module")
 def cleaned(shop, tmp_path_factory):
     _, found, _ = shop
-    out = cleaning.clean(found.staging, found.members, found.products)
-    kept = lambda df, name: retail._kept(df, str(tmp_path_factory.mktemp(name) / "t"))
-    return cleaning.Cleaned(kept(out.sales, "sales"), kept(out.members, "members"), kept(out.removed, "removed"), out.log)
+    return cleaning.clean(found.staging, found.members, found.products).written(str(tmp_path_factory.mktemp("cleaned")))
 
 
 @pytest.fixture(scope="module")
@@ -95,7 +94,40 @@ def test_cleaning_removes_and_repairs_what_was_put_in(shop, cleaned):
     assert flag("qty_from_total") and flag("price_from_list")
     assert cleaned.sales.where("qty <= 0 or unit_price is null or line_total <> qty * unit_price").isEmpty()
     assert cleaned.members.where("member_id = 'M0061'").isEmpty() and cleaned.members.where("gender is null").isEmpty()
-    assert cleaned.log.table(cleaned.sales.sparkSession).where("action = 'qty_typo'").first()["rows"] == 1
+    logged = {r["name"]: r for r in cleaned.log.collect()}
+    assert set(logged) == {e.name for e in cleaning.entries()} and all(r["problem"] and r["technique"] and r["action"] and r["chapter"] for r in logged.values())
+    for name in ("product_synonym", "member_id_fixed", "member_id_unknown", "price_fixed_from_list", "size_mode", "qty_from_total"):
+        assert logged[name]["rows"] == cleaned.sales.where(F.array_contains("clean_flags", name)).count() > 0 or name == "size_mode"
+    for reason_ in ("duplicate", "unknown_product", "non_positive_qty", "qty_typo"):
+        assert logged[reason_]["rows"] == cleaned.removed.where(F.col("removed_reason") == reason_).count() > 0
+    assert (logged["merged"]["rows"], logged["birth_year_be"]["rows"], logged["phone_form"]["rows"]) == (1, 1, 1) and logged["price_fixed_from_list"]["quality_rule"] == "AC1"
+    assert not {"_changed", "_notes"} & {*cleaned.sales.columns, *cleaned.members.columns}
+
+
+def test_cleaning_against_truth(spark, shop, cleaned):
+    log, found, folder = shop
+    truth, people, issues = files.read_truth(spark, folder)
+    pairs = retail._kept(evaluation.aligned(cleaned.sales, truth, issues), f"{folder}/pairs")
+    got = evaluation.rows(pairs).first()
+    n = sum(log["counts"].values()) - len(log["duplicate_rows"]) - log["duplicate_bill_items"]
+    assert (got["true_lines"], got["clean_lines"], got["strange"]) == (n, n - 3, 0)
+    assert (got["due"], got["removed"], got["removed_rightly"], got["removed_wrongly"]) == (2, 3, 2, 1)  # the unknown product goes too
+    assert {r["issue_id"]: (r["lines"], r["removed"], r["kept_true"]) for r in evaluation.by_issue(pairs).collect()} == {"B8": (1, 1, 0), "B10": (1, 1, 0), "C1": (1, 1, 0), "C3": (1, 0, 0), "C2": (1, 0, 1), "A1": (1, 0, 1)}
+    fixed = {r["repair"]: r for r in evaluation.repairs(pairs).collect()}
+    assert all(fixed[k]["rows"] == fixed[k]["correct"] >= 1 for k in ("product_synonym", "qty_from_total", "price_from_list", "price_fixed_from_list"))
+    assert fixed["member_id_fixed"]["rows"] == 1 and set(fixed) == set(evaluation.REPAIRS)
+    off = {r["column"]: r["rows"] for r in evaluation.mismatches(pairs).collect()}
+    assert off["payment"] == off["sale_datetime"] == off["unit_price"] == 0 and off["qty"] == 1  # the large order's number is not that of the true line
+    twice = cleaned.sales.unionByName(cleaned.sales.where("row_id = 500"))  # a repeat meets no true line of its own
+    assert evaluation.rows(evaluation.aligned(twice, truth, issues)).first()["strange"] == 1
+    flags = cleaning.detect_outliers(cleaning.outlier_features(found.staging, found.products))
+    caught = {r["method"]: r for r in evaluation.detectors(flags, found.staging, truth, issues).collect()}
+    assert caught["zscore"]["typos"] == 1 and caught["dbscan"]["typos"] == 1
+    imputed, _ = imputation.impute(cleaned.members, cleaned.sales, found.products)
+    row = evaluation.members(imputed, people).first()
+    assert row["members"] == 60 and row["given_years"] == row["given_years_true"] == 59 and row["imputed_error"] is not None
+    mined = spark.createDataFrame([("a", "b", True), ("b", "a", False), ("c", "d", True)], "antecedent string, consequent string, passes boolean")
+    assert tuple(evaluation.rules(mined, [("a", "b")]).first()) == (2, 2, 1, 1, 1)
 
 
 def test_cleaning_raises_the_score(shop, cleaned):
@@ -291,7 +323,12 @@ def test_whole_run(spark, shop, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/rule_sensitivity").count() == len(retail.TRIED) and spark.read.parquet(f"{tmp_path}/rule_lift_by_branch").count() == 3 * got["rules"]
     with pytest.raises(ConstraintError):
         warehouse.refresh({"reco_rules": rules_.withColumn("lift", F.lit(-1.0))}, keep=True)
+    assert spark.read.parquet(f"{tmp_path}/cleaning_log").where("rows > 0").count() >= 12 and spark.read.parquet(f"{tmp_path}/rule_examples").select("product_id").distinct().count() == 6
+    change = spark.read.parquet(f"{tmp_path}/quality_change")
+    assert change.count() == 21 and change.where("rule_id = 'UQ1' and score_change > 0").count() == 1 and spark.read.parquet(f"{tmp_path}/quality_details_before").count() > spark.read.parquet(f"{tmp_path}/quality_details_after").count()
+    assert warehouse.table("forecast_residuals_worst_days").count() == 5 and spark.read.parquet(f"{tmp_path}/baskets").where("month is null or date_key is null").isEmpty()
     names = retail.dump(spark, str(tmp_path), str(tmp_path / "csv"))
+    assert spark.read.option("header", True).csv(f"{tmp_path}/csv/fact_sales").where("sale_datetime like '2026-0_-__T__:__:__+07:00'").count() == got["clean_rows"]
     assert spark.read.option("header", True).csv(f"{tmp_path}/csv/fact_sales").count() == got["clean_rows"] and "reco_rules" in names
 
 

@@ -135,8 +135,8 @@ def built(spark, tmp_path_factory):
     folder, work = tmp_path_factory.mktemp("raw"), tmp_path_factory.mktemp("work")
     write_shop(folder)
     found = retail.extract(spark, str(folder), str(work))
-    out = cleaning.clean(found.staging, found.members, found.products)
-    sales = retail._kept(out.sales, f"{work}/sales")
+    out = cleaning.clean(found.staging, found.members, found.products).written(str(work))
+    sales = out.sales
     people = retail._kept(imputation.impute(out.members, sales, found.products)[0], f"{work}/people")
     return {n: retail._kept(df, f"{work}/star/{n}") for n, df in star.build(sales, people, found.products, found.holidays, "salt").items()}, people
 
