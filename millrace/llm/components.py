@@ -13,8 +13,8 @@ def components(links: DataFrame) -> DataFrame:
 
     Large-star and small-star steps in turn: each node hangs its neighbours onto its smallest
     neighbour.  The number of rounds grows with the logarithm of the longest path.  Only minima
-    are gathered per node, with map-side combining; a node with very many links is a skewed join
-    key, which Spark splits.
+    are gathered per node, with map-side combining.  The links of one node are joined with its
+    minimum in one task, which Spark does not split, since one side is an aggregate.
     """
     edges = common.save(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     while True:

@@ -51,7 +51,8 @@ def covered(docs: DataFrame) -> DataFrame:
     spread = lines.select("doc_id", "_text", F.explode(_windows(F.col("lines"), F.col("words"), F.col("hashes"))).alias("w"))
     windows = common.save(spread.select("doc_id", "_text", "w.pos", "w.len", "w.h"), "windows")
     place = F.struct("doc_id", "_text", "pos")
-    repeated = windows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
+    # written before it is joined: Spark splits a hot key only between sides that are bare shuffles
+    repeated = common.save(windows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "hashes")
     again = common.save(windows.join(repeated, "h"), "repeated")
     first = common.save(again.groupBy("h").agg(F.min(place).alias("first")), "first")
     later = again.join(first, "h").where(place > F.col("first"))

@@ -76,7 +76,8 @@ def scan(docs: DataFrame, repository: Column, owner: Column) -> tuple[DataFrame,
     """The rows of docs (row, doc_id), and their reported spans with owners, repositories and class."""
     rows, spans = candidates(docs, repository, owner)
     spans = common.save(spans.withColumn("hash", F.xxhash64("value")), "spans")
-    judged = spans.join(ownership(spans), "hash")
+    owners = common.save(ownership(spans), "ownership")  # written before it is joined, so that Spark can split a hot value
+    judged = spans.join(owners, "hash")
     base = judged.where(F.col("kind").isin(*BASE))
     live = judged.where("kind = 'bare' and class = 'live'").withColumn("kind", F.lit("live"))
     taken = base.select(F.col("row").alias("_row"), F.col("start").alias("_start"), F.col("end").alias("_end"))
