@@ -225,6 +225,7 @@ def _increments(spark, d):
     )
     key = ["receipt_id", "line", "product_id", "branch", "category", "day"]  # line numbers repeat within an order
     lines = lines.groupBy(*(c for c in lines.columns if c not in ("qty", "line_total"))).agg(*(F.sum(c).cast("decimal(18,2)").alias(c) for c in ("qty", "line_total")))
+    lines = storage.written(lines, "lines")
     warehouse = Warehouse(spark, f"{storage.shared_dir(spark)}/states-{uuid.uuid4().hex[:12]}", {"lines": Constraints(key=key, indexed=[["receipt_id"]])})
     old = lambda df, flag: df.withColumn("old", F.lit(flag))
     base = lines.where("date < '2001-01-01'")
