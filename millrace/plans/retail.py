@@ -131,7 +131,7 @@ def validate_upload(spark: SparkSession, raw: str) -> list[str]:
     except Exception:
         found.append(FILES["cmu"])
     try:
-        bill = files.read_receipts(spark, f"{raw}/{FILES['thaphae']}").select(F.explode("receipts").alias("bill")).select("bill.*").limit(1).first()
+        bill = files.bills(files.read_receipts(spark, f"{raw}/{FILES['thaphae']}")).select("bill.*").first()
         found += [f"{FILES['thaphae']}: {c}" for c in ("receipt_id", "timestamp", "items") if bill is None or bill[c] is None]
     except Exception:
         found.append(FILES["thaphae"])

@@ -52,7 +52,4 @@ NO_TIER = "ไม่เคยซื้อ"
 MEMBERS = "member_id string, full_name string, gender string, birth_year int, phone string, register_date string, home_branch string"
 PRODUCTS = "product_id string, name_th string, name_en string, category string, nimman_code string, thaphae_sku string, price_S int, price_M int, price_L int, price_nosize int"
 HOLIDAYS = "date date, name_th string, name_en string"
-RECEIPTS = (
-    "branch string, exported_at string, receipts array<struct<receipt_id: string, timestamp: string, customer: struct<member_id: string>, "
-    "payment: struct<method: string>, items: array<struct<sku: string, size: string, quantity: string, price: string>>>>"
-)
+RECEIPT = "receipt_id string, timestamp string, customer struct<member_id: string>, payment struct<method: string>, items array<struct<sku: string, size: string, quantity: string, price: string>>"

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.plans import schemas
+from millrace.sources import nested, xlsx
 
 
 def _numbered(df: DataFrame) -> DataFrame:
@@ -30,32 +31,34 @@ def read_nimman(spark: SparkSession, path: str) -> DataFrame:
 
 def read_cmu(spark: SparkSession, path: str) -> DataFrame:
     """XLSX with Thai headers; cells as text, with their line in the sheet."""
-    from millrace.sources.xlsx import XlsxSource
+    return xlsx.read_sheets(spark, path, [*schemas.CMU_COLUMNS, schemas.CMU_DATE, schemas.CMU_TIME])
 
-    spark.dataSource.register(XlsxSource)
-    columns = [*schemas.CMU_COLUMNS, schemas.CMU_DATE, schemas.CMU_TIME]
-    schema = ", ".join(f"`{c}` string" for c in columns) + ", source_row string"
-    return spark.read.format("xlsx").schema(schema).load(path)
 
+def read_receipts(spark: SparkSession, path: str) -> nested.Document:
+    """The receipts of JSON documents, and the documents' own fields."""
+    return nested.read_elements(spark, path, "receipts")
 
-def read_receipts(spark: SparkSession, path: str) -> DataFrame:
-    """One JSON document, as it is nested."""
-    return spark.read.schema(schemas.RECEIPTS).option("multiLine", True).json(path)
 
+def bills(found: nested.Document) -> DataFrame:
+    """file, place and bill, as it is nested, of each receipt."""
+    return found.elements.select("file", "place", F.from_json("text", schemas.RECEIPT).alias("bill"))
 
-def flat_receipts(raw: DataFrame) -> DataFrame:
+
+def flat_receipts(found: nested.Document) -> DataFrame:
     """A row for each item, with the place of its receipt and item as source_row."""
-    bills = raw.select(F.posexplode("receipts").alias("r", "bill"))
-    items = bills.select("r", "bill", F.posexplode("bill.items").alias("i", "item"))
+    items = bills(found).select("place", "bill", F.posexplode("bill.items").alias("i", "item"))
     return items.select(
         F.col("bill.receipt_id").alias("receipt_id"), F.col("bill.timestamp").alias("datetime_raw"), F.col("item.sku").alias("product_raw"), F.col("item.size").alias("size_raw"),
         F.col("item.quantity").alias("qty"), F.col("item.price").alias("unit_price"), F.col("bill.customer.member_id").alias("member_id"), F.col("bill.payment.method").alias("payment_raw"),
-        F.format_string("receipts[%d].items[%d]", "r", "i").alias("source_row"),
+        F.format_string("receipts[%d].items[%d]", "place", "i").alias("source_row"),
     )
 
 
-def receipts_metadata(raw: DataFrame) -> DataFrame:
-    return raw.select("branch", "exported_at", F.size("receipts").alias("n_receipts"))
+def receipts_metadata(found: nested.Document) -> DataFrame:
+    """branch, exported_at and n_receipts of each file."""
+    counts = found.elements.groupBy("file").agg(F.count(F.lit(1)).alias("n_receipts"))
+    fields = found.outer.select("file", F.from_json("text", "branch string, exported_at string").alias("meta"))
+    return fields.join(counts, "file", "left").select("meta.branch", "meta.exported_at", F.coalesce("n_receipts", F.lit(0)).alias("n_receipts"))
 
 
 def read_members(spark: SparkSession, path: str) -> DataFrame:

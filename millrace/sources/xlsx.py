@@ -1,12 +1,13 @@
 """Scan of XLSX workbooks: the first sheet, its first row being the header, cells as text.
 
-A workbook is a zip of XML files, which the standard library reads.  Dates become ISO text.  Each
-workbook is one partition, read on an executor; the path has to be reachable there.
+A workbook is a zip of XML files, which the standard library reads.  Spark brings its bytes from any
+file system it knows.  A compressed sheet can be read from its start only, so one task unpacks it and
+cuts it between rows, by a search for their tags; each piece takes the header and its own shared
+strings along, and the pieces are dealt out to be parsed.  Dates become ISO text.
 """
 
 from __future__ import annotations
 
-import glob
 import io
 import re
 import zipfile
@@ -14,8 +15,9 @@ from collections.abc import Iterator
 from datetime import datetime, timedelta
 from xml.etree import ElementTree
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-from pyspark.sql.types import StructType
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
 #: Number formats of dates that every workbook knows.
@@ -61,50 +63,89 @@ def _value(cell, shared: list[str], dates: set[int]) -> str | None:
     return found.text[:-2] if found.text.endswith(".0") else found.text
 
 
-def rows(data: bytes) -> Iterator[tuple[int, dict[str, str | None]]]:
-    """Line and cells by header of the first sheet."""
+#: Bytes of a sheet that are parsed by one task.
+PIECE = 1 << 20
+_ROW = re.compile(rb"<(?:\w+:)?row[\s/>]")
+_STRING_CELL = re.compile(r"""<(?:\w+:)?c\b[^>]*\bt\s*=\s*["']s["'][^>]*>\s*<(?:\w+:)?v[^>]*>\s*(\d+)""")
+
+
+def _row_texts(sheet, piece: int) -> Iterator[tuple[str, str]]:
+    """The sheet's start tag, and its rows, in pieces of at least that many bytes of whole rows."""
+    text, root = b"", None
+    while more := sheet.read(piece):
+        text += more
+        if root is None:
+            if (found := re.search(rb"<((?:\w+:)?worksheet)\b[^>]*>", text)) is None:
+                continue
+            root, end = found[0].decode(), re.compile(rb"</(?:\w+:)?sheetData\s*>")
+            if first := _ROW.search(text):
+                text = text[first.start() :]
+            else:
+                root = None
+                continue
+        if done := end.search(text):
+            text = text[: done.start()]
+            break
+        cuts = [m.start() for m in _ROW.finditer(text)]
+        if len(cuts) > 1:
+            yield root, text[: cuts[-1]].decode()
+            text = text[cuts[-1] :]
+    if root is not None:
+        yield root, text.decode()
+
+
+def _cells(root: str, text: str, strings: dict[int, str], dates: set[int]) -> Iterator[tuple[int, dict[int, str | None]]]:
+    prefix = root[1 : root.index("worksheet")]
+    for row in ElementTree.fromstring(f"{root}{text}</{prefix}worksheet>").iterfind("m:row", _NS):
+        yield int(row.get("r")), {_column(c.get("r")): _value(c, strings, dates) for c in row.iterfind("m:c", _NS)}
+
+
+_PIECES = "file string, part int, root string, rows string, header map<int,string>, line int, strings map<int,string>, dates array<int>"
+_PIECES_ARROW = pa.schema([("file", pa.string()), ("part", pa.int32()), ("root", pa.string()), ("rows", pa.string()), ("header", pa.map_(pa.int32(), pa.string())), ("line", pa.int32()), ("strings", pa.map_(pa.int32(), pa.string())), ("dates", pa.list_(pa.int32()))])
+
+
+def pieces(file: str, data: bytes, piece: int) -> Iterator[dict]:
+    """Pieces of the first sheet, each with all that is needed to parse it."""
     with zipfile.ZipFile(io.BytesIO(data)) as book:
         shared, dates = _shared(book), _date_styles(book)
         sheet = min((n for n in book.namelist() if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.search(r"\d+", n)[0]))
-        header: dict[int, str] = {}
+        header, line = {}, 0
         with book.open(sheet) as f:
-            for _, row in ElementTree.iterparse(f):
-                if row.tag != f"{{{_NS['m']}}}row":
-                    continue
-                cells = {_column(c.get("r")): _value(c, shared, dates) for c in row.iterfind("m:c", _NS)}
+            for part, (root, text) in enumerate(_row_texts(f, piece)):
+                strings = {k: shared[k] for k in {int(m[1]) for m in _STRING_CELL.finditer(text)}}
                 if not header:
-                    header = {k: v for k, v in cells.items() if v is not None}
-                elif any(v is not None for v in cells.values()):
-                    yield int(row.get("r")), {name: cells.get(k) for k, name in header.items()}
-                row.clear()
+                    named = ((n, {k: v for k, v in cells.items() if v is not None}) for n, cells in _cells(root, text, strings, dates))
+                    line, header = next((x for x in named if x[1]), (0, {}))
+                yield {"file": file, "part": part, "root": root, "rows": text, "header": list(header.items()), "line": line, "strings": list(strings.items()), "dates": sorted(dates)}
 
 
-class _Workbook(InputPartition):
-    def __init__(self, path: str):
-        super().__init__(path)
-        self.path = path
+def _unpacker(piece: int):
+    def run(batches):
+        for batch in batches:
+            for file, data in zip(batch.column("path").to_pylist(), batch.column("content")):
+                for found in pieces(file, data.as_py(), piece):
+                    yield pa.RecordBatch.from_pylist([found], _PIECES_ARROW)
 
+    return run
 
-class _Reader(DataSourceReader):
-    def __init__(self, schema: StructType, path: str):
-        self.columns, self.path = schema.fieldNames(), re.sub(r"^file:(//)?", "", path)
 
-    def partitions(self) -> list[InputPartition]:
-        return [_Workbook(p) for p in sorted(glob.glob(self.path)) or [self.path]]
+def _parser(columns: list[str]):
+    names = [*columns, "source_row"]
 
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        with open(partition.path, "rb") as f:
-            for line, cells in rows(f.read()):
-                cells = cells | {"source_row": str(line)}
-                yield tuple(cells.get(c) for c in self.columns)
+    def run(batches):
+        for batch in batches:
+            for x in batch.to_pylist():
+                places = {name: k for k, name in x["header"]}
+                found = _cells(x["root"], x["rows"], dict(x["strings"]), set(x["dates"]))
+                kept = [(line, cells) for line, cells in found if places and line > x["line"] and any(v is not None for v in cells.values())]
+                values = [*([cells.get(places.get(c)) for _, cells in kept] for c in columns), [str(line) for line, _ in kept]]
+                yield pa.RecordBatch.from_arrays([pa.array(v, pa.string()) for v in values], names)
 
+    return run
 
-class XlsxSource(DataSource):
-    """spark.read.format("xlsx").schema(...).load(path); source_row, if asked for, is the line."""
 
-    @classmethod
-    def name(cls) -> str:
-        return "xlsx"
-
-    def reader(self, schema: StructType) -> DataSourceReader:
-        return _Reader(schema, self.options["path"])
+def read_sheets(spark: SparkSession, path: str, columns: list[str], piece: int = PIECE) -> DataFrame:
+    """columns by their header, and source_row, the line in its sheet, of the first sheet of each workbook at path."""
+    books = spark.read.format("binaryFile").load(path).select("path", "content")
+    dealt = books.mapInArrow(_unpacker(piece), _PIECES).repartition("file", "part")
+    return dealt.mapInArrow(_parser(columns), ", ".join(f"`{c}` string" for c in (*columns, "source_row")))
