@@ -80,7 +80,7 @@ def expected_price() -> Column:
 
 def with_products(sales: DataFrame, products: DataFrame) -> DataFrame:
     listed = products.select("product_id", "category", "price_S", "price_M", "price_L", "price_nosize")
-    return sales.join(F.broadcast(listed), "product_id", "left").withColumn("list_price", expected_price())
+    return sales.join(storage.small(listed), "product_id", "left").withColumn("list_price", expected_price())
 
 
 def sales_rules() -> list[Rule]:

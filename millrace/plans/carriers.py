@@ -498,6 +498,88 @@ CODES_SQL = """
 SELECT CASE o_orderstatus WHEN 'F' THEN 'closed' WHEN 'O' THEN 'open' END AS status, concat_ws(';', CASE WHEN o_orderstatus NOT IN ('F', 'O') THEN 'unmapped' END, CASE WHEN o_totalprice > 300000 THEN 'large' END) AS flags, count(*) AS n FROM orders GROUP BY 1, 2"""
 
 
+def hourly_dense(spark, d):
+    """Users and value by type and hour, every opening hour being there; the other hours are suspect."""
+    e = t(spark, d, "events").select(F.col("event_type").alias("branch"), F.col("user_id").alias("receipt_id"), F.hour("ts").alias("hour"), F.col("value").cast("decimal(18,2)").alias("line_total"))
+    types = [r[0] for r in e.select("branch").distinct().collect()]  # the kinds of event
+    found = star.agg_hourly(e.withColumn("time_suspect", ~F.col("hour").between(7, 19)), types)
+    return found.select("branch", "hour", "bills", F.col("revenue").cast("double").alias("revenue"), "time_of_day")
+
+
+HOURLY_SQL = """
+WITH e AS (SELECT event_type AS branch, hour(ts) AS hour, user_id, CAST(value AS DECIMAL(18,2)) AS v FROM events),
+g AS (SELECT * FROM (SELECT DISTINCT branch FROM e) CROSS JOIN (SELECT unnest(range(7, 20)) AS hour))
+SELECT branch, hour, count(DISTINCT user_id) AS bills, coalesce(CAST(sum(v) AS DOUBLE), 0.0) AS revenue, CASE WHEN hour < 11 THEN 'เช้า' WHEN hour < 14 THEN 'กลางวัน' WHEN hour < 17 THEN 'บ่าย' ELSE 'เย็น' END AS time_of_day
+FROM g LEFT JOIN e USING (branch, hour) GROUP BY 1, 2"""
+
+
+def brand_months(spark, d):
+    """Quantity and revenue by brand, flag and month, months without sales being there."""
+    parts = t(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("product_id"))
+    lines = t(spark, d, "lineitem").select("l_partkey", F.col("l_returnflag").alias("branch"), F.month("l_shipdate").alias("month"), F.col("l_quantity").cast("decimal(18,2)").alias("qty"), F.col("l_extendedprice").cast("decimal(18,2)").alias("line_total"))
+    brands = parts.select("product_id", F.lit("brand").alias("name_th"), F.substring("product_id", 1, 7).alias("category")).distinct()
+    found = star.agg_product(lines.join(parts, "l_partkey"), brands, range(1, 13), ["A", "N", "R"])
+    return found.select("product_id", "category", "branch", "month", F.col("qty").cast("double").alias("qty"), F.col("revenue").cast("double").alias("revenue"))
+
+
+BRAND_MONTHS_SQL = """
+WITH l AS (SELECT p_brand AS product_id, l_returnflag AS branch, month(l_shipdate) AS month, sum(CAST(l_quantity AS DECIMAL(18,2))) AS q, sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS r FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2, 3)
+SELECT product_id, left(product_id, 7) AS category, branch, month, coalesce(CAST(q AS DOUBLE), 0.0) AS qty, coalesce(CAST(r AS DOUBLE), 0.0) AS revenue
+FROM (SELECT DISTINCT p_brand AS product_id FROM part) CROSS JOIN (SELECT unnest(['A', 'N', 'R']) AS branch) CROSS JOIN (SELECT unnest(range(1, 13)) AS month) LEFT JOIN l USING (product_id, branch, month)"""
+
+
+def people_merged(spark, d):
+    """Members' steps over orders: one row for each customer and state, with the first known letter and year, years of two eras."""
+    o = t(spark, d, "orders")
+    people = o.select(
+        F.col("o_orderkey").alias("member_id"), F.col("o_custkey").cast("string").alias("full_name"), F.col("o_orderstatus").alias("phone"), F.to_date("o_orderdate").alias("register_date"),
+        F.expr("CASE o_orderpriority WHEN '1-URGENT' THEN 'M' WHEN '2-HIGH' THEN 'F' END").alias("gender"), F.expr("CASE WHEN o_orderkey % 3 = 0 THEN 1900 + o_orderkey % 700 END").cast("int").alias("birth_year"),
+    )
+    merged, ids = cleaning.merge_members(people)
+    copies = ids.groupBy(F.col("master_id").alias("member_id")).agg(F.count(F.lit(1)).alias("copies"))
+    found = cleaning.fill_gender(cleaning.fix_birth_year(merged, 2000)).join(copies, "member_id", "left")
+    return found.select("member_id", "full_name", "phone", "gender", "birth_year", F.coalesce("copies", F.lit(0)).alias("copies"))
+
+
+PEOPLE_SQL = """
+WITH o AS (SELECT o_orderkey AS k, o_custkey, o_orderstatus, CAST(o_orderdate AS DATE) AS d, CASE o_orderpriority WHEN '1-URGENT' THEN 'M' WHEN '2-HIGH' THEN 'F' END AS g, CASE WHEN o_orderkey % 3 = 0 THEN 1900 + o_orderkey % 700 END AS y FROM orders),
+m AS (SELECT o_custkey, o_orderstatus, arg_min(k, (d, k)) AS member_id, arg_min(g, (d, k)) FILTER (g IS NOT NULL) AS g, arg_min(y, (d, k)) FILTER (y IS NOT NULL) AS y, count(*) - 1 AS copies FROM o GROUP BY 1, 2)
+SELECT member_id, CAST(o_custkey AS VARCHAR) AS full_name, o_orderstatus AS phone, coalesce(g, 'U') AS gender, CASE WHEN 2000 - y BETWEEN 10 AND 100 THEN y WHEN 2000 - (y - 543) BETWEEN 10 AND 100 THEN y - 543 END AS birth_year, copies FROM m"""
+
+
+def sales_rules_scored(spark, d):
+    """The ten row rules of sales over order lines that are given a shop's columns."""
+    products = t(spark, d, "part").selectExpr(
+        "cast(p_partkey as string) as product_id", "element_at(array('bakery', 'coffee', 'non_coffee'), cast(p_size % 3 + 1 as int)) as category", "p_size as price_S", "p_size + 1 as price_M", "p_size + 2 as price_L", "p_size as price_nosize",
+    )
+    members = t(spark, d, "supplier").where("s_suppkey % 5 <> 0").selectExpr("cast(s_suppkey as string) as member_id")
+    lines = t(spark, d, "lineitem").selectExpr(
+        "l_orderkey as receipt_id", "case when l_linenumber <> 7 then cast(l_partkey as string) end as product_id", "cast(l_partkey as string) as product_raw",
+        "case when l_discount <> 0 then case l_returnflag when 'A' then 'S' when 'N' then 'M' else 'L' end end as size", "case when l_discount <> 0.05 then l_quantity - 10 end as qty",
+        "case when l_tax <> 0 then l_quantity end as unit_price", "case when l_linenumber <> 1 then cast(l_suppkey as string) end as member_id",
+        "timestamp(date_add(date'2025-12-15', cast(l_orderkey % 220 as int))) + make_dt_interval(0, cast(l_partkey % 24 as int)) as sale_datetime", "l_orderkey * 8 + l_linenumber as row_id",
+    )
+    found = rules.score(rules.prepared_sales(lines, members, products), rules.sales_rules())
+    return rules.rated(found).select("rule_id", "checked", "violations", F.round("score", 6).alias("score"), "meets_target")
+
+
+SALES_RULES_SQL = """
+WITH s AS (SELECT l_orderkey AS receipt, CASE WHEN l_linenumber <> 7 THEN l_partkey END AS product, l_partkey AS raw, CASE WHEN l_discount <> 0 THEN CASE l_returnflag WHEN 'A' THEN 'S' WHEN 'N' THEN 'M' ELSE 'L' END END AS size,
+  CASE WHEN l_discount <> 0.05 THEN l_quantity - 10 END AS qty, CASE WHEN l_tax <> 0 THEN l_quantity END AS price, CASE WHEN l_linenumber <> 1 THEN l_suppkey END AS member, DATE '2025-12-15' + CAST(l_orderkey % 220 AS INTEGER) AS day, l_partkey % 24 AS hour FROM lineitem),
+x AS (SELECT s.*, p_size % 3 AS kind, CASE WHEN p_size % 3 = 0 OR size = 'S' THEN p_size WHEN size = 'M' THEN p_size + 1 WHEN size = 'L' THEN p_size + 2 END AS listed, s_suppkey IS NOT NULL AS known FROM s LEFT JOIN part ON product = p_partkey LEFT JOIN supplier ON member = s_suppkey AND s_suppkey % 5 <> 0),
+r AS (SELECT 'CP2' AS rule_id, count(*) AS checked, count(*) FILTER (price IS NULL) AS violations FROM x
+  UNION ALL SELECT 'CP3', count(*), count(*) FILTER (qty IS NULL) FROM x
+  UNION ALL SELECT 'CP4', count(*) FILTER (kind <> 0), count(*) FILTER (kind <> 0 AND size IS NULL) FROM x
+  UNION ALL SELECT 'UQ1', (SELECT count(*) FROM s), (SELECT count(*) FROM s) - (SELECT count(*) FROM (SELECT DISTINCT * FROM s))
+  UNION ALL SELECT 'VL1', count(qty), count(*) FILTER (qty <= 0) FROM x
+  UNION ALL SELECT 'VL2', count(*), count(*) FILTER (hour < 7 OR hour >= 20) FROM x
+  UNION ALL SELECT 'VL3', count(*), count(*) FILTER (day NOT BETWEEN DATE '2026-01-01' AND DATE '2026-06-30') FROM x
+  UNION ALL SELECT 'CS1', count(raw), count(*) FILTER (raw IS NOT NULL AND product IS NULL) FROM x
+  UNION ALL SELECT 'CS2', count(member), count(*) FILTER (member IS NOT NULL AND NOT known) FROM x
+  UNION ALL SELECT 'AC1', count(*) FILTER (price IS NOT NULL AND listed IS NOT NULL), count(*) FILTER (abs(price - listed) > 0.01) FROM x)
+SELECT *, round(CASE WHEN checked = 0 THEN 1.0 ELSE 1 - CAST(violations AS DOUBLE) / checked END, 6) AS score, CASE WHEN checked = 0 THEN TRUE ELSE 1 - CAST(violations AS DOUBLE) / checked >= 0.98 END AS meets_target FROM r"""
+
+
 #: name: (query, SQL or None)
 CARRIERS = {
     "star_top_brands": (star_top_brands, STAR_SQL),
@@ -538,4 +620,8 @@ CARRIERS = {
     "exact_quantiles": (exact_quantiles, "SELECT CAST(s AS DOUBLE) AS share, round(v, 6) AS value FROM (SELECT unnest([0.01, 0.25, 0.5, 0.9]) AS s, unnest(quantile_cont(l_extendedprice, [0.01, 0.25, 0.5, 0.9])) AS v FROM lineitem)"),
     "increment_days": (increment_days, "SELECT l_returnflag AS branch, CAST(l_shipdate AS DATE) AS date, count(DISTINCT l_orderkey) AS bills, CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS items, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS revenue FROM lineitem GROUP BY 1, 2"),
     "increment_members": (increment_members, INCREMENT_MEMBERS_SQL),
+    "hourly_dense": (hourly_dense, HOURLY_SQL),
+    "brand_months": (brand_months, BRAND_MONTHS_SQL),
+    "people_merged": (people_merged, PEOPLE_SQL),
+    "sales_rules_scored": (sales_rules_scored, SALES_RULES_SQL),
 }
