@@ -503,7 +503,7 @@ def hourly_dense(spark, d):
     e = t(spark, d, "events").select(F.col("event_type").alias("branch"), F.col("user_id").alias("receipt_id"), F.hour("ts").alias("hour"), F.col("value").cast("decimal(18,2)").alias("line_total"))
     types = [r[0] for r in e.select("branch").distinct().collect()]  # the kinds of event
     found = star.agg_hourly(e.withColumn("time_suspect", ~F.col("hour").between(7, 19)), types)
-    return found.select("branch", "hour", "bills", F.col("revenue").cast("double").alias("revenue"), "time_of_day")
+    return found.select("branch", F.col("hour").cast("long").alias("hour"), "bills", F.col("revenue").cast("double").alias("revenue"), "time_of_day")
 
 
 HOURLY_SQL = """
@@ -519,7 +519,7 @@ def brand_months(spark, d):
     lines = t(spark, d, "lineitem").select("l_partkey", F.col("l_returnflag").alias("branch"), F.month("l_shipdate").alias("month"), F.col("l_quantity").cast("decimal(18,2)").alias("qty"), F.col("l_extendedprice").cast("decimal(18,2)").alias("line_total"))
     brands = parts.select("product_id", F.lit("brand").alias("name_th"), F.substring("product_id", 1, 7).alias("category")).distinct()
     found = star.agg_product(lines.join(parts, "l_partkey"), brands, range(1, 13), ["A", "N", "R"])
-    return found.select("product_id", "category", "branch", "month", F.col("qty").cast("double").alias("qty"), F.col("revenue").cast("double").alias("revenue"))
+    return found.select("product_id", "category", "branch", F.col("month").cast("long").alias("month"), F.col("qty").cast("double").alias("qty"), F.col("revenue").cast("double").alias("revenue"))
 
 
 BRAND_MONTHS_SQL = """
@@ -538,7 +538,7 @@ def people_merged(spark, d):
     merged, ids = cleaning.merge_members(people)
     copies = ids.groupBy(F.col("master_id").alias("member_id")).agg(F.count(F.lit(1)).alias("copies"))
     found = cleaning.fill_gender(cleaning.fix_birth_year(merged, 2000)).join(copies, "member_id", "left")
-    return found.select("member_id", "full_name", "phone", "gender", "birth_year", F.coalesce("copies", F.lit(0)).alias("copies"))
+    return found.select("member_id", "full_name", "phone", "gender", F.col("birth_year").cast("long").alias("birth_year"), F.coalesce("copies", F.lit(0)).alias("copies"))
 
 
 PEOPLE_SQL = """
