@@ -11,7 +11,7 @@ shuffled; equal ones combine, and the rest are aligned in the same way.
 Slots of a wrapper are content unless an element on their path is one of those that hold menus,
 headers, footers, sidebars, notices, adverts, forms or comments, by its name or by a class, id or
 role all of whose words are about that: `comment-list` is, `side-effects` is not.  Within a main
-element (article, main) headers are content too.  Where a wrapper has a main element, only slots
+element (article, main) headers, and labels and groups of fields that are in no form, are content too.  Where a wrapper has a main element, only slots
 within it are content; where it has none, slots that every one of several pages has with the same
 text, and repeated links in lists, are not.  A page is read through its host's wrapper: its content
 is the text of its content slots.  If none of a page's slots is content in the wrapper, the page
@@ -52,6 +52,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 CLOSES = {"p": {"p"}, "li": {"li"}, "tr": {"tr"}, "td": {"td", "th"}, "th": {"td", "th"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}}
 _SCOPES = frozenset("table ul ol dl div article section main aside nav body td th".split())
 APART = frozenset("head title nav menu footer aside form button fieldset dialog label option".split())
+#: Of these, elements that belong to the text around them within a main element.
+FIELDS = frozenset("label fieldset option".split())
 MAIN = frozenset("article main".split())
 #: Words of classes, ids and roles whose elements are apart; and words that say no more than where or what.
 APART_WORDS = frozenset(
@@ -69,11 +71,11 @@ CELLS = 1 << 20
 Slot = tuple[str, str]
 
 
-def _names(tag: str, attributes: str) -> str:
-    """tag, with ! if the element is apart from the main text, ~ if it is so outside of it, and * if it is the main text."""
+def _names(tag: str, attributes: str, inside: bool = False) -> str:
+    """tag, inside the main text or not, with ! if the element is apart from the main text, ~ if it is so outside of it, and * if it is the main text."""
     names = [n for m in _ATTRIBUTE.finditer(attributes) for n in next(filter(None, m.groups()[1:]), "").lower().split()] if attributes else []
     words = [frozenset(filter(None, re.split(r"[^a-z0-9]+", n))) for n in names] if tag not in ("html", "body") else []
-    if tag in APART or any(w & APART_WORDS and w <= APART_WORDS | PLAIN_WORDS for w in words):
+    if tag in APART and not (inside and tag in FIELDS) or any(w & APART_WORDS and w <= APART_WORDS | PLAIN_WORDS for w in words):
         return f"{tag}!"
     if tag in MAIN or any(_MAIN_WORDS.search(n) or n in MAIN for n in names):
         return f"{tag}*"
@@ -122,7 +124,7 @@ def slots(html: str | None) -> Iterator[Slot]:
                     break
                 if stack[k][0] in _SCOPES:
                     break
-            name = _names(tag, attributes)
+            name = _names(tag, attributes, tag in FIELDS and any(n[-1] == "*" for _, n in stack))
             if name[-1] in "!*~" and tag not in BLOCKS:
                 yield from block()
             stack.append((tag, name))

@@ -222,6 +222,8 @@ def test_html_extraction(spark):
 
 
 ODD = [
+    ("<label>Open menu</label><article><p><label>Label text</label> x</p><fieldset><legend>Box</legend><p>y</p></fieldset><form><label>Name</label><fieldset>z</fieldset></form></article>", "Label text x\nBox\ny"),
+    ("<div><p>Text</p><label>Search</label></div>", "Text"),
     ("<article><h1>A</h1><p>see</p><ul><li><a href=1>First link</a></li><li><a href=2>Second link</a></li></ul></article>", "A\nsee\nFirst link\nSecond link"),
     ("<article><p class='side-effects'>one</p><div id='search-results'>two</div><section class=related-work>three</section><div class='comment-list'>no</div></article>", "one\ntwo\nthree"),
     ("<body class='has-sidebar'><div id=page class=no-comments><article><header><h1>T</h1></header><p title='it's'>hello</p></article></div><div class='cookie-notice'>no</div></body>", "T\nhello"),
