@@ -2,21 +2,27 @@
 
 A page is a stream of slots: runs of text, each with the path of the elements around it.  A
 wrapper is a regular expression without unions over slots: slots in order, some optional, some
-groups repeated, each slot with its fixed text or open.  It is inferred by alignment: runs of
-equal slots, or of equal groups of slots, become one repeated item; a page is aligned with its
-host's wrapper so far, and slots that only one side has become optional; texts that differ open
-the slot.  Tasks fold the pages they have, so that only one wrapper for each host and task is
-shuffled; equal ones combine, and the rest are aligned in the same way.
-
-Slots of a wrapper are content unless an element on their path is one of those that hold menus,
-headers, footers, sidebars, notices, adverts, forms or comments, by its name or by a class, id or
-role all of whose words are about that: `comment-list` is, `side-effects` is not.  Within a main
-element (article, main) headers, and labels and groups of fields that are in no form, are content too.  Where a wrapper has a main element, only slots
-within it are content; where it has none, slots that every one of several pages has with the same
-text, and repeated links in lists, are not.  A page is read through its host's wrapper: its content
-is the text of its content slots.  If none of a page's slots is content in the wrapper, the page
-counts as its own wrapper.  What decides, the paths and the slots common to all pages, does not
-depend on the order in which pages are aligned.
+groups repeated.  It is inferred by alignment: runs of equal slots, or of equal groups of slots,
+become one repeated item; a page is aligned with its host's wrapper so far, and slots that only
+one side has become optional.  Only structures that differ are shuffled; those of a host are
+folded in an order of their own, dealt over SPREAD tasks first, so that a wrapper depends neither
+on the order of pages nor on which task ran where.
+
+Every page is then read along its host's wrapper: each of its slots goes to the place that skips
+the fewest slots a page must have, the earliest on ties.  The texts at a place, over all pages of
+the host, say what it is: fixed (two pages or more, all with the same text), numbered (the same but
+for numbers), open (different), or single (one page has it, which says nothing).
+
+Slots are apart if an element on their path is one of those that hold menus, headers, footers,
+sidebars, notices, adverts, forms or comments, by its name or by a class, id or role all of whose
+words are about that: `comment-list` is, `side-effects` is not.  Within a main element (article,
+main) headers, and labels and groups of fields that are in no form, are not apart.  Where a wrapper
+has a main element, all slots within it that are not apart are content, and nothing else is.  Where
+it has none, the content is the stretch from the first to the last open place that is not apart
+(if none is open: numbered place).  Fixed and numbered places outside of it are template, single
+ones and slots that have no place are content, and so is all of a host where no place is open or
+numbered.  List items that are one link are content only within the stretch, and if their texts
+are open.  If none of a page's slots is content in the wrapper, the page counts as its own wrapper.
 
 A block is the text between two tags of block elements (br included); character references are
 decoded, white space within a block is one space, and blocks are joined by a line feed.
@@ -29,9 +35,11 @@ result.  Columns besides page_id, url and html are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import html as references
 import json
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 from functools import reduce
@@ -67,6 +75,9 @@ _MAIN_WORDS = re.compile(r"(?:^|[^a-z])(?:articlebody|article-body|post-content|
 GROUP = 4
 #: Cells of the table by which two wrappers are aligned; larger ones are aligned by runs that both have.
 CELLS = 1 << 20
+#: Tasks over which the structures of one host are dealt before its wrapper is made in one.
+SPREAD = 1024
+_NUMBER = re.compile(r"\d+")
 
 Slot = tuple[str, str]
 
@@ -207,109 +218,177 @@ def page_wrapper(page: list[Slot]) -> list:
     return collapse([[path, text, False, False] for path, text in page])
 
 
-def _leaves(items: list, repeated: bool = False) -> Iterator[tuple[str, str | None, bool]]:
-    for key, inner, _, again in items:
+def _leaves(items: list, must: bool = True, at: int = 0) -> Iterator[tuple[str, bool, tuple[tuple[int, int], ...]]]:
+    """The slots of a wrapper: path, whether a page must have it, and the ranges of leaves that are repeated around it, innermost first."""
+    for key, inner, optional, again in items:
         if isinstance(inner, list):
-            yield from _leaves(inner, repeated or again)
+            leaves = list(_leaves(inner, must and not optional, at))
         else:
-            yield key, inner, repeated or again
+            leaves = [(key, must and not optional, ())]
+        around = ((at, at + len(leaves)),) if again else ()
+        for path, needed, loops in leaves:
+            yield path, needed, loops + around
+        at += len(leaves)
+
+
+class Wrapper:
+    """A wrapper ready to read pages along it."""
+
+    def __init__(self, items: list) -> None:
+        leaves = list(_leaves(items))
+        self.paths = [path for path, *_ in leaves]
+        self._loops = [loops for *_, loops in leaves]
+        self._needed = [0]
+        for _, needed, _ in leaves:
+            self._needed.append(self._needed[-1] + needed)
+        self._at: dict[str, list[int]] = {}
+        for k, path in enumerate(self.paths):
+            self._at.setdefault(path, []).append(k)
+
+    def places(self, page: list[Slot]) -> list[int]:
+        """For each slot of page, its leaf in the wrapper; -1 if it has none."""
+        out, at, needed = [], -1, self._needed
+        for path, _ in page:
+            same = self._at.get(path, [])
+            found = []
+            if (k := bisect_right(same, at)) < len(same):
+                found.append((needed[same[k]] - needed[at + 1], same[k]))
+            for begin, end in self._loops[at] if at >= 0 else ():
+                if (k := bisect_left(same, begin)) < len(same) and same[k] <= at:
+                    found.append((needed[end] - needed[at + 1] + needed[same[k]] - needed[begin], same[k]))
+            out.append(min(found)[1] if found else -1)
+            at = out[-1] if found else at
+        return out
 
 
-def content(items: list, common_slots: set[Slot]) -> tuple[set[str], set[Slot]]:
-    """Paths that hold content, and single slots of them that don't."""
-    leaves = [(path, again, path.split("/")) for path, _, again in _leaves(items)]
-    main = any("*" in path for path, *_ in leaves)
-    paths, listed = set(), set()
-    for path, again, names in leaves:
-        inside = any(n.endswith("*") for n in names)
-        if main and not inside or any(n.endswith("!") or n.endswith("~") and not inside for n in names):
-            continue
-        if not main and again and names[-1] == "a" and "li" in names:
-            listed.add(path)
-        paths.add(path)
-    return paths - listed, set() if main else common_slots
+def _apart(path: str, main: bool) -> bool:
+    names = path.split("/")
+    inside = any(n.endswith("*") for n in names)
+    return main and not inside or any(n.endswith("!") or n.endswith("~") and not inside for n in names)
 
 
-def _common(page: list[Slot]) -> set[Slot]:
-    """A page's slots; none if it has a main element, since then they don't count."""
-    return set() if any("*" in path for path, _ in page) else set(page)
+def _listed(path: str) -> bool:
+    names = path.split("/")
+    return names[-1] == "a" and "li" in names
 
 
-def host_of(url: str = "url") -> Column:
-    return F.lower(F.coalesce(F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
+def content(paths: list[str], texts: dict[int, str]) -> list[bool]:
+    """Whether each place of a wrapper is content, by its path and what the texts of all pages there are."""
+    main = any("*" in path for path in paths)
+    good = [not _apart(path, main) for path in paths]
+    if main:
+        return good
+    anchors: list[int] = []
+    for kind in ("open", "numbered"):
+        anchors = anchors or [k for k, path in enumerate(paths) if good[k] and texts.get(k) == kind and not _listed(path)]
+    first, last = (anchors[0], anchors[-1]) if anchors else (0, -1)
+    for k, path in enumerate(paths):
+        within = first <= k <= last
+        if _listed(path):
+            good[k] &= within and texts.get(k) == "open"
+        else:
+            good[k] &= within or not anchors or texts.get(k) not in ("fixed", "numbered")
+    return good
 
 
-def _packed(wrapper: list, common_slots: set[Slot]) -> str:
-    return json.dumps([wrapper, sorted(common_slots)], ensure_ascii=False)
+def _digest(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-def _unpacked(text: str) -> tuple[list, set[Slot]]:
-    wrapper, common_slots = json.loads(text)
-    return wrapper, {(path, t) for path, t in common_slots}
+def host_of(url: str = "url") -> Column:
+    return F.lower(F.coalesce(F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
 def _inferrer(batches):
-    found: dict[str, list] = {}
-
-    def flush() -> pa.RecordBatch:
-        return pa.RecordBatch.from_pydict({"host": list(found), "pages": [n for n, *_ in found.values()], "wrapper": [_packed(w, c) for _, w, c in found.values()]}, schema=pa.schema([("host", pa.string()), ("pages", pa.int64()), ("wrapper", pa.string())]))
-
+    """host, wrapper and part of the structures that differ within a batch."""
     for batch in batches:
+        found: set[tuple[str, str]] = set()
         for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
-            if own := list(slots(page)):
-                n, before, both = found.get(host, (0, None, None))
-                found[host] = [n + 1, align(before, page_wrapper(own)), both & _common(own)] if n else [1, page_wrapper(own), _common(own)]
-            elif host not in found:
-                found[host] = [0, [], set()]
-            if len(found) > 20_000:
-                yield flush()
-                found.clear()
-    yield flush()
+            found.add((host, json.dumps(page_wrapper([(path, "") for path, _ in slots(page)]), ensure_ascii=False)))
+        hosts, structures = zip(*sorted(found)) if found else ((), ())
+        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(structures, pa.string()), pa.array([_digest(w) % SPREAD for w in structures], pa.int32())], ["host", "wrapper", "part"])
 
 
 def _joiner(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    pages, wrapper, both = 0, None, set()
-    for text, n in sorted(zip(table.column("wrapper").to_pylist(), table.column("pages").to_pylist())):
-        own, common_slots = _unpacked(text)
-        if n:  # pages without text say nothing
-            both = common_slots if not pages else both & common_slots
-            wrapper = own if wrapper is None else align(wrapper, own)
-            pages += n
-    return pa.table({"host": [key[0].as_py()], "pages": [pages], "wrapper": [_packed(wrapper or [], both)]})
+    """The wrapper of all wrappers of a host; pages without text, whose wrapper is empty, say nothing."""
+    known = [json.loads(text) for text in sorted(table.column("wrapper").to_pylist(), key=lambda w: (len(w), w))]
+    whole = reduce(align, filter(None, known)) if any(known) else []
+    return pa.table({"host": [key[0].as_py()], "wrapper": [json.dumps(whole, ensure_ascii=False)]})
+
+
+def _placer(batches):
+    """host, place, pages, and least and greatest digests of a page's texts there, as they are and without numbers."""
+    for batch in batches:
+        found: dict[tuple[str, int], list[int]] = {}
+        known: dict[str, Wrapper] = {}
+        for host, html, text in zip(*(batch.column(c).to_pylist() for c in ("host", "html", "wrapper"))):
+            wrapper = known[host] if host in known else known.setdefault(host, Wrapper(json.loads(text)))
+            page = list(slots(html))
+            here: dict[int, list[str]] = {}
+            for place, (_, text) in zip(wrapper.places(page), page):
+                if place >= 0:
+                    here.setdefault(place, []).append(text)
+            for place, texts in here.items():
+                own = "\n".join(texts)
+                exact, masked = _digest(own), _digest(_NUMBER.sub("0", own))
+                n, a, b, c, d = found.get((host, place), (0, exact, exact, masked, masked))
+                found[host, place] = [n + 1, min(a, exact), max(b, exact), min(c, masked), max(d, masked)]
+        columns = list(zip(*found.values())) or [()] * 5
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([h for h, _ in found], pa.string()), pa.array([k for _, k in found], pa.int32()), *(pa.array(c, pa.int64()) for c in columns)], ["host", "place", "n", "a", "b", "c", "d"]
+        )
+
+
+def _hosted(pages: DataFrame, known: DataFrame) -> DataFrame:
+    return pages.withColumn("host", host_of()).join(common.small(known, 20_000), "host")
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """(host, pages, wrapper) for each host of pages (url, html); the wrapper as JSON."""
-    schema = "host string, pages long, wrapper string"
-    parts = pages.select(host_of().alias("host"), "html").transform(common.map_batches, _inferrer, schema)
-    equal = parts.groupBy("host", "wrapper").agg(F.sum("pages").alias("pages")).select("host", "pages", "wrapper")
-    return common.save(equal.groupBy("host").applyInArrow(_joiner, schema), "wrappers")
+    """(host, wrapper, kinds) for each host of pages (url, html): the wrapper as JSON, and place -> fixed, numbered, open or single.
+
+    Only hosts without a main element need kinds; of the others no page is read again.
+    """
+    parts = pages.select(host_of().alias("host"), "html").transform(common.map_batches, _inferrer, "host string, wrapper string, part int").distinct()
+    schema = "host string, wrapper string"
+    folded = parts.groupBy("host", "part").applyInArrow(_joiner, schema).groupBy("host").applyInArrow(_joiner, schema)
+    known = common.save(folded, "structures")
+    plain = known.where(~F.col("wrapper").contains("*"))
+    if plain.isEmpty():
+        return known.withColumn("kinds", F.create_map().cast("map<int,string>"))
+    texts = _hosted(pages.select("url", "html"), plain).select("host", "html", "wrapper").transform(common.map_batches, _placer, "host string, place int, n long, a long, b long, c long, d long")
+    texts = texts.groupBy("host", "place").agg(F.sum("n").alias("n"), F.min("a").alias("a"), F.max("b").alias("b"), F.min("c").alias("c"), F.max("d").alias("d"))
+    kind = F.when(F.col("n") < 2, "single").when(F.col("a") == F.col("b"), "fixed").when(F.col("c") == F.col("d"), "numbered").otherwise("open")
+    kinds = texts.groupBy("host").agg(F.map_from_entries(F.collect_list(F.struct("place", kind))).alias("kinds"))
+    return common.save(known.join(kinds, "host", "left"), "wrappers")
 
 
-def _extract(page: list[Slot], paths: set[str], without: set[Slot]) -> list[str]:
-    return [text for path, text in page if path in paths and (path, text) not in without]
+def _extract(page: list[Slot], paths: list[str], places: list[int], good: list[bool]) -> list[str]:
+    main = any("*" in path for path in paths)
+    return [text for (path, text), k in zip(page, places) if (good[k] if k >= 0 else not _apart(path, main) and not _listed(path))]
 
 
 def _extractor(batches):
-    known: dict[str, tuple[set[str], set[Slot]]] = {}
+    known: dict[str, tuple[Wrapper, list[bool]]] = {}
     for batch in batches:
         texts = []
-        for page, pages, wrapper in zip(*(batch.column(c).to_pylist() for c in ("html", "pages", "wrapper"))):
-            if wrapper not in known:
+        for html, host, wrapper, kinds in zip(*(batch.column(c).to_pylist() for c in ("html", "host", "wrapper", "kinds"))):
+            if host not in known:
                 if len(known) > 1000:
                     known.clear()
-                items, both = _unpacked(wrapper)
-                known[wrapper] = content(items, both if pages > 1 else set())
-            own = list(slots(page))
-            texts.append("\n".join(_extract(own, *known[wrapper]) or _extract(own, *content(page_wrapper(own), set()))))
+                whole = Wrapper(json.loads(wrapper))
+                known[host] = whole, content(whole.paths, dict(kinds or ()))
+            whole, good = known[host]
+            page = list(slots(html))
+            own = [path for path, _ in page]
+            texts.append("\n".join(_extract(page, whole.paths, whole.places(page), good) or _extract(page, own, list(range(len(own))), content(own, {}))))
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url and text of every row of pages (page_id, url, html)."""
     known = wrappers(pages)
-    own = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host_of().alias("host"))
-    return own.join(common.small(known, 20_000), "host").select("page_id", "url", "html", "pages", "wrapper").transform(common.map_batches, _extractor, "page_id long, url string, text string")
+    own = _hosted(pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html"), known)
+    return own.select("page_id", "url", "html", "host", "wrapper", "kinds").transform(common.map_batches, _extractor, "page_id long, url string, text string")
 
 
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -262,6 +262,86 @@ def test_wrappers_have_optional_and_repeated_items():
     assert len(pair) == 1 and pair[0][3] and len(pair[0][1]) == 2
 
 
+def _language_of(items):
+    """A pattern over the letters of paths that accepts what a wrapper accepts, written apart from it."""
+    out = ""
+    for key, inner, optional, again in items:
+        one = "(?:" + _language_of(inner) + ")" if isinstance(inner, list) else "(?:" + re.escape(f"<{key}>") + ")"
+        out += "(?:" + one + ("+" if again else "") + ")" + ("?" if optional else "")
+    return out
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(st.sampled_from("abcd"), max_size=9), min_size=1, max_size=5))
+def test_wrappers_accept_their_pages_and_place_every_slot(pages):
+    pages = [[(path, "") for path in page] for page in pages if page]
+    if not pages:
+        return
+    own = [html_extraction.page_wrapper(page) for page in pages]
+    items = own[0]
+    for other in own[1:]:
+        items = html_extraction.align(items, other)
+    wrapper = html_extraction.Wrapper(items)
+    for page in pages:
+        assert re.fullmatch(_language_of(items), "".join(f"<{path}>" for path, _ in page))
+        for (path, _), place in zip(page, wrapper.places(page)):
+            assert place == -1 or wrapper.paths[place] == path
+
+
+def test_places_are_those_of_optional_and_repeated_slots():
+    items = [["h", "", False, False], ["(p q)", [["p", "", False, False], ["q", "", False, False]], False, True], ["x", "", True, False], ["p", "", False, False]]
+    wrapper = html_extraction.Wrapper(items)
+    assert wrapper.paths == ["h", "p", "q", "x", "p"]
+    place = lambda text: wrapper.places([(c, "") for c in text])
+    assert place("hpqpqxp") == [0, 1, 2, 1, 2, 3, 4]
+    assert place("hpqxp") == [0, 1, 2, 3, 4]
+    assert place("xz") == [3, -1]
+
+
+def _plain(spark, pages):
+    """Texts of pages given as {host: [html]}, by host."""
+    rows = [(1000 * h + k, f"http://{host}.example/{k}", html) for h, (host, htmls) in enumerate(pages.items()) for k, html in enumerate(htmls)]
+    got = {r["page_id"]: r["text"] for r in html_extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    return {host: [got[1000 * h + k] for k in range(len(htmls))] for h, (host, htmls) in enumerate(pages.items())}
+
+
+STORIES = ["red apples grow", "blue whales sing", "old towns sleep", "new roads bend", "tall trees sway"]
+
+
+def test_wrappers_decide_where_no_main_element_does(spark):
+    """Blocks whose class names say nothing; what tells them is what other pages have at their place."""
+    framed = "<div class=zz>Acme {k} visits</div><ul><li><a href=/>Home {s}</a></li></ul><h2>{s}</h2><p>Always said here</p><ul><li><a href=1>{s} link</a></li></ul><p>{s} more</p>{extra}<div class=yy>Copyright {k}</div>"
+    pages = {
+        "framed": [framed.format(k=k, s=s, extra="<blockquote>once</blockquote>" if k == 2 else "") for k, s in enumerate(STORIES)],
+        "alone": [framed.format(k=7, s="x", extra="")],
+        "copies": ["<div>Name</div><p>the same text</p>"] * 3,
+        "repeated": [f"<div>Top</div><p>{s} 1</p>" + f"<p>{s} 2</p>" * k + "<div>End</div>" for k, s in enumerate(STORIES)],
+    }
+    got = _plain(spark, pages)
+    for k, s in enumerate(STORIES):
+        assert got["framed"][k].split("\n") == [s, "Always said here", f"{s} link", f"{s} more"] + ["once"] * (k == 2)
+        assert got["repeated"][k].split("\n") == [f"{s} 1"] + [f"{s} 2"] * k
+    assert got["alone"] == ["Acme 7 visits\nx\nAlways said here\nx more\nCopyright 7"]  # nothing to compare with: link lists go
+    assert got["copies"] == ["Name\nthe same text"] * 3
+
+
+def test_paths_alone_would_not_do(spark, monkeypatch):
+    """The same host read by the bare set of its paths keeps what its wrapper drops."""
+    pages = {"one": [f"<div>Shop {k}</div><p>{s}</p><div>Shop {k}</div>" for k, s in enumerate(STORIES)]}
+    assert _plain(spark, pages)["one"] == STORIES
+    bare = html_extraction.content(html_extraction.Wrapper(html_extraction.page_wrapper(list(html_extraction.slots(pages["one"][0])))).paths, {})
+    assert bare == [True] * 3
+
+
+def test_texts_at_places_by_hand(spark):
+    """kinds of a host against a plain count over its pages, whose places are their positions."""
+    rows = [(f"http://k.example/{k}", f"<h1>{s}</h1><h2>No {k}</h2><h3>Same</h3>" + "<h4>rare</h4>" * (k == 3)) for k, s in enumerate(STORIES)]
+    rows += [(None, None), ("http://m.example/", "<article>x</article>")]
+    got = {r["host"]: dict(r["kinds"] or {}) for r in html_extraction.wrappers(spark.createDataFrame(rows, "url string, html string")).collect()}
+    assert got["k.example"] == {0: "open", 1: "numbered", 2: "fixed", 3: "single"}
+    assert got["m.example"] == {} and got[""] == {}
+
+
 SECRET = re.compile(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 
 
