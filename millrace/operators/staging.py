@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import calendar, values
+from millrace.operators import storage
 from millrace.plans import schemas
 
 
 def _finished(df: DataFrame, branch: str, products: DataFrame, source_file: str) -> DataFrame:
     key = schemas.PRODUCT_KEYS[branch]
     names = products.where(F.col(key).isNotNull()).select(F.col(key).alias("product_raw"), "product_id")
-    out = df.join(F.broadcast(names), "product_raw", "left").withColumns({
+    out = df.join(storage.small(names), "product_raw", "left").withColumns({
         "branch": F.lit(branch), "source_file": F.lit(source_file),
         "size": values.translated(F.col("size_raw"), schemas.SIZES[branch]), "payment": values.translated(F.col("payment_raw"), schemas.PAYMENTS[branch]),
     })

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import calendar, text, values
-from millrace.operators import association, cleaning, increments, outliers, regression, rules, star, storage, windows
+from millrace.operators import association, cleaning, increments, outliers, regression, rules, staging, star, storage, windows
 from millrace.operators.rules import Rule
 from millrace.operators.warehouse import Constraints, Warehouse
 
@@ -580,6 +580,137 @@ r AS (SELECT 'CP2' AS rule_id, count(*) AS checked, count(*) FILTER (price IS NU
 SELECT *, round(CASE WHEN checked = 0 THEN 1.0 ELSE 1 - CAST(violations AS DOUBLE) / checked END, 6) AS score, CASE WHEN checked = 0 THEN TRUE ELSE 1 - CAST(violations AS DOUBLE) / checked >= 0.98 END AS meets_target FROM r"""
 
 
+def _shop_products(spark, d):
+    """Parts as a price list: kind of product, prices by size, a key for each branch."""
+    return t(spark, d, "part").selectExpr(
+        "cast(p_partkey as string) as product_id", "concat('ชา ', p_partkey) as name_th", "concat('N', p_partkey) as nimman_code", "concat('T-', p_partkey) as thaphae_sku",
+        "element_at(array('bakery', 'coffee', 'non_coffee'), cast(p_size % 3 + 1 as int)) as category", "p_size as price_S", "p_size + 1 as price_M", "p_size + 2 as price_L", "p_size as price_nosize",
+    )
+
+
+def sales_repaired(spark, d):
+    """Steps S3 to S7 but for outliers over order lines in a shop's columns: members, quantities, times, prices, sizes, totals."""
+    products = _shop_products(spark, d)
+    suppliers = t(spark, d, "supplier")
+    members = suppliers.where("s_suppkey % 5 > 1").selectExpr("format_string('M%04d', s_suppkey) as member_id")
+    masters = suppliers.where("s_suppkey % 5 = 1").selectExpr("format_string('M%04d', s_suppkey) as dup_id", "format_string('M%04d', s_suppkey + 1) as master_id")
+    parts = t(spark, d, "part").select("p_partkey", "p_size")
+    sales = t(spark, d, "lineitem").join(parts, F.col("l_partkey") == F.col("p_partkey")).selectExpr(
+        "l_orderkey * 8 + l_linenumber as row_id", "cast(l_partkey as string) as product_id",
+        "case when l_linenumber = 2 and l_suppkey < 1000 then format_string('MO%03d', l_suppkey) when l_linenumber = 3 then concat('X', l_suppkey) when l_linenumber <> 1 then format_string('M%04d', l_suppkey) end as member_id",
+        "case when l_discount > 0.015 then case l_returnflag when 'A' then 'S' when 'N' then 'M' else 'L' end end as size", "case when round(l_discount * 100) <> 5 then l_quantity - 10 end as qty",
+        "cast(case when l_tax < 0.005 then null when l_tax < 0.045 then p_size + l_linenumber % 3 else l_quantity end as double) as unit_price",
+        "case when l_tax < 0.075 then l_quantity * (p_size + l_linenumber % 3) end as line_total", "timestamp'2026-01-05 00:00:00' + make_dt_interval(0, cast(l_partkey % 24 as int)) as sale_datetime",
+        "cast(array() as array<string>) as clean_flags",
+    )
+    kept, negative = cleaning.split(cleaning.fix_members(sales, members, masters), F.col("qty") <= 0)
+    kept, open_ = cleaning.fill_missing(cleaning.fix_prices(cleaning.mark_times(kept), products), products)
+    gone = negative.select("row_id", F.lit("non_positive_qty").alias("removed")).unionByName(open_.select("row_id", F.lit("cannot_fill").alias("removed")))
+    done = cleaning.total_lines(kept).select("row_id", "member_id", "size", "qty", "unit_price", "line_total", F.array_join("clean_flags", ",").alias("flags"))
+    return done.unionByName(gone, allowMissingColumns=True)
+
+
+REPAIRED_SQL = """
+WITH s AS (SELECT l_orderkey * 8 + l_linenumber AS row_id, l_partkey AS part, l_linenumber AS n, l_suppkey AS sup, s_suppkey IS NOT NULL AS known, p_size % 3 <> 0 AS drink, p_size AS z, l_partkey % 24 AS hour,
+    CASE WHEN l_discount > 0.015 THEN CASE l_returnflag WHEN 'A' THEN 'S' WHEN 'N' THEN 'M' ELSE 'L' END END AS size, CASE WHEN round(l_discount * 100) <> 5 THEN l_quantity - 10 END AS qty,
+    CASE WHEN l_tax < 0.005 THEN NULL WHEN l_tax < 0.045 THEN p_size + l_linenumber % 3 ELSE l_quantity END AS price, CASE WHEN l_tax < 0.075 THEN l_quantity * (p_size + l_linenumber % 3) END AS total
+  FROM lineitem JOIN part ON l_partkey = p_partkey LEFT JOIN supplier ON l_suppkey = s_suppkey AND s_suppkey % 5 <> 0 AND l_linenumber NOT IN (1, 3)),
+a AS (SELECT *, CASE WHEN NOT drink OR size = 'S' THEN z WHEN size = 'M' THEN z + 1 WHEN size = 'L' THEN z + 2 END AS listed FROM s WHERE qty IS NULL OR qty > 0),
+b AS (SELECT * REPLACE (CASE WHEN abs(price - listed) > 0.01 THEN listed ELSE price END AS price), coalesce(abs(price - listed) > 0.01, FALSE) AS repriced FROM a),
+c AS (SELECT *, CASE WHEN drink AND size IS NULL THEN CASE price - z WHEN 2 THEN 'L' WHEN 1 THEN 'M' WHEN 0 THEN 'S' END END AS by_price FROM b),
+m AS (SELECT part, coalesce(size, by_price) AS mode FROM c WHERE coalesce(size, by_price) IS NOT NULL GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY part ORDER BY count(*) DESC, mode) = 1),
+e AS (SELECT c.* REPLACE (coalesce(size, by_price, CASE WHEN drink THEN mode END) AS size), drink AND size IS NULL AND by_price IS NULL AND mode IS NOT NULL AS by_mode FROM c LEFT JOIN m USING (part)),
+f AS (SELECT *, CASE WHEN NOT drink OR size = 'S' THEN z WHEN size = 'M' THEN z + 1 WHEN size = 'L' THEN z + 2 END AS cost FROM e),
+g AS (SELECT *, coalesce(qty IS NULL AND total > 0 AND total % cost = 0, FALSE) AS by_total FROM f),
+h AS (SELECT *, CASE WHEN by_total THEN total / cost ELSE qty END AS q, coalesce(price, cost) AS u FROM g)
+SELECT row_id, CASE WHEN n = 1 OR NOT known THEN NULL ELSE printf('M%04d', CASE WHEN sup % 5 = 1 THEN sup + 1 ELSE sup END) END AS member_id, size, CAST(q AS DOUBLE) AS qty, CAST(u AS DOUBLE) AS unit_price, CAST(q * u AS DOUBLE) AS line_total,
+  concat_ws(',', CASE WHEN known AND n = 2 AND sup < 1000 THEN 'member_id_fixed' END, CASE WHEN n <> 1 AND NOT known THEN 'member_id_unknown' END, CASE WHEN known AND sup % 5 = 1 THEN 'member_id_merged' END,
+    CASE WHEN hour < 7 OR hour >= 20 THEN 'time_suspect' END, CASE WHEN repriced THEN 'price_fixed_from_list' END, CASE WHEN by_price IS NOT NULL THEN 'size_from_price' END, CASE WHEN by_mode THEN 'size_mode' END,
+    CASE WHEN by_total THEN 'qty_from_total' END, CASE WHEN price IS NULL AND cost IS NOT NULL THEN 'price_from_list' END) AS flags, NULL AS removed
+FROM h WHERE q IS NOT NULL AND u IS NOT NULL
+UNION ALL SELECT row_id, NULL, NULL, NULL, NULL, NULL, NULL, 'cannot_fill' FROM h WHERE q IS NULL OR u IS NULL
+UNION ALL SELECT row_id, NULL, NULL, NULL, NULL, NULL, NULL, 'non_positive_qty' FROM s WHERE qty <= 0"""
+
+
+def _branches(spark, d):
+    """Order lines as the three branches would send them, in their columns, words and forms of dates, standardised."""
+    products, lines = _shop_products(spark, d), t(spark, d, "lineitem")
+    row, receipt, member = "l_linenumber as source_row", "cast(l_orderkey as string)", "cast(l_suppkey as string) as member_id"
+    qty = "case when l_quantity % 7 = 0 then 'some' else concat(' ', cast(l_quantity as int)) end"
+    price = "case when l_tax < 0.005 then '' else cast(cast(round(l_tax * 100) as int) as string) end as unit_price"
+    word = lambda *words: f"element_at(array({', '.join(repr(w) for w in words)}), cast(l_suppkey % {len(words)} + 1 as int))"
+    size = lambda *words: f"case when l_linenumber < 7 then element_at(array({', '.join(repr(w) for w in words)}), l_linenumber % {len(words)} + 1) end"
+    item = lambda before: f"case when l_partkey % 11 = 0 then 'other' else concat('{before}', l_partkey) end"
+    clock = "concat(lpad(cast(l_partkey % 24 as string), 2, '0'), ':', lpad(cast(l_suppkey % 60 as string), 2, '0'))"
+    nimman = lines.where("l_returnflag = 'A'").selectExpr(
+        f"{receipt} as receipt_no", row, member, f"{qty} as qty", price, f"{item('N')} as item_code", f"{size('S', 'M', 'L', 'XL')} as size", f"{word('CASH', 'QR', 'CARD', 'COIN')} as payment",
+        f"case when l_linenumber = 3 then date_format(l_shipdate, 'yyyy-MM-dd') when l_linenumber = 4 then '31/02/2569 10:00' else concat(date_format(l_shipdate, 'dd/MM/'), year(l_shipdate) + 543, ' ', {clock}) end as sale_datetime",
+    )
+    total = "case when l_tax < 0.005 then null else cast(cast(round(l_tax * 100) as int) * l_linenumber as string) end"
+    cmu = lines.where("l_returnflag = 'N'").selectExpr(
+        f"{receipt} as `เลขที่บิล`", row, "cast(l_suppkey as string) as `รหัสสมาชิก`", f"case when l_quantity % 5 = 0 then '0' else {qty} end as `จำนวน`", f"{total} as `ราคารวม`", f"{item('ชา ')} as `ชื่อเมนู`",
+        f"{size('เล็ก', 'กลาง', 'ใหญ่', 'จัมโบ้')} as `ขนาด`", f"{word('เงินสด', 'พร้อมเพย์', 'บัตรเครดิต', 'เช็ค')} as `ชำระโดย`", "date_format(l_shipdate, 'yyyy-MM-dd HH:mm:ss') as `วันที่`", f"case when l_linenumber = 3 then 'noon' else {clock} end as `เวลา`",
+    )
+    thaphae = lines.where("l_returnflag = 'R'").selectExpr(
+        f"{receipt} as receipt_id", row, member, f"{qty} as qty", price, f"{item('T-')} as product_raw", f"{size('Small', 'Medium', 'Large', 'Huge')} as size_raw", f"{word('cash', 'promptpay', 'credit_card', 'barter')} as payment_raw",
+        f"case when l_linenumber = 3 then 'yesterday' else concat(date_format(l_shipdate, 'yyyy-MM-dd'), 'T', {clock}, ':00Z') end as datetime_raw",
+    )
+    return {"nimman": staging.standardize_nimman(nimman, products), "cmu": staging.standardize_cmu(cmu, products), "thaphae": staging.standardize_thaphae(thaphae, products)}
+
+
+def staged_sales(spark, d):
+    """Three branches' lines in the staging schema: words translated, dates of three forms parsed, prices and totals derived, losses flagged."""
+    whole = staging.integrate(_branches(spark, d))
+    stamp = F.when(F.col("branch") == "thaphae", F.to_utc_timestamp("sale_datetime", F.current_timezone())).otherwise(F.col("sale_datetime"))
+    return whole.select(
+        "branch", "receipt_id", F.col("source_row").cast("long").alias("source_row"), "product_id", "size", "payment", "qty", F.round("unit_price", 6).alias("unit_price"), "line_total", "member_id", "price_source",
+        F.date_format(stamp, "yyyy-MM-dd HH:mm").alias("sale_time"), F.array_join("extract_flags", ";").alias("flags"),
+    )
+
+
+STAGED_SQL = """
+WITH l AS (SELECT CASE l_returnflag WHEN 'A' THEN 'nimman' WHEN 'N' THEN 'cmu' ELSE 'thaphae' END AS branch, CAST(l_orderkey AS VARCHAR) AS receipt_id, CAST(l_linenumber AS BIGINT) AS source_row, l_linenumber AS n, CAST(l_suppkey AS VARCHAR) AS member_id,
+    CASE WHEN l_partkey % 11 <> 0 THEN CAST(p_partkey AS VARCHAR) END AS product_id, CASE WHEN l_linenumber < 7 AND l_linenumber % 4 < 3 THEN ['S', 'M', 'L'][l_linenumber % 4 + 1] END AS size, CASE WHEN l_suppkey % 4 < 3 THEN ['cash', 'qr', 'card'][l_suppkey % 4 + 1] END AS payment,
+    CASE WHEN l_returnflag = 'N' AND l_quantity % 5 = 0 THEN 0.0 WHEN l_quantity % 7 <> 0 THEN l_quantity END AS qty, CASE WHEN l_tax >= 0.005 THEN round(l_tax * 100) END AS x,
+    CASE WHEN l_linenumber <> 3 AND (l_returnflag <> 'A' OR l_linenumber <> 4) THEN strftime(l_shipdate, '%Y-%m-%d ') || printf('%02d:%02d', l_partkey % 24, l_suppkey % 60) END AS sale_time
+  FROM lineitem LEFT JOIN part ON l_partkey = p_partkey),
+v AS (SELECT *, CASE WHEN branch <> 'cmu' THEN x WHEN qty <> 0 THEN x * n / qty END AS price FROM l)
+SELECT branch, receipt_id, source_row, product_id, size, payment, qty, round(price, 6) AS unit_price, CASE WHEN branch = 'cmu' THEN x * n ELSE qty * x END AS line_total, member_id,
+  CASE WHEN price IS NOT NULL THEN CASE WHEN branch = 'cmu' THEN 'derived_from_total' ELSE 'file' END END AS price_source, sale_time,
+  concat_ws(';', CASE WHEN sale_time IS NULL THEN 'datetime_unparsed' END, CASE WHEN product_id IS NULL THEN 'product_unmatched' END, CASE WHEN n < 7 AND size IS NULL THEN 'size_unmapped' END, CASE WHEN payment IS NULL THEN 'payment_unmapped' END) AS flags
+FROM v"""
+
+
+def staging_reconciled(spark, d):
+    """Rows, bills, revenue and losses of each branch and in total, held against what was read."""
+    parts = _branches(spark, d)
+    return staging.reconcile(staging.integrate(parts), parts)
+
+
+RECONCILED_SQL = f"""
+WITH s AS ({STAGED_SQL}),
+r AS (SELECT *, branch AS of FROM s UNION ALL SELECT *, 'total' FROM s)
+SELECT of AS branch, count(*) AS "rows", count(DISTINCT receipt_id) AS receipts, sum(line_total) AS revenue, count(*) FILTER (contains(flags, 'datetime_unparsed')) AS datetime_unparsed, count(*) FILTER (contains(flags, 'product_unmatched')) AS product_unmatched,
+  count(*) FILTER (contains(flags, 'size_unmapped')) AS size_unmapped, count(*) FILTER (contains(flags, 'payment_unmapped')) AS payment_unmapped FROM r GROUP BY 1"""
+
+
+def people_standardised(spark, d):
+    """Phones in several forms, names with odd spaces, ids with a letter O: standard form and the form to compare by."""
+    nine = "format_string('%09d', c_custkey)"
+    raw = t(spark, d, "customer").selectExpr(
+        "c_custkey", "concat(' ', replace(c_name, '#', '\\t  # '), '\\u00a0') as full_name", "concat('MO', right(format_string('%03d', c_custkey), cast(2 + c_custkey % 2 as int))) as member_id",
+        f"case c_custkey % 6 when 0 then concat('0', {nine}) when 1 then concat('+66 ', {nine}) when 2 then concat('66-', left({nine}, 3), '-', right({nine}, 6)) when 3 then left({nine}, 4) when 5 then concat('(0) ', {nine}, ' home') end as phone",
+    )
+    found = cleaning.standardize_members(raw.withColumn("sent", F.col("phone")))
+    return found.select("c_custkey", "full_name", "phone", text.comparable_phone(F.col("sent")).alias("compared"), text.repaired_id(F.col("member_id")).alias("member_id"), text.normal_form(F.col("full_name")).alias("form"))
+
+
+STANDARD_SQL = """
+WITH c AS (SELECT c_custkey, c_name, printf('%09d', c_custkey) AS nine, right(printf('%03d', c_custkey), CAST(2 + c_custkey % 2 AS INTEGER)) AS short FROM customer)
+SELECT c_custkey, replace(c_name, '#', ' # ') AS full_name, CASE WHEN c_custkey % 6 = 3 THEN left(nine, 4) WHEN c_custkey % 6 <> 4 THEN '0' || nine END AS phone, CASE WHEN c_custkey % 6 = 3 THEN left(nine, 4) WHEN c_custkey % 6 <> 4 THEN '0' || nine END AS compared,
+  CASE WHEN len(short) = 3 THEN 'M0' ELSE 'MO' END || short AS member_id, lower(c_name) AS form FROM c"""
+
+
 #: name: (query, SQL or None)
 CARRIERS = {
     "star_top_brands": (star_top_brands, STAR_SQL),
@@ -624,4 +755,8 @@ CARRIERS = {
     "brand_months": (brand_months, BRAND_MONTHS_SQL),
     "people_merged": (people_merged, PEOPLE_SQL),
     "sales_rules_scored": (sales_rules_scored, SALES_RULES_SQL),
+    "sales_repaired": (sales_repaired, REPAIRED_SQL),
+    "staged_sales": (staged_sales, STAGED_SQL),
+    "staging_reconciled": (staging_reconciled, RECONCILED_SQL),
+    "people_standardised": (people_standardised, STANDARD_SQL),
 }
