@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import calendar, text, values
-from millrace.operators import association, cleaning, increments, outliers, regression, rules, staging, star, storage, windows
+from millrace.operators import association, cleaning, forecast, increments, outliers, regression, rules, serving, staging, star, storage, windows
 from millrace.operators.rules import Rule
 from millrace.operators.warehouse import Constraints, Warehouse
 
@@ -711,6 +711,153 @@ SELECT c_custkey, replace(c_name, '#', ' # ') AS full_name, CASE WHEN c_custkey
   CASE WHEN len(short) = 3 THEN 'M0' ELSE 'MO' END || short AS member_id, lower(c_name) AS form FROM c"""
 
 
+_BRANCH = "case l_returnflag when 'A' then 'nimman' when 'N' then 'cmu' else 'thaphae' end"
+
+
+def _assessed(spark, d):
+    """Order lines as sales and customers as members, scored by all rules; columns that sales lack count as missing."""
+    sales = t(spark, d, "lineitem").selectExpr(
+        f"{_BRANCH} as branch", "cast(l_orderkey as string) as receipt_id", "concat('receipts[', cast(l_linenumber = 7 as int), '].items[', l_linenumber, ']') as source_row",
+        "case when l_partkey % 11 <> 0 then cast(l_partkey as string) end as product_id", "cast(l_partkey as string) as product_raw", "case when l_discount > 0.015 then case l_partkey % 3 when 0 then 'S' when 1 then 'M' else 'L' end end as size",
+        "case when round(l_discount * 100) <> 5 then l_quantity - 10 end as qty", "case when l_tax > 0.005 then l_quantity end as unit_price", "case when l_linenumber = 2 then concat('X', l_suppkey) when l_linenumber <> 1 then concat('M', l_suppkey) end as member_id",
+        "case when l_returnflag <> 'R' or l_orderkey % 220 < 195 and l_orderkey % 30 <> 0 then timestamp(date_add(date'2025-12-15', cast(l_orderkey % 220 as int))) + make_dt_interval(0, cast(l_partkey % 24 as int)) end as sale_datetime",
+        "l_orderkey * 8 + l_linenumber as row_id",
+    )
+    person = t(spark, d, "customer").selectExpr("c_custkey as k", "case when c_custkey % 13 = 0 and c_custkey > 0 then c_custkey - 1 else c_custkey end as p")
+    members = person.selectExpr(
+        "k as row_id", "concat('M', case when k % 17 = 0 and k > 0 then k - 1 else k end) as member_id", "concat('Name', if(k % 2 = 0, '  ', ' '), p) as full_name", "case when p % 19 <> 0 then concat(if(k % 4 = 0, '+66 ', '0'), format_string('%09d', p)) end as phone",
+        "case k % 5 when 0 then null when 1 then 'U' when 2 then 'X' else 'M' end as gender", "case when k % 7 <> 0 then cast(1890 + k % 150 as int) end as birth_year", "element_at(array('nimman', 'cmu', 'thaphae'), cast(k % 3 + 1 as int)) as home_branch",
+    )
+    return rules.assess(sales, members, _shop_products(spark, d))
+
+
+def quality_assessed(spark, d):
+    """Checked rows, violations and score of all 21 rules over order lines and customers in a shop's columns."""
+    return _assessed(spark, d).rules.select("rule_id", "dimension", "checked", "violations", F.round("score", 6).alias("score"), "meets_target")
+
+
+def quality_by_branch(spark, d):
+    """Violations of each rule by branch, counted from the rows that violate it."""
+    return rules.by_branch(_assessed(spark, d))
+
+
+_CHECKS = """
+WITH s AS (SELECT CASE l_returnflag WHEN 'A' THEN 'nimman' WHEN 'N' THEN 'cmu' ELSE 'thaphae' END AS branch, l_orderkey AS receipt, l_linenumber = 7 AS late, CASE WHEN l_partkey % 11 <> 0 THEN l_partkey END AS product, l_partkey AS raw,
+    CASE WHEN l_discount > 0.015 THEN ['S', 'M', 'L'][l_partkey % 3 + 1] END AS size, CASE WHEN round(l_discount * 100) <> 5 THEN l_quantity - 10 END AS qty, CASE WHEN l_tax > 0.005 THEN l_quantity END AS price,
+    CASE WHEN l_linenumber = 2 THEN 'X' || l_suppkey WHEN l_linenumber <> 1 THEN 'M' || l_suppkey END AS member, CASE WHEN l_returnflag <> 'R' OR l_orderkey % 220 < 195 AND l_orderkey % 30 <> 0 THEN DATE '2025-12-15' + CAST(l_orderkey % 220 AS INTEGER) END AS day, l_partkey % 24 AS hour FROM lineitem),
+m AS (SELECT c_custkey AS k, 'M' || CASE WHEN c_custkey % 17 = 0 AND c_custkey > 0 THEN c_custkey - 1 ELSE c_custkey END AS id, CASE WHEN c_custkey % 13 = 0 AND c_custkey > 0 THEN c_custkey - 1 ELSE c_custkey END AS person,
+    ['nimman', 'cmu', 'thaphae'][c_custkey % 3 + 1] AS branch, CASE c_custkey % 5 WHEN 0 THEN NULL WHEN 1 THEN 'U' WHEN 2 THEN 'X' ELSE 'M' END AS gender, CASE WHEN c_custkey % 7 <> 0 THEN 1890 + c_custkey % 150 END AS born FROM customer),
+x AS (SELECT s.*, p_size % 3 > 0 AS drink, CASE WHEN p_size % 3 = 0 OR size = 'S' THEN p_size WHEN size = 'M' THEN p_size + 1 WHEN size = 'L' THEN p_size + 2 END AS listed, id IS NOT NULL AS known FROM s LEFT JOIN part ON product = p_partkey LEFT JOIN (SELECT DISTINCT id FROM m) ON member = id),
+v AS (SELECT 'CP2' AS rule_id, branch, TRUE AS checked, price IS NULL AS bad FROM x
+  UNION ALL SELECT 'CP3', branch, TRUE, qty IS NULL FROM x
+  UNION ALL SELECT 'CP4', branch, coalesce(drink, FALSE), size IS NULL FROM x
+  UNION ALL SELECT 'UQ1', branch, TRUE, row_number() OVER (PARTITION BY branch, receipt, raw, size, qty, price, member, day ORDER BY late) > 1 FROM s
+  UNION ALL SELECT 'VL1', branch, qty IS NOT NULL, qty <= 0 FROM x
+  UNION ALL SELECT 'VL2', branch, day IS NOT NULL, hour < 7 OR hour >= 20 FROM x
+  UNION ALL SELECT 'VL3', branch, day IS NOT NULL, day NOT BETWEEN DATE '2026-01-01' AND DATE '2026-06-30' FROM x
+  UNION ALL SELECT 'CS1', branch, TRUE, product IS NULL FROM x
+  UNION ALL SELECT 'CS2', branch, member IS NOT NULL, NOT known FROM x
+  UNION ALL SELECT 'AC1', branch, price IS NOT NULL AND listed IS NOT NULL, abs(price - listed) > 0.01 FROM x
+  UNION ALL SELECT 'CP5', branch, TRUE, gender IS NULL OR gender = 'U' FROM m
+  UNION ALL SELECT 'CP6', branch, TRUE, born IS NULL FROM m
+  UNION ALL SELECT 'UQ3', branch, TRUE, row_number() OVER (PARTITION BY id ORDER BY k) > 1 FROM m
+  UNION ALL SELECT 'UQ4', branch, TRUE, row_number() OVER (PARTITION BY person ORDER BY k) > 1 FROM m
+  UNION ALL SELECT 'VL4', branch, born IS NOT NULL, 2026 - born NOT BETWEEN 10 AND 100 FROM m
+  UNION ALL SELECT 'VL5', branch, gender IS NOT NULL, gender = 'X' FROM m
+  UNION ALL SELECT 'CS3', branch, TRUE, person % 19 = 0 OR k % 4 = 0 FROM m
+  UNION ALL SELECT 'CP7', b, TRUE, day IS NULL FROM (SELECT unnest(['nimman', 'cmu', 'thaphae']) AS b) CROSS JOIN (SELECT CAST(unnest(generate_series(DATE '2026-01-01', DATE '2026-06-30', INTERVAL 1 DAY)) AS DATE) AS g) LEFT JOIN (SELECT DISTINCT branch, day FROM s) ON branch = b AND day = g
+  UNION ALL SELECT 'UQ2', 'thaphae', TRUE, row_number() OVER (PARTITION BY receipt ORDER BY late) > 1 FROM (SELECT DISTINCT receipt, late FROM s WHERE branch = 'thaphae'))"""
+
+ASSESSED_SQL = f"""{_CHECKS},
+c AS (SELECT rule_id, count(*) FILTER (checked) AS checked, count(*) FILTER (checked AND bad) AS violations FROM v GROUP BY 1 UNION ALL SELECT 'CP1', 18, 8),
+r AS (SELECT *, CASE WHEN checked = 0 THEN 1.0 ELSE 1 - CAST(violations AS DOUBLE) / checked END AS score FROM c
+  UNION ALL SELECT 'TM1', count(*), NULL, avg(greatest(0.0, least(1.0, 1 - days / 7.0))) FROM (SELECT date_diff('day', max(day), DATE '2026-07-01') AS days FROM s GROUP BY branch))
+SELECT rule_id, CASE left(rule_id, 2) WHEN 'CP' THEN 'Completeness' WHEN 'UQ' THEN 'Uniqueness' WHEN 'VL' THEN 'Validity' WHEN 'CS' THEN 'Consistency' WHEN 'AC' THEN 'Accuracy' ELSE 'Timeliness' END AS dimension, checked, violations, round(score, 6) AS score, score >= 0.98 AS meets_target FROM r"""
+
+BY_BRANCH_SQL = f"""{_CHECKS}
+SELECT rule_id, count(*) FILTER (branch = 'nimman') AS nimman, count(*) FILTER (branch = 'cmu') AS cmu, count(*) FILTER (branch = 'thaphae') AS thaphae, count(*) AS total FROM v WHERE checked AND bad GROUP BY 1"""
+
+
+def facts_numbered(spark, d):
+    """Events as lines of the fact table: numbered in order, with key of date, hour, time of day, ordinal of size and items of the bill."""
+    sales = t(spark, d, "events").selectExpr(
+        "event_id as row_id", "cast(user_id as string) as receipt_id", "ts as sale_datetime", "event_type as branch", "cast(event_id % 97 as string) as product_id", "cast(user_id as string) as member_id",
+        "element_at(array('S', 'M', 'L', 'XL'), cast(event_id % 4 + 1 as int)) as size", "cast(1 + event_id % 5 as double) as qty", "value as unit_price", "value * (1 + event_id % 5) as line_total", "not hour(ts) between 7 and 19 as time_suspect", "cast(array() as array<string>) as clean_flags",
+    )
+    holidays = t(spark, d, "orders").where("month(o_orderdate) = 12 and day(o_orderdate) = 25").select(F.to_date("o_orderdate").alias("date")).distinct()
+    facts = star.fact_sales(star.sale_attributes(sales, holidays))
+    whole = [F.col(c).cast("long").alias(c) for c in ("sale_line_id", "date_key", "hour", "size_ordinal", "items_in_bill")]
+    return facts.select(*whole, "time_of_day", "branch_id", "receipt_id", "product_id", F.round("line_total", 4).alias("line_total"), "time_suspect")
+
+
+FACTS_SQL = """
+SELECT row_number() OVER (ORDER BY event_id) AS sale_line_id, CAST(strftime(ts, '%Y%m%d') AS BIGINT) AS date_key, hour(ts) AS hour, CAST(CASE event_id % 4 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 3 END AS BIGINT) AS size_ordinal, count(*) OVER (PARTITION BY user_id) AS items_in_bill,
+  CASE WHEN hour(ts) NOT BETWEEN 7 AND 19 THEN NULL WHEN hour(ts) < 11 THEN 'เช้า' WHEN hour(ts) < 14 THEN 'กลางวัน' WHEN hour(ts) < 17 THEN 'บ่าย' ELSE 'เย็น' END AS time_of_day, event_type AS branch_id, CAST(user_id AS VARCHAR) AS receipt_id,
+  CAST(event_id % 97 AS VARCHAR) AS product_id, round(value * (1 + event_id % 5), 4) AS line_total, hour(ts) NOT BETWEEN 7 AND 19 AS time_suspect FROM events"""
+
+
+def _featured(spark, d):
+    """Features of a model over order lines by branch and day; some days count as missing, Christmas as a holiday."""
+    lines = t(spark, d, "lineitem").select(F.expr(_BRANCH).alias("branch"), F.to_date("l_shipdate").alias("date"), "l_orderkey", "l_extendedprice")
+    daily = lines.groupBy("branch", "date").agg(_money("l_extendedprice").cast("double").alias("revenue"), F.countDistinct("l_orderkey").alias("bills"))
+    date = F.col("date")
+    daily = daily.select("*", calendar.date_key(date).alias("date_key"), F.month(date).alias("month"), F.weekday(date).alias("day_of_week"), F.expr("month(date) = 12 and day(date) = 25").alias("is_holiday"), (F.dayofyear(date) % 50 == 0).alias("data_missing"))
+    return star.model_features(daily)
+
+
+def features_modelled(spark, d):
+    """Model features: revenue seven rows before, trend, dummies, population z-scores."""
+    found = _featured(spark, d)
+    whole = [F.col(c).cast("long").alias(c) for c in ("date_key", "bills", "month", "day_of_week", "is_holiday", "trend", "branch_nimman", "branch_cmu", "branch_thaphae", "dow_Tue", "dow_Sun")]
+    return found.select("branch", *whole, "revenue", "lag7_revenue", F.round("lag7_revenue_z", 6).alias("lag7_revenue_z"), F.round("trend_z", 6).alias("trend_z"))
+
+
+_FEATURES = """
+WITH g AS (SELECT CASE l_returnflag WHEN 'A' THEN 'nimman' WHEN 'N' THEN 'cmu' ELSE 'thaphae' END AS branch, CAST(l_shipdate AS DATE) AS date, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS revenue, count(DISTINCT l_orderkey) AS bills FROM lineitem GROUP BY 1, 2),
+k AS (SELECT *, lag(revenue, 7) OVER (PARTITION BY branch ORDER BY date) AS lag7_revenue, date_diff('day', (SELECT min(date) FROM g), date) AS trend, month(date) AS month, isodow(date) - 1 AS day_of_week FROM g),
+f AS (SELECT * FROM k WHERE dayofyear(date) % 50 <> 0 AND lag7_revenue IS NOT NULL)"""
+
+FEATURES_SQL = f"""{_FEATURES}
+SELECT branch, CAST(strftime(date, '%Y%m%d') AS BIGINT) AS date_key, bills, month, day_of_week, CAST(month = 12 AND day(date) = 25 AS BIGINT) AS is_holiday, trend, CAST(branch = 'nimman' AS BIGINT) AS branch_nimman, CAST(branch = 'cmu' AS BIGINT) AS branch_cmu, CAST(branch = 'thaphae' AS BIGINT) AS branch_thaphae,
+  CAST(day_of_week = 1 AS BIGINT) AS dow_Tue, CAST(day_of_week = 6 AS BIGINT) AS dow_Sun, revenue, lag7_revenue, round((lag7_revenue - avg(lag7_revenue) OVER ()) / stddev_pop(lag7_revenue) OVER (), 6) AS lag7_revenue_z, round((trend - avg(trend) OVER ()) / stddev_pop(trend) OVER (), 6) AS trend_z FROM f"""
+
+
+def baselines_scored(spark, d):
+    """Errors of both baselines of the forecast, fitted on nine months and held against the other three."""
+    found = _featured(spark, d)
+    predicted, _ = forecast.predict(found.where("month < 10"), found.where("month >= 10"))
+    measures = forecast.scores(predicted, ("B1", "B2"))
+    return measures.select("model", *(F.round(c, 4).alias(c) for c in ("mae", "mae_pct", "rmse", "r2", "bias")))
+
+
+BASELINES_SQL = f"""{_FEATURES},
+u AS (SELECT branch, day_of_week, avg(revenue) AS usual FROM f WHERE month < 10 GROUP BY 1, 2),
+e AS (SELECT unnest(['B1', 'B2']) AS model, revenue AS a, unnest([lag7_revenue, usual]) - revenue AS e FROM f JOIN u USING (branch, day_of_week) WHERE month >= 10)
+SELECT model, round(avg(abs(e)), 4) AS mae, round(avg(abs(e)) / avg(a) * 100, 4) AS mae_pct, round(sqrt(avg(e * e)), 4) AS rmse, round(1 - sum(e * e) / (var_pop(a) * count(*)), 4) AS r2, round(avg(e), 4) AS bias FROM e GROUP BY 1"""
+
+
+def bills_heatmap(spark, d):
+    """Users by hour and weekday, the hours outside of opening time being suspect."""
+    e = t(spark, d, "events").select(F.hour("ts").alias("hour"), F.weekday("ts").alias("day_of_week"), F.col("user_id").alias("receipt_id"), (~F.hour("ts").between(7, 19)).alias("time_suspect"))
+    return serving.heatmap(e).withColumn("hour", F.col("hour").cast("long"))
+
+
+HEATMAP_SQL = f"""
+SELECT hour(ts) AS hour, {', '.join(f'count(DISTINCT user_id) FILTER (isodow(ts) = {k + 1}) AS "{k}"' for k in range(7))} FROM events WHERE hour(ts) BETWEEN 7 AND 19 GROUP BY 1"""
+
+
+def shop_figures(spark, d):
+    """Revenue, bills, mean bill and units of two branches in six months."""
+    sales = t(spark, d, "lineitem").select(F.expr(_BRANCH).alias("branch_id"), F.month("l_shipdate").alias("month"), F.col("l_orderkey").alias("receipt_id"), F.col("l_extendedprice").cast("decimal(18,2)").alias("line_total"), F.col("l_quantity").alias("qty"))
+    found = serving.kpis(serving.filtered(sales, ["nimman", "thaphae"], (3, 8)))
+    return found.select(F.col("revenue").cast("double").alias("revenue"), "bills", F.round(F.col("avg_bill").cast("double"), 3).alias("avg_bill"), "units")
+
+
+FIGURES_SQL = """
+SELECT CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS revenue, count(DISTINCT l_orderkey) AS bills, round(CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) / count(DISTINCT l_orderkey), 3) AS avg_bill, sum(l_quantity) AS units
+FROM lineitem WHERE l_returnflag IN ('A', 'R') AND month(l_shipdate) BETWEEN 3 AND 8"""
+
+
 #: name: (query, SQL or None)
 CARRIERS = {
     "star_top_brands": (star_top_brands, STAR_SQL),
@@ -759,4 +906,11 @@ CARRIERS = {
     "staged_sales": (staged_sales, STAGED_SQL),
     "staging_reconciled": (staging_reconciled, RECONCILED_SQL),
     "people_standardised": (people_standardised, STANDARD_SQL),
+    "quality_assessed": (quality_assessed, ASSESSED_SQL),
+    "quality_by_branch": (quality_by_branch, BY_BRANCH_SQL),
+    "facts_numbered": (facts_numbered, FACTS_SQL),
+    "features_modelled": (features_modelled, FEATURES_SQL),
+    "baselines_scored": (baselines_scored, BASELINES_SQL),
+    "bills_heatmap": (bills_heatmap, HEATMAP_SQL),
+    "shop_figures": (shop_figures, FIGURES_SQL),
 }
