@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Rows up to which a side of a join is broadcast; beyond it the plan shuffles.
 BROADCAST_ROWS = 500_000
+#: Rows of a partition that dealt() makes; it bounds what one task sorts.
+TASK_ROWS = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -46,3 +48,11 @@ def observed(df: DataFrame, path: str, measures: dict[str, Column], drop: Sequen
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if it has no more than that many rows."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """df dealt out by keys, over more partitions the more rows it has, so that tasks stay of one size.
+
+    Partitions that Spark coalesces only stop growing at its advisory size, which is one of compressed bytes.
+    """
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // TASK_ROWS)), *keys)
