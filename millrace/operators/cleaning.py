@@ -117,8 +117,9 @@ def fix_products(sales: DataFrame, products: DataFrame) -> DataFrame:
 def fix_members(sales: DataFrame, members: DataFrame, id_map: DataFrame) -> DataFrame:
     """Ids with a letter O repaired, unknown ids dropped, duplicates' ids replaced by the master's."""
     ids = members.select(F.col("member_id").alias("_known")).union(id_map.select("dup_id")).distinct()
+    ids = storage.small(storage.written(ids.join(id_map, F.col("_known") == F.col("dup_id"), "left"), "ids"))  # each duplicate's id is known
     fixed = F.when(F.col("member_id").rlike("^MO[0-9]{3}$"), text.repaired_id(F.col("member_id"))).otherwise(F.col("member_id"))
-    found = sales.withColumn("_fixed", fixed).join(ids, F.col("_fixed") == F.col("_known"), "left").join(id_map, F.col("_fixed") == F.col("dup_id"), "left")
+    found = sales.withColumn("_fixed", fixed).join(ids, F.col("_fixed") == F.col("_known"), "left")
     given = F.col("member_id").isNotNull()
     unknown = given & F.col("_known").isNull()
     repaired = given & F.col("_known").isNotNull() & (F.col("_fixed") != F.col("member_id"))
@@ -180,12 +181,23 @@ def filled_by_mode(df: DataFrame, column: str, by: str, where: Column, mark: str
 
     The least of equally frequent values is taken; mark tells which rows were filled.
     """
-    modes = df.where(F.col(column).isNotNull()).groupBy(by).agg(F.mode(column, True).alias("_mode"))
+    counts = df.where(F.col(column).isNotNull()).groupBy(by, column).agg((-F.count(F.lit(1))).alias("_n"))  # one group's values are counted by all tasks
+    modes = counts.groupBy(by).agg(F.min_by(column, F.struct("_n", column)).alias("_mode"))
     df = df.join(storage.small(modes), by, "left").withColumn(mark, values.holds(where & F.col(column).isNull()) & F.col("_mode").isNotNull())
     return df.withColumn(column, F.when(F.col(mark), F.col("_mode")).otherwise(F.col(column))).drop("_mode")
 
 
+def unfilled() -> Column:
+    """Does a row lack what can't be filled?"""
+    return F.col("qty").isNull() | F.col("unit_price").isNull()
+
+
 def fill_missing(sales: DataFrame, products: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """filled(), and the rows that still lack a quantity or a price."""
+    return split(filled(sales, products), unfilled())
+
+
+def filled(sales: DataFrame, products: DataFrame) -> DataFrame:
     """Sizes by price, then by the product's mode; quantities from totals; prices from the list."""
     columns = sales.columns
     listed = products.select("product_id", "category", *(F.col(f"price_{s}").cast("double").alias(f"_{s}") for s in "SML"), F.col("price_nosize").cast("double").alias("_n"))
@@ -205,7 +217,7 @@ def fill_missing(sales: DataFrame, products: DataFrame) -> tuple[DataFrame, Data
     df = df.withColumns({"clean_flags": values.flagged("clean_flags", whole, "qty_from_total"), "qty": F.when(whole, values.half_even(ratio)).otherwise(F.col("qty"))})
     lacks = F.col("unit_price").isNull() & F.col("_price").isNotNull()
     df = df.withColumns({"clean_flags": values.flagged("clean_flags", lacks, "price_from_list"), "unit_price": F.coalesce("unit_price", "_price")})
-    return split(df.select(*columns), F.col("qty").isNull() | F.col("unit_price").isNull())
+    return df.select(*columns)
 
 
 def total_lines(sales: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 
 from millrace.operators import association, storage
+from millrace.plans import carriers
 
 
 @pytest.fixture
@@ -35,3 +36,16 @@ def test_lifts_of_branches_come_from_different_baskets(spark, kept):
     assert kept["sets"] == 3  # one of the branch with even receipts more
     assert len(found) == 12 and found["x0", "a", "b"] == 1.0 and found["x1", "b", "c"] == 1.0
     assert [storage.dealt(long, rows, "receipt").rdd.getNumPartitions() for rows in (1, 30 * storage.TASK_ROWS)] == [4, 30]
+
+
+def _scans(df, column):
+    """Leaves of the plan that are read for a column."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(column in leaves.apply(i).toString() for i in range(leaves.size()))
+
+
+def test_lines_are_repaired_in_one_pass(spark):
+    """Lines are read for what is kept, for the modes of sizes and for negative quantities; each id is joined once."""
+    found = carriers.sales_repaired(spark, "/root/testdata/sf0.001")
+    assert _scans(found, "l_linenumber") == 3
+    assert found.where("removed is null").count() + found.where("removed is not null").count() == spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
