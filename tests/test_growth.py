@@ -38,6 +38,15 @@ def test_lifts_of_branches_come_from_different_baskets(spark, kept):
     assert [storage.dealt(long, rows, "receipt").rdd.getNumPartitions() for rows in (1, 30 * storage.TASK_ROWS)] == [4, 30]
 
 
+def test_thresholds_are_tried_once_for_equal_cases(spark, kept):
+    tried = ((0.1, 0.1, 0.5), (0.9, 0.9, 0.9))
+    for n in (20, 40):
+        long = _copies(spark, n)
+        found = association.sensitivity(long, long, tried).collect()
+        assert (kept["sets"], kept["cases"], kept["shown"]) == (2, 5, 5) and len(found) == 2  # ab, ac, bc, a and b are shown
+        assert {(r["hit_1"], r["hit_k"]) for r in found} == {((3 * n + 2) / (3 * n + 2),) * 2}
+
+
 def _scans(df, column):
     """Leaves of the plan that are read for a column."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
