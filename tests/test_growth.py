@@ -58,3 +58,10 @@ def test_lines_are_repaired_in_one_pass(spark):
     found = carriers.sales_repaired(spark, "/root/testdata/sf0.001")
     assert _scans(found, "l_linenumber") == 3
     assert found.where("removed is null").count() + found.where("removed is not null").count() == spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
+
+
+def test_hits_of_equal_cases_are_found_once(spark, kept):
+    long = _copies(spark, 30)
+    rates = {r["method"]: r for r in association.hit_rate(long, association.mine_rules(long, 0.1, 0.1, 0.5), association.popular_items(long)).collect()}
+    assert (kept["sets"], kept["cases"], kept["shown"]) == (2, 5, 5)
+    assert rates["model"]["cases"] == 92 and rates["model"]["hit_k"] == rates["baseline"]["hit_k"] == 1.0
