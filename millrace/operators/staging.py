@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import calendar, values
@@ -56,20 +58,28 @@ def integrate(parts: dict[str, DataFrame]) -> DataFrame:
 
 def reconcile(staging: DataFrame, parts: dict[str, DataFrame]) -> DataFrame:
     """Counts for each branch and in total; raises ValueError if rows were lost or added."""
-    counts = {r["branch"]: r for r in report(staging).collect()}  # a row for each branch
-    for branch, part in parts.items():
-        expected = part.count()
+    found = storage.written(report(staging), "reconciled")
+    counts = {r["branch"]: r for r in found.collect()}  # a row for each branch
+    every = reduce(DataFrame.unionByName, (part.agg(F.count(F.lit(1)).alias("n")).select(F.lit(branch).alias("branch"), "n") for branch, part in parts.items()))
+    for branch, expected in every.collect():  # a row for each part
         if expected != (counts[branch]["rows"] if branch in counts else 0):
             raise ValueError(f"{branch}: {expected} rows read, {counts[branch]['rows'] if branch in counts else 0} in staging")
-    return report(staging)
+    return found
 
 
 def report(staging: DataFrame) -> DataFrame:
-    """Rows, missing values and flags for each branch, with a total."""
-    flag = lambda name: F.count_if(F.array_contains("extract_flags", name)).alias(name)
-    measures = [F.count(F.lit(1)).alias("rows"), F.countDistinct("receipt_id").alias("receipts"), F.sum("line_total").alias("revenue"), *(flag(n) for n in ("datetime_unparsed", "product_unmatched", "size_unmapped", "payment_unmapped"))]
-    by_branch = staging.groupBy("branch").agg(*measures)
-    return by_branch.unionByName(staging.agg(*measures).withColumn("branch", F.lit("total")))
+    """Rows, missing values and flags for each branch, with a total; staging is evaluated once, and written as a row for each branch.
+
+    A receipt counts in the total with the first of its branches.
+    """
+    names = ("datetime_unparsed", "product_unmatched", "size_unmapped", "payment_unmapped")
+    bills = staging.groupBy("receipt_id", "branch").agg(F.count(F.lit(1)).alias("rows"), F.sum("line_total").alias("revenue"), *(F.count_if(F.array_contains("extract_flags", n)).alias(n) for n in names))
+    first = F.col("receipt_id").isNotNull() & (F.row_number().over(Window.partitionBy("receipt_id").orderBy("branch")) == 1)
+    sums = [F.sum("revenue").alias("revenue"), *(F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names)]
+    rows = F.coalesce(F.sum("rows"), F.lit(0)).alias("rows")
+    by_branch = storage.written(bills.withColumn("_first", first).groupBy("branch").agg(rows, F.count("receipt_id").alias("receipts"), *sums, F.count_if("_first").alias("_first")), "branches")
+    total = by_branch.agg(rows, F.coalesce(F.sum("_first"), F.lit(0)).alias("receipts"), *sums).withColumn("branch", F.lit("total"))
+    return by_branch.drop("_first").unionByName(total)
 
 
 def as_text(df: DataFrame) -> DataFrame:

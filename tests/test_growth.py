@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pytest
 
-from millrace.operators import association, storage
+from millrace.operators import association, staging, storage
 from millrace.plans import carriers
 
 
@@ -65,3 +65,12 @@ def test_hits_of_equal_cases_are_found_once(spark, kept):
     rates = {r["method"]: r for r in association.hit_rate(long, association.mine_rules(long, 0.1, 0.1, 0.5), association.popular_items(long)).collect()}
     assert (kept["sets"], kept["cases"], kept["shown"]) == (2, 5, 5)
     assert rates["model"]["cases"] == 92 and rates["model"]["hit_k"] == rates["baseline"]["hit_k"] == 1.0
+
+
+def test_reconciliation_evaluates_staging_once(spark, kept):
+    found = carriers.staging_reconciled(spark, "/root/testdata/sf0.001")
+    assert (kept["branches"], kept["reconciled"]) == (3, 4) and _scans(found, "l_orderkey") == 0
+    rows = [("a", "1", 2.0, ["size_unmapped"]), ("b", "1", 3.0, []), ("b", "2", None, []), ("b", None, 1.0, []), ("a", None, None, ["size_unmapped"])]
+    df = spark.createDataFrame(rows, "branch string, receipt_id string, line_total double, extract_flags array<string>")
+    got = {r["branch"]: (r["rows"], r["receipts"], r["revenue"], r["size_unmapped"]) for r in staging.report(df).collect()}
+    assert got == {"a": (2, 1, 2.0, 2), "b": (3, 2, 4.0, 0), "total": (5, 2, 6.0, 2)}
