@@ -66,8 +66,10 @@ def favourite(sales: DataFrame, key: str, value: str, name: str) -> DataFrame:
 def dim_member(members: DataFrame, sales: DataFrame, products: DataFrame, salt: str, year: int = 2026) -> DataFrame:
     """Members without name and phone, with age group, roll-up of their bills and spending tier."""
     own = sales.where("member_id is not null").join(storage.small(products.select("product_id", "category")), "product_id", "left")
+    own = storage.written(own.select("member_id", "receipt_id", "category", "branch", "qty", "line_total", "date"), "own")  # read for the roll-up and both favourites
     rolled = own.groupBy("member_id").agg(F.sum("line_total").alias("total_spent"), F.countDistinct("receipt_id").alias("n_bills"), F.sum("qty").alias("n_items"), F.min("date").alias("first_purchase"), F.max("date").alias("last_purchase"))
     rolled = rolled.join(favourite(own, "member_id", "category", "favorite_category"), "member_id", "left").join(favourite(own, "member_id", "branch", "favorite_branch"), "member_id", "left")
+    rolled = storage.written(rolled, "rolled")  # tiers read it several times
     age = year - F.col("birth_year")
     group = calendar.band(age, schemas.AGE_GROUPS, left_open=True)
     ordinal = values.translated(group, {name: k + 1 for k, (name, _, _) in enumerate(schemas.AGE_GROUPS)})

@@ -74,3 +74,8 @@ def test_reconciliation_evaluates_staging_once(spark, kept):
     df = spark.createDataFrame(rows, "branch string, receipt_id string, line_total double, extract_flags array<string>")
     got = {r["branch"]: (r["rows"], r["receipts"], r["revenue"], r["size_unmapped"]) for r in staging.report(df).collect()}
     assert got == {"a": (2, 1, 2.0, 2), "b": (3, 2, 4.0, 0), "total": (5, 2, 6.0, 2)}
+
+
+def test_members_lines_are_joined_once(spark, kept):
+    found = carriers.members_rolled(spark, "/root/testdata/sf0.001")
+    assert kept["own"] == spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count() and _scans(found, "l_quantity") == 0
