@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.operators import star, storage
@@ -24,6 +24,9 @@ STATES = {
     "state_daily": ["branch", "date"], "state_hourly": ["branch", "hour"], "state_product": ["product_id", "branch", "month"],
     "state_member": ["member_id"], "state_member_category": ["member_id", "category"], "state_member_branch": ["member_id", "branch"],
 }
+#: States with bills: what tells the groups apart in which a bill counts once.
+BILLED = {"state_daily": ["branch", "date"], "state_hourly": ["branch", "hour", "time_suspect"], "state_member": ["member_id"]}
+MARKS = {s: f"_bill_{s}" for s in BILLED}
 ROLLED = ("total_spent", "n_bills", "n_items", "first_purchase", "last_purchase", "favorite_category", "favorite_branch", "spend_tier")
 
 
@@ -33,10 +36,26 @@ def lines(facts: DataFrame, dates: DataFrame, products: DataFrame) -> DataFrame:
     return out.join(storage.small(products.select("product_id", "category")), "product_id", "left")
 
 
+def marked(sales: DataFrame) -> DataFrame:
+    """sales with a mark for each state of bills, on one line of each bill that the old lines have not got yet.
+
+    Receipts are dealt out once for all marks; bills are then sums, and no state has to tell them apart.
+    """
+    first = lambda key: F.row_number().over(Window.partitionBy("receipt_id", *key).orderBy(F.desc("old"))) == 1
+    new = F.col("receipt_id").isNotNull() & ~F.col("old")
+    return sales.repartition("receipt_id").withColumns({MARKS[s]: first(key) & new for s, key in BILLED.items()})
+
+
 def states(sales: DataFrame) -> dict[str, DataFrame]:
-    """Sums of the lines that are not `old`; bills are those that the old lines have not got yet."""
+    """Sums of the lines that are not `old`; bills are those that the old lines have not got yet.
+
+    Sales that are not marked yet are marked and written first, so that they are evaluated once.
+    """
+    if not set(MARKS.values()) <= set(sales.columns):
+        needed = {"old", "qty", "line_total", "date", "time_suspect", *(c for key in STATES.values() for c in key)}
+        sales = storage.written(marked(sales).select(*(c for c in sales.columns if c in needed), *MARKS.values()), "marked")
     fresh = ~F.col("old")
-    bills = F.countDistinct("receipt_id") - F.countDistinct(F.when(F.col("old"), F.col("receipt_id")))
+    bills = lambda state: F.count_if(F.col(MARKS[state]))
     of = lambda c, f=F.sum: f(F.when(fresh, F.col(c)))
 
     def by(df: DataFrame, state: str, **measures: Column) -> DataFrame:
@@ -45,10 +64,10 @@ def states(sales: DataFrame) -> dict[str, DataFrame]:
 
     own = sales.where("member_id is not null")
     return {
-        "state_daily": by(sales, "state_daily", bills=bills, items=of("qty"), revenue=of("line_total")),
-        "state_hourly": by(sales.where("not time_suspect"), "state_hourly", bills=bills, revenue=of("line_total")),
+        "state_daily": by(sales, "state_daily", bills=bills("state_daily"), items=of("qty"), revenue=of("line_total")),
+        "state_hourly": by(sales.where("not time_suspect"), "state_hourly", bills=bills("state_hourly"), revenue=of("line_total")),
         "state_product": by(sales, "state_product", qty=of("qty"), revenue=of("line_total")),
-        "state_member": by(own, "state_member", total_spent=of("line_total"), n_bills=bills, n_items=of("qty"), first_purchase=of("date", F.min), last_purchase=of("date", F.max)),
+        "state_member": by(own, "state_member", total_spent=of("line_total"), n_bills=bills("state_member"), n_items=of("qty"), first_purchase=of("date", F.min), last_purchase=of("date", F.max)),
         "state_member_category": by(own.where("category is not null"), "state_member_category", line_total=of("line_total")),
         "state_member_branch": by(own, "state_member_branch", line_total=of("line_total")),
     }
@@ -70,7 +89,7 @@ def star_tables(increment: Increment) -> dict[str, Change]:
     new = lines(increment.rows, dates, products).withColumn("old", F.lit(False))
     before = increment.found(["receipt_id"])
     touched = new if before is None else new.unionByName(lines(before, dates, products).withColumn("old", F.lit(True)))
-    touched = storage.written(touched, "touched")
+    touched = storage.written(marked(touched), "touched")
     try:
         known = {s: increment.table(s) for s in STATES}
     except KeyError:

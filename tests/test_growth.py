@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 
-from millrace.operators import association, staging, storage
+from millrace.operators import association, increments, staging, storage
 from millrace.plans import carriers
 
 
@@ -79,3 +81,19 @@ def test_reconciliation_evaluates_staging_once(spark, kept):
 def test_members_lines_are_joined_once(spark, kept):
     found = carriers.members_rolled(spark, "/root/testdata/sf0.001")
     assert kept["own"] == spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count() and _scans(found, "l_quantity") == 0
+
+
+@pytest.mark.parametrize("state", ["state_daily"])
+def test_states_take_bills_from_lines_marked_once(spark, kept, state):
+    rng = random.Random(5)
+    rows = [(rng.choice([None, *range(12)]), rng.choice("xy"), f"2026-01-0{rng.randint(1, 3)}", rng.randint(7, 9), 1, "p", "c", rng.choice([None, 1, 2]), rng.random() < 0.3, 1, 2, rng.random() < 0.3) for _ in range(200)]
+    df = spark.createDataFrame(rows, "receipt_id int, branch string, date string, hour int, month int, product_id string, category string, member_id int, time_suspect boolean, qty int, line_total int, old boolean")
+    states = increments.states(df)
+    assert kept == {"marked": 200} and "Expand" not in states[state]._jdf.queryExecution().optimizedPlan().toString()
+    for name, at, bills, where in (("state_daily", (1, 2), "bills", lambda r: True), ("state_hourly", (1, 3), "bills", lambda r: not r[8]), ("state_member", (7,), "n_bills", lambda r: r[7] is not None)):
+        seen = {}
+        for r in filter(where, rows):
+            olds, news = seen.setdefault(tuple(r[i] for i in at), (set(), set()))
+            (olds if r[-1] else news).add(r[0])
+        expected = {k: len(news - olds - {None}) for k, (olds, news) in seen.items() if news}
+        assert {tuple(r[c] for c in increments.STATES[name]): r[bills] for r in states[name].collect()} == expected
