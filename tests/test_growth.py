@@ -83,7 +83,7 @@ def test_members_lines_are_joined_once(spark, kept):
     assert kept["own"] == spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count() and _scans(found, "l_quantity") == 0
 
 
-@pytest.mark.parametrize("state", ["state_daily"])
+@pytest.mark.parametrize("state", ["state_daily", "state_member"])
 def test_states_take_bills_from_lines_marked_once(spark, kept, state):
     rng = random.Random(5)
     rows = [(rng.choice([None, *range(12)]), rng.choice("xy"), f"2026-01-0{rng.randint(1, 3)}", rng.randint(7, 9), 1, "p", "c", rng.choice([None, 1, 2]), rng.random() < 0.3, 1, 2, rng.random() < 0.3) for _ in range(200)]
