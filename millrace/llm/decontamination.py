@@ -34,8 +34,11 @@ from pyspark.sql import functions as F
 
 from millrace.llm import common, textcodes
 
-#: Words of a segment, unless one document alone has more.
-SEGMENT = 1 << 20
+#: Words and documents of a segment, unless one document alone has more: a row of about 1 MB.
+SEGMENT = 1 << 17
+#: Row groups of the index, of which readers and writers hold one at once.  Parquet looks at their
+#: size and that of pages every 100 rows unless told otherwise; codes and positions don't compress.
+FORMAT = {"parquet.block.size": 8 << 20, "parquet.page.size.row.check.min": 1, "parquet.enable.dictionary": "false", "compression": "uncompressed"}
 #: Words of the items that are searched in one pass.
 BLOCK = 1 << 18
 WINDOW = 13
@@ -62,16 +65,17 @@ def _indexer(batches):
     for batch in batches:
         words, at = textcodes.word_codes(*textcodes.buffer_of(batch.column("text")), textcodes.ALPHANUMERIC)
         names = batch.column("doc_id").cast(pa.int64()).to_pylist()
+        places = at + np.arange(len(at))  # a document takes one besides its words
         begin = 0
         while begin < len(names):
             # as many documents as fit, one at least
-            end = max(begin + 1, int(np.searchsorted(at, at[begin] + max(0, SEGMENT - size), "right")) - 1)
+            end = max(begin + (not ids), int(np.searchsorted(places, places[begin] + SEGMENT - size, "right")) - 1)
             ids += names[begin:end]
             codes.append(words[at[begin] : at[end]])
             counts.append(np.diff(at[begin : end + 1]))
-            size += int(at[end] - at[begin])
+            size += int(places[end] - places[begin])
             begin = end
-            if size >= SEGMENT or begin < len(names):
+            if begin < len(names):
                 yield _segment(number, ids, np.concatenate(codes), np.concatenate(counts))
                 number, ids, codes, counts, size = number + 1, [], [], [], 0
     if ids:
@@ -80,7 +84,7 @@ def _indexer(batches):
 
 def build_index(docs: DataFrame) -> DataFrame:
     """The positional index of docs (doc_id, text), written to the shared folder."""
-    return common.save(docs.select("doc_id", "text").transform(common.map_batches, _indexer, INDEX), "index")
+    return common.save(docs.select("doc_id", "text").transform(common.map_batches, _indexer, INDEX), "index", **FORMAT)
 
 
 def _blocks(items: DataFrame) -> Iterator[tuple[list[str], list[np.ndarray]]]:

@@ -6,6 +6,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 import regex
 import tiktoken
@@ -151,6 +152,21 @@ def test_slices_of_occurrences_change_nothing(docs, spark, monkeypatch, bound):
     assert got == want and want
 
 
+def test_index_of_a_partition_is_in_small_pieces(spark):
+    words = "array_join(transform(sequence(1, {}), x -> hash(id, x) % 50000), ' ')"
+    many = spark.range(300).select(F.col("id").alias("doc_id"), F.expr(words.format(10000)).alias("text"))
+    long = spark.range(300, 301).select("id", F.expr(words.format(300000)))
+    empty = spark.range(301, 300001).select("id", F.lit("").alias("text"))
+    index = decontamination.build_index(many.union(long).union(empty).coalesce(1))
+    groups = [m.row_group(k) for f in index.inputFiles() for m in [pq.ParquetFile(f.removeprefix("file:")).metadata] for k in range(m.num_row_groups)]
+    assert sum(g.total_byte_size for g in groups) > 12 << 20
+    assert max(g.total_byte_size for g in groups) <= decontamination.FORMAT["parquet.block.size"]
+    segments = index.select("segment", "doc_ids", "n_words", F.expr("length(terms) + length(ends) + length(positions)").alias("bytes")).collect()
+    assert len({r["segment"] for r in segments}) == len(segments)
+    assert all(len(r["doc_ids"]) == 1 or sum(r["n_words"]) + len(r["doc_ids"]) <= decontamination.SEGMENT and r["bytes"] <= 3 << 20 for r in segments)
+    assert sorted((i, n) for r in segments for i, n in zip(r["doc_ids"], r["n_words"])) == [(i, 10000 if i < 300 else 300000 if i == 300 else 0) for i in range(300001)]
+
+
 def test_runs_of_a_chunk_make_the_same_list(monkeypatch):
     rng = random.Random(3)
     texts = [" ".join(rng.choices(["a", "bb", "<|e|>", "ccc", "dd<|e|>d", "é"], k=rng.randrange(0, 9))) for _ in range(60)]
